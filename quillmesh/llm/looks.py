@@ -93,6 +93,12 @@ def statement() -> str:
     single, several = mappings()
     table = {c: LOOK_ALIKES.get(form, form) for c, form in single.items()}
     table |= LOOK_ALIKES
+    for code in range(0x80, 0x20000):  # composed letters on a look-alike base, which NFC puts together
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and base in LOOK_ALIKES and chr(code) not in table:
+            form = unicodedata.normalize("NFC", LOOK_ALIKES[base] + "".join(marks))
+            if len(form) == 1:
+                table[chr(code)] = form
     table |= {c: " " for c in BLANKS if c != " "} | {c: "\n" for c in LINE_ENDS}
     table = {a: b for a, b in table.items() if a != b}
     quote = lambda s: "'" + s.replace("'", "''") + "'"
