@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import encode, looks, near, pack, split
+from quillmesh.llm import encode, garbled, looks, near, pack, split
 from quillmesh.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return near.groups(table(spark, d, "document_metadata"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled(table(spark, d, "document_metadata"))
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.restored(table(spark, d, "document_metadata"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return split.oversized(table(spark, d, "document_metadata"), table(spark, d, "document_records"))
 
@@ -46,7 +54,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_restored, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
