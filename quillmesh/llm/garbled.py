@@ -293,11 +293,15 @@ def _restore_word(word: str) -> tuple[str, tuple | None, float]:
 _MEMO = _Words()
 
 
+#: What an encoder without the letter left of it: question marks inside words, or pairs of them in place of a word.
+_LOSSY = re.compile(r"\w\?\?+\w|(?<!\S)\?\?+(?=[\w\s°])|(?<!\S)[^\W\d_]+\?[a-zß-ÿ]+(?=[\s,.;:!?)]|$)")
+
+
 def is_garbled(text: str | None) -> bool:
     """Whether at least one character of the text comes from a wrong decoding."""
-    if not text or (text.isascii() and "&" not in text):
+    if not text or (text.isascii() and "&" not in text and "?" not in text):
         return False
-    return "�" in text or any(_MEMO[w][2] >= 2 for w in _suspects(text))
+    return "�" in text or ("?" in text and _LOSSY.search(text) is not None) or any(_MEMO[w][2] >= 2 for w in _suspects(text))
 
 
 def _suspects(text: str) -> list[str]:
@@ -342,7 +346,7 @@ def restore(text: str | None) -> str | None:
 
 
 #: Rows that can't be garbled never reach Python.
-_MAYBE = r"[^\x00-\x7F]|&[A-Za-z#]"
+_MAYBE = r"[^\x00-\x7F]|&[A-Za-z#]|\?\?|[a-z]\?[a-z]"
 
 
 def garbled(records: DataFrame, id_col: str = "id", text_col: str = "page_content") -> DataFrame:
