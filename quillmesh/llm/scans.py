@@ -50,7 +50,7 @@ MISREADINGS = [
     ("o", "0"), ("O", "0"), ("o", "c"), ("s", "5"), ("S", "5"), ("b", "6"), ("g", "9"), ("q", "9"), ("B", "8"), ("Z", "2"), ("z", "2"), ("G", "6"),
     ("e", "c"), ("c", "e"), ("a", "o"), ("o", "a"), ("c", "("), ("C", "("), ("t", "f"), ("f", "t"), ("h", "b"), ("b", "h"), ("v", "y"), ("y", "v"), ("u", "v"), ("n", "u"), ("u", "n"),
     ("m", "rn"), ("rn", "m"), ("d", "cl"), ("cl", "d"), ("n", "ri"), ("ri", "n"), ("in", "m"), ("li", "h"), ("h", "li"), ("r", "i~"), ("u", "ii"), ("ü", "ii"), ("w", "vv"), ("vv", "w"), ("fi", "fl"), ("ß", "B"), ("ö", "6"), ("ö", "o"), ("ä", "a"), ("ü", "u"),
-    ("à", "a"), ("á", "a"), ("â", "a"), ("ã", "a"), ("é", "e"), ("è", "e"), ("ê", "e"), ("í", "i"), ("î", "i"), ("ó", "o"), ("ô", "o"), ("õ", "o"), ("ú", "u"), ("û", "u"), ("ñ", "n"), ("ç", "c"), ("é", "c"), ("è", "c"), ("ê", "c"),
+    ("à", "a"), ("á", "a"), ("â", "a"), ("ã", "a"), ("é", "e"), ("è", "e"), ("ê", "e"), ("í", "i"), ("î", "i"), ("ó", "o"), ("ô", "o"), ("õ", "o"), ("ú", "u"), ("û", "u"), ("ñ", "n"), ("ç", "c"), ("é", "c"), ("è", "c"), ("ê", "c"), ("é", "6"), ("è", "6"), ("ê", "6"), ("t", "i"),
     ("ł", "l"), ("ą", "a"), ("ę", "e"), ("ś", "s"), ("ż", "z"), ("ź", "z"), ("ć", "c"), ("ń", "n"), ("fi", "ﬁ"), ("fl", "ﬂ"),
 ]
 
@@ -282,6 +282,9 @@ _DIGIT = r"[\dlI|OoJjSBZi]"
 _NUMBER = re.compile(rf"^[\s\[(~—–·|*-]*(?:(?:{_PAGE_WORDS})\s*)?({_DIGIT}{{1,4}}|[ivxlc]{{1,6}})(?:\s*(?:/|of|von|de|sur|z|из|από|-)\s*{_DIGIT}{{1,4}})?[\s\])~—–·|*.-]*$", re.I)
 
 
+_ROMAN = re.compile(r"^(?=[ivxl])(?:xl|l?x{0,3})(?:ix|iv|v?[il]{0,3})$", re.I)
+
+
 def _canonical(line: str) -> str:
     """A line's form for comparison from page to page: case, digits and what misreading changes dropped."""
     s = re.sub(r"\s+", "", line).lower()
@@ -311,7 +314,8 @@ def wrapped_width(lines: list[str]) -> int:
         if a.strip() and b.strip() and not _NUMBER.match(a) and not _NUMBER.match(b):
             pairs += 1
             wraps += len(a) + 1 + len(b.split()[0]) > width - 2
-    return width if wraps >= 1 and wraps >= 0.6 * pairs else 0
+    paged = any(_MARKER.search(x) for x in lines)
+    return width if wraps >= (1 if paged else 3) and wraps >= 0.6 * pairs else 0
 
 
 def furniture(lines: list[str]) -> set[int]:
@@ -334,7 +338,7 @@ def furniture(lines: list[str]) -> set[int]:
         s = bare[k]
         if re.search(r"[.!?:;,)]$", s) or _DIVIDED.search(s):
             return False
-        return after is None or after != k + 1 or len(s) + 1 + len(bare[after].split()[0]) < width - 1
+        return after is None or after != k + 1 or len(_bare(lines[k]).rstrip()) + 1 + len(bare[after].split()[0]) < width - 1
 
     tops = [page[:3] for page in pages]
     bottoms = [page[-3:] for page in pages]
@@ -375,17 +379,17 @@ def furniture(lines: list[str]) -> set[int]:
                 same_case = any(bare[j].isupper() == s.isupper() for j in same)
                 if closed or same_case:
                     found.add(k)
-            elif place == 0 and after == k + 1 and len(pages) > 1 and s.isupper():
-                found.add(k)
+            elif place == 0 and after == k + 1:
+                found.add(k)  # a title stands apart from the text, a header need not
             break
         # From the bottom edge inwards.
         rest = [k for k in page if k not in found]
         number_below = False
         for place, k in enumerate(reversed(rest[-3:])):
             s = bare[k]
-            if len(rest) - place <= 1 and len(page) - len(found & set(page)) <= 1 and not _NUMBER.match(s):
+            if len(page) - len(found & set(page)) <= 1 and not _NUMBER.match(s) and not repeated(k, n, bottoms):
                 break
-            if _NUMBER.match(s) and (not s.isalpha() or len(s) <= 2 or number_below is False and len(s) == 1):
+            if _NUMBER.match(s) and (not s.isalpha() or len(s) <= 2 or _ROMAN.match(s)):
                 found.add(k)
                 number_below = True
                 continue
