@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,12 +67,27 @@ def restore_order(encoded: DataFrame, seq_col: str) -> DataFrame:
 
 
 def hashed_embedding(docs: DataFrame, id_col: str, text_col: str, dimensions: int = 64) -> DataFrame:
-    """(id, embedding): feature hashing of words with signs, unit length; the stand-in where no model is installed."""
-    counts = F.aggregate(
-        words(F.lower(F.col(text_col))),
-        F.array_repeat(F.lit(0.0), dimensions),
-        lambda v, w: F.transform(v, lambda x, k: x + F.when(k == F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int"), F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)),
-    )
-    from quillmesh.functions.vectors import l2_normalize
+    """(id, embedding ARRAY<FLOAT>): feature hashing of words with signs, unit length; the stand-in where no model is installed.
 
-    return docs.select(F.col(id_col), F.transform(l2_normalize(counts), lambda x: x.cast("float")).alias("embedding"))
+    A null text and one without words give the zero vector.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, int] = {}
+        for batch in batches:
+            out = np.zeros((batch.num_rows, dimensions))
+            for k, value in enumerate(batch.column(1)):
+                for word in (value.as_py() or "").lower().split():
+                    h = memo.get(word)
+                    if h is None:
+                        if len(memo) > 200_000:
+                            memo.clear()
+                        h = memo[word] = xxhash.xxh64_intdigest(word)
+                    out[k, h % dimensions] += 1 if h >> 63 else -1
+            size = np.linalg.norm(out, axis=1, keepdims=True)
+            flat = (out / np.where(size == 0, 1, size)).astype(np.float32).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dimensions), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_col, "embedding"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, embedding array<float>")

@@ -1,11 +1,638 @@
-"""Named queries over the tables of a data directory."""
+"""Named queries over the tables of a data directory. The SQL they are compared with is in ``catalog_sql``."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from quillmesh.functions import paths, text, urls
+from quillmesh.functions.vectors import l2_normalize, norm
+from quillmesh.operators import batching, chunking, citations, layout, relational, retrieval, web
+from quillmesh.plans.catalog_sql import PAGES, SQL, THOUGHTS
+from quillmesh.plans.config import QueryConfig
+from quillmesh.sources import store
+from quillmesh.streaming import metrics, thinking
+from quillmesh.streaming.ingest import file_stream
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share; a local session without one gets a temporary folder."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmesh-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
+# ---------------------------------------------------------------- chunks
+
+
+@query
+def chunk_fixed(spark, d):
+    return chunking.fixed(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query
+def chunk_overlap_variants(spark, d):
+    return chunking.fixed(table(spark, d, "documents").select("doc_id", "text"), size=1200, overlap=600)
+
+
+@query
+def chunk_paged(spark, d):
+    pdf = table(spark, d, "document_metadata").where(paths.extension(text.strip(F.col("file_name"))) == ".pdf")
+    return chunking.paged(pdf.select("id", "page_content"), "page_content")
+
+
+@query
+def chunk_documents(spark, d):
+    return chunking.split_documents(table(spark, d, "document_records").select("file_path", "file_type", "page_content")).drop("file_type")
+
+
+@query
+def chunk_heading(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "(?m)^#+ ", "### ").alias("text"))
+    return chunking.headings(docs)
+
+
+@query
+def chunk_stats(spark, d):
+    stats = chunking.length_stats(chunk_fixed(spark, d))
+    return stats.withColumn("mean_length", F.round("mean_length", 6))
+
+
+@query
+def oversize_chunks(spark, d):
+    return chunking.oversize(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", F.length("text").alias("chars"))
+
+
+@query
+def assembled_pages(spark, d):
+    pages = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 4).alias("doc_id"), (F.col("doc_id") % 4 + 1).alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    return chunking.assemble_pages(pages)
+
+
+@query
+def chunks_per_database(spark, d):
+    """Chunks each registered database would get with its own sizes."""
+    docs = table(spark, d, "documents").select("source", F.length(text.strip(F.col("text"))).alias("n")).where(F.col("n") > 0)
+    registry = table(spark, d, "created_databases")
+    step = F.greatest(F.col("chunk_size") - F.col("chunk_overlap"), F.lit(1))
+    sizes = docs.join(F.broadcast(registry), F.col("source") == F.col("db_name"))
+    return sizes.groupBy("db_name").agg(F.sum(F.ceil(F.col("n") / step)).cast("long").alias("chunks"), F.count(F.lit(1)).alias("documents"))
+
+
+# ---------------------------------------------------------------- text
+
+
+@query
+def content_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", paths.content_hash(F.col("text")).alias("hash"))
+
+
+@query
+def stale_hashes(spark, d):
+    """Stored rows by what their hash is worth."""
+    own = paths.content_hash(F.col("page_content"))
+    state = F.when(F.coalesce("hash", F.lit("")) == "", "missing").when(F.col("page_content").isNull(), "no text").when(F.lower("hash") == own, "valid").otherwise("stale")
+    return table(spark, d, "document_metadata").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def duplicate_docs(spark, d):
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull())
+    return docs.groupBy(paths.content_hash(F.col("text")).alias("hash")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+
+
+@query
+def first_of_content(spark, d):
+    return relational.first_of_content(table(spark, d, "document_metadata").select("id", "hash", "file_name"))
+
+
+@query
+def normalize_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.normalize(F.col("text")).alias("normalized"))
+
+
+@query
+def normalize_single_line(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.normalize(F.col("text"), False).alias("normalized"), text.normalize_query(F.col("text")).alias("query_form"))
+
+
+@query
+def clean_context(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.clean_context(F.col("text")).alias("cleaned"))
+
+
+@query
+def corrupt_fraction(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.concat("text", F.repeat(F.lit("(cid:12)"), (F.col("doc_id") % 3).cast("int"))).alias("text"))
+    return docs.select("doc_id", F.round(text.corrupt_fraction(F.col("text")), 6).alias("fraction"))
+
+
+@query
+def think_strip(spark, d):
+    return table(spark, d, "documents").selectExpr("doc_id", f"{THOUGHTS} AS answer").select("doc_id", text.strip_thinking(F.col("answer")).alias("answer"))
+
+
+@query
+def think_pieces(spark, d):
+    """The same answers, arriving in pieces of seven characters."""
+    whole = table(spark, d, "documents").selectExpr("doc_id AS conv_id", f"{THOUGHTS} AS answer")
+    cuts = F.transform(F.sequence(F.lit(0), F.length("answer"), F.lit(7)), lambda p: F.substring(F.col("answer"), p + 1, F.lit(7)))
+    pieces = whole.where("answer IS NOT NULL").select("conv_id", F.posexplode(cuts).alias("seq", "piece")).withColumn("seq", F.col("seq").cast("long"))
+    return thinking.filter_pieces(pieces).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x.piece), "").alias("answer"))
+
+
+@query
+def snippets(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
+
+
+@query
+def rendered_response(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.render_response(F.col("text")).alias("html"))
+
+
+@query
+def sentence_split(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("n", "sentence"))
+
+
+@query
+def sentence_packs(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(text.pack_sentences(F.col("text"))).alias("n", "piece"))
+
+
+@query
+def joined_lines(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.join_lines(F.col("text")).alias("line"))
+
+
+@query
+def speakable_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.speakable(F.col("text")).alias("spoken"))
+
+
+@query
+def prefixed_queries(spark, d):
+    """What each registered model is given for a query; models of the known families are added."""
+    named = table(spark, d, "created_databases").select("db_name", F.coalesce("model", F.concat(F.lit("vendor/BGE-base-"), F.col("db_name"))).alias("model"))
+    return named.select("db_name", text.model_family(F.col("model")).alias("family"), text.max_sequence(F.col("model")).alias("max_sequence"), text.prefixed_query(F.lit("  what is\ta quorum? "), F.col("model")).alias("query"))
+
+
+# ---------------------------------------------------------------- metadata
+
+
+@query
+def document_paths(spark, d):
+    p = F.col("file_path")
+    return table(spark, d, "document_metadata").select("id", paths.base_name(p).alias("name"), paths.extension(p).alias("extension"), paths.stem(p).alias("stem"), paths.document_type(p).alias("kind"))
+
+
+@query
+def doctype_distribution(spark, d):
+    kind = F.coalesce("document_type", paths.document_type(F.col("file_path")))
+    return table(spark, d, "document_records").groupBy(kind.alias("document_type"), F.lower("file_type").alias("file_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def metadata_roundtrip(spark, d):
+    fields = ["file_path", "file_type", "file_name", "hash"]
+    rows = table(spark, d, "document_records").select("file_path", store.metadata_json(*fields).alias("metadata"))
+    parsed = rows.select("file_path", store.parsed_metadata(F.col("metadata"), ", ".join(f"{f} string" for f in fields)).alias("m"))
+    return parsed.where("m IS NOT NULL").groupBy("m.file_type").agg(F.count(F.lit(1)).alias("n"), F.count("m.hash").alias("with_hash"))
+
+
+@query
+def latest_versions(spark, d):
+    """The latest text of every path: greatest modification date, then hash and text; null dates first."""
+    order = Window.partitionBy("file_path").orderBy(F.desc_nulls_last("modification_date"), F.desc_nulls_last("hash"), F.desc_nulls_last("page_content"))
+    ranked = table(spark, d, "document_records").withColumn("_n", F.row_number().over(order)).withColumn("versions", F.size(F.collect_set(F.sha2("page_content", 256)).over(Window.partitionBy("file_path"))))
+    return ranked.where("_n = 1").select("file_path", "modification_date", F.sha2("page_content", 256).alias("text_hash"), "versions")
+
+
+@query
+def impossible_dates(spark, d):
+    t = lambda c: F.try_to_timestamp(F.col(c))
+    return table(spark, d, "document_records").where(t("modification_date") < t("creation_date")).groupBy("document_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def staged_names(spark, d):
+    rank = F.row_number().over(Window.partitionBy(F.lower(paths.base_name(F.col("file_path")))).orderBy("file_path"))
+    found = table(spark, d, "document_metadata").select("file_path").distinct()
+    return found.select("file_path", paths.staged_name(F.col("file_path"), rank > 1).alias("staged_name"))
+
+
+@query
+def file_listing(spark, d):
+    return table(spark, d, "document_metadata").select("file_name", "file_path").orderBy("file_name", "file_path")
+
+
+@query
+def kept_downloads(spark, d):
+    keep = relational.kept_by_globs(F.col("file_name"), ["*.pdf", "*.txt", "*.md"], ["*copy*", "index.*"])
+    files = table(spark, d, "document_metadata").where(F.col("file_name").isNotNull())
+    return files.agg(F.count_if(keep).alias("files"), F.sum(F.when(keep, F.octet_length("page_content"))).alias("bytes"))
+
+
+# ---------------------------------------------------------------- joins and sets
+
+
+@query
+def chunks_per_document(spark, d):
+    owned = relational.children_by_hash(table(spark, d, "hash_chunk_ids"), table(spark, d, "document_metadata"))
+    return owned.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("copies").alias("copies"))
+
+
+@query
+def orphan_chunks(spark, d):
+    known = table(spark, d, "document_metadata").where("hash <> ''").select(F.lower("hash").alias("h")).distinct()
+    return table(spark, d, "hash_chunk_ids").withColumn("h", F.lower("hash")).join(known, "h", "left_anti").select("tiledb_id", "hash")
+
+
+@query
+def registry_models(spark, d):
+    """Precision of each database's model: exact name, else contained name, else the default."""
+    registry = spark.createDataFrame([("Ostrea-large", "Ostrea", "float16"), ("Quill-small", "Quill", "bfloat16"), ("vendor/bge", "bge", "float32")], "repo string, family string, precision string")
+    rows = table(spark, d, "created_databases").select("db_name", F.coalesce("model", F.lit("none")).alias("model"))
+    return relational.lookup(rows, "model", registry, "repo", "family", "precision", "float32").select("db_name", "model", "precision")
+
+
+@query
+def source_union(spark, d):
+    stored = table(spark, d, "document_metadata").select("file_path", "hash")
+    extracted = table(spark, d, "document_records").select("file_path", "hash", "document_type")
+    return relational.union_sources(extracted, stored).groupBy("source_no", "document_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hash").alias("hashes"))
+
+
+@query
+def set_diff(spark, d):
+    return relational.set_difference(table(spark, d, "document_metadata").select("file_path"), table(spark, d, "document_records").select("file_path"), "file_path")
+
+
+@query
+def gpu_rank(spark, d):
+    """A ranking by one measure within a range of another, in percent of the greatest."""
+    ranked = relational.percent_of_max(relational.ranked_between(table(spark, d, "part"), "p_size", 10, 20, "p_retailprice", "p_partkey"), "p_retailprice", "percent")
+    return ranked.select("p_partkey", "p_size", "p_retailprice", F.round("percent", 6).alias("percent"))
+
+
+@query
+def repeated_metadata(spark, d):
+    runs = relational.consecutive_runs(table(spark, d, "documents").select("doc_id", "lang", "source", "document_type"), "document_type", "doc_id", F.struct("lang", "source"))
+    return runs.groupBy("document_type").agg(F.count_if("repeats").alias("repeats"), F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- search
+
+
+@query
+def knn_topk(spark, d):
+    hits = retrieval.topk_of(table(spark, d, "embeddings"), 0, 5)
+    return hits.select("vec_id", F.round("similarity_score", 6).alias("similarity_score"), "rank")
+
+
+@query
+def knn_multi(spark, d):
+    vectors = table(spark, d, "embeddings")
+    hits = retrieval.topk_many(vectors, vectors.where("vec_id % 20 = 0"), 5)
+    return hits.select("query_id", "id", F.round("similarity_score", 5).alias("similarity_score"), "rank")
+
+
+@query
+def vector_norms(spark, d):
+    v = F.col("embedding")
+    return table(spark, d, "embeddings").select("vec_id", F.round(norm(v), 5).alias("norm"), F.round(norm(l2_normalize(v)), 5).alias("unit"))
+
+
+def _hits(spark, d, **settings):
+    config = QueryConfig(**{"contexts": 20, "similarity": 0.2, **settings})
+    docs = table(spark, d, "documents").select("doc_id", "text", "document_type", "source")
+    return retrieval.search(table(spark, d, "embeddings"), docs, 0, config)
+
+
+def _scored(hits):
+    return hits.select("doc_id", F.round("similarity_score", 6).alias("similarity_score"), "rank")
+
+
+@query
+def search_threshold(spark, d):
+    return _scored(_hits(spark, d))
+
+
+@query
+def search_term(spark, d):
+    return _scored(_hits(spark, d, search_term="THE"))
+
+
+@query
+def search_type(spark, d):
+    return _scored(_hits(spark, d, document_types="document"))
+
+
+@query
+def search_chunks_only(spark, d):
+    return retrieval.chunks_only(_hits(spark, d), "source")
+
+
+@query
+def rag_prompt(spark, d):
+    return retrieval.prompt(_hits(spark, d).where(F.col("text").isNotNull()), "What was decided?")
+
+
+@query
+def token_budget(spark, d):
+    return retrieval.token_budget(_hits(spark, d).where(F.col("text").isNotNull()), "What was decided?", 4096)
+
+
+@query
+def distance_stats(spark, d):
+    stats = retrieval.distance_stats(retrieval.topk_of(table(spark, d, "embeddings"), 0, 20))
+    return stats.select(*(F.round(c, 6).alias(c) for c in stats.columns))
+
+
+@query
+def cited_sources(spark, d):
+    hits = retrieval.topk_of(table(spark, d, "embeddings"), 0, 40)
+    meta = table(spark, d, "document_metadata").select(F.col("id").alias("vec_id"), "file_path", "file_name", paths.extension(F.col("file_path")).alias("file_type"))
+    paged = hits.join(meta, "vec_id").withColumn("page_number", (F.col("vec_id") % 7 + 1).cast("int"))
+    grouped = paged.withColumn("file_path", F.regexp_extract("file_path", r"^(.*?[/\\].*?[/\\].*?)[/\\]", 1)).withColumn("file_type", F.lit(".pdf"))
+    cited = citations.citations(grouped)
+    return cited.select("file_path", "scores", "pages", F.round("min_score", 6).alias("min_score"))
+
+
+@query
+def citation_html(spark, d):
+    hits = retrieval.topk_of(table(spark, d, "embeddings"), 0, 10)
+    meta = table(spark, d, "document_metadata").select(F.col("id").alias("vec_id"), "file_path", "file_name", paths.extension(F.col("file_path")).alias("file_type"))
+    return citations.citation_list(citations.citations(hits.join(meta, "vec_id").withColumn("page_number", F.lit(1))))
+
+
+@query
+def page_ranges(spark, d):
+    pages = table(spark, d, "document_metadata").select("id", F.explode(F.regexp_extract_all("page_content", F.lit(chunking.MARKER), 1)).alias("p")).select("id", F.col("p").cast("int").alias("page_number"))
+    return citations.page_ranges(pages, ["id"])
+
+
+@query
+def page_ranges_array(spark, d):
+    pages = F.regexp_extract_all("page_content", F.lit(chunking.MARKER), 1).cast("array<int>")
+    return table(spark, d, "document_metadata").select("id", citations.page_ranges_of(pages).alias("pages")).where("pages <> ''")
+
+
+# ---------------------------------------------------------------- web
+
+
+def pages_of(spark, d):
+    """Pages made of the corpus: chrome around the text, links to other pages."""
+    return table(spark, d, "documents").selectExpr(*PAGES)
+
+
+@query
+def link_extract(spark, d):
+    return web.links(pages_of(spark, d))
+
+
+@query
+def url_valid(spark, d):
+    p = pages_of(spark, d)
+    candidate = F.concat(F.lit("https://www.docs.example/guide-v1."), F.col("doc_id") % 5, F.when(F.col("doc_id") % 3 == 0, "-old").otherwise(""), F.lit("/page"), F.col("doc_id"))
+    return p.select("doc_id", urls.is_valid(candidate, F.lit("docs.example"), F.lit("/guide-v1.2/page")).alias("deep"), urls.is_valid(candidate, F.lit("docs.example"), F.lit("/guide-v1.2")).alias("valid"), urls.is_valid(candidate, F.lit("other.example"), F.lit("")).alias("elsewhere"))
+
+
+@query
+def html_filename(spark, d):
+    return pages_of(spark, d).select("doc_id", urls.file_name(F.concat("url", F.when(F.col("doc_id") % 4 == 0, "?a=1").otherwise(""))).alias("file_name"))
+
+
+@query
+def html_strip_cruft(spark, d):
+    return pages_of(spark, d).select("doc_id", F.length(web.strip_tag_blocks(F.col("html"))).alias("chars"))
+
+
+@query
+def html_plain(spark, d):
+    return pages_of(spark, d).select("doc_id", web.tags_to_text(F.col("html")).alias("text"))
+
+
+@query
+def html_main_content(spark, d):
+    return pages_of(spark, d).select("doc_id", web.main_content(F.col("html"), "pydata").alias("content"), web.visible_text(F.col("html")).alias("text"))
+
+
+@query
+def html_saved(spark, d):
+    return web.saved_pages(pages_of(spark, d)).select("file_name", "url", F.length("html").alias("chars"))
+
+
+@query
+def link_frontier(spark, d):
+    return web.frontier(web.links(pages_of(spark, d)), pages_of(spark, d).where("doc_id % 2 = 0"))
+
+
+@query
+def crawl(spark, d):
+    links = checkpointed(web.links(pages_of(spark, d)))
+    return web.crawl(links, pages_of(spark, d).where("doc_id = 1").select("url"), checkpointed, rounds=6)
+
+
+@query
+def rate_limits(spark, d):
+    responses = table(spark, d, "events").select(F.col("user_id").alias("site"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", 429).when(F.col("event_type") == "purchase", 200).otherwise(404).alias("status"))
+    return web.rate_limited(responses)
+
+
+# ---------------------------------------------------------------- encoder batches
+
+
+@query
+def length_sorted_batches(spark, d):
+    sized = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.length("text").alias("n"))
+    return batching.length_sorted(sized, F.col("n"), "doc_id", shard_size=5000, batch_size=64).select("doc_id", "shard", "position", "batch_id")
+
+
+@query
+def batch_padding(spark, d):
+    sized = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.length("text").alias("n"))
+    return batching.batch_stats(batching.length_sorted(sized, F.col("n"), "doc_id", shard_size=5000, batch_size=64))
+
+
+@query
+def padding_efficiency(spark, d):
+    return batching.padding_efficiency(batch_padding(spark, d)).withColumn("efficiency", F.round("efficiency", 6))
+
+
+@query
+def padded_tokens(spark, d):
+    tokens = batching.tokenize(table(spark, d, "documents"), "doc_id", "text", 128)
+    padded = batching.padded_batches(tokens, "doc_id", shard_size=5000, batch_size=64)
+    return padded.groupBy("shard", "batch_id").agg(F.min(F.size("input_ids")).alias("shortest"), F.max(F.size("input_ids")).alias("longest"), F.sum(F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)).alias("real_tokens"))
+
+
+@query
+def hashed_embeddings(spark, d):
+    return batching.hashed_embedding(table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text", 16)
+
+
+# ---------------------------------------------------------------- recognised pages
+
+
+@query
+def ocr_gate(spark, d):
+    """Pages of the corpus with made-up features: which need recognition."""
+    i = F.col("doc_id")
+    pages = table(spark, d, "documents").select((i / 5).cast("long").alias("doc_id"), "text", (i % 7).cast("int").alias("interior_words"), ((i % 10) / 10.0).alias("image_cover"), (i % 23).cast("int").alias("drawings"))
+    return layout.documents_need_ocr(pages)
+
+
+@query
+def ocr_events(spark, d):
+    events = table(spark, d, "events").select(F.when(F.col("event_type") == "view", "notext").otherwise(F.col("event_type")).alias("kind"), (F.col("user_id") % 40).alias("page"), (F.col("value") / 5000).alias("ink_frac"))
+    return layout.event_summary(events)
+
+
+@query
+def ocr_zoom(spark, d):
+    w, h = F.col("p_size").cast("double") * 300, F.col("p_retailprice").cast("double") * 5
+    return table(spark, d, "part").select("p_partkey", F.round(layout.safe_zoom(F.lit(4.0), w, h), 6).alias("zoom"))
+
+
+def _page_lines(spark, d):
+    """Words of each document set in lines of two columns."""
+    words = table(spark, d, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("page"), F.posexplode(F.slice(F.split(F.trim("text"), " +"), 1, 40)).alias("line_no", "text"))
+    x = F.when(F.col("line_no") % 2 == 0, 0.0).otherwise(520.0)
+    y = F.floor(F.col("line_no") / 2) * 30.0
+    corner = lambda dx, dy: F.array(x + dx, y + dy)
+    return words.select("page", "line_no", "text", F.array(corner(0.0, 0.0), corner(400.0, 0.0), corner(400.0, 20.0), corner(0.0, 20.0)).alias("polygon"), ((F.col("page") + F.col("line_no")) % 11 / 10.0).alias("score"))
+
+
+@query
+def reading_order(spark, d):
+    return layout.in_reading_order(_page_lines(spark, d), ["page"]).select("page", "line_no", "position")
+
+
+@query
+def hocr(spark, d):
+    stats = layout.hocr_lines(_page_lines(spark, d))
+    return stats.select("page", "emitted", "dropped", "flagged", F.round("mean_conf", 6).alias("mean_conf"))
+
+
+@query
+def orientation(spark, d):
+    trials = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("page"), F.when(F.col("l_linenumber") == 1, "none").otherwise(F.concat(F.lit("rot"), F.col("l_linenumber"))).alias("orientation"), F.col("l_quantity").alias("mass"), (F.col("l_discount") * 10).alias("confidence")
+    )
+    return layout.best_orientation(trials)
+
+
+# ---------------------------------------------------------------- measurements
+
+
+def _samples(spark, d):
+    return table(spark, d, "metrics_sample")
+
+
+@query
+def metrics_valid(spark, d):
+    valid = metrics.valid_readings(_samples(spark, d))
+    return valid.groupBy("session_id").agg(F.count(F.lit(1)).alias("samples"), *(F.count(c).alias(f"n_{c}") for c in metrics.PERCENTAGES), F.round(F.avg("cpu_usage"), 6).alias("avg_cpu"))
+
+
+@query
+def metrics_once(spark, d):
+    return metrics.first_of_sample(_samples(spark, d)).groupBy("session_id").agg(F.count(F.lit(1)).alias("samples"), F.sum("sample_id").alias("id_sum"))
+
+
+@query
+def metrics_tumbling(spark, d):
+    out = metrics.tumbling(metrics.first_of_sample(_samples(spark, d)))
+    return out.select("session_id", "window_start", "samples", *(F.round(c, 6).alias(c) for c in ("avg_cpu", "max_cpu", "avg_ram", "avg_gpu")))
+
+
+@query
+def metrics_sliding(spark, d):
+    return metrics.sliding(_samples(spark, d)).withColumn("avg_cpu", F.round("avg_cpu", 6))
+
+
+@query
+def metrics_bursts(spark, d):
+    return metrics.bursts(_samples(spark, d))
+
+
+@query
+def metrics_history(spark, d):
+    return metrics.history(_samples(spark, d)).select("sample_id", "in_history", F.round("mean_cpu", 6).alias("mean_cpu"))
+
+
+@query
+def metrics_latest(spark, d):
+    return metrics.latest(_samples(spark, d), 100).select("session_id", "sample_id", "age")
+
+
+@query
+def metrics_lateness(spark, d):
+    late = F.col("arrived_ts") - F.col("sample_ts") > F.expr("INTERVAL 1 HOUR")
+    return _samples(spark, d).groupBy("session_id").agg(F.count_if(late).alias("late"), F.count(F.lit(1)).alias("samples"))
+
+
+@query
+def metrics_csv(spark, d):
+    return metrics.as_csv_rows(_samples(spark, d))
+
+
+@query
+def stream_tumbling(spark, d):
+    """The hourly windows as a stream: those that the watermark of three days has closed."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    samples = _samples(spark, d)
+    stream = file_stream(spark, f"{d}/metrics_sample.parquet", samples.schema).withColumn("sample_ts", F.col("sample_ts").cast("timestamp"))
+    out = metrics.tumbling(stream, late="3 days").select("session_id", "window_start", "samples", F.round("max_cpu", 6).alias("max_cpu"))
+    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+# ---------------------------------------------------------------- what Spark SQL brings along
+
+
+def _relational(name: str, sql: str) -> None:
+    """A query in SQL that runs alike on both sides; shows that the engine's own operators take part."""
+
+    def run(spark, d):
+        for t in ("customer", "orders", "lineitem", "nation", "region", "supplier", "part", "documents"):
+            table(spark, d, t).createOrReplaceTempView(t)
+        return spark.sql(sql)
+
+    run.__name__ = name
+    query(run)
+
+
+for _name, _sql in {k: v for k, v in SQL.items() if k.startswith("rel_")}.items():
+    _relational(_name, _sql)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in SQL.items() if k in _QUERIES}

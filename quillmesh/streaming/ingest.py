@@ -8,6 +8,15 @@ from pyspark.sql.types import StructType
 from quillmesh.operators.chunking import split_documents
 
 
+def file_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The Parquet files of a folder, or one file, as a stream."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+
+
 def document_stream(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
     """Documents of the Parquet files that arrive in a folder."""
     return spark.readStream.schema(schema).parquet(folder)
