@@ -23,6 +23,8 @@ def _starts(text: Column, step: int) -> Column:
 
 
 def _rest(df: DataFrame, *drop: str) -> list[Column]:
+    """All other columns; those named like a new one are replaced by it."""
+    drop = (*drop, "chunk_idx", "chunk_start", "chunk", "page_number", "heading")
     return [F.col(f"`{c}`") for c in df.columns if c not in drop]
 
 

@@ -232,8 +232,8 @@ SQL: dict[str, str] = {
             SELECT *, unnest([time_bucket(INTERVAL 30 MINUTE, sample_ts), time_bucket(INTERVAL 30 MINUTE, sample_ts) - INTERVAL 30 MINUTE]) AS window_start FROM metrics_sample) GROUP BY 1, 2""",
     "metrics_bursts": """
         SELECT session_id, min(sample_ts) AS burst_start, max(sample_ts) + INTERVAL 30 MINUTE AS burst_end, count(*) AS samples FROM (
-            SELECT session_id, sample_ts, sum(CAST(gap AS INT)) OVER (PARTITION BY session_id ORDER BY sample_ts ROWS UNBOUNDED PRECEDING) AS b FROM (
-                SELECT session_id, sample_ts, coalesce(sample_ts - lag(sample_ts) OVER (PARTITION BY session_id ORDER BY sample_ts) > INTERVAL 30 MINUTE, TRUE) AS gap FROM metrics_sample)) GROUP BY session_id, b""",
+            SELECT session_id, sample_ts, sum(CAST(gap AS INT)) OVER (PARTITION BY session_id ORDER BY sample_ts, sample_id ROWS UNBOUNDED PRECEDING) AS b FROM (
+                SELECT session_id, sample_ts, sample_id, coalesce(sample_ts - lag(sample_ts) OVER (PARTITION BY session_id ORDER BY sample_ts, sample_id) > INTERVAL 30 MINUTE, TRUE) AS gap FROM metrics_sample)) GROUP BY session_id, b""",
     "metrics_history": """
         SELECT sample_id, count(*) OVER w AS in_history, round(avg(cpu_usage) OVER w, 6) AS mean_cpu FROM metrics_sample WINDOW w AS (PARTITION BY session_id ORDER BY sample_ts, sample_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""",
     "metrics_latest": "SELECT session_id, sample_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY sample_ts DESC, sample_id DESC) - 1 AS INT) AS age FROM metrics_sample QUALIFY age < 100",
