@@ -31,6 +31,15 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """An input that comes in fewer partitions than there are cores (one small file), dealt out evenly for costly work.
+
+    Tables of many files, as on a cluster, pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share; a local session without one gets a temporary folder."""
     return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmesh-")
@@ -48,28 +57,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 @query
 def chunk_fixed(spark, d):
-    return chunking.fixed(table(spark, d, "documents").select("doc_id", "text"))
+    return chunking.fixed(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 @query
 def chunk_overlap_variants(spark, d):
-    return chunking.fixed(table(spark, d, "documents").select("doc_id", "text"), size=1200, overlap=600)
+    return chunking.fixed(spread(table(spark, d, "documents").select("doc_id", "text")), size=1200, overlap=600)
 
 
 @query
 def chunk_paged(spark, d):
-    pdf = table(spark, d, "document_metadata").where(paths.extension(text.strip(F.col("file_name"))) == ".pdf")
+    pdf = spread(table(spark, d, "document_metadata").select("id", "file_name", "page_content")).where(paths.extension(text.strip(F.col("file_name"))) == ".pdf")
     return chunking.paged(pdf.select("id", "page_content"), "page_content")
 
 
 @query
 def chunk_documents(spark, d):
-    return chunking.split_documents(table(spark, d, "document_records").select("file_path", "file_type", "page_content")).drop("file_type")
+    return chunking.split_documents(spread(table(spark, d, "document_records").select("file_path", "file_type", "page_content"))).drop("file_type")
 
 
 @query
 def chunk_heading(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "(?m)^#+ ", "### ").alias("text"))
+    docs = spread(table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "(?m)^#+ ", "### ").alias("text")))
     return chunking.headings(docs)
 
 
@@ -129,12 +138,13 @@ def first_of_content(spark, d):
 
 @query
 def normalize_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.normalize(F.col("text")).alias("normalized"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.normalize(F.col("text")).alias("normalized"))
 
 
 @query
 def normalize_single_line(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.normalize(F.col("text"), False).alias("normalized"), text.normalize_query(F.col("text")).alias("query_form"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", text.normalize(F.col("text"), False).alias("normalized"), text.normalize_query(F.col("text")).alias("query_form"))
 
 
 @query
@@ -189,7 +199,7 @@ def joined_lines(spark, d):
 
 @query
 def speakable_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.speakable(F.col("text")).alias("spoken"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.speakable(F.col("text")).alias("spoken"))
 
 
 @query
@@ -437,7 +447,7 @@ def html_plain(spark, d):
 
 @query
 def html_main_content(spark, d):
-    return pages_of(spark, d).select("doc_id", web.main_content(F.col("html"), "pydata").alias("content"), web.visible_text(F.col("html")).alias("text"))
+    return spread(pages_of(spark, d)).select("doc_id", web.main_content(F.col("html"), "pydata").alias("content"), web.visible_text(F.col("html")).alias("text"))
 
 
 @query
@@ -491,7 +501,7 @@ def padded_tokens(spark, d):
 
 @query
 def hashed_embeddings(spark, d):
-    return batching.hashed_embedding(table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text", 16)
+    return batching.hashed_embedding(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", 16)
 
 
 # ---------------------------------------------------------------- recognised pages
