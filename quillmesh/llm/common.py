@@ -13,8 +13,14 @@ TOKENIZERS = "/opt/tokenizers"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one table of the data directory."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Read one table of the data directory.
+
+    An input of fewer partitions than cores (one small file) is dealt out evenly;
+    tables of many files, as on a cluster, pass unchanged.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:

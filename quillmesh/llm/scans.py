@@ -213,6 +213,19 @@ class Repairer:
             known = self._memo[word] = self._word(word)
         return known
 
+    def fixed(self, token: str) -> str:
+        """A token with its misreadings undone, punctuation and case pattern kept."""
+        word = core(token)
+        new, place = self.word(token)
+        if place < 0 or new == word:
+            return token
+        letters = [c for c in word[1:] if c.isalpha()]
+        if letters and sum(c.islower() for c in letters) > len(letters) / 2:
+            new = new[:1] + new[1:].lower()
+        elif letters and word[:1].isupper():
+            new = new.upper()
+        return token.replace(word, new, 1)
+
     def _word(self, word: str) -> tuple[str, int]:
         if len(word) < 2 or _CODE.match(word) or self.lexicon.count(word) > self.lexicon.rare:
             return word, -1
@@ -459,6 +472,60 @@ def found_lines(text: str | None, repairer: Repairer) -> list[tuple[int, str]]:
     return out + [(k + 1, "misread") for k in sorted(misread)]
 
 
+def repaired_text(text: str | None, repairer: Repairer) -> str | None:
+    """A scanned text as continuous paragraphs, one per line group, parted by blank lines; None for other texts.
+
+    Furniture and page markers are dropped, divided words joined, misread words
+    replaced where the editor is sure; genuine hyphens and numbers stay.
+    """
+    if not text or "\n" not in text:
+        return None
+    lines = [x.rstrip("\r") for x in restore(text).split("\n")]
+    width = wrapped_width(lines)
+    if not width:
+        return None
+    edge = furniture(lines)
+    body = [k for k in range(len(lines)) if k not in edge and _bare(lines[k]).strip()]
+    paragraphs: list[str] = []
+    current, before, join = "", None, None
+    for k in body:
+        raw = _bare(lines[k]).rstrip()
+        tokens = raw.split()
+        if current:
+            between = range(before + 1, k)
+            page_turn = any(j in edge for j in between) or _MARKER.search(lines[k]) is not None
+            last = _bare(lines[before]).rstrip()
+            ended = re.search(r"[.!?:…][\"'”’»)]*$", last) is not None
+            short = len(last) + 1 + len(tokens[0]) < width - 1
+            indented = len(raw) - len(raw.lstrip()) >= 2 and len(_bare(lines[before])) - len(_bare(lines[before]).lstrip()) < 2
+            if join is None and (len(between) > 0 and not page_turn or indented or short and (ended or not page_turn) or page_turn and ended and tokens[0][:1].isupper() and short):
+                paragraphs.append(current)
+                current = ""
+        if current and join is not None:
+            head, mark = join
+            if repairer.divided(head, tokens[0], mark):
+                current = current[: len(current) - len(head)] + repairer.fixed(head + tokens[0])
+            else:
+                current = current + "-" + repairer.fixed(tokens[0])
+            tokens = tokens[1:]
+        fixed, j = [], 0
+        while j < len(tokens):
+            if j + 1 < len(tokens) and repairer.blank_inside(tokens[j], tokens[j + 1]):
+                tokens[j + 1] = tokens[j] + tokens[j + 1]
+            else:
+                fixed.append(repairer.fixed(tokens[j]))
+            j += 1
+        join = None
+        if raw[-1:] in _HYPHENS and tokens and len(tokens[-1]) > 1 and tokens[-1].rstrip(_HYPHENS)[-1:].isalpha():
+            head = tokens[-1].rstrip(_HYPHENS)
+            join, fixed = (head, raw[-1]), [*fixed[:-1], head]
+        current = " ".join([*([current] if current else []), *fixed])
+        before = k
+    if current:
+        paragraphs.append(current + ("-" if join else ""))
+    return "\n\n".join(paragraphs)
+
+
 def word_counts(records: DataFrame, text_col: str = "page_content") -> DataFrame:
     """(word, n) over all words of all records, counted per partition before the shuffle."""
 
@@ -494,6 +561,21 @@ def fit(records: DataFrame, text_col: str = "page_content") -> Repairer:
     return Repairer(lexicon, Editor().train(lexicon))
 
 
+def repaired(records: DataFrame, id_col: str = "id", text_col: str = "page_content", name_col: str = "file_name") -> DataFrame:
+    """(``id_col``, repaired STRING) of the scanned records."""
+    shared = records.sparkSession.sparkContext.broadcast(fit(records, text_col))
+    kind = records.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repairer = shared.value
+        for batch in batches:
+            texts = [repaired_text(t.as_py(), repairer) for t in batch.column(1)]
+            keep = [k for k, t in enumerate(texts) if t is not None]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([texts[k] for k in keep], pa.string())], names=[id_col, "repaired"])
+
+    return records.where(~is_email(records[name_col]) & F.col(text_col).contains("\n")).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, repaired string")
+
+
 def scan_lines(records: DataFrame, id_col: str = "id", text_col: str = "page_content", name_col: str = "file_name") -> DataFrame:
     """(``id_col``, line_no INT, kind STRING): furniture, hyphen and misread lines of scanned records."""
     shared = records.sparkSession.sparkContext.broadcast(fit(records, text_col))
