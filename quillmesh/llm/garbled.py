@@ -75,22 +75,22 @@ def single_byte_tables() -> list[tuple[str, str, dict[int, str]]]:
 
 @lru_cache(maxsize=1)
 def _automaton():
-    """Garbled sequence -> written character, for UTF-8 read as any single-byte encoding, once or twice over."""
+    """Garbled sequence -> written character per reading encoding, for UTF-8 read as a single-byte encoding, once or twice over."""
     import ahocorasick
 
-    found: dict[str, str] = {}
+    found: dict[str, dict[int, str]] = {}
     written = sorted(SMALL | LARGE | CYRILLIC | GREEK | MARKS)
-    for read in READ:
+    for number, read in enumerate(READ):
         half = _upper_half(read)
         wrong = lambda s, half=half: "".join(half[b - 128] if b > 127 else chr(b) for b in s.encode())
         for c in written:
             once = wrong(c)
-            found.setdefault(once, c)
-            found.setdefault(wrong(once), c)
+            found.setdefault(once, {}).setdefault(number, c)
+            found.setdefault(wrong(once), {}).setdefault(number, c)
     machine = ahocorasick.Automaton()
-    for sequence, c in found.items():
+    for sequence, by_read in found.items():
         if len(sequence) > 1:
-            machine.add_word(sequence, (len(sequence), c, _weak(sequence)))
+            machine.add_word(sequence, (len(sequence), by_read, _weak(sequence)))
     machine.make_automaton()
     return machine
 
@@ -191,7 +191,7 @@ def breaks(word: str) -> float:
 
 # Letters by falling frequency, for telling tables apart that all give natural words.
 _FREQUENT = ["oеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё".replace("o", "о"), "αοιετσνηυρπκμλωςάόίδγέήχθύώφβξζψ", "éäüöàóíáèçßãêłęąśżñúôâîćńûùœïëźõ"]
-_WEIGHT = {c: 1 / (1 + rank / 4) for order in _FREQUENT for rank, c in enumerate(order)}
+_WEIGHT = {c: 0.4 for c in MARKS} | {c: 1 / (1 + rank / 4) for order in _FREQUENT for rank, c in enumerate(order)}
 
 
 def _likely(word: str) -> float:
@@ -214,35 +214,48 @@ class _Words(dict):
         return value
 
 
-def _sequences(word: str) -> tuple[str, bool]:
-    """Replace matched multi-character sequences, longest first from the left; whether one of them is beyond doubt."""
-    certain = False
-    for _ in range(3):
-        at, out, sure = 0, [], False
-        best: dict[int, tuple[int, str, bool]] = {}
-        for end, (length, c, weak) in _automaton().iter(word):
-            start = end - length + 1
-            if start not in best or best[start][0] < length:
-                best[start] = (length, c, weak)
+def _decoded(word: str, number: int, best: dict[int, list]) -> str | None:
+    """The matched sequences of one reading encoding replaced, longest first from the left; None if there are none."""
+    at, out, places = 0, [], 0
+    while at < len(word):
+        hits = [h for h in best.get(at, ()) if number in h[1]]
+        if hits:
+            length, by_read, weak = max(hits, key=lambda h: h[0])
+            if not (weak and len(best) == 1 and breaks(word) < 2):
+                out.append(by_read[number])
+                at += length
+                places += 1
+                continue
+        out.append(word[at])
+        at += 1
+    return "".join(out) if places else None
+
+
+def _sequences(word: str, first: int | None = None) -> tuple[str, tuple[int, ...]]:
+    """(word with its multi-character sequences replaced, the reading encodings that do so equally well).
+
+    All sequences of a word are of one reading encoding: the one that leaves the
+    fewest breaks, ``first`` or the most usual letters among equals. Text garbled
+    twice is taken in two rounds.
+    """
+    reads: tuple[int, ...] = ()
+    for turn in range(3):
+        best: dict[int, list[tuple[int, dict[int, str], bool]]] = {}
+        for end, hit in _automaton().iter(word):
+            best.setdefault(end - hit[0] + 1, []).append(hit)
         if not best:
             break
-        alone = len(best) == 1
-        while at < len(word):
-            hit = best.get(at)
-            if hit and not (hit[2] and alone and breaks(word) < 2):
-                out.append(hit[1])
-                at += hit[0]
-                sure = True
-            else:
-                out.append(word[at])
-                at += 1
-        if not sure:
+        options = []
+        for number in sorted({n for hits in best.values() for _, by_read, _ in hits for n in by_read}):
+            new = _decoded(word, number, best)
+            if new is not None:
+                options.append((breaks(new), number != first, -_likely(new), number, new))
+        if not options or min(options)[0] > breaks(word):
             break
-        new = "".join(out)
-        if breaks(new) > breaks(word):
-            break
-        word, certain = new, True
-    return word, certain
+        if not turn:
+            reads = tuple(o[3] for o in options if o[0] == min(options)[0])
+        word = min(options)[4]
+    return word, reads
 
 
 def _wide(word: str) -> str | None:
@@ -262,14 +275,14 @@ def _wide(word: str) -> str | None:
 def _restore_word(word: str) -> tuple[str, tuple | None, float]:
     """(restored, None for sequences or the numbers of the best tables, improvement: 2 and more is beyond doubt)."""
     if "&" in word and _ENTITY.search(word):
-        fixed, certain = _sequences(html.unescape(word))
-        if certain:
+        fixed, reads = _sequences(html.unescape(word))
+        if reads:
             return fixed, None, 4.0
     bad = breaks(word)
-    fixed, certain = _sequences(word)
-    left = breaks(fixed) if certain else bad
-    if certain and not left:
-        return fixed, None, 4.0
+    fixed, reads = _sequences(word)
+    left = breaks(fixed) if reads else bad
+    if reads and not left:
+        return fixed, ("sequences", *reads), 4.0
     wide = _wide(word)
     if wide is not None:
         return wide, None, 4.0
@@ -285,8 +298,8 @@ def _restore_word(word: str) -> tuple[str, tuple | None, float]:
                     numbers += (number,)
                     if (_symbols(new) == _symbols(word), _likely(new)) > (_symbols(best) == _symbols(word), _likely(best)):
                         best = new
-    if certain and left <= least:
-        return fixed, None, 4.0
+    if reads and left <= least:
+        return fixed, ("sequences", *reads), 4.0
     return best, numbers, bad - least
 
 
@@ -317,15 +330,20 @@ def restore(text: str | None) -> str | None:
     words = [k for k in range(0, len(parts), 2) if parts[k] and (not parts[k].isascii() or "&" in parts[k])]
     results = [_MEMO[parts[k]] for k in words]
     tables = [table for _, _, table in single_byte_tables()]
+    # Words of multi-character sequences agree on a reading encoding.
+    reads = Counter(number for _, numbers, _ in results if numbers and numbers[0] == "sequences" for number in numbers[1:])
+    first = min(reads, key=lambda n: (-reads[n], n)) if reads else None
     # Each clear word votes for every table that repairs it; the most usual letters decide among equals.
-    votes = Counter(number for _, numbers, gain in results if gain >= 2 and numbers for number in numbers)
+    votes = Counter(number for _, numbers, gain in results if gain >= 2 and numbers and numbers[0] != "sequences" for number in numbers)
     if votes:
-        clear = {parts[k] for k, (_, numbers, gain) in zip(words, results) if gain >= 2 and numbers}
+        clear = {parts[k] for k, (_, numbers, gain) in zip(words, results) if gain >= 2 and numbers and numbers[0] != "sequences"}
         most = max(votes.values())
         best = max((number for number, n in votes.items() if n >= 0.9 * most), key=lambda number: (sum(_likely(w.translate(tables[number])) for w in clear), -number))
     state = []
     for k, (new, numbers, gain) in zip(words, results):
-        if gain >= 2 and numbers is None:
+        if gain >= 2 and (numbers is None or numbers[0] == "sequences"):
+            if numbers and first is not None and len(numbers) > 2:
+                new = _sequences(parts[k], first)[0]
             parts[k], kind = new, 0
         elif votes and gain > 0:
             own = parts[k].translate(tables[best])
@@ -334,14 +352,16 @@ def restore(text: str | None) -> str | None:
             kind = 1
         state.append(kind)
     if votes:
-        # Words natural either way follow their neighbours: garbled on both sides, or at an end next to garbled ones.
-        for i, k in enumerate(words):
-            if state[i] == 1:
-                around = [s for s in (next((s for s in reversed(state[:i]) if s != 1), None), next((s for s in state[i + 1 :] if s != 1), None)) if s is not None]
-                near = state[max(0, i - 3) : i] + state[i + 1 : i + 4]
-                new = parts[k].translate(tables[best])
-                if around and all(s == 2 for s in around) and near.count(2) >= 1 and new != parts[k] and breaks(new) <= breaks(parts[k]):
-                    parts[k] = new
+        # Words natural either way follow the garbled ones next to them, from both sides, where the change makes them no less usual.
+        for order in (range(len(words)), range(len(words) - 1, -1, -1)):
+            near = 0
+            for i in order:
+                if state[i] == 1:
+                    k = words[i]
+                    new = parts[k].translate(tables[best])
+                    if near > 0 and new != parts[k] and breaks(new) <= breaks(parts[k]) and _likely(new) >= _likely(parts[k]):
+                        parts[k], state[i] = new, 2
+                near = 4 if state[i] == 2 else near - 1
     return "".join(parts)
 
 

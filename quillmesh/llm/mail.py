@@ -127,13 +127,10 @@ def parse(lines: list[str], deep: bool = False) -> list[Node]:
             nodes.extend(_authored(lines, own[:]))
             own.clear()
 
-    def inner(kind: str, part: list[int]) -> None:
+    def inner(kind: str, part: list[int], lead: int = 0) -> None:
         close()
-        children = []
-        if deep:
-            stripped = [_MARK.sub("", lines[k]).removeprefix(" ") for k in part] if kind == "quote" else [lines[k] for k in part[1:]]
-            children = parse(stripped, deep) if len(stripped) < len(lines) or kind == "quote" and any(_MARK.match(lines[k]) for k in part) else []
-        nodes.append(Node(kind, part, children))
+        content = [_MARK.sub("", lines[k]).removeprefix(" ") if kind == "quote" else lines[k] for k in part[lead:]]
+        nodes.append(Node(kind, part, parse(content, deep) if deep and content != lines else []))
 
     at, n = 0, len(lines)
     while at < n:
@@ -156,21 +153,21 @@ def parse(lines: list[str], deep: bool = False) -> list[Node]:
             first = _next(lines, at + lead)
             if first < n and _MARK.match(lines[first]):
                 end = _quote_end(lines, first)
-                inner("quote", list(range(at, end)))
+                inner("quote", list(range(at, end)), lead)
                 at = end
                 continue
             if first < n and lines[first][:2] in ("  ", " \t") or first < n and lines[first][:1] == "\t":
                 end = _indented_end(lines, first)
-                inner("quote", list(range(at, end)))
+                inner("quote", list(range(at, end)), lead)
                 at = end
                 continue
             if rest_is_theirs:
-                inner("forward", list(range(at, n)))
+                inner("forward", list(range(at, n)), lead)
                 break
         if _MARK.match(lines[at]):
             end = _quote_end(lines, at)
             marked = sum(1 for k in range(at, end) if _MARK.match(lines[k]))
-            if own and own[-1] == at - 1 and lines[at - 1].strip() and marked <= 2 and end - at <= 2:
+            if own and own[-1] == at - 1 and lines[at - 1].rstrip().endswith(":") and marked <= 2 and end - at <= 2:
                 own.extend(range(at, end))  # an example within the sender's own paragraph
             else:
                 inner("quote", list(range(at, end)))

@@ -70,10 +70,14 @@ class _Rooms:
 
 
 def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> Plan:
-    """Place all items of a histogram of sizes (1..capacity)."""
+    """Place all items of a histogram of sizes (1..capacity): by linear grouping, or best-fit decreasing alone where that needs fewer."""
     counts = {s: n for s, n in histogram.items() if 0 < s <= capacity and n > 0}
+    return min((_plan(counts, capacity, g) for g in (groups, 0)), key=lambda p: p.containers)
+
+
+def _plan(counts: dict[int, int], capacity: int, groups: int) -> Plan:
     plan, rooms = Plan(), _Rooms(capacity)
-    large = sorted((s for s in counts if s > capacity * LARGE), reverse=True)
+    large = sorted((s for s in counts if s > capacity * LARGE), reverse=True) if groups else []
     grouped = _groups([(s, counts[s]) for s in large], groups)
     rounded = [g[0][0] for g in grouped]
     demand = np.array([sum(n for _, n in g) for g in grouped], float)
@@ -81,13 +85,10 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int =
     for pattern, times in _configurations(rounded, demand, capacity):
         _substitute(plan, rooms, queues, pattern, times, capacity)
     # What rounding down left over, and then the small sizes: best fit, largest first.
-    rest: dict[int, int] = {}
+    rest = {s: n for s, n in counts.items() if s not in set(large)}
     for queue in queues:
         for size, n in queue:
             rest[size] = rest.get(size, 0) + n
-    for size in counts:
-        if size <= capacity * LARGE:
-            rest[size] = counts[size]
     for size in sorted(rest, reverse=True):
         _best_fit(plan, rooms, size, rest[size], capacity)
     return plan
@@ -121,7 +122,8 @@ def _configurations(sizes: list[int], demand: np.ndarray, capacity: int, rounds:
         level = inverse @ demand
         price = inverse.sum(axis=0)
         entering, worth = _knapsack(sizes, price, capacity)
-        if worth <= 1 + 1e-7:
+        # The LP can't fall below its value over the worth of the best configuration.
+        if worth <= 1 + 2e-4:
             break
         direction = inverse @ entering
         ratio = np.where(direction > 1e-9, np.maximum(level, 0) / np.where(direction > 1e-9, direction, 1), np.inf)
@@ -140,15 +142,19 @@ def _configurations(sizes: list[int], demand: np.ndarray, capacity: int, rounds:
 
 def _knapsack(sizes: list[int], price: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
     """The configuration of the highest price: unbounded knapsack."""
-    best = np.zeros(capacity + 1)
+    used = np.flatnonzero(price > 1e-12)
+    widths, worths = np.array(sizes)[used], price[used]
+    floor = int(widths.max(initial=1))
+    best = np.zeros(floor + capacity + 1)  # the first ``floor`` places stand for negative room
+    best[:floor] = -np.inf
     last = np.full(capacity + 1, -1)
-    order = [(s, float(p), g) for g, (s, p) in enumerate(zip(sizes, price)) if p > 1e-12]
     for room in range(1, capacity + 1):
-        top, pick = best[room - 1], -1
-        for s, p, g in order:
-            if s <= room and best[room - s] + p > top + 1e-12:
-                top, pick = best[room - s] + p, g
-        best[room], last[room] = top, pick
+        gain = best[floor + room - widths] + worths
+        g = int(np.argmax(gain)) if len(gain) else -1
+        if g >= 0 and gain[g] > best[floor + room - 1] + 1e-12:
+            best[floor + room], last[room] = gain[g], used[g]
+        else:
+            best[floor + room] = best[floor + room - 1]
     pattern, room = np.zeros(len(sizes)), capacity
     while room > 0:
         g = int(last[room])
@@ -157,7 +163,7 @@ def _knapsack(sizes: list[int], price: np.ndarray, capacity: int) -> tuple[np.nd
         else:
             pattern[g] += 1
             room -= sizes[g]
-    return pattern, float(best[capacity])
+    return pattern, float(best[floor + capacity])
 
 
 def _substitute(plan: Plan, rooms: _Rooms, queues: list[list[list[int]]], pattern: np.ndarray, times: int, capacity: int) -> None:

@@ -76,7 +76,7 @@ class Lexicon:
     first_parts: set[str] = field(default_factory=set)
 
     def __post_init__(self) -> None:
-        self.rare = max(1.5, self.total * RARE)
+        self.rare = max(3.0, self.total * RARE)
         self.first_parts = {w.split("-")[0] for w, n in self.counts.items() if "-" in w and n > self.rare}
 
     def count(self, word: str) -> int:

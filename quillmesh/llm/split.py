@@ -66,6 +66,8 @@ class _Boundaries:
 
 
 def _joined(text: str, at: int) -> bool:
+    if not at:
+        return False
     here = text[at]
     return unicodedata.combining(here) != 0 or here in "‍︎️" or text[at - 1] == "‍" or "\U0001f3fb" <= here <= "\U0001f3ff"
 
@@ -96,7 +98,9 @@ def _overlap_start(bounds: _Boundaries, cut: int, overlap: int) -> int:
         found = [p[0] for kind in kinds if (p := bounds.between(kind, low, cut - 1))]
         if found:
             return min(found)
-    return bounds.whole(low, max(0, low - 8)) if low else low
+    while low < cut - 1 and _joined(bounds.text, low):
+        low += 1
+    return low
 
 
 def split_spans(items: DataFrame, text_col: str = "page_content", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
