@@ -11,7 +11,7 @@ skipped. No pair within the radius is lost by the comparison.
 Comparing every tile with every other is quadratic in the collection, so the
 tiles are formed inside buckets: records that agree in a band of ``ROWS`` minimum
 hashes, ``BANDS`` times over. At a similarity s a pair shares no bucket with
-probability (1 - s**ROWS)**BANDS: 0.4 % at 0.6, 0.002 % at 0.7, nothing that can
+probability (1 - s**ROWS)**BANDS: 0.04 % at 0.6, 0.00002 % at 0.7, nothing that can
 be measured from 0.8 on. That step is the one addition to the method named; the
 README gives the reason.
 
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import checkpoint
 
 BITS = 1024
-ROWS, BANDS = 4, 40
+ROWS, BANDS = 4, 56
 #: Records of a tile; a unit of comparison holds two tiles at most.
 TILE = 2048
 #: Candidate pairs up to which the ids to verify are broadcast (16 bytes each); beyond, a shuffle join is used.
