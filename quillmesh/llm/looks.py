@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.common import checkpoint
+
 # Letters of other scripts whose usual glyph is that of the letter given.
 LOOK_ALIKES = {
     # Cyrillic and Latin
@@ -181,14 +183,10 @@ def look_alike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Pairs are formed between the different texts of a class and expanded to rows
     only at the end, by joins; a class of exact copies forms none.
     """
-    from quillmesh.llm.common import checkpoint
-
-    rows = checkpoint(same_look(docs, id_col, text_col))
-    texts = rows.groupBy("class_id", "text_id").agg(F.count(F.lit(1)).alias("n"))
-    # Only classes of more than one text go on.
-    several = texts.groupBy("class_id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("class_id")
-    kept = rows.join(several, "class_id", "left_semi").select("class_id", "text_id", F.col(id_col).alias("doc"))
-    a, b = kept.alias("a"), kept.alias("b")
-    return a.join(b, (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.text_id") != F.col("b.text_id")) & (F.col("a.doc") < F.col("b.doc"))).select(
-        F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b")
-    )
+    rows = checkpoint(same_look(docs, id_col, text_col).withColumnRenamed(id_col, "doc"))
+    # Different texts of one look first: a class of copies, however large, is one text here.
+    texts = rows.select("class_id", "text_id").distinct()
+    a, b = texts.select("class_id", F.col("text_id").alias("text_a")), texts.select("class_id", F.col("text_id").alias("text_b"))
+    pairs = a.join(b, "class_id").where(F.col("text_a") < F.col("text_b")).select("text_a", "text_b")
+    left, right = rows.select(F.col("text_id").alias("text_a"), F.col("doc").alias("x")), rows.select(F.col("text_id").alias("text_b"), F.col("doc").alias("y"))
+    return pairs.join(left, "text_a").join(right, "text_b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
