@@ -117,6 +117,11 @@ def attach_payload(hits: DataFrame, store: DataFrame, id_col: str, payload: list
     return F.broadcast(hits).join(store.select(id_col, *payload), id_col)
 
 
+def realigned(chunks: DataFrame, survivors: DataFrame, key: str) -> DataFrame:
+    """The chunks that were embedded; those of failed batches are left out."""
+    return chunks.join(survivors.select(key), key, "left_semi")
+
+
 def post_filter(hits: DataFrame, config: QueryConfig, text_col: str = "text", type_col: str = "document_type") -> DataFrame:
     """Threshold, search term and document type, applied after the k nearest are chosen; so fewer may remain.
 

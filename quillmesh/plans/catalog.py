@@ -6,15 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.functions import paths, text, urls
+from quillmesh.functions import chat, paths, text, urls
 from quillmesh.functions.vectors import l2_normalize, norm
 from quillmesh.operators import batching, chunking, citations, layout, relational, retrieval, web
 from quillmesh.plans.catalog_sql import PAGES, SQL, THOUGHTS
 from quillmesh.plans.config import QueryConfig
-from quillmesh.sources import store
+from quillmesh.sources import files, store
 from quillmesh.streaming import metrics, thinking
 from quillmesh.streaming.ingest import file_stream
 
@@ -202,6 +202,27 @@ def speakable_text(spark, d):
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.speakable(F.col("text")).alias("spoken"))
 
 
+@query
+def chat_prompts(spark, d):
+    """Every document as a question, in the form of each model family."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    forms = F.array(*(F.struct(F.lit(f).alias("family"), chat.chat_prompt(f, F.lit("Be brief."), F.col("text")).alias("prompt")) for f in chat.TEMPLATES))
+    return docs.select("doc_id", F.explode(forms).alias("f")).select("doc_id", "f.family", "f.prompt")
+
+
+@query
+def assistant_prompts(spark, d):
+    """A prompt for every five documents, their texts as excerpts."""
+    docs = table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 5).alias("n")).agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("doc_id", "text")))).alias("e"))
+    return docs.select("n", chat.assistant_prompt("Answer from the excerpts.", F.transform("e", lambda x: x.text), F.lit("What now?")).alias("prompt"))
+
+
+@query
+def realigned_chunks(spark, d):
+    """Chunks of the documents whose vectors came through."""
+    return retrieval.realigned(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id").select("doc_id")
+
+
 @query
 def prefixed_queries(spark, d):
     """What each registered model is given for a query; models of the known families are added."""
@@ -234,10 +255,9 @@ def metadata_roundtrip(spark, d):
 
 @query
 def latest_versions(spark, d):
-    """The latest text of every path: greatest modification date, then hash and text; null dates first."""
-    order = Window.partitionBy("file_path").orderBy(F.desc_nulls_last("modification_date"), F.desc_nulls_last("hash"), F.desc_nulls_last("page_content"))
-    ranked = table(spark, d, "document_records").withColumn("_n", F.row_number().over(order)).withColumn("versions", F.size(F.collect_set(F.sha2("page_content", 256)).over(Window.partitionBy("file_path"))))
-    return ranked.where("_n = 1").select("file_path", "modification_date", F.sha2("page_content", 256).alias("text_hash"), "versions")
+    """The latest text of every path: greatest modification date, then hash and text, nulls least; combined before the shuffle."""
+    latest = table(spark, d, "document_records").groupBy("file_path").agg(F.max(F.struct("modification_date", "hash", "page_content")).alias("r"), F.count_distinct(F.sha2("page_content", 256)).cast("int").alias("versions"))
+    return latest.select("file_path", "r.modification_date", F.sha2("r.page_content", 256).alias("text_hash"), "versions")
 
 
 @query
@@ -248,9 +268,7 @@ def impossible_dates(spark, d):
 
 @query
 def staged_names(spark, d):
-    rank = F.row_number().over(Window.partitionBy(F.lower(paths.base_name(F.col("file_path")))).orderBy("file_path"))
-    found = table(spark, d, "document_metadata").select("file_path").distinct()
-    return found.select("file_path", paths.staged_name(F.col("file_path"), rank > 1).alias("staged_name"))
+    return files.staging(table(spark, d, "document_metadata").select(F.col("file_path").alias("path"))).withColumnRenamed("path", "file_path")
 
 
 @query
@@ -309,8 +327,10 @@ def gpu_rank(spark, d):
 
 @query
 def repeated_metadata(spark, d):
-    runs = relational.consecutive_runs(table(spark, d, "documents").select("doc_id", "lang", "source", "document_type"), "document_type", "doc_id", F.struct("lang", "source"))
-    return runs.groupBy("document_type").agg(F.count_if("repeats").alias("repeats"), F.count(F.lit(1)).alias("n"))
+    """Rows whose metadata is that of the row before, within write batches of 1,000 ids."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.floor(F.col("doc_id") / 1000).alias("batch"))
+    runs = relational.consecutive_runs(docs, "batch", "doc_id", F.struct("lang", "source"))
+    return runs.groupBy("batch").agg(F.count_if("repeats").alias("repeats"), F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------- search

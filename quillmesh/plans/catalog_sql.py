@@ -7,6 +7,8 @@ against brute force instead.
 
 from __future__ import annotations
 
+from quillmesh.functions.chat import TEMPLATES
+
 #: White space at the ends of a text, as the strip functions see it.
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -79,6 +81,11 @@ _ESCAPED = lambda x: f"replace(replace(replace(replace(replace({x}, '&', '&amp;'
 _RENDERED = rf"regexp_replace(regexp_replace(text, '\n[\s\x{{0b}}]*\n', E'\n', 'g'), '^{_SPACE}+', '')"
 _CUT = "CASE WHEN length(text) > 700 THEN left(text, 700) || ' ...' ELSE text END"
 
+_FORMS = " UNION ALL ".join(
+    f"SELECT doc_id, '{family}' AS family, " + " || ".join(f"E'{part}'".replace("\n", "\\n") for part in before) + " || text || " + f"E'{after}'".replace("\n", "\\n") + " AS prompt FROM documents"
+    for family, (before, after) in {f: ((t.split("{query}")[0].replace("{system}", "Be brief."),), t.split("{query}")[1]) for f, t in TEMPLATES.items()}.items()
+)
+
 SQL: dict[str, str] = {
     "chunk_fixed": _fixed(700, 450),
     "chunk_overlap_variants": _fixed(1200, 600),
@@ -122,6 +129,9 @@ SQL: dict[str, str] = {
     "rendered_response": f"SELECT doc_id, replace({_ESCAPED(_RENDERED)}, E'\\n', '<br>') AS html FROM documents",
     "sentence_split": f"SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS n, unnest(l) AS sentence FROM (SELECT doc_id, {_SENTENCE_ITEMS} AS l FROM documents)",
     "joined_lines": f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, E'\\n'), lambda s: {_strip('s')}), lambda s: s <> ''), ' ') AS line FROM documents",
+    "chat_prompts": _FORMS,
+    "assistant_prompts": "SELECT CAST(floor(doc_id / 5) AS BIGINT) AS n, 'Answer from the excerpts.' || E'\\n\\nUSER GUIDE EXCERPTS:\\n' || coalesce(string_agg(text, E'\\n\\n' ORDER BY doc_id), '') || E'\\n\\nQUESTION: What now?' AS prompt FROM documents GROUP BY 1",
+    "realigned_chunks": "SELECT doc_id FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)",
     "prefixed_queries": """
         SELECT db_name, family, CASE WHEN family IN ('qwen', 'harrier') THEN 8192 WHEN family = 'modernbert' AND contains(lower(model), '8192') THEN 8192 ELSE 512 END AS max_sequence,
             CASE family WHEN 'qwen' THEN 'Instruct: Given a web search query, retrieve relevant passages that answer the query Query: what is a quorum?' WHEN 'bge' THEN 'Represent this sentence for searching relevant passages: what is a quorum?' ELSE 'what is a quorum?' END AS query
@@ -165,9 +175,10 @@ SQL: dict[str, str] = {
         UNION ALL SELECT file_path, 'removed' FROM (SELECT file_path FROM document_metadata EXCEPT SELECT file_path FROM document_records)""",
     "gpu_rank": "SELECT p_partkey, p_size, p_retailprice, round(p_retailprice / max(p_retailprice) OVER () * 100, 6) AS percent FROM part WHERE p_size BETWEEN 10 AND 20",
     "repeated_metadata": """
-        SELECT document_type, count(*) FILTER (WHERE r) AS repeats, count(*) AS n FROM (
-            SELECT document_type, lang IS NOT DISTINCT FROM lag(lang) OVER w AND source IS NOT DISTINCT FROM lag(source) OVER w AND row_number() OVER w > 1 AS r FROM documents WINDOW w AS (PARTITION BY document_type ORDER BY doc_id))
-        GROUP BY document_type""",
+        SELECT batch, count(*) FILTER (WHERE r) AS repeats, count(*) AS n FROM (
+            SELECT batch, lang IS NOT DISTINCT FROM lag(lang) OVER w AND source IS NOT DISTINCT FROM lag(source) OVER w AND row_number() OVER w > 1 AS r
+            FROM (SELECT *, CAST(floor(doc_id / 1000) AS BIGINT) AS batch FROM documents) WINDOW w AS (PARTITION BY batch ORDER BY doc_id))
+        GROUP BY batch""",
     "knn_topk": f"SELECT vec_id, round(greatest(0, least(1, cos)), 6) AS similarity_score, CAST(rank AS INT) AS rank FROM {_topk(5)}",
     "knn_multi": f"""
         SELECT q.vec_id AS query_id, e.vec_id AS id, round(greatest(0, least(1, {_COS})), 5) AS similarity_score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS INT) AS rank

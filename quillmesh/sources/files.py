@@ -156,8 +156,11 @@ def write_transcripts(docs: DataFrame, folder: str) -> None:
 
 
 def staging(files: DataFrame) -> DataFrame:
-    """(path, staged_name): names in one folder; where names clash all but the first path get part of their hash."""
-    from pyspark.sql import Window
+    """(path, staged_name): names in one folder; where names clash all but the first path get part of their hash.
 
-    rank = F.row_number().over(Window.partitionBy(F.lower(paths.base_name(F.col("path")))).orderBy("path"))
-    return files.select("path").distinct().select("path", paths.staged_name(F.col("path"), rank > 1).alias("staged_name"))
+    The first path of each name comes from one aggregation, so a name that a large
+    share of all files bears is no hot window.
+    """
+    found = files.select("path").distinct().withColumn("_name", F.lower(paths.base_name(F.col("path"))))
+    first = found.groupBy("_name").agg(F.min("path").alias("_first"))
+    return found.join(first, "_name").select("path", paths.staged_name(F.col("path"), F.col("path") != F.col("_first")).alias("staged_name"))
