@@ -133,6 +133,8 @@ def _kind(c: str) -> str:
     return "?"
 
 
+#: What no Russian word has: hard and soft signs or ы at its start, a hard sign but before е, ё, ю, я, й after a consonant.
+_NO_CYRILLIC = re.compile(r"^[ъьы]|ъ(?![еёюя])|(?<=[бвгджзклмнпрстфхцчшщ])й")
 _LATIN, _SMALL_KINDS, _LARGE_KINDS = set("aAlL"), set("alcg"), set("ALCG")
 _LETTERS = set("aAlLcCgG")
 _SCRIPT = {k: s for s, ks in {"latin": "aAlL", "cyrillic": "cC", "greek": "gG", "han": "h"}.items() for k in ks}
@@ -186,6 +188,8 @@ def breaks(word: str) -> float:
         # Small and capital letters exchanged: the mark of Cyrillic read in another Cyrillic encoding.
         if letters[0].islower() and all(c.isupper() for c in letters[1:]):
             total += 2
+        if _NO_CYRILLIC.search("".join(letters).lower()):
+            total += 2
     return total
 
 

@@ -226,7 +226,7 @@ def _is_reply(lines: list[str], at: int, end: int) -> bool:
 
 def _runs_on(before: str, line: str) -> bool:
     content = _MARK.sub("", before).strip(" >|")
-    return bool(content) and not _SENTENCE_END.search(content) and line[:1].islower()
+    return bool(content) and not _SENTENCE_END.search(content) and (line[:1].islower() or len(line.split()) <= 3)
 
 
 def _indented_end(lines: list[str], at: int) -> int:

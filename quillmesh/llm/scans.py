@@ -292,7 +292,7 @@ class Repairer:
 # Words before a page number.
 _PAGE_WORDS = r"page|pages|p\.|pg\.?|seite|s\.|página|pagina|pág\.?|strona|str\.|страница|стр\.?|с\.|σελίδα|σελ\.?|folio|blatt"
 _DIGIT = r"[\dlI|OoJjSBZi]"
-_NUMBER = re.compile(rf"^[\s\[(~—–·|*-]*(?:(?:{_PAGE_WORDS})\s*)?({_DIGIT}{{1,4}}|[ivxlc]{{1,6}})(?:\s*(?:/|of|von|de|sur|z|из|από|-)\s*{_DIGIT}{{1,4}})?[\s\])~—–·|*.-]*$", re.I)
+_NUMBER = re.compile(rf"^[\s\[(~—–·|*-]*(?:(?:{_PAGE_WORDS})\s*)?({_DIGIT}{{1,4}}|[ivxlc]{{1,6}})(?:\s*(?:/|of|von|de|sur|z|из|από|-)\s*{_DIGIT}{{1,4}})?[\s\])~—–·|*-]*$", re.I)
 
 
 _ROMAN = re.compile(r"^(?=[ivxl])(?:xl|l?x{0,3})(?:ix|iv|v?[il]{0,3})$", re.I)
@@ -331,11 +331,64 @@ def wrapped_width(lines: list[str]) -> int:
     return width if wraps >= (1 if paged else 3) and wraps >= 0.6 * pairs else 0
 
 
+#: Page numbers that can't be a line of text: with a word, in brackets or between dashes.
+_SURE_NUMBER = re.compile(rf"^\s*(?:(?:{_PAGE_WORDS})\s*{_DIGIT}{{1,4}}(?:\s*/\s*{_DIGIT}{{1,4}})?|\[\s?{_DIGIT}{{1,4}}\s?\]|[-–—]\s?{_DIGIT}{{1,4}}\s?[-–—])\s*$", re.I)
+
+
+_CODED = re.compile(r"\s[·|•©]\s")
+
+
+def _page_breaks(lines: list[str]) -> set[int]:
+    """Where pages begin without a mark: around a page number, before a line that interrupts a sentence."""
+    marks = [_MARKER.search(x) is not None for x in lines]
+    lines = [_bare(x) for x in lines]
+    filled = [k for k in range(len(lines)) if lines[k].strip()]
+    width = max((len(lines[k].rstrip()) for k in filled), default=0)
+    breaks: set[int] = set()
+    on_page, numbers_on_top, first_page = 0, False, True
+
+    def unfinished(s: str) -> bool:
+        return not re.search(r"[.!?:…][\"'”’»)]*$", s.strip())
+
+    for place, k in enumerate(filled):
+        before, after = filled[place - 1] if place else -1, filled[place + 1] if place + 1 < len(filled) else len(lines)
+        if k in breaks or any(marks[before + 1 : k + 1]):
+            first_page = first_page and on_page == 0
+            on_page = 0
+        on_page += 1
+        s = lines[k].strip()
+        centred = len(lines[k]) - len(lines[k].lstrip()) >= 8
+        numbered = _SURE_NUMBER.match(s) or _NUMBER.match(s) and (centred or on_page <= 3 or place and unfinished(lines[before]) and len(s) <= 4 and k == before + 1)
+        if on_page <= 3:
+            numbers_on_top = numbers_on_top or bool(numbered) and first_page
+            continue
+        if after == len(lines) or any(marks[k + 1 : after + 1]):
+            continue
+        if numbered and numbers_on_top:
+            title = lines[before].strip()
+            breaks.add(before if unfinished(title) and (title.isupper() or len(lines[before].rstrip()) < 0.8 * width and not title[:1].islower()) else k)
+            on_page = 1
+        elif numbered:
+            while after < len(lines) and _CODED.search(lines[after]) and len(lines[after].strip()) < 60:
+                after = next((j for j in filled if j > after), len(lines))
+            if after < len(lines):
+                breaks.add(after)
+        elif before == k - 1 and unfinished(lines[before]) and unfinished(s) and not s[:1].islower() and not _DIVIDED.search(s):
+            # A capital line, or one too short to have been wrapped, with the sentence going on below it.
+            goes_on = lines[after].strip()[:1].islower() or _DIVIDED.search(lines[before].rstrip()) is not None
+            short = after == k + 1 and len(lines[k].rstrip()) + 1 + len(lines[after].split()[0]) < 0.8 * width
+            if goes_on and (s.isupper() and len(s) > 5 or short or after > k + 1):
+                breaks.add(k)
+                on_page = 1
+    return breaks
+
+
 def furniture(lines: list[str]) -> set[int]:
     """Indexes of running headers, footers and page numbers, by position on the page."""
+    starts = _page_breaks(lines)
     pages: list[list[int]] = [[]]
     for k, line in enumerate(lines):
-        if _MARKER.match(line.lstrip(" \r")) and pages[-1]:
+        if (k in starts or _MARKER.match(line.lstrip(" \r"))) and pages[-1]:
             pages.append([])
         pages[-1].append(k)
         if line.rstrip(" \r").endswith("\f") and _bare(line).strip():
@@ -373,7 +426,8 @@ def furniture(lines: list[str]) -> set[int]:
             if numbered and (place == 0 or n > 0):
                 found.add(k)
                 continue
-            if bare[k][:1].islower() or not apart(k, after) or len(page) == 1 and len(pages) == 1:
+            plain = s.isupper() and len(s) > 5 or n > 0 and repeated(k, n, tops)
+            if s[:1].islower() or not (apart(k, after) or plain and place < 2) or len(page) == 1 and len(pages) == 1:
                 break
             if n > 0:
                 if title_taken:
@@ -408,7 +462,7 @@ def furniture(lines: list[str]) -> set[int]:
                 continue
             above_is_number = place + 1 < len(rest) and _NUMBER.match(bare[rest[-place - 2]]) is not None
             coded = re.search(r"\s[·|•©]\s", s) is not None and len(s) < 60
-            if not re.search(r"[.!?;,]$", s) and (coded or above_is_number and len(s) < 0.8 * width or repeated(k, n, bottoms) and len(s) < 0.9 * width and len(s) < 60):
+            if not re.search(r"[.!?;,]$", s) and not s[:1].islower() and (coded or above_is_number and len(s) < 0.8 * width or repeated(k, n, bottoms) and len(s) < 0.9 * width and len(s) < 60):
                 found.add(k)
                 continue
             break
