@@ -110,6 +110,7 @@ def split_spans(items: DataFrame, text_col: str = "page_content", limit: int = L
     """
     if not 0 < 2 * overlap < limit:
         raise ValueError("limit must exceed twice the overlap, and the overlap 0")
+    items = items.drop("spans")  # a column of that name is replaced
     struct = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
     columns = items.columns
     where = columns.index(text_col)
@@ -124,8 +125,8 @@ def split_spans(items: DataFrame, text_col: str = "page_content", limit: int = L
 
 
 def pieces(spans: DataFrame, text_col: str = "page_content") -> DataFrame:
-    """One row per piece: the other columns, ``piece_no`` from 0, ``start``, ``stop`` and ``piece``; cut JVM-side."""
-    rest = [F.col(f"`{c}`") for c in spans.columns if c not in (text_col, "spans")]
+    """One row per piece: the other columns (those named like a new one are replaced), ``piece_no`` from 0, ``start``, ``stop`` and ``piece``; cut JVM-side."""
+    rest = [F.col(f"`{c}`") for c in spans.columns if c not in (text_col, "spans", "piece_no", "start", "stop", "piece")]
     return spans.select(*rest, F.col(text_col).alias("_text"), F.posexplode("spans").alias("piece_no", "_span")).select(
         *rest, "piece_no", F.col("_span.start").alias("start"), F.col("_span.stop").alias("stop"), _slice("_text", "_span").alias("piece")
     )

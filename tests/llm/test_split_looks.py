@@ -46,7 +46,8 @@ def test_tables(spark):
     meta = spark.createDataFrame([(1, "x" * 2001), (2, "x" * 2000), (3, None), (4, "")], "id int, page_content string")
     records = spark.createDataFrame([("/a", "y " * 1500), ("/a", "y " * 1600), ("/b", "short"), (None, "z" * 3000)], "file_path string, page_content string")
     assert {tuple(r) for r in split.oversized(meta, records).collect()} == {("document_metadata", "1"), ("document_records", "/a")}
-    pieces = split.pieces(split.split_spans(meta)).collect()
+    clash = meta.selectExpr("*", "1 AS spans", "2 AS piece", "3 AS start")
+    pieces = split.pieces(split.split_spans(clash)).collect()
     assert {(r.id, r.piece_no) for r in pieces} == {(1, 0), (1, 1), (2, 0)} and all(len(r.piece) == r.stop - r.start for r in pieces)
     assert split.oversized(meta.where("false"), records.where("false")).count() == 0
     with pytest.raises(ValueError):
