@@ -19,6 +19,7 @@ BROADCAST_QUERIES = 4096
 #: Rows of a block of the corpus and of the queries.
 BLOCK = 4096
 
+# The instruction before the contexts, the advice when nothing is found, and what parts the contexts.
 RAG_INSTRUCTION = "Here are the contexts to base your answer on.  However, I need to reiterate that I only want you to base your response on these contexts and do not use outside knowledge that you may have been trained with."
 NO_RESULT = "No chunks passed the similarity threshold.\n\nTry lowering the 'Similarity' setting in the Database Query settings tab (e.g. from 0.7 to 0.4) and run the query again."
 SEPARATOR = "\n\n---\n\n"

@@ -255,9 +255,10 @@ def metadata_roundtrip(spark, d):
 
 @query
 def latest_versions(spark, d):
-    """The latest text of every path: greatest modification date, then hash and text, nulls least; combined before the shuffle."""
-    latest = table(spark, d, "document_records").groupBy("file_path").agg(F.max(F.struct("modification_date", "hash", "page_content")).alias("r"), F.count_distinct(F.sha2("page_content", 256)).cast("int").alias("versions"))
-    return latest.select("file_path", "r.modification_date", F.sha2("r.page_content", 256).alias("text_hash"), "versions")
+    """The latest text of every path: greatest modification date, then hash and text hash, nulls least; combined before the shuffle, which carries no text."""
+    dated = table(spark, d, "document_records").select("file_path", "modification_date", "hash", F.sha2("page_content", 256).alias("text_hash"))
+    latest = dated.groupBy("file_path").agg(F.max(F.struct("modification_date", "hash", "text_hash")).alias("r"), F.count_distinct("text_hash").cast("int").alias("versions"))
+    return latest.select("file_path", "r.modification_date", "r.text_hash", "versions")
 
 
 @query

@@ -54,6 +54,7 @@ def _scored(where: str = "TRUE") -> str:
     return f"SELECT doc_id, round(similarity_score, 6) AS similarity_score, CAST(rank AS INT) AS rank FROM {_found(where)}"
 
 
+# Fixed value: the instruction before the contexts.
 _RAG = "Here are the contexts to base your answer on.  However, I need to reiterate that I only want you to base your response on these contexts and do not use outside knowledge that you may have been trained with."
 _JOINED = f"(SELECT string_agg(text, E'\\n\\n---\\n\\n' ORDER BY rank) AS ctx FROM {_found('text IS NOT NULL')})"
 
@@ -150,7 +151,7 @@ SQL: dict[str, str] = {
     "metadata_roundtrip": "SELECT file_type, count(*) AS n, count(hash) AS with_hash FROM document_records GROUP BY file_type",
     "latest_versions": """
         SELECT file_path, modification_date, sha256(page_content) AS text_hash, CAST(versions AS INT) AS versions FROM (
-            SELECT r.*, row_number() OVER (PARTITION BY file_path ORDER BY modification_date DESC NULLS LAST, hash DESC NULLS LAST, page_content DESC NULLS LAST) AS n, v.versions
+            SELECT r.*, row_number() OVER (PARTITION BY file_path ORDER BY modification_date DESC NULLS LAST, hash DESC NULLS LAST, sha256(page_content) DESC NULLS LAST) AS n, v.versions
             FROM document_records r JOIN (SELECT file_path AS p, count(DISTINCT sha256(page_content)) AS versions FROM document_records GROUP BY 1) v ON v.p IS NOT DISTINCT FROM r.file_path)
         WHERE n = 1""",
     "impossible_dates": "SELECT document_type, count(*) AS n FROM document_records WHERE try_cast(modification_date AS TIMESTAMP) < try_cast(creation_date AS TIMESTAMP) GROUP BY 1",
