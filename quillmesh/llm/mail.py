@@ -75,7 +75,7 @@ _INTRO_START = re.compile(r"^(?:(?:On|Am|El|Le|Em|W dniu|Dnia|Στις|Quoting|Z
 _FORWARD_START = re.compile(_lenient(r"^(?:begin forwarded message|anfang der weitergeleiteten (?:nachricht|e-mail)|début du (?:message|courriel) (?:transféré|réexpédié)|inicio del mensaje reenviado|início da mensagem (?:encaminhada|reencaminhada)|początek przekazywanej wiadomości|начало переадресованного сообщения)") + r"\s*:\s*$", re.I)
 _SEPARATOR = re.compile(r"^[-_=*]{4,}\s?[^\W\d_].*?\s?[-_=*]{4,}\s*$")
 _FIELD = re.compile(rf"^\*?({_lenient(_FIELDS)})\s?:\*?(?:\s|$)")
-_RULE = re.compile(r"^(?:[-_=*~#—–]\s?){3,}$")
+_RULE = re.compile(r"^(?:(?:[-_=*~#—–]\s?){3,}|([^\W\d_])\1{2,})$")
 _CLOSING = re.compile(rf"^(?:{_lenient(_CLOSINGS)})\s*[,.!:–-]*$", re.I)
 _PROGRAM = re.compile(rf"^(?:{_lenient(_PROGRAM_NOTICES)})\b", re.I)
 _HEADING = re.compile(rf"^\W*(?:{_lenient(_HEADINGS)})\s*[:.]?\W*$", re.I)
@@ -124,7 +124,7 @@ def parse(lines: list[str], deep: bool = False) -> list[Node]:
 
     def close() -> None:
         if own:
-            nodes.extend(_authored(lines, own[:]))
+            nodes.extend(_authored(lines, own[:], first=not nodes))
             own.clear()
 
     def inner(kind: str, part: list[int], lead: int = 0) -> None:
@@ -250,7 +250,7 @@ def _signature_line(s: str) -> bool:
     return bool(_CONTACT.search(s)) or _name_like(s)
 
 
-def _authored(lines: list[str], part: list[int]) -> list[Node]:
+def _authored(lines: list[str], part: list[int], first: bool = True) -> list[Node]:
     """Part a stretch of unquoted lines into paragraphs, closing with signature, and notices."""
     texts = {k: lines[k].strip() for k in part}
     filled = [k for k in part if texts[k]]
@@ -290,6 +290,8 @@ def _authored(lines: list[str], part: list[int]) -> list[Node]:
         kept = kept[:last]  # the sender's name alone
     elif len(kept) > 1 and kept[-1] == kept[-2] + 1 and re.search(r"[.!?…]$", texts[kept[-2]]) and re.fullmatch(r"[^\W\d_a-z][^\W\d_]+(?: [^\W\d_a-z][^\W\d_]+)?", texts[kept[-1]]):
         kept = kept[:-1]  # the same right below the text
+    if len(kept) == 1 == len(filled) and not first and re.fullmatch(r"[^\W\d_a-z][^\W\d_]+", texts[kept[0]]):
+        kept = []  # nothing but the sender's name below a quote
     nodes = [Node("authored", kept)] if kept else []
     if len(kept) < len(filled):
         nodes.append(Node(kind, filled[len(kept) :]))
