@@ -235,13 +235,15 @@ def _decoded(word: str, number: int, best: dict[int, list]) -> str | None:
     return "".join(out) if places else None
 
 
-def _sequences(word: str, first: int | None = None) -> tuple[str, tuple[int, ...]]:
+def _sequences(word: str, votes: dict[int, int] | None = None) -> tuple[str, tuple[int, ...]]:
     """(word with its multi-character sequences replaced, the reading encodings that do so equally well).
 
     All sequences of a word are of one reading encoding: the one that leaves the
-    fewest breaks, ``first`` or the most usual letters among equals. Text garbled
-    twice is taken in two rounds.
+    fewest breaks, among equals the one that most words of the record agree with
+    (``votes``) or the one with the most usual letters. Text garbled twice is taken
+    in two rounds.
     """
+    votes = votes or {}
     reads: tuple[int, ...] = ()
     for turn in range(3):
         best: dict[int, list[tuple[int, dict[int, str], bool]]] = {}
@@ -253,7 +255,7 @@ def _sequences(word: str, first: int | None = None) -> tuple[str, tuple[int, ...
         for number in sorted({n for hits in best.values() for _, by_read, _ in hits for n in by_read}):
             new = _decoded(word, number, best)
             if new is not None:
-                options.append((breaks(new), number != first, -_likely(new), number, new))
+                options.append((breaks(new), -votes.get(number, 0), -_likely(new), number, new))
         if not options or min(options)[0] > breaks(word):
             break
         if not turn:
@@ -336,7 +338,6 @@ def restore(text: str | None) -> str | None:
     tables = [table for _, _, table in single_byte_tables()]
     # Words of multi-character sequences agree on a reading encoding.
     reads = Counter(number for _, numbers, _ in results if numbers and numbers[0] == "sequences" for number in numbers[1:])
-    first = min(reads, key=lambda n: (-reads[n], n)) if reads else None
     # Each clear word votes for every table that repairs it; the most usual letters decide among equals.
     votes = Counter(number for _, numbers, gain in results if gain >= 2 and numbers and numbers[0] != "sequences" for number in numbers)
     if votes:
@@ -346,8 +347,8 @@ def restore(text: str | None) -> str | None:
     state = []
     for k, (new, numbers, gain) in zip(words, results):
         if gain >= 2 and (numbers is None or numbers[0] == "sequences"):
-            if numbers and first is not None and len(numbers) > 2:
-                new = _sequences(parts[k], first)[0]
+            if numbers and len(numbers) > 2:
+                new = _sequences(parts[k], reads)[0]
             parts[k], kind = new, 0
         elif votes and gain > 0:
             own = parts[k].translate(tables[best])
