@@ -278,6 +278,10 @@ def _wide(word: str) -> str | None:
     return None
 
 
+#: The first half of a garbled letter whose second half, a control character, was dropped: found, but not restored.
+_HALF = re.compile(r"[a-zà-ÿ]Ã|Ã[a-z]")
+
+
 def _restore_word(word: str) -> tuple[str, tuple | None, float]:
     """(restored, None for sequences or the numbers of the best tables, improvement: 2 and more is beyond doubt)."""
     if "&" in word and _ENTITY.search(word):
@@ -306,6 +310,8 @@ def _restore_word(word: str) -> tuple[str, tuple | None, float]:
                         best = new
     if reads and left <= least:
         return fixed, ("sequences", *reads), 4.0
+    if bad - least < 2 and _HALF.search(word):
+        return word, None, 2.0
     return best, numbers, bad - least
 
 
