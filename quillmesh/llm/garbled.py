@@ -165,7 +165,7 @@ def breaks(word: str) -> float:
             total += 1
         if k in _SCRIPT and before in _SCRIPT and _SCRIPT[k] != _SCRIPT[before]:
             total += 2
-        if (k in "LCG" and before in _SMALL_KINDS) or (k in "A" and before in "lcg"):
+        if k in "LCG" and before in _SMALL_KINDS:
             total += 2
         if k == "L" and before in _LARGE_KINDS and after in _SMALL_KINDS or k == "l" and before in "A" and i > 1 and kinds[i - 2] in "AL":
             total += 2
@@ -180,7 +180,7 @@ def breaks(word: str) -> float:
     letters = [c for c, k in zip(word, kinds) if k in _LETTERS]
     if len(letters) == 1 and letters[0] > "\x7f" and "0" in kinds:
         total += 2  # one accented letter before or after a number
-    if len(letters) == 1 and letters[0] > "\x7f" and letters[0] not in LONE and not any(k in "'(0" for k in kinds):
+    if len(letters) == 1 and _SCRIPT[_kind(letters[0])] == "latin" and letters[0] > "\x7f" and letters[0] not in LONE and not any(k in "'(0" for k in kinds):
         total += 2
     elif len(letters) > 1 and all(c > "\x7f" and _SCRIPT[_kind(c)] == "latin" for c in letters):
         total += 2
@@ -326,7 +326,10 @@ def is_garbled(text: str | None) -> bool:
     """Whether at least one character of the text comes from a wrong decoding."""
     if not text or (text.isascii() and "&" not in text and "?" not in text):
         return False
-    return "�" in text or ("?" in text and _LOSSY.search(text) is not None) or any(_MEMO[w][2] >= 2 for w in _suspects(text))
+    if "�" in text or ("?" in text and _LOSSY.search(text) is not None):
+        return True
+    # A letter alone at a line's end may be what cutting a title left of a word.
+    return any(_MEMO[w][2] >= 2 and (len(w) > 2 or re.search(rf"(?<!\S){re.escape(w)}[ \t]+\S", text) is not None) for w in _suspects(text))
 
 
 def _suspects(text: str) -> list[str]:
