@@ -415,40 +415,31 @@ def furniture(lines: list[str]) -> set[int]:
 
     for n, page in enumerate(pages):
         # From the top edge inwards.
-        title_taken = False
+        texts_seen = 0
         for place, k in enumerate(page[:3]):
             after = page[place + 1] if place + 1 < len(page) else None
             s = bare[k]
             if _NUMBER.match(s) and len(page) > 1:
                 found.add(k)
                 continue
-            numbered = _numbered(s)
-            if numbered and (place == 0 or n > 0):
+            if _numbered(s) and (texts_seen == 0 or n > 0):
                 found.add(k)
+                texts_seen += 1
                 continue
             plain = s.isupper() and len(s) > 5 or n > 0 and repeated(k, n, tops)
-            if s[:1].islower() or not (apart(k, after) or plain and place < 2) or len(page) == 1 and len(pages) == 1:
+            if texts_seen or s[:1].islower() or not (apart(k, after) or plain) or len(page) == 1 and len(pages) == 1:
                 break
+            texts_seen += 1
             if n > 0:
-                if title_taken:
-                    break
                 found.add(k)
-                title_taken = True
                 continue
-            # First page: a header if another stand-alone line (the title) follows, or if later pages repeat it right above their text.
+            # First page: a header if another stand-alone line (the title) follows, if later pages repeat it in
+            # the same letter case, or if the text follows at once; a title stands apart from the text.
             second = after is not None and apart(after, page[place + 2] if place + 2 < len(page) else None) and not bare[after][:1].islower() and not _NUMBER.match(bare[after])
-            if second and place == 0:
-                found.add(k)
+            same = [j for m, zone in enumerate(tops) if m != n for j in zone[:2] if _alike(canon[k], canon[j])]
+            if not (second or after == k + 1 and not _NUMBER.match(bare[after]) or any(bare[j].isupper() == s.isupper() for j in same)):
                 break
-            if place == 0 and repeated(k, n, tops):
-                same = [j for m, zone in enumerate(tops) if m != n for j in zone[:2] if _alike(canon[k], canon[j])]
-                closed = after == k + 1
-                same_case = any(bare[j].isupper() == s.isupper() for j in same)
-                if closed or same_case:
-                    found.add(k)
-            elif place == 0 and after == k + 1:
-                found.add(k)  # a title stands apart from the text, a header need not
-            break
+            found.add(k)
         # From the bottom edge inwards.
         rest = [k for k in page if k not in found]
         number_below = False
