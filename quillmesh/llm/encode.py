@@ -38,6 +38,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Different fragments kept per worker before the memo starts afresh; bounds memory only.
 MEMO = 400_000
+#: Fragments encoded at a time.
+BLOCK = 200_000
 
 
 class FragmentEncoder:
@@ -81,20 +83,24 @@ class FragmentEncoder:
         memo, encode = self._memo, self._encoding.encode_ordinary
         if len(memo) > MEMO:
             memo.clear()
-        pieces = []
-        points = edges.tolist()
-        for a, b in zip(points, points[1:]):
-            fragment = whole[a:b]
-            ids = memo.get(fragment)
-            if ids is None:
-                ids = encode(fragment.decode("utf-8", "replace"))
-                if b - a <= 64:
-                    memo[fragment] = ids
-            pieces.append(ids)
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        total = np.concatenate(([0], np.cumsum(sizes)))
-        ids = np.fromiter(chain.from_iterable(pieces), np.int32, int(total[-1]))
-        return ids, total[np.searchsorted(edges, starts)]
+        found, counts = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+        # Block by block, so that a batch of long texts needs no list of all its fragments.
+        for k in range(0, len(edges) - 1, BLOCK):
+            points = edges[k : k + BLOCK + 1].tolist()
+            pieces = []
+            for a, b in zip(points, points[1:]):
+                fragment = whole[a:b]
+                ids = memo.get(fragment)
+                if ids is None:
+                    ids = encode(fragment.decode("utf-8", "replace"))
+                    if b - a <= 64:
+                        memo[fragment] = ids
+                pieces.append(ids)
+            sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            found.append(np.fromiter(chain.from_iterable(pieces), np.int32, int(sizes.sum())))
+            counts.append(sizes)
+        total = np.cumsum(np.concatenate(counts))
+        return np.concatenate(found), total[np.searchsorted(edges, starts)]
 
 
 def forced_pairs(ranks: dict[bytes, int]) -> np.ndarray:
