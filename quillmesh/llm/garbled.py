@@ -322,6 +322,44 @@ _MEMO = _Words()
 _LOSSY = re.compile(r"\w\?\?+\w|(?<!\S)\?\?+(?=[\w\s°])|(?<!\S)[^\W\d_]+\?[a-zß-ÿ]+(?=[\s,.;:!?)]|$)")
 
 
+def is_garbled(text: str | None) -> bool:
+    """Whether at least one character of the text comes from a wrong decoding."""
+    if not text or (text.isascii() and "&" not in text and "?" not in text):
+        return False
+    if "�" in text or ("?" in text and _LOSSY.search(text) is not None):
+        return True
+    # A letter alone at a line's end may be what cutting a title left of a word.
+    return any(_MEMO[w][2] >= 2 and (len(w) > 2 or re.search(rf"(?<!\S){re.escape(w)}[ \t]+\S", text) is not None) for w in _suspects(text))
+
+
+#: Longest piece judged as one word; text without blanks is judged piece by piece.
+LONGEST = 200
+
+
+def _pieces(word: str) -> list[str]:
+    """A word in pieces of at most LONGEST characters, parted behind a plain character where one is near."""
+    if len(word) <= LONGEST:
+        return [word]
+    out, at = [], 0
+    while at < len(word):
+        end = min(at + LONGEST, len(word))
+        if end < len(word):
+            end = next((k for k in range(end, end - 40, -1) if word[k - 1] < "\x80"), end)
+        out.append(word[at:end])
+        at = end
+    return out
+
+
+def _suspects(text: str) -> list[str]:
+    """Words as blanks part them (a no-break space may be part of a garbled sequence)."""
+    words = (w for w in _SPACES.split(text) if not w.isascii() or ("&" in w and ";" in w))
+    return [p for w in words for p in _pieces(w)]
+
+
+#: What an encoder without the letter left of it: question marks inside words, or pairs of them in place of a word.
+_LOSSY = re.compile(r"\w\?\?+\w|(?<!\S)\?\?+(?=[\w\s°])|(?<!\S)[^\W\d_]+\?[a-zß-ÿ]+(?=[\s,.;:!?)]|$)")
+
+
 def is_garbled(text: str | None) -> bool:
     """Whether at least one character of the text comes from a wrong decoding."""
     if not text or (text.isascii() and "&" not in text and "?" not in text):
@@ -341,8 +379,8 @@ def restore(text: str | None) -> str | None:
     """The text with its garbled stretches restored; the same object if nothing is garbled."""
     if not is_garbled(text):
         return text
-    parts = _SPACES.split(text)
-    words = [k for k in range(0, len(parts), 2) if parts[k] and (not parts[k].isascii() or "&" in parts[k])]
+    parts = [p for part in _SPACES.split(text) for p in _pieces(part)]
+    words = [k for k, part in enumerate(parts) if not part.isascii() or "&" in part]
     results = [_MEMO[parts[k]] for k in words]
     tables = [table for _, _, table in single_byte_tables()]
     # Words of multi-character sequences agree on a reading encoding.

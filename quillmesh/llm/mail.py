@@ -226,7 +226,8 @@ def _is_reply(lines: list[str], at: int, end: int) -> bool:
 
 def _runs_on(before: str, line: str) -> bool:
     content = _MARK.sub("", before).strip(" >|")
-    return bool(content) and not _SENTENCE_END.search(content) and (line[:1].islower() or len(line.split()) <= 3)
+    fragment = len(line.split()) <= 3 and re.search(r"[\d.]\s", line) is not None and line.rstrip()[-1:].isalnum()
+    return bool(content) and not _SENTENCE_END.search(content) and (line[:1].islower() or fragment)
 
 
 def _indented_end(lines: list[str], at: int) -> int:
@@ -255,12 +256,13 @@ def _authored(lines: list[str], part: list[int], first: bool = True) -> list[Nod
     texts = {k: lines[k].strip() for k in part}
     filled = [k for k in part if texts[k]]
     cut, kind = len(filled), "closing"
+    notices = _Notices(texts, filled)
     for p, k in enumerate(filled):
         s = texts[k]
         following = filled[p + 1 : p + 4]
         short = all(_signature_line(texts[j]) for j in following[:1])
         delimiter = lines[k].rstrip() in ("--", "—", "–") or _RULE.match(s)
-        if delimiter and (not following or short or _legal_from(texts, filled, p + 1)):
+        if delimiter and (not following or short or notices.from_line(p + 1)):
             cut = p
             break
         if _CLOSING.match(s) and short:
@@ -269,13 +271,13 @@ def _authored(lines: list[str], part: list[int], first: bool = True) -> list[Nod
         if _PROGRAM.match(s) and len(s) < 90:
             cut, kind = p, "notice"
             break
-        if _HEADING.match(s) and following and (s.isupper() or s.endswith(":") or _legal_from(texts, filled, p + 1)):
+        if _HEADING.match(s) and following and (s.isupper() or s.endswith(":") or notices.from_line(p + 1)):
             cut, kind = p, "notice"
             break
-        if _RULE.match(s) and (not following or _legal_from(texts, filled, p + 1) or _HEADING.match(texts[following[0]])):
+        if _RULE.match(s) and (not following or notices.from_line(p + 1) or _HEADING.match(texts[following[0]])):
             cut, kind = p, "notice"
             break
-        if (p == 0 or filled[p - 1] != k - 1) and _legal_from(texts, filled, p):
+        if (p == 0 or filled[p - 1] != k - 1) and notices.from_line(p):
             cut, kind = p, "notice"
             break
     kept = filled[:cut]
@@ -298,24 +300,36 @@ def _authored(lines: list[str], part: list[int], first: bool = True) -> list[Nod
     return nodes
 
 
-def _legal_from(texts: dict[int, str], filled: list[int], p: int) -> bool:
-    """Whether all paragraphs from the p-th filled line to the end read as notices."""
-    rest = filled[p:]
-    if not rest:
-        return False
-    paragraphs, current = [], [rest[0]]
-    for a, b in zip(rest, rest[1:]):
-        if b != a + 1:
-            paragraphs.append(current)
-            current = []
-        current.append(b)
-    paragraphs.append(current)
-    for paragraph in paragraphs:
-        text = " ".join(texts[k] for k in paragraph)
-        if not _LEGAL_WORDS.search(text) and not _RULE.match(text) and not _HEADING.match(text) and not _PROGRAM.match(text):
+class _Notices:
+    """Answers whether everything from a filled line on reads as notices; each paragraph is judged once."""
+
+    def __init__(self, texts: dict[int, str], filled: list[int]):
+        self.texts, self.filled = texts, filled
+        self.paragraph, starts = [], []
+        for p, k in enumerate(filled):
+            if not p or filled[p - 1] != k - 1:
+                starts.append(p)
+            self.paragraph.append(len(starts) - 1)
+        ends = [*starts[1:], len(filled)]
+        self.ends = ends
+        #: The first paragraph from which on all are notices.
+        self.tail = len(starts)
+        while self.tail and self._notice(starts[self.tail - 1], ends[self.tail - 1]):
+            self.tail -= 1
+
+    def _notice(self, a: int, b: int) -> bool:
+        text = " ".join(self.texts[k] for k in self.filled[a:b])
+        return any(pattern.search(text) for pattern in (_LEGAL_WORDS, _RULE, _HEADING, _PROGRAM))
+
+    def from_line(self, p: int) -> bool:
+        if p >= len(self.filled):
+            return False
+        own = self.paragraph[p]
+        if own + 1 < self.tail or not self._notice(p, self.ends[own]):
             return False
-    words = len(_LEGAL_WORDS.findall(" ".join(texts[k] for k in rest)))
-    return words >= 2 or (words == 1 and sum(len(texts[k]) for k in rest) < 160)
+        rest = " ".join(self.texts[k] for k in self.filled[p:])
+        words = len(_LEGAL_WORDS.findall(rest))
+        return words >= 2 or words == 1 and len(rest) < 160
 
 
 def authored_lines(text: str | None) -> list[int]:

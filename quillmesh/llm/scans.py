@@ -411,7 +411,9 @@ def furniture(lines: list[str]) -> set[int]:
     canon = {k: _canonical(_strip_number(bare[k])) for zone in (*tops, *bottoms) for k in zone}
 
     def repeated(k: int, own: int, zones: list[list[int]]) -> bool:
-        return len(canon[k]) > 2 and any(_alike(canon[k], canon[j]) for n, zone in enumerate(zones) if n != own for j in zone)
+        # Running lines repeat on neighbouring pages (or on every other one), so a long document costs no more a page.
+        near = (m for m in range(max(0, own - 4), min(len(zones), own + 5)) if m != own)
+        return len(canon[k]) > 2 and any(_alike(canon[k], canon[j]) for m in near for j in zones[m])
 
     for n, page in enumerate(pages):
         # From the top edge inwards.
@@ -436,7 +438,7 @@ def furniture(lines: list[str]) -> set[int]:
             # First page: a header if another stand-alone line (the title) follows, if later pages repeat it in
             # the same letter case, or if the text follows at once; a title stands apart from the text.
             second = after is not None and apart(after, page[place + 2] if place + 2 < len(page) else None) and not bare[after][:1].islower() and not _NUMBER.match(bare[after])
-            same = [j for m, zone in enumerate(tops) if m != n for j in zone[:2] if _alike(canon[k], canon[j])]
+            same = [j for m, zone in enumerate(tops[:5]) if m != n for j in zone[:2] if _alike(canon[k], canon[j])]
             if not (second or after == k + 1 and not _NUMBER.match(bare[after]) or any(bare[j].isupper() == s.isupper() for j in same)):
                 break
             found.add(k)
