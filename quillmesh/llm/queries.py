@@ -71,6 +71,13 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": r"""
+            WITH texts AS (SELECT id, list_filter(string_split_regex(lower(page_content), '[ \t\r\n\f]+'), lambda x: x <> '') AS w FROM document_metadata),
+            sets AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS runs FROM texts WHERE len(w) >= 30),
+            runs AS (SELECT id, len(runs) AS n, unnest(runs) AS run FROM sets),
+            shared AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c, any_value(a.n) AS n_a, any_value(b.n) AS n_b FROM runs a JOIN runs b ON a.run = b.run AND a.id < b.id GROUP BY 1, 2)
+            SELECT id_a, id_b FROM shared WHERE c >= 0.6 * (n_a + n_b - c)
+        """,
         "p5_found": """
             SELECT DISTINCT src, item_key FROM (
                 SELECT 'document_metadata' AS src, CAST(id AS VARCHAR) AS item_key, page_content FROM document_metadata
