@@ -135,7 +135,7 @@ def _kind(c: str) -> str:
 
 #: What no Russian word has: hard and soft signs or ы at its start, a hard sign but before е, ё, ю, я, й after a consonant.
 _NO_CYRILLIC = re.compile(r"^[ъьы]|ъ(?![еёюя])|(?<=[бвгджзклмнпрстфхцчшщ])й")
-_LATIN, _SMALL_KINDS, _LARGE_KINDS = set("aAlL"), set("alcg"), set("ALCG")
+_SMALL_KINDS, _LARGE_KINDS = set("alcg"), set("ALCG")
 _LETTERS = set("aAlLcCgG")
 _SCRIPT = {k: s for s, ks in {"latin": "aAlL", "cyrillic": "cC", "greek": "gG", "han": "h"}.items() for k in ks}
 

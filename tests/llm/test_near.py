@@ -3,7 +3,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from quillmesh.llm import near
 
@@ -127,4 +126,3 @@ def test_components(spark):
         if a != b:
             parent[max(find(a), find(b))] = min(find(a), find(b))
     assert got == {k: find(k) for k in parent}
-    assert F is not None
