@@ -278,7 +278,7 @@ def _wide(word: str) -> str | None:
     return None
 
 
-#: The first half of a garbled letter whose second half, a control character, was dropped: found, but not restored.
+#: The first half of a garbled letter whose second half, a control character, was dropped: found, and restored where only one letter fits.
 _HALF = re.compile(r"[a-zà-ÿ]Ã|Ã[a-z]")
 
 
@@ -311,7 +311,8 @@ def _restore_word(word: str) -> tuple[str, tuple | None, float]:
     if reads and left <= least:
         return fixed, ("sequences", *reads), 4.0
     if bad - least < 2 and _HALF.search(word):
-        return word, None, 2.0
+        # Of the letters whose second half is a control character only ß is small; à ends in a no-break space.
+        return re.sub(r"(?<=[a-zà-ÿ])Ã(?=\W*$)", "à", re.sub(r"(?<=[a-zà-ÿ])Ã(?=[a-zß-ÿ])", "ß", word)), None, 2.0
     return best, numbers, bad - least
 
 
