@@ -548,24 +548,31 @@ def ocr_zoom(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(layout.safe_zoom(F.lit(4.0), w, h), 6).alias("zoom"))
 
 
-def _page_lines(spark, d):
-    """Words of each document set in lines of two columns."""
-    words = table(spark, d, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("page"), F.posexplode(F.slice(F.split(F.trim("text"), " +"), 1, 40)).alias("line_no", "text"))
-    x = F.when(F.col("line_no") % 2 == 0, 0.0).otherwise(520.0)
-    y = F.floor(F.col("line_no") / 2) * 30.0
-    corner = lambda dx, dy: F.array(x + dx, y + dy)
-    return words.select("page", "line_no", "text", F.array(corner(0.0, 0.0), corner(400.0, 0.0), corner(400.0, 20.0), corner(0.0, 20.0)).alias("polygon"), ((F.col("page") + F.col("line_no")) % 11 / 10.0).alias("score"))
+PAGE_LINES = 40  # lines of a page that a text is laid out on
+
+
+def _pages_of_words(spark, d):
+    """All words of each document set in lines of two columns, on as many pages as they fill: one row per page."""
+    words = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.split(F.trim("text"), " +").alias("_w"))
+    starts = F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / PAGE_LINES).cast("int"))
+    pages = spread(words).select("doc_id", F.posexplode(F.transform(starts, lambda p: F.slice("_w", p * PAGE_LINES + 1, PAGE_LINES))).alias("page", "texts"))
+    boxes = [(520.0 * (n % 2), n // 2 * 30.0) for n in range(PAGE_LINES)]
+    places = F.array(*(F.array(*(F.array(F.lit(x + dx), F.lit(y + dy)) for dx, dy in ((0.0, 0.0), (400.0, 0.0), (400.0, 20.0), (0.0, 20.0)))) for x, y in boxes))
+    return pages.withColumn("polygons", F.slice(places, F.lit(1), F.size("texts")))
 
 
 @query
 def reading_order(spark, d):
-    return layout.in_reading_order(_page_lines(spark, d), ["page"]).select("page", "line_no", "position")
+    pages = _pages_of_words(spark, d)
+    return pages.select("doc_id", "page", F.posexplode(layout.line_positions(F.col("polygons"))).alias("line_no", "position")).withColumn("position", F.col("position").cast("long"))
 
 
 @query
 def hocr(spark, d):
-    stats = layout.hocr_lines(_page_lines(spark, d))
-    return stats.select("page", "emitted", "dropped", "flagged", F.round("mean_conf", 6).alias("mean_conf"))
+    lines = _pages_of_words(spark, d).select("doc_id", "page", F.posexplode(F.arrays_zip("texts", "polygons")).alias("line_no", "_l"))
+    score = (F.col("doc_id") + F.col("page") * PAGE_LINES + F.col("line_no")) % 11 / 10.0
+    stats = layout.hocr_lines(lines.select("doc_id", "page", "line_no", F.col("_l.texts").alias("text"), F.col("_l.polygons").alias("polygon"), score.alias("score")), ["doc_id", "page"])
+    return stats.select("doc_id", "page", "emitted", "dropped", "flagged", F.round("mean_conf", 6).alias("mean_conf"))
 
 
 @query

@@ -209,6 +209,25 @@ def test_globs(spark):
     assert kept(["*.txt"], ["skip*"]) == ["b.txt"] and kept([], []) == ["a.bin", "b.txt", "skip.txt"]
 
 
+def test_every_word_is_laid_out(spark, tmp_path):
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (3, 40, 95)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    placed = catalog.queries()["reading_order"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.page, r.line_no) for r in placed} == {(k, n // 40, n % 40) for k, t in enumerate(texts) for n in range(len(t.split()))}
+    counts = {(r.doc_id, r.page): r.emitted + r.dropped for r in catalog.queries()["hocr"](spark, str(tmp_path)).collect()}
+    assert counts == {(0, 0): 3, (1, 0): 40, (2, 0): 40, (2, 1): 40, (2, 2): 15}
+
+
+def test_lines_of_several_pages(spark):
+    box = lambda x, y: [[x, y], [x + 40.0, y], [x + 40.0, y + 8.0], [x, y + 8.0]]
+    pages = {0: [box(60.0 * (k % 2), k // 2 * 10.0) for k in range(20)], 1: [box(0.0, 60.0), box(0.0, 0.0), box(0.0, 30.0)], 2: [[[0.0, 9.0], [5.0, 0.0], [9.0, 9.0]]]}
+    df = spark.createDataFrame([(p, n, b) for p, boxes in pages.items() for n, b in enumerate(boxes)], "page int, line_no int, polygon array<array<double>>")
+    got = {(r.page, r.line_no): r.position for r in layout.in_reading_order(df, ["page"]).collect()}
+    for p, boxes in pages.items():
+        order = layout.reading_order([np.array(b) for b in boxes]) or range(len(boxes))
+        assert [n for n, _ in sorted(((n, got[p, n]) for n in range(len(boxes))), key=lambda x: x[1])] == list(order)
+
+
 def test_crawl_and_limits(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("x", "y")], "url string, link string")
     seeds = spark.createDataFrame([("a",)], "url string")
