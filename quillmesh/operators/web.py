@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as html_entities
+import itertools
 import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -202,15 +203,15 @@ def frontier(link_table: DataFrame, visited: DataFrame) -> DataFrame:
     return link_table.select("link").distinct().join(visited.select(F.col("url").alias("link")), "link", "left_anti")
 
 
-def crawl(link_table: DataFrame, seeds: DataFrame, checkpoint, rounds: int = 50, limit: int | None = None) -> DataFrame:
-    """(url, depth): breadth-first over a table of links (url, link), seeds at depth 0.
+def crawl(link_table: DataFrame, seeds: DataFrame, checkpoint, rounds: int | None = None, limit: int | None = None) -> DataFrame:
+    """(url, depth): breadth-first over a table of links (url, link), seeds at depth 0, until no new page appears.
 
-    Each round joins the new pages only and cuts its lineage with ``checkpoint``.
+    ``rounds`` asks for the pages of that depth at most. Each round joins the new pages only and cuts its lineage with ``checkpoint``.
     ``limit`` ends the crawl once so many pages are visited, as a crawler's page limit.
     """
     visited = checkpoint(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     new = visited
-    for depth in range(1, rounds + 1):
+    for depth in itertools.count(1) if rounds is None else range(1, rounds + 1):
         reached = new.join(link_table, "url").select(F.col("link").alias("url")).distinct()
         new = checkpoint(reached.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():

@@ -481,10 +481,21 @@ def link_frontier(spark, d):
     return web.frontier(web.links(pages_of(spark, d)), pages_of(spark, d).where("doc_id % 2 = 0"))
 
 
+def _crawl(spark, d, rounds=None):
+    links = checkpointed(web.links(pages_of(spark, d)))
+    return web.crawl(links, pages_of(spark, d).where("doc_id = 1").select("url"), checkpointed, rounds)
+
+
 @query
 def crawl(spark, d):
-    links = checkpointed(web.links(pages_of(spark, d)))
-    return web.crawl(links, pages_of(spark, d).where("doc_id = 1").select("url"), checkpointed, rounds=6)
+    """Pages at most six links away, as the SQL has it."""
+    return _crawl(spark, d, rounds=6)
+
+
+@query
+def crawl_whole(spark, d):
+    """All pages that links lead to."""
+    return _crawl(spark, d)
 
 
 @query

@@ -238,6 +238,19 @@ def test_crawl_and_limits(spark):
     assert [(r.site, r.stopped_at) for r in web.rate_limited(df).collect()] == [("s", 8)]
 
 
+def test_crawl_to_the_end(spark, data_dir):
+    chain = spark.createDataFrame([(str(k), str(k + 1)) for k in range(55)], "url string, link string").coalesce(1)
+    assert web.crawl(chain, spark.createDataFrame([("0",)], "url string"), catalog.checkpointed).count() == 56
+    links: dict[str, set] = {}
+    for r in web.links(catalog.pages_of(spark, data_dir)).collect():
+        links.setdefault(r.url, set()).add(r.link)
+    depth = new = {"https://docs.example/docs/1": 0}
+    while new:
+        new = {v: n + 1 for u, n in new.items() for v in links.get(u, ()) if v not in depth}
+        depth = depth | new
+    assert {r.url: r.depth for r in catalog.queries()["crawl_whole"](spark, data_dir).collect()} == depth
+
+
 def test_seeds(spark):
     text = "# x\n- [a](https://h.example/docs/a.md): y\n- [b](https://o.example/docs/b.md)\n- [c](https://h.example/other/c.md)\nno link"
     got = spark.createDataFrame([(text,)], "t string").select(web.seeds_of_index(F.col("t"), "h.example", "/docs")).first()[0]
