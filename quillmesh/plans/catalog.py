@@ -526,7 +526,7 @@ def padding_efficiency(spark, d):
 
 @query
 def padded_tokens(spark, d):
-    tokens = batching.tokenize(table(spark, d, "documents"), "doc_id", "text", 128)
+    tokens = batching.tokenize(table(spark, d, "documents"), "doc_id", "text")
     padded = batching.padded_batches(tokens, "doc_id", shard_size=5000, batch_size=64)
     return padded.groupBy("shard", "batch_id").agg(F.min(F.size("input_ids")).alias("shortest"), F.max(F.size("input_ids")).alias("longest"), F.sum(F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)).alias("real_tokens"))
 

@@ -152,6 +152,11 @@ def box(x, y, w=180, h=20):
     return [[x, y], [x + w, y], [x + w, y + h], [x, y + h]]
 
 
+def test_tokens_up_to_what_models_take(spark, tmp_path):
+    spark.createDataFrame([(0, "word " * 300), (1, "word " * 600), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.longest, r.real_tokens) for r in catalog.queries()["padded_tokens"](spark, str(tmp_path)).collect()] == [(512, 812)]
+
+
 def test_reading_order():
     left, right = [box(0, 30 * k) for k in range(10)], [box(220, 30 * k) for k in range(10)]
     mixed = [b for pair in zip(left, right) for b in pair]
