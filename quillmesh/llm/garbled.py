@@ -357,25 +357,6 @@ def _suspects(text: str) -> list[str]:
     return [p for w in words for p in _pieces(w)]
 
 
-#: What an encoder without the letter left of it: question marks inside words, or pairs of them in place of a word.
-_LOSSY = re.compile(r"\w\?\?+\w|(?<!\S)\?\?+(?=[\w\s°])|(?<!\S)[^\W\d_]+\?[a-zß-ÿ]+(?=[\s,.;:!?)]|$)")
-
-
-def is_garbled(text: str | None) -> bool:
-    """Whether at least one character of the text comes from a wrong decoding."""
-    if not text or (text.isascii() and "&" not in text and "?" not in text):
-        return False
-    if "�" in text or ("?" in text and _LOSSY.search(text) is not None):
-        return True
-    # A letter alone at a line's end may be what cutting a title left of a word.
-    return any(_MEMO[w][2] >= 2 and (len(w) > 2 or re.search(rf"(?<!\S){re.escape(w)}[ \t]+\S", text) is not None) for w in _suspects(text))
-
-
-def _suspects(text: str) -> list[str]:
-    """Words as blanks part them (a no-break space may be part of a garbled sequence)."""
-    return [w for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\f", " ").split(" ") if not w.isascii() or ("&" in w and ";" in w)]
-
-
 def restore(text: str | None) -> str | None:
     """The text with its garbled stretches restored; the same object if nothing is garbled."""
     if not is_garbled(text):
@@ -419,7 +400,7 @@ def restore(text: str | None) -> str | None:
 
 
 #: Rows that can't be garbled never reach Python.
-_MAYBE = r"[^\x00-\x7F]|&[A-Za-z#]|\?\?|[a-z]\?[a-z]"
+_MAYBE = r"[^\x00-\x7F]|&[A-Za-z#]|\?[?a-z]"
 
 
 def garbled(records: DataFrame, id_col: str = "id", text_col: str = "page_content") -> DataFrame:

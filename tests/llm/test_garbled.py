@@ -90,3 +90,12 @@ def test_tables(spark):
     assert sorted(r.id for r in g.garbled(df).collect()) == [1, 1, 5]
     assert {r.id: r.restored for r in g.restored(df).collect()}[1] == "façade"
     assert g.garbled(df.where("false")).count() == 0
+
+
+def test_lossy_behind_a_capital(spark):
+    df = spark.createDataFrame([(1, "F?r alle"), (2, "Das B?ro ist zu"), (3, "Is it so?"), (4, "see x.example/a?b=c")], "id int, page_content string")
+    assert sorted(r.id for r in g.garbled(df).collect()) == sorted(r.id for r in g.restored(df).collect()) == [1, 2]
+
+
+def test_long_words_are_judged_in_pieces():
+    assert max(map(len, g._suspects("é" * 1000))) <= g.LONGEST
