@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,11 +85,26 @@ def mappings() -> tuple[dict[str, str], dict[str, str]]:
         form = unicodedata.normalize("NFKC", chr(code))
         if len(form) == 1:
             single[chr(code)] = form
-        elif " " not in form and tag not in ("<isolated>", "<initial>", "<medial>", "<final>"):
+        elif " " not in form and tag not in ("<isolated>", "<initial>", "<medial>", "<final>"):  # those are ligatures()
             several[chr(code)] = form
     return single, several
 
 
+@lru_cache(maxsize=1)
+def ligatures() -> dict[int, str]:
+    """Contextual forms of several letters (Arabic ligatures) to their letters; spacing marks and whole phrases, whose forms have a blank, are kept."""
+    codes = [*range(0xFB50, 0xFE00), *range(0xFE70, 0xFEFD)]
+    forms = {c: unicodedata.normalize("NFKC", chr(c)) for c in codes if unicodedata.decomposition(chr(c)).startswith(("<isolated>", "<initial>", "<medial>", "<final>"))}
+    return {c: form for c, form in forms.items() if len(form) > 1 and " " not in form}
+
+
+def _letters(texts: pa.ChunkedArray) -> pa.ChunkedArray:
+    """Texts with ligatures replaced by their letters; texts without presentation forms cost one search."""
+    if not pc.any(pc.match_substring_regex(texts, r"[\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFC}]")).as_py():
+        return texts
+    return pa.chunked_array([pa.array([t and t.translate(ligatures()) for t in texts.to_pylist()], texts.type)])
+
+
 @lru_cache(maxsize=1)
 def statement() -> str:
     """The embedded SQL: from table ``batch(id, text)`` to (id, look)."""
@@ -132,7 +148,8 @@ def _looks(batch: pa.RecordBatch, rows: int = 2048) -> Iterator[pa.Table]:
     connection = _connection()
     table = pa.Table.from_arrays(batch.columns, names=["id", "text"])
     for start in range(0, table.num_rows, rows):
-        connection.register("batch", table.slice(start, rows))
+        part = table.slice(start, rows)
+        connection.register("batch", part.set_column(1, "text", _letters(part.column(1))))
         yield connection.sql(statement()).to_arrow_table()
         connection.unregister("batch")
 

@@ -102,3 +102,10 @@ def test_hot_class_of_copies(spark):
     df = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 < 2 THEN 'the same text' WHEN id = 2 THEN 'the ѕame text' ELSE concat('text ', id) END AS text")
     got = looks.look_alike_pairs(df)
     assert got.count() == 2000 and got.where("doc_a = 2 OR doc_b = 2").count() == 2000
+
+
+def test_ligatures_of_several_letters():
+    for a, b in [("ﻻ", "لا"), ("x ﻵ", "x لآ"), ("ﷲ", "الله"), ("ﰀ", "ئج")]:
+        assert len(set(form([a, b]))) == 1, (a, b)
+    assert form(["ﻻ", None, "plain", ""])[1:] == [None, "plain", ""]
+    assert len(set(form(["ﻻ", "ﻵ", "ا", "ل"]))) == 4
