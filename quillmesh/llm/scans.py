@@ -30,6 +30,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -383,6 +384,48 @@ def _page_breaks(lines: list[str]) -> set[int]:
     return breaks
 
 
+class _Running:
+    """Edge lines of all pages by canonical form: whether a line's like stands on another page, however far.
+
+    Equal forms are found in a dictionary. For alike ones the forms are compared
+    by counts of letters and of letter pairs first, which bound the matched
+    letters from above; few pass on to the exact comparison.
+    """
+
+    def __init__(self, canon: dict[int, str], zones: list[list[int]]) -> None:
+        self.canon = canon
+        self.pages: dict[str, set[int]] = {}
+        for n, zone in enumerate(zones):
+            for k in zone:
+                self.pages.setdefault(canon[k], set()).add(n)
+        self._counts: tuple | None = None
+
+    @staticmethod
+    def _count(form: str) -> np.ndarray:
+        out = np.zeros(64 + 256, np.int16)
+        for a in form:
+            out[ord(a) % 64] += 1
+        for a, b in zip(form, form[1:]):
+            out[64 + (ord(a) * 31 + ord(b)) % 256] += 1
+        return out
+
+    def repeated(self, k: int, own: int) -> bool:
+        form = self.canon[k]
+        if len(form) <= 2:
+            return False
+        if len(self.pages[form]) > 1:
+            return True
+        if self._counts is None:
+            forms = list(self.pages)
+            self._counts = forms, np.array([len(f) for f in forms]), np.array([self._count(f) for f in forms])
+        forms, sizes, counts = self._counts
+        both, mine = sizes + len(form), self._count(form)
+        # A ratio above 0.8 matches more than 0.4 of both lengths, in blocks parted by unmatched letters: so many pairs of letters are shared.
+        near = np.flatnonzero((np.abs(sizes - len(form)) <= 0.25 * np.maximum(sizes, len(form)) + 1) & (np.minimum(counts[:, :64], mine[:64]).sum(1) > 0.4 * both))
+        near = near[np.minimum(counts[near, 64:], mine[64:]).sum(1) > 0.2 * both[near] - 1]
+        return any(self.pages[forms[j]] != {own} and _alike(form, forms[j]) for j in near)
+
+
 def furniture(lines: list[str]) -> set[int]:
     """Indexes of running headers, footers and page numbers, by position on the page."""
     starts = _page_breaks(lines)
@@ -410,10 +453,7 @@ def furniture(lines: list[str]) -> set[int]:
     bottoms = [page[-3:] for page in pages]
     canon = {k: _canonical(_strip_number(bare[k])) for zone in (*tops, *bottoms) for k in zone}
 
-    def repeated(k: int, own: int, zones: list[list[int]]) -> bool:
-        # Running lines repeat on neighbouring pages (or on every other one), so a long document costs no more a page.
-        near = (m for m in range(max(0, own - 4), min(len(zones), own + 5)) if m != own)
-        return len(canon[k]) > 2 and any(_alike(canon[k], canon[j]) for m in near for j in zones[m])
+    on_tops, on_bottoms = _Running(canon, tops), _Running(canon, bottoms)
 
     for n, page in enumerate(pages):
         # From the top edge inwards.
@@ -428,7 +468,7 @@ def furniture(lines: list[str]) -> set[int]:
                 found.add(k)
                 texts_seen += 1
                 continue
-            plain = s.isupper() and len(s) > 5 or n > 0 and repeated(k, n, tops)
+            plain = s.isupper() and len(s) > 5 or n > 0 and on_tops.repeated(k, n)
             if texts_seen or s[:1].islower() or not (apart(k, after) or plain) or len(page) == 1 and len(pages) == 1:
                 break
             texts_seen += 1
@@ -438,7 +478,7 @@ def furniture(lines: list[str]) -> set[int]:
             # First page: a header if another stand-alone line (the title) follows, if later pages repeat it in
             # the same letter case, or if the text follows at once; a title stands apart from the text.
             second = after is not None and apart(after, page[place + 2] if place + 2 < len(page) else None) and not bare[after][:1].islower() and not _NUMBER.match(bare[after])
-            same = [j for m, zone in enumerate(tops[:5]) if m != n for j in zone[:2] if _alike(canon[k], canon[j])]
+            same = [j for m, zone in enumerate(tops) if m != n for j in zone[:2] if _alike(canon[k], canon[j])]
             if not (second or after == k + 1 and not _NUMBER.match(bare[after]) or any(bare[j].isupper() == s.isupper() for j in same)):
                 break
             found.add(k)
@@ -447,7 +487,7 @@ def furniture(lines: list[str]) -> set[int]:
         number_below = False
         for place, k in enumerate(reversed(rest[-3:])):
             s = bare[k]
-            if len(page) - len(found & set(page)) <= 1 and not _NUMBER.match(s) and not repeated(k, n, bottoms):
+            if len(page) - len(found & set(page)) <= 1 and not _NUMBER.match(s) and not on_bottoms.repeated(k, n):
                 break
             if _NUMBER.match(s) and (not s.isalpha() or len(s) <= 2 or _ROMAN.match(s)):
                 found.add(k)
@@ -455,7 +495,7 @@ def furniture(lines: list[str]) -> set[int]:
                 continue
             above_is_number = place + 1 < len(rest) and _NUMBER.match(bare[rest[-place - 2]]) is not None
             coded = re.search(r"\s[·|•©]\s", s) is not None and len(s) < 60
-            if not re.search(r"[.!?;,]$", s) and not s[:1].islower() and (coded or above_is_number and len(s) < 0.8 * width or repeated(k, n, bottoms) and len(s) < 0.9 * width and len(s) < 60):
+            if not re.search(r"[.!?;,]$", s) and not s[:1].islower() and (coded or above_is_number and len(s) < 0.8 * width or on_bottoms.repeated(k, n) and len(s) < 0.9 * width and len(s) < 60):
                 found.add(k)
                 continue
             break

@@ -134,3 +134,30 @@ def test_held_out_words():
             tried += 1
             right += repairer.word(word.replace(p, r, 1))[0].lower() == word
     assert right >= 0.9 * tried
+
+
+def test_running_lines_far_apart():
+    draw = random.Random(5)
+    lines, footers = [], []
+    for n in range(14):
+        body = [f"{'[[page%d]]' % (n + 1) if not k else ''}" + " ".join("".join(draw.choices("abcdefghilmnoprstu", k=6)) for _ in range(8)) for k in range(7)]
+        lines += body
+        if n in (1, 12):
+            footers.append(len(lines))
+            lines.append("Harbour Office" if n == 1 else "Harb0ur Off1ce")
+    assert scans.furniture(lines) == set(footers)
+
+
+def test_running_lines_against_brute_force():
+    draw = random.Random(6)
+    base = ["".join(draw.choices("abcdef #", k=draw.randrange(1, 30))) for _ in range(12)]
+    forms = []
+    for _ in range(240):
+        form = list(draw.choice(base))
+        for _ in range(draw.randrange(5)):
+            form[draw.randrange(len(form))] = draw.choice("abcdefxyz")
+        forms.append("".join(form))
+    zones = [[3 * n, 3 * n + 1, 3 * n + 2] for n in range(80)]
+    running = scans._Running(dict(enumerate(forms)), zones)
+    for k, form in enumerate(forms):
+        assert running.repeated(k, k // 3) == (len(form) > 2 and any(scans._alike(form, forms[j]) for j in range(240) if j // 3 != k // 3)), form
