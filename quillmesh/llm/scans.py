@@ -1,9 +1,10 @@
 """Problem 4: repair text extracted from scanned pages.
 
 Method: an averaged-perceptron character editor. It scores edit operations on
-words (keep, replace, delete, insert, join across a line end) by features of the
-operation, its neighbours, and how often the word before and after the edit
-occurs in the whole collection. It is trained here, on words of the collection
+words (keep, replace, delete, insert) by features of the operation, its
+neighbours, and how often the word before and after the edit occurs in the whole
+collection. Whether a hyphen at a line's end is dropped is decided by rules over
+the same counts (``Repairer.divided``), not by the perceptron. The editor is trained here, on words of the collection
 itself that a table of usual misreadings and divisions has damaged (``SAMPLE``
 words at most, a documented bound); the word statistics cover all records.
 Page furniture is found by position on the page: lines at its edges that repeat
@@ -103,7 +104,7 @@ def edits(word: str) -> Iterator[tuple[str, str, int]]:
 
 
 def _features(op: str, before: int, after: int, word: str, at: int) -> list[str]:
-    kind = "replace" if len(op) == 3 else "join" if op == "join" else "delete" if op == "blank" else "merge" if op.index(">") > len(op) - op.index(">") - 1 else "insert"
+    kind = "replace" if len(op) == 3 else "delete" if op == "blank" else "merge" if op.index(">") > len(op) - op.index(">") - 1 else "insert"
     left = "^" if at == 0 else "d" if word[at - 1].isdigit() else "a" if word[at - 1].isalpha() else "."
     odd = any(not c.isalpha() and c not in "-'’." for c in word)
     return [kind, f"op {op}", f"{kind} to {after}", f"{kind} from {before}", f"{kind} {before}>{after}", f"{kind} left {left}", f"{kind} odd {odd} {min(after, 3)}", f"{kind} size {min(len(word), 8)} {after > 5}"]
