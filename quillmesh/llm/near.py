@@ -9,17 +9,20 @@ and tile pairs whose population counts differ by more than the radius are
 skipped. No pair within the radius is lost by the comparison.
 
 Comparing every tile with every other is quadratic in the collection, so the
-tiles are formed inside buckets: records that agree in a band of ``ROWS`` minimum
-hashes, ``BANDS`` times over. At a similarity s a pair shares no bucket with
-probability (1 - s**ROWS)**BANDS: 0.04 % at 0.6, 0.00002 % at 0.7, nothing that can
-be measured from 0.8 on. That step is the one addition to the method named; the
-README gives the reason.
+tiles are formed inside buckets: records that agree in a band of minimum hashes.
+``banding`` takes rows and bands from the similarity asked for, so that a pair
+right at it shares no bucket with probability ``MISSED`` at most (4 rows, 56 bands
+at 0.6; a pair of 0.7 is lost with 0.00002 %). ``exact=True`` compares all tiles of the
+whole collection instead and loses none, at quadratic cost. The buckets are the
+one addition to the method named; the README gives the reason.
 
 * Exact copies (equal shingle sets) are one class before any comparison, so a
   group of copies of any size costs one row here.
 * A bucket beyond ``TILE`` records is parted into tiles by size class and salt;
-  only pairs of tiles of the same or neighbouring size classes are compared, each
-  as a task of its own. No bucket is capped and none is gathered in one task.
+  only tiles whose sizes a similar pair may have meet, each pair of tiles as a unit
+  of its own. Buckets are counted by an aggregation that combines before the
+  shuffle. No bucket is capped and none is gathered in one task; a record goes to
+  as many units as there are tiles within reach of its size.
 * What passes is verified on the shingle sets themselves.
 
 Defined results: records of fewer than ``min_words`` words (null, empty and
@@ -36,15 +39,20 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import checkpoint
 
 BITS = 1024
-ROWS, BANDS = 4, 56
+#: Share of the pairs right at the similarity asked for that may meet in no bucket, and the bands that are spent on it.
+MISSED, MOST_BANDS = 4.3e-4, 64
 #: Records of a tile; a unit of comparison holds two tiles at most.
-TILE = 2048
+TILE = 8192
+#: Size classes to the ratio that parts the sizes of a similar pair at most.
+CLASSES = 4
+#: Copies of a class that are expanded into pairs as one unit.
+COPIES = 2000
 #: Candidate pairs up to which the ids to verify are broadcast (16 bytes each); beyond, a shuffle join is used.
 BROADCAST_PAIRS = 1_000_000
 
@@ -86,6 +94,13 @@ def shingles(text: str | None, size: int, min_words: int) -> np.ndarray | None:
     return np.unique(run)
 
 
+def banding(least: float) -> tuple[int, int]:
+    """(rows, bands): as many rows as ``MOST_BANDS`` bands allow at ``MISSED``; one row and more bands where none do."""
+    needed = lambda rows: math.ceil(math.log(MISSED) / math.log1p(-(least**rows))) if least < 1 else 1
+    rows = next((r for r in range(16, 0, -1) if needed(r) <= MOST_BANDS), 1)
+    return rows, needed(rows)
+
+
 @lru_cache(maxsize=4)
 def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(20240301)
@@ -112,7 +127,7 @@ def _bitmap(sh: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def sketch(records: DataFrame, id_col: str, text_col: str, size: int, min_words: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def sketch(records: DataFrame, id_col: str, text_col: str, size: int, min_words: int, rows: int, bands: int) -> DataFrame:
     """(id, set_key BINARY, n INT, bands ARRAY<INT>, bits BINARY) of every record that takes part."""
     kind = records.schema[id_col].dataType.simpleString()
 
@@ -205,21 +220,31 @@ def compare_units(unit: np.ndarray, side: np.ndarray, ids: np.ndarray, n: np.nda
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def candidates(reps: DataFrame, least: float, tile: int = TILE) -> DataFrame:
-    """(a, b), a < b: pairs of representatives of one bucket within the radius of each other."""
+def candidates(reps: DataFrame, least: float, tile: int = TILE, exact: bool = False) -> DataFrame:
+    """(a, b), a < b: pairs of representatives of one bucket within the radius of each other.
+
+    With ``exact`` the whole collection is one bucket: the tiled comparison alone.
+    """
     kind = reps.schema["id"].dataType.simpleString()
-    spread = reps.select("id", F.posexplode("bands").alias("band", "hash")).select("id", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("hash").cast("long") + F.lit(2**31)).alias("bucket"))
-    shared = spread.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("members > 1")
-    rows = shared.join(reps.select("id", "n", "bits"), "id")
-    small = rows.where(F.col("members") <= tile).select("bucket", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(2).alias("side"), "id", "n", "bits")
-    # Hot buckets: a tile is a size class and a salt; sizes of a pair lie in the same or neighbouring classes.
+    if exact:
+        spread = reps.select("id", F.lit(0).cast("long").alias("bucket"))
+    else:
+        spread = reps.select("id", F.posexplode("bands").alias("band", "hash")).select("id", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("hash").cast("long") + F.lit(2**31)).alias("bucket"))
+    # Counted before the shuffle, then joined back: one row per bucket meets its members, so a hot bucket's side can be split.
+    several = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    rows = spread.join(several, "bucket").join(reps.select("id", "n", "bits"), "id")
+    small = rows.where(F.col("members") <= tile).select("bucket", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(2).alias("side"), "id", "n", "bits")
+    # Hot buckets: a tile is a size class and a salt; sizes of a similar pair lie CLASSES classes apart at most.
+    hot_rows = rows.where(F.col("members") > tile).withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) * ((CLASSES - 1e-6) / math.log(1 / least) if least < 1 else 1e6)).cast("int"))
+    salts = hot_rows.groupBy("bucket", "size_class").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("salts"))
+    tiles = salts.groupBy("bucket").agg(F.collect_list(F.struct("size_class", "salts")).alias("tiles"))  # as many as there are size classes
+    own_salts = F.filter("tiles", lambda t: t.size_class == F.col("size_class"))[0].salts
+    near = F.filter("tiles", lambda t: F.abs(t.size_class - F.col("size_class")) <= CLASSES)
+    other = F.flatten(F.transform(near, lambda t: F.transform(F.sequence(F.lit(0), t.salts - 1), lambda s: t.size_class.cast("long") * 1_000_000 + s)))
     hot = (
-        rows.where(F.col("members") > tile)
-        .withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / math.log(1 / least)).cast("int"))
-        .withColumn("salts", F.ceil(F.col("members") / tile).cast("int"))
-        .withColumn("own", F.col("size_class") * 1_000_000 + F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-        .withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-        .withColumn("other", F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: (F.col("size_class") + F.col("step")) * 1_000_000 + s)))
+        hot_rows.join(tiles, "bucket")
+        .withColumn("own", F.col("size_class").cast("long") * 1_000_000 + F.pmod(F.xxhash64("id"), own_salts))
+        .withColumn("other", F.explode(other))
         .select(
             "bucket",
             F.least("own", "other").alias("lo"),
@@ -301,38 +326,53 @@ def verify(pairs: DataFrame, records: DataFrame, id_col: str, text_col: str, siz
     )
 
 
-def links(records: DataFrame, id_col: str = "id", text_col: str = "page_content", size: int = 3, min_words: int = 30, least: float = 0.6) -> tuple[DataFrame, DataFrame]:
+def links(records: DataFrame, id_col: str = "id", text_col: str = "page_content", size: int = 3, min_words: int = 30, least: float = 0.6, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): (id, class_id) of every record that takes part, and (a, b, similarity) between classes.
 
     A class holds the records with equal shingle sets; ``class_id`` is its least id.
     """
-    sketches = checkpoint(sketch(records, id_col, text_col, size, min_words))
+    sketches = checkpoint(sketch(records, id_col, text_col, size, min_words, *((1, 1) if exact else banding(least))))
     classes = sketches.groupBy("set_key").agg(F.min("id").alias("class_id"))
     members = sketches.select("id", "set_key").join(classes, "set_key").select("id", "class_id")
     firsts = sketches.groupBy("set_key").agg(F.min_by(F.struct("id", "n", "bands", "bits"), "id").alias("r")).select("r.*")
-    pairs = checkpoint(candidates(firsts, least))
+    pairs = checkpoint(candidates(firsts, least, exact=exact))
     return members, verify(pairs, records, id_col, text_col, size, min_words, least)
 
 
-def similar_pairs(records: DataFrame, id_col: str = "id", text_col: str = "page_content", size: int = 3, min_words: int = 30, least: float = 0.6) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: all pairs of records, copies expanded."""
-    members, pairs = links(records, id_col, text_col, size, min_words, least)
-    several = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id")
-    classes = pairs.select("a", "b").unionAll(several.select(F.col("class_id").alias("a"), F.col("class_id").alias("b")))
-    left, right = members.select(F.col("class_id").alias("a"), F.col("id").alias("x")), members.select(F.col("class_id").alias("b"), F.col("id").alias("y"))
-    return classes.join(left, "a").join(right, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+def similar_pairs(records: DataFrame, id_col: str = "id", text_col: str = "page_content", size: int = 3, min_words: int = 30, least: float = 0.6, exact: bool = False) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: all pairs of records, copies expanded.
+
+    A class of many copies is expanded in units of ``COPIES`` by ``COPIES`` records.
+    ``groups`` has the same links with one row per record.
+    """
+    members, pairs = links(records, id_col, text_col, size, min_words, least, exact)
+    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hot = sizes.where(F.col("n") > COPIES).select("class_id", F.ceil(F.col("n") / COPIES).cast("int").alias("salts"))
+    classes = pairs.select("a", "b").unionAll(sizes.select(F.col("class_id").alias("a"), F.col("class_id").alias("b")))
+    for side in ("a", "b"):
+        salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+        classes = classes.join(hot.withColumnRenamed("class_id", side), side, "left").withColumn(f"salt_{side}", F.explode(salts)).drop("salts")
+    salted = members.join(hot, "class_id", "left").select("class_id", "id", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    left = salted.select(F.col("class_id").alias("a"), F.col("salt").alias("salt_a"), F.col("id").alias("x"))
+    right = salted.select(F.col("class_id").alias("b"), F.col("salt").alias("salt_b"), F.col("id").alias("y"))
+    return (
+        classes.join(left, ["a", "salt_a"])
+        .join(right, ["b", "salt_b"])
+        .where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+        .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    )
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph (a, b): alternating large-star and small-star steps.
 
     The component's name is its least node. Every round cuts its lineage in the
-    checkpoint folder; the number of rounds grows with the logarithm of the
-    largest component.
+    checkpoint folder, until a round changes nothing; the number of rounds grows
+    with the logarithm of the largest component.
     """
     pairs = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
@@ -346,13 +386,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def groups(records: DataFrame, id_col: str = "id", text_col: str = "page_content", size: int = 3, min_words: int = 30, least: float = 0.6) -> DataFrame:
+def groups(records: DataFrame, id_col: str = "id", text_col: str = "page_content", size: int = 3, min_words: int = 30, least: float = 0.6, exact: bool = False) -> DataFrame:
     """(id, class_id, group_id, links BIGINT): one row per record that takes part.
 
     ``links`` counts the other classes that the record's class is similar to;
     ``group_id`` is the least id of all records reachable over such links.
     """
-    members, pairs = links(records, id_col, text_col, size, min_words, least)
+    members, pairs = links(records, id_col, text_col, size, min_words, least, exact)
     kept = checkpoint(pairs.select("a", "b"))
     degree = kept.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
     named = components(kept).select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))

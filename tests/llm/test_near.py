@@ -51,9 +51,10 @@ def rows():
     return collection()
 
 
-@pytest.mark.parametrize("tile", [2048, 16])
+@pytest.mark.parametrize("tile", [near.TILE, 16])
 def test_pairs_equal_brute_force(spark, rows, tile, monkeypatch):
-    monkeypatch.setattr(near.candidates, "__defaults__", (tile,))
+    monkeypatch.setattr(near.candidates, "__defaults__", (tile, False))
+    monkeypatch.setattr(near, "COPIES", tile // 2)
     df = spark.createDataFrame([(k, t, 1) for k, t in rows], "id int, page_content string, set_key int")
     got = [tuple(r) for r in near.similar_pairs(df).collect()]
     assert agrees(got, rows)
@@ -93,6 +94,37 @@ def test_five_words_at_four_fifths(spark, rows):
     assert agrees([tuple(r) for r in near.similar_pairs(df, size=5, least=0.8).collect()], rows, 0.8, size=5)
 
 
+@pytest.mark.parametrize("least", [0.3, 0.4, 0.8])
+def test_other_thresholds(spark, rows, least):
+    df = spark.createDataFrame(rows, "id int, page_content string")
+    assert agrees([tuple(r) for r in near.similar_pairs(df, least=least).collect()], rows, least)
+
+
+def test_exact_loses_nothing(spark, rows, monkeypatch):
+    monkeypatch.setattr(near.candidates, "__defaults__", (16, False))
+    df = spark.createDataFrame(rows, "id int, page_content string")
+    for least in (0.25, 0.6):
+        assert {tuple(r) for r in near.similar_pairs(df, least=least, exact=True).collect()} == brute(rows, least)
+
+
+def test_bands_follow_the_threshold():
+    assert near.banding(0.6) == (4, 56)
+    for least in (0.05, 0.1, 0.3, 0.4, 0.5, 0.7, 0.8, 0.95):
+        r, b = near.banding(least)
+        assert (1 - least**r) ** b <= near.MISSED and (b <= near.MOST_BANDS or r == 1)
+
+
+def test_one_bucket_of_many(spark):
+    """20,000 different records in one bucket: no unit holds more than two tiles, and every near pair comes out."""
+    draw = np.random.default_rng(8)
+    n = 20_000
+    bits = np.packbits(draw.random((n, near.BITS)) < 0.1, axis=1)
+    bits[1::100] = bits[::100]  # 200 pairs of equal maps
+    reps = spark.createDataFrame([(k, 100 + k % 90 // 2, [7], b.tobytes()) for k, b in enumerate(bits)], "id int, n int, bands array<int>, bits binary").repartition(4)
+    got = {tuple(r) for r in near.candidates(reps, 0.6, tile=2048).collect()}
+    assert {(k, k + 1) for k in range(0, n, 100)} <= got and len(got) < 1000
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id int, page_content string")
     assert near.similar_pairs(df).count() == 0 and near.groups(df).count() == 0
