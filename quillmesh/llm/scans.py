@@ -1,19 +1,20 @@
 """Problem 4: repair text extracted from scanned pages.
 
 Method: an averaged-perceptron character editor. It scores edit operations on
-words (keep, replace, delete, insert) by features of the operation, its
-neighbours, and how often the word before and after the edit occurs in the whole
-collection. Whether a hyphen at a line's end is dropped is decided by rules over
-the same counts (``Repairer.divided``), not by the perceptron. The editor is trained here, on words of the collection
-itself that a table of usual misreadings and divisions has damaged (``SAMPLE``
-words at most, a documented bound); the word statistics cover all records.
-Page furniture is found by position on the page: lines at its edges that repeat
-from page to page, number the pages in order, or stand apart from the wrapped
-text around them.
-
-The lexicon holds the words that make up at least ``SHARE`` of all word
-occurrences, so it has at most ``1 / SHARE`` entries for a collection of any size
-and can be broadcast.
+words (keep, replace, delete, insert) and at line ends (hold the hyphen, or drop
+it and join the lines) by features of the operation, its neighbours, and how
+often the forms before and after it occur in the whole collection. The editor is
+trained here, on words of the collection itself: damaged by a table of usual
+misreadings, divided at random, or parted at a hyphen of their own spelling
+(``SAMPLE`` words of either kind at most, a documented bound); the word statistics
+cover all records. Page furniture is found by position on the page: lines at its
+edges that repeat from page to page, number the pages in order, or stand apart
+from the wrapped text around them.
+
+A word counts as known if it occurs twice or more in the collection. Up to
+``LEXICON`` known words are broadcast; of larger collections the frequent ones are,
+and the counts of the others that a record asks for reach it by a join on the
+word (``_answered``), with the same results.
 
 A record counts as scanned if its lines are hard-wrapped and it is no email.
 Garbled records are restored before, line by line. Defined results: null, empty,
@@ -27,22 +28,30 @@ import difflib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import checkpoint, is_email
 from quillmesh.llm.garbled import restore
 
-#: Least share of all word occurrences of a word of the lexicon; 1 / SHARE bounds its size.
-SHARE = 2e-6
-#: Words up to this share are rare enough to be misreadings of others.
+#: Known words that are broadcast; beyond, those of at least 1 / LEXICON (or RARE / 4) of all occurrences, so no more than LEXICON (or 4 / RARE), and a join for the rest.
+LEXICON = 300_000
+#: Words up to this share of all occurrences are rare enough to be misreadings of others.
 RARE = 2e-5
+#: Characters that the printed lines of a page hold at least and at most; a longer one is no printed line, whatever stands around it.
+NARROW, MEASURE = 20, 130
+#: Share of lines longer than the width, beyond which a text is a list or has paragraphs in one line.
+BEYOND = 0.15
+#: Lines of furniture that lie between two pages at most: three at the foot, three at the head, and the text goes on in the next.
+FURNITURE = 7
 #: Words the editor is trained on.
 SAMPLE, EPOCHS = 3000, 3
 
@@ -73,25 +82,43 @@ def core(token: str) -> str:
 
 @dataclass
 class Lexicon:
+    """Counts of known words. ``extra`` holds those that a record asked for; ``asked`` collects what it asks."""
+
     counts: dict[str, int]
     total: int
-    first_parts: set[str] = field(default_factory=set)
+    extra: dict[str, int] = field(default_factory=dict)
+    asked: set[str] | None = None
 
     def __post_init__(self) -> None:
         self.rare = max(3.0, self.total * RARE)
         self.first_parts = {w.split("-")[0] for w, n in self.counts.items() if "-" in w and n > self.rare}
 
+    def occurrences(self, word: str) -> int:
+        n = self.counts.get(word)
+        if n is None:
+            n = self.extra.get(word, 0)
+            if self.asked is not None:
+                self.asked.add(word)
+        return n
+
     def count(self, word: str) -> int:
-        n = self.counts.get(word.lower(), 0)
+        n = self.occurrences(word.lower())
         if not n and "'" in word:  # elided articles and genitives: the word itself decides
             head, _, tail = word.partition("'")
-            n = self.counts.get((tail if len(tail) > len(head) else head).lower(), 0)
+            n = self.occurrences((tail if len(tail) > len(head) else head).lower())
         return n
 
+    def _scale(self, n: int) -> int:
+        return 0 if not n else max(1, min(12, 6 + int(math.log2(n / self.rare))))
+
     def level(self, word: str) -> int:
         """Occurrences on a logarithmic scale relative to the collection, 0 for unknown words."""
-        n = self.count(word)
-        return 0 if not n else max(1, min(12, 6 + int(math.log2(n / self.rare))))
+        return self._scale(self.count(word))
+
+    def usual(self, word: str) -> int:
+        """The level of a word that is no rare one, else 0; all such words are broadcast."""
+        level = self._scale(self.counts.get(word.lower(), 0))
+        return level if level > 4 else 0
 
 
 def edits(word: str) -> Iterator[tuple[str, str, int]]:
@@ -134,8 +161,8 @@ class Editor:
             # Two misreadings in one word: the second edit must reach the lexicon.
             for op, new, at in edits(word):
                 for op2, new2, at2 in edits(new):
-                    after = lexicon.level(new2)
-                    if after > 4 and new2 != word:
+                    after = lexicon.usual(new2)
+                    if after and new2 != word:
                         out.append((_features(op, before, after, word, at) + ["second", f"second {op2}"], new2, at))
         return out
 
@@ -147,9 +174,8 @@ class Editor:
         scores = [self.score(f) for f, _, _ in options]
         return max(range(len(options)), key=lambda k: (scores[k], -k))
 
-    def train(self, lexicon: Lexicon, seed: int = 7) -> Editor:
-        """Fit on at most SAMPLE words of the lexicon, damaged by the table of misreadings or kept."""
-        draw = random.Random(seed)
+    def cases(self, lexicon: Lexicon, draw: random.Random) -> list[tuple[list[tuple[list[str], str, int]], str]]:
+        """What the editor learns from: at most SAMPLE words of the lexicon, damaged by the table of misreadings or kept."""
         usual = sorted(w for w, n in lexicon.counts.items() if n > lexicon.rare and len(w) > 2 and w.replace("-", "").replace("'", "").isalpha())
         words = draw.sample(usual, min(SAMPLE, len(usual)))
         cases = []
@@ -157,11 +183,11 @@ class Editor:
             shaped = word.capitalize() if draw.random() < 0.15 else word
             # Kept: as it is with its own count, or as a word of the lexicon that it doesn't know.
             cases.append((self.options(shaped, lexicon), shaped))
-            hidden = Lexicon({w: n for w, n in ((w, lexicon.counts.get(w, 0)) for _, w, _ in ((o, n.lower(), a) for o, n, a in edits(shaped)) if w != word) if n}, lexicon.total)
+            hidden = Lexicon({w: n for w, n in ((w, lexicon.occurrences(w)) for _, w, _ in ((o, n.lower(), a) for o, n, a in edits(shaped)) if w != word) if n}, lexicon.total)
             cases.append((self.options(shaped, hidden, 0), shaped))
             damages = [(shaped[:k] + read + shaped[k + len(printed) :]) for printed, read in MISREADINGS for k in range(len(shaped)) if shaped.startswith(printed, k)]
             if damages:
-                for damaged in draw.sample(damages, min(2, len(damages))):
+                for damaged in draw.sample(damages, min(6, len(damages))):
                     if lexicon.count(damaged) <= lexicon.rare:
                         cases.append((self.options(damaged, lexicon), shaped))
             if len(word) > 3:
@@ -169,6 +195,12 @@ class Editor:
                 cases.append((self.blank_options(shaped[:cut], shaped[cut:], lexicon), shaped))
                 other = draw.choice(words)
                 cases.append((self.blank_options(shaped, other, lexicon), shaped))
+        return cases + self._join_cases(lexicon, words, draw)
+
+    def train(self, lexicon: Lexicon, seed: int = 7) -> Editor:
+        """Fit on the cases of a lexicon."""
+        draw = random.Random(seed)
+        cases = self.cases(lexicon, draw)
         total: dict[str, float] = defaultdict(float)
         step = 1
         for _ in range(EPOCHS):
@@ -185,12 +217,52 @@ class Editor:
         self.weights = {f: w - total[f] / step for f, w in self.weights.items()}
         return self
 
+    def join_options(self, left: str, right: str, mark: str, lexicon: Lexicon, known: bool = True) -> list[tuple[list[str], str, int]]:
+        """Keep the hyphen between the two parts of a line end, or drop it and join them; with ``known`` False as if neither form were known."""
+        joined, kept = (lexicon.count(left + right), lexicon.count(f"{left}-{right}")) if known else (0, 0)
+        a, b = lexicon.level(left), lexicon.level(right)
+        against = "neither" if not joined and not kept else "joined" if joined > kept else "kept" if kept > joined else "even"
+        soft, parts = mark != "-", f"{a > 6 and len(left) > 2} {b > 6 and len(right) > 2}"
+        repaired = against == "neither" and not (a and b) and any(lexicon.usual(new) for _, new, _ in edits(left + right))
+        inner = "-" in left and bool(lexicon.count(left.replace("-", "") + right))
+        capital = right[:1].isupper() and not left.isupper()
+        first = left.lower() in lexicon.first_parts and b > 6
+        facts = [
+            "bias", against, f"{against} soft {soft}", f"{against} parts {parts}", f"{against} first {first}", f"{against} capital {capital}", f"{against} inner {inner}", f"{against} repaired {repaired}",
+            f"{against} {soft} {parts} {first} {capital}", f"{against} parts {min(a, 7)} {min(b, 7)}",
+        ]
+        return [([f"hold {f}" for f in facts], f"{left}-{right}", -1), ([f"join {f}" for f in facts], left + right, len(left))]
+
+    def _join_cases(self, lexicon: Lexicon, words: list[str], draw: random.Random) -> list[tuple[list[tuple[list[str], str, int]], str]]:
+        """Line ends to learn from: words divided anywhere, known and unknown, and words parted at a hyphen of their own spelling."""
+        cases = []
+
+        def add(left: str, right: str, mark: str, truth: str) -> None:
+            for known in (True, False):
+                cases.append((self.join_options(left, right, mark, lexicon, known), truth))
+
+        for word in words:
+            if len(word) > 3 and word.isalpha():
+                cut = draw.randrange(2, len(word) - 1)
+                left, right = word[:cut], word[cut:]
+                if draw.random() < 0.1:
+                    left, right = left.upper(), right.upper()
+                add(left, right, draw.choice("---" + _HYPHENS), left + right)
+        own = sorted(w for w, n in lexicon.counts.items() if w.count("-") and n > lexicon.rare and all(p.isalpha() for p in w.split("-")))
+        for word in draw.sample(own, min(SAMPLE, len(own))):
+            for at in (k for k, c in enumerate(word) if c == "-"):
+                add(word[:at], word[at + 1 :], "-", word)
+                if "-" not in word[:at]:
+                    other = draw.choice(words)
+                    add(word[:at].capitalize(), other.capitalize(), "-", f"{word[:at].capitalize()}-{other.capitalize()}")
+        return cases
+
     def blank_options(self, left: str, right: str, lexicon: Lexicon) -> list[tuple[list[str], str, int]]:
         """Keep the blank between two tokens, or delete it."""
-        before, after = min(lexicon.level(left), lexicon.level(right)), lexicon.level(left + right)
+        before, after = min(lexicon.level(left), lexicon.level(right)), lexicon.usual(left + right)
         pair = f"{left} {right}"
         out = [(["keep blank", f"keep blank {before}", f"keep blank {before} {after}"], pair, -1)]
-        if after > 4:
+        if after:
             out.append((_features("blank", before, after, left + right, len(left)), left + right, len(left)))
         return out
 
@@ -208,6 +280,9 @@ class Repairer:
     def word(self, token: str) -> tuple[str, int]:
         """(repaired word, position of its first misread character or -1)."""
         word = core(token)
+        if self.lexicon.asked is not None:
+            self._word(word)
+            return word, -1
         known = self._memo.get(word)
         if known is None:
             if len(self._memo) > 200_000:
@@ -272,23 +347,7 @@ class Repairer:
         a, b = left.lstrip(_TRIM + "("), right.rstrip(_TRIM + ")")
         if not b or not b[:1].isalpha():
             return False
-        joined, kept = self.lexicon.count(a + b), self.lexicon.count(f"{a}-{b}")
-        if kept > joined:
-            return False
-        if joined > kept:
-            return True
-        if b[:1].isupper() and not a.isupper():
-            return False
-        if "-" in a and self.lexicon.count(a.replace("-", "") + b):
-            return True
-        new, place = self.word(a + b)
-        if place >= 0:
-            return True
-        if mark != "-":
-            return True
-        if a.lower() in self.lexicon.first_parts and self.lexicon.count(b) > self.lexicon.rare:
-            return False
-        return not (self.lexicon.count(a) > self.lexicon.rare and self.lexicon.count(b) > self.lexicon.rare and len(a) > 2 and len(b) > 2)
+        return self.editor.best(self.editor.join_options(a, b, mark, self.lexicon)) > 0
 
 
 # Words before a page number.
@@ -318,19 +377,30 @@ def _bare(line: str) -> str:
 
 
 def wrapped_width(lines: list[str]) -> int:
-    """The width that a text is hard-wrapped at; 0 if it isn't."""
+    """The width that a text is hard-wrapped at; 0 if it isn't.
+
+    A line and the first word of the next bound the width between them. The width
+    is the widest of those that nearly as many lines agree on as on any. Lines
+    beyond it (a long title, a line of another origin) are no hindrance while they
+    are one or few (``BEYOND``).
+    """
     bare = [_bare(x).rstrip() for x in lines]
-    filled = [len(x) for x in bare if x.strip()]
-    if len(filled) < 2 or max(filled) > 130:
-        return 0
-    width = max(filled)
-    pairs = wraps = 0
+    lengths, reaches = [], []
     for a, b in zip(bare, bare[1:]):
         if a.strip() and b.strip() and not _NUMBER.match(a) and not _NUMBER.match(b):
-            pairs += 1
-            wraps += len(a) + 1 + len(b.split()[0]) > width - 2
+            lengths.append(len(a))
+            reaches.append(len(a) + 1 + len(b.split()[0]))
+    candidates = sorted({len(x) for x in bare if NARROW <= len(x) <= MEASURE})
+    if not lengths or not candidates:
+        return 0
+    ended, reached = sorted(lengths), sorted(reaches)
+    wraps = [bisect_right(ended, w) - bisect_right(reached, w - 2) for w in candidates]
+    k = max(k for k, n in enumerate(wraps) if n >= 0.9 * max(wraps))
+    width = candidates[k]
+    filled = [len(x) for x in bare if x.strip()]
+    beyond = sum(n > width for n in filled)
     paged = any(_MARKER.search(x) for x in lines)
-    return width if wraps >= (1 if paged else 3) and wraps >= 0.6 * pairs else 0
+    return width if wraps[k] >= (1 if paged else 3) and wraps[k] >= 0.6 * len(lengths) and beyond <= max(1, BEYOND * len(filled)) else 0
 
 
 #: Page numbers that can't be a line of text: with a word, in brackets or between dashes.
@@ -345,7 +415,7 @@ def _page_breaks(lines: list[str]) -> set[int]:
     marks = [_MARKER.search(x) is not None for x in lines]
     lines = [_bare(x) for x in lines]
     filled = [k for k in range(len(lines)) if lines[k].strip()]
-    width = max((len(lines[k].rstrip()) for k in filled), default=0)
+    width = wrapped_width(lines) or max((len(lines[k].rstrip()) for k in filled), default=0)
     breaks: set[int] = set()
     on_page, numbers_on_top, first_page = 0, False, True
 
@@ -439,8 +509,7 @@ def furniture(lines: list[str]) -> set[int]:
             pages.append([])
     pages = [p for p in ([k for k in page if _bare(lines[k]).strip()] for page in pages) if p]
     bare = {k: _bare(lines[k]).strip() for page in pages for k in page}
-    lengths = sorted(len(_bare(lines[k]).rstrip()) for page in pages for k in page)
-    width = lengths[-1] if lengths else 0
+    width = wrapped_width(lines) or max((len(_bare(lines[k]).rstrip()) for k in bare), default=0)
     found: set[int] = set()
 
     def apart(k: int, after: int | None) -> bool:
@@ -639,44 +708,121 @@ def word_counts(records: DataFrame, text_col: str = "page_content") -> DataFrame
     return records.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(records: DataFrame, text_col: str = "page_content") -> Repairer:
-    """Word statistics of all records and the editor trained on them; the lexicon is bounded by 1 / SHARE words."""
-    counted = word_counts(records, text_col)
-    rows = checkpoint(counted.where(F.col("n") > 1))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    kept = rows.where(F.col("n") >= max(2.0, total * SHARE)).toPandas()
+def fit(records: DataFrame, text_col: str = "page_content") -> tuple[Repairer, DataFrame | None]:
+    """(repairer, other words): the editor trained on the word statistics of all records, and (word, n) of the known words that it doesn't hold; None if it holds all."""
+    known = checkpoint(word_counts(records, text_col).where(F.col("n") > 1))
+    words, total = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # At most max(LEXICON, 4 / RARE) words reach the driver: there are no more of that share.
+    least = 2.0 if words <= LEXICON else max(2.0, min(total / LEXICON, total * RARE / 4))
+    kept = known.where(F.col("n") >= least).toPandas()
     lexicon = Lexicon(dict(zip(kept["word"], (int(n) for n in kept["n"]))), int(total))
-    return Repairer(lexicon, Editor().train(lexicon))
-
+    others = None if len(kept) == words else known.where(F.col("n") < least)
+    if others is not None:  # the counts that training asks for, bounded by SAMPLE
+        lexicon.asked = set()
+        Editor().cases(lexicon, random.Random(7))
+        asked = records.sparkSession.createDataFrame([(w,) for w in lexicon.asked], "word string")
+        lexicon.extra, lexicon.asked = {r.word: r.n for r in others.join(F.broadcast(asked), "word").collect()}, None
+    editor = Editor().train(lexicon)
+    lexicon.extra = {}
+    return Repairer(lexicon, editor), others
+
+
+def asked_words(text: str | None, repairer: Repairer) -> set[str]:
+    """All words whose counts the repair of a text may need and the lexicon doesn't hold: every token and every line end is tried, whatever comes of it."""
+    lexicon = repairer.lexicon
+    lexicon.asked = set()
+    lines = [_bare(x.rstrip("\r")).rstrip() for x in restore(text).split("\n")] if text and "\n" in text else []
+    if not wrapped_width(lines):
+        return lexicon.asked
+    tokens = [x.split() for x in lines]
+    for own in tokens:
+        for k, token in enumerate(own):
+            repairer.word(token)
+            if k + 1 < len(own):
+                repairer.blank_inside(token, own[k + 1])
+    for k, own in enumerate(tokens):
+        if own and own[-1][-1:] in _HYPHENS:
+            head, mark = own[-1].rstrip(_HYPHENS), own[-1][-1]
+            # Furniture may lie between the parts of a word: a few lines below are tried.
+            for follow in [x for x in tokens[k + 1 :] if x][:FURNITURE]:
+                whole = head.lstrip(_TRIM + "(") + follow[0]
+                repairer.divided(head, follow[0], mark)
+                for word in (head, whole, head + follow[0]):
+                    repairer.word(word)
+                lexicon.count(core(whole))
+                if len(follow) > 1:
+                    repairer.blank_inside(core(whole), follow[1])
+    return lexicon.asked
+
+
+Work = Callable[[str | None, Repairer], object]
+
+
+def _answered(scanned: DataFrame, others: DataFrame, shared: Broadcast) -> DataFrame:
+    """``scanned`` (id, text) plus ``known MAP<STRING, BIGINT>``: the counts of the words outside the lexicon that the record's repair asks for.
+
+    A record's map is bounded by its own words; each word's count is one row, so a
+    word that many records ask for may be split over tasks.
+    """
+    kind = scanned.schema["id"].dataType.simpleString()
 
-def repaired(records: DataFrame, id_col: str = "id", text_col: str = "page_content", name_col: str = "file_name") -> DataFrame:
-    """(``id_col``, repaired STRING) of the scanned records."""
-    shared = records.sparkSession.sparkContext.broadcast(fit(records, text_col))
-    kind = records.schema[id_col].dataType.simpleString()
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repairer = shared.value
+        asking = Repairer(Lexicon(repairer.lexicon.counts, repairer.lexicon.total), repairer.editor)
+        asking.lexicon.rare = repairer.lexicon.rare
+        for batch in batches:
+            at, words = [], []
+            for k, text in enumerate(batch.column(1)):
+                asked = asked_words(text.as_py(), asking)
+                at += [k] * len(asked)
+                words += asked
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(words, pa.string())], names=["id", "word"])
+
+    asked = scanned.mapInArrow(ask, f"id {kind}, word string").join(others, "word")
+    answers = asked.groupBy(F.col("id").alias("_id")).agg(F.map_from_entries(F.collect_set(F.struct("word", "n"))).alias("known"))
+    return scanned.join(answers, F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "text", "known")
+
+
+def _repair(records: DataFrame, id_col: str, text_col: str, name_col: str, work: Work, emit: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work`` on every scanned record; ``emit`` makes rows of a batch and its results."""
+    repairer, others = fit(records, text_col)
+    shared = records.sparkSession.sparkContext.broadcast(repairer)
+    scanned = records.where(~is_email(records[name_col]) & F.col(text_col).contains("\n")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if others is not None:
+        scanned = _answered(scanned, others, shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repairer = shared.value
         for batch in batches:
-            texts = [repaired_text(t.as_py(), repairer) for t in batch.column(1)]
-            keep = [k for k, t in enumerate(texts) if t is not None]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([texts[k] for k in keep], pa.string())], names=[id_col, "repaired"])
+            known = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+            results = []
+            for text, extra in zip(batch.column(1), known):
+                repairer.lexicon.extra = dict(extra or ())
+                results.append(work(text.as_py(), repairer))
+            yield emit(batch, results)
 
-    return records.where(~is_email(records[name_col]) & F.col(text_col).contains("\n")).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, repaired string")
+    kind = records.schema[id_col].dataType.simpleString()
+    return scanned.mapInArrow(run, f"`{id_col}` {kind}, {schema}")
+
+
+def repaired(records: DataFrame, id_col: str = "id", text_col: str = "page_content", name_col: str = "file_name") -> DataFrame:
+    """(``id_col``, repaired STRING) of the scanned records."""
+
+    def emit(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+        keep = [k for k, t in enumerate(texts) if t is not None]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([texts[k] for k in keep], pa.string())], names=[id_col, "repaired"])
+
+    return _repair(records, id_col, text_col, name_col, repaired_text, emit, "repaired string")
 
 
 def scan_lines(records: DataFrame, id_col: str = "id", text_col: str = "page_content", name_col: str = "file_name") -> DataFrame:
     """(``id_col``, line_no INT, kind STRING): furniture, hyphen and misread lines of scanned records."""
-    shared = records.sparkSession.sparkContext.broadcast(fit(records, text_col))
-    kind = records.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repairer = shared.value
-        for batch in batches:
-            found = [found_lines(t.as_py(), repairer) for t in batch.column(1)]
-            at = [k for k, rows in enumerate(found) for _ in rows]
-            flat = [row for rows in found for row in rows]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.string())], names=[id_col, "line_no", "kind"]
-            )
-
-    return records.where(~is_email(records[name_col]) & F.col(text_col).contains("\n")).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, line_no int, kind string")
+    def emit(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        at = [k for k, rows in enumerate(found) for _ in rows]
+        flat = [row for rows in found for row in rows]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(at, pa.int64())), pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.string())], names=[id_col, "line_no", "kind"]
+        )
+
+    return _repair(records, id_col, text_col, name_col, found_lines, emit, "line_no int, kind string")

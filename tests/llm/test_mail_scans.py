@@ -161,3 +161,40 @@ def test_running_lines_against_brute_force():
     running = scans._Running(dict(enumerate(forms)), zones)
     for k, form in enumerate(forms):
         assert running.repeated(k, k // 3) == (len(form) > 2 and any(scans._alike(form, forms[j]) for j in range(240) if j // 3 != k // 3)), form
+
+
+def test_wide_lines_dont_hide_the_width():
+    draw = random.Random(3)
+    lines, _ = scanned_page(draw)
+    width = scans.wrapped_width(lines)
+    assert width and scans.wrapped_width([*lines, "x" * 131]) == width == scans.wrapped_width(["A TITLE OF MORE CHARACTERS THAN THE LINES BELOW IT HOLD " * 3, "", *lines])
+    assert scans.wrapped_width(["a paragraph in one line " * 20, "another one in one line " * 31, "and so on " * 40] * 5) == 0
+    assert scans.wrapped_width(["BG 88048", "VL/93444", "AZ-58723"] * 80) == 0
+
+
+def test_line_ends_on_held_out_words():
+    """Joins decided by the editor on words it wasn't trained on, known and unknown."""
+    draw = random.Random(4)
+    make = lambda: "".join(draw.choices("etaoinshrdlucm", k=draw.randrange(5, 11)))
+    vocabulary = {make(): draw.randrange(100, 3000) for _ in range(2500)}
+    firsts = draw.sample(sorted(vocabulary), 60)
+    hyphened = {f"{draw.choice(firsts)}-{draw.choice(sorted(vocabulary))}": draw.randrange(100, 400) for _ in range(300)}
+    lexicon = scans.Lexicon(vocabulary | hyphened, sum(vocabulary.values()))
+    repairer = scans.Repairer(lexicon, scans.Editor().train(lexicon))
+    words = draw.sample(sorted(vocabulary), 300)
+    assert sum(repairer.divided(w[:k], w[k:], "-") for w in words for k in (2, 3)) >= 0.99 * 600
+    assert sum(repairer.divided(*w.split("-"), "-") for w in hyphened) <= 3
+    unknown = [make() for _ in range(300)]
+    assert sum(repairer.divided(w[:3], w[3:], "-") for w in unknown if w not in vocabulary) >= 270
+    assert not repairer.divided("Karin", "Lindholm", "-") or "karin" not in vocabulary
+
+
+@pytest.mark.parametrize("operator", ["scan_lines", "repaired"])
+def test_rare_words_by_a_join(spark, data_dir, operator, monkeypatch):
+    """The same rows whether the lexicon is broadcast whole or the rarer words come by a join."""
+    df = spark.read.parquet(f"{data_dir}/document_metadata.parquet")
+    monkeypatch.setattr(scans, "RARE", 1e-3)
+    whole = getattr(scans, operator)(df).collect()
+    monkeypatch.setattr(scans, "LEXICON", 1)
+    assert scans.fit(df)[1].count() > 100
+    assert sorted(map(tuple, getattr(scans, operator)(df).collect())) == sorted(map(tuple, whole))
