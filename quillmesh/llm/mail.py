@@ -3,13 +3,15 @@
 Method: a recursive layout grammar. The lines of a body are parsed into a tree
 
     body      := (authored | quote | forward)*
-    quote     := introduction? (marked line | line that lost its mark | blank)+     its content is a body again
+    quote     := introduction? (marked line | line that lost its mark | blank)+     its content, a mark less, is a body
     forward   := (separator | header block | introduction without marks) body       up to the end
     authored  := paragraph* closing? signature? notice*
 
-and only the paragraphs of ``authored`` nodes at the top are serialised. The
-nodes below a quote or forward are parsed by the same rules (``deep=True``), but
-none of their lines is the sender's.
+down to the innermost quote, and only the paragraphs of ``authored`` nodes at depth
+0 are serialised: ``newly_written``. ``structure`` serialises the whole tree, one row
+a line. Bodies wait on a stack instead of the call stack, and the marks that all
+lines of a quote share are taken off at once, so neither deep nor long quotes
+exceed any limit.
 
 A garbled email is restored for parsing; restoring keeps line ends, so line
 numbers hold. Defined results: null, empty and blank texts give no line; lines
@@ -20,7 +22,7 @@ repeated rows give the same lines each.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -32,12 +34,22 @@ from quillmesh.llm.garbled import LARGE, SMALL, restore
 
 @dataclass
 class Node:
-    """``kind``: authored, closing, notice, quote, forward; ``lines`` are indexes into the body parsed."""
+    """``kind``: authored, closing, notice, quote, forward; ``lines`` are indexes into the lines of the email; the first ``lead`` of them introduce a quote or forward."""
 
     kind: str
-    lines: list[int]
+    lines: Sequence[int]
+    depth: int = 0
+    lead: int = 0
     children: list[Node] = field(default_factory=list)
 
+    def walk(self) -> Iterator[Node]:
+        """The node and all below it, parents first."""
+        waiting = [self]
+        while waiting:
+            node = waiting.pop()
+            yield node
+            waiting += reversed(node.children)
+
 
 def _lenient(words: str) -> str:
     """A pattern in which an accented letter may also be what a lossy decoding left of it."""
@@ -117,20 +129,62 @@ def _header_block(lines: list[str], at: int) -> int:
     return n if len(seen) > 1 else 0
 
 
-def parse(lines: list[str], deep: bool = False) -> list[Node]:
-    """The nodes of one body."""
-    nodes: list[Node] = []
+def parse(lines: list[str]) -> list[Node]:
+    """The tree of an email's lines."""
+    root = Node("body", list(range(len(lines))))
+    waiting = [(root, lines, root.lines, 0)]
+    while waiting:
+        parent, content, where, depth = waiting.pop()
+        for node, marks in _body(content):
+            node.depth = depth
+            if marks is not None:
+                start, end = node.lines[0] + node.lead, node.lines[-1] + 1
+                if marks or end - start < len(content):
+                    inner = content[start:end]
+                    waiting.append((node, [_unmarked(line, marks) for line in inner] if marks else inner, where[start:end], depth + max(marks, 1)))
+                node.lines = where[node.lines[0] : end]
+            else:
+                node.lines = [where[k] for k in node.lines]
+            parent.children.append(node)
+    return root.children
+
+
+def _unmarked(line: str, marks: int) -> str:
+    """A line without its first ``marks`` marks; one that lost its mark stays as it is."""
+    at = 0
+    for _ in range(marks):
+        mark = _MARK.match(line[at : at + 8])
+        if mark is None:
+            break
+        at += mark.end()
+    return line[at:].removeprefix(" ") if at else line
+
+
+def _shared_marks(lines: list[str]) -> int:
+    """The marks that all marked ones of these lines begin with; 0 if none is marked."""
+    least = None
+    for line in lines:
+        if _MARK.match(line):
+            n = at = 0
+            while (least is None or n < least) and (mark := _MARK.match(line[at : at + 8])):
+                n, at = n + 1, at + mark.end()
+            least = n if least is None else min(least, n)
+    return least or 0
+
+
+def _body(lines: list[str]) -> list[tuple[Node, int | None]]:
+    """The nodes of one body, with the marks to take off the content of those that hold a body again, None for the others."""
+    nodes: list[tuple[Node, int | None]] = []
     own: list[int] = []
 
     def close() -> None:
         if own:
-            nodes.extend(_authored(lines, own[:], first=not nodes))
+            nodes.extend((node, None) for node in _authored(lines, own[:], first=not nodes))
             own.clear()
 
-    def inner(kind: str, part: list[int], lead: int = 0) -> None:
+    def nested(kind: str, start: int, end: int, lead: int = 0) -> None:
         close()
-        content = [_MARK.sub("", lines[k]).removeprefix(" ") if kind == "quote" else lines[k] for k in part[lead:]]
-        nodes.append(Node(kind, part, parse(content, deep) if deep and content != lines else []))
+        nodes.append((Node(kind, range(start, end), lead=lead), _shared_marks(lines[start + lead : end]) if kind == "quote" else 0))
 
     at, n = 0, len(lines)
     while at < n:
@@ -139,38 +193,29 @@ def parse(lines: list[str], deep: bool = False) -> list[Node]:
             own.append(at)
             at += 1
             continue
-        lead = 0
-        rest_is_theirs = False
-        if _FORWARD_START.match(s) or _SEPARATOR.match(s):
-            lead, rest_is_theirs = 1, True
-        elif _RULE.match(s) and at + 1 < n and (block := _header_block(lines, _next(lines, at + 1))):
-            lead, rest_is_theirs = _next(lines, at + 1) + block - at, True
-        elif block := _header_block(lines, at):
-            lead, rest_is_theirs = block, True
-        elif count := _intro(lines, at):
-            lead, rest_is_theirs = count, True
+        lead, rest_is_theirs = _introduction(lines, at)
         if lead:
             first = _next(lines, at + lead)
             if first < n and _MARK.match(lines[first]):
                 end = _quote_end(lines, first)
-                inner("quote", list(range(at, end)), lead)
-                at = end
-                continue
-            if first < n and lines[first][:2] in ("  ", " \t") or first < n and lines[first][:1] == "\t":
+            elif first < n and _indented(lines[first]):
                 end = _indented_end(lines, first)
-                inner("quote", list(range(at, end)), lead)
+            elif rest_is_theirs:
+                nested("forward", at, n, first + block - at if first < n and (block := _header_block(lines, first)) else lead)
+                break
+            else:
+                end = at
+            if end > at:
+                nested("quote", at, end, lead)
                 at = end
                 continue
-            if rest_is_theirs:
-                inner("forward", list(range(at, n)), lead)
-                break
         if _MARK.match(lines[at]):
             end = _quote_end(lines, at)
             marked = sum(1 for k in range(at, end) if _MARK.match(lines[k]))
             if own and own[-1] == at - 1 and lines[at - 1].rstrip().endswith(":") and marked <= 2 and end - at <= 2:
                 own.extend(range(at, end))  # an example within the sender's own paragraph
             else:
-                inner("quote", list(range(at, end)))
+                nested("quote", at, end)
             at = end
             continue
         own.append(at)
@@ -179,6 +224,21 @@ def parse(lines: list[str], deep: bool = False) -> list[Node]:
     return nodes
 
 
+def _introduction(lines: list[str], at: int) -> tuple[int, bool]:
+    """(lines from ``at`` that introduce somebody else's text, whether all below is theirs); 0 if none does."""
+    s = lines[at].strip()
+    if _FORWARD_START.match(s) or _SEPARATOR.match(s):
+        return 1, True
+    if _RULE.match(s) and at + 1 < len(lines) and (block := _header_block(lines, _next(lines, at + 1))):
+        return _next(lines, at + 1) + block - at, True
+    count = _header_block(lines, at) or _intro(lines, at)
+    return count, count > 0
+
+
+def _indented(line: str) -> bool:
+    return line[:2] in ("  ", " \t") or line[:1] == "\t"
+
+
 def _next(lines: list[str], at: int) -> int:
     while at < len(lines) and not lines[at].strip():
         at += 1
@@ -233,7 +293,7 @@ def _runs_on(before: str, line: str) -> bool:
 def _indented_end(lines: list[str], at: int) -> int:
     n = len(lines)
     last = at
-    while at < n and (not lines[at].strip() or lines[at][:2] in ("  ", " \t") or lines[at][:1] == "\t"):
+    while at < n and (not lines[at].strip() or _indented(lines[at])):
         if lines[at].strip():
             last = at + 1
         at += 1
@@ -332,23 +392,55 @@ class _Notices:
         return words >= 2 or words == 1 and len(rest) < 160
 
 
-def authored_lines(text: str | None) -> list[int]:
-    """Numbers (from 1) of the lines of an email's text that its sender newly wrote."""
+def tree(text: str | None) -> tuple[list[Node], int]:
+    """(nodes, lines before them) of an email's text; a leading ``Subject:`` line is no part of the body."""
     if not text or not text.strip():
-        return []
+        return [], 0
     lines = [line.rstrip("\r") for line in restore(text).split("\n")]
     skip = 1 if re.match(r"\s*Subject:", lines[0], re.I) else 0
-    return [k + skip + 1 for node in parse(lines[skip:]) if node.kind == "authored" for k in node.lines]
+    return parse(lines[skip:]), skip
 
 
-def newly_written(records: DataFrame, id_col: str = "id", text_col: str = "page_content", name_col: str = "file_name") -> DataFrame:
-    """(``id_col``, line_no INT): one row for each line that an email's sender newly wrote; no shuffle."""
+def authored_lines(text: str | None) -> list[int]:
+    """Numbers (from 1) of the lines of an email's text that its sender newly wrote: the authored nodes at depth 0."""
+    nodes, skip = tree(text)
+    return [k + skip + 1 for node in nodes if node.kind == "authored" for k in node.lines]
+
+
+def line_kinds(text: str | None) -> list[tuple[int, str, int]]:
+    """(number from 1, kind, depth) of every line that isn't blank, in order: what the innermost node it lies in makes of it, ``introduction`` for what leads a quote or forward in."""
+    nodes, skip = tree(text)
+    lines = (text or "").split("\n")
+    found: dict[int, tuple[str, int]] = {}
+    for top in nodes:
+        for node in top.walk():
+            for place, k in enumerate(node.lines):
+                found[k] = ("introduction" if place < node.lead else node.kind, node.depth)
+    return [(k + skip + 1, *found[k]) for k in sorted(found) if lines[k + skip].strip()]
+
+
+def _emails(records: DataFrame, id_col: str, text_col: str, name_col: str, rows_of: Callable[[str | None], list[tuple]], columns: dict[str, str]) -> DataFrame:
+    """One row for each tuple that ``rows_of`` gives for an email; no shuffle."""
     kind = records.schema[id_col].dataType.simpleString()
+    types = {"int": pa.int32(), "string": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers = [authored_lines(t.as_py()) for t in batch.column(1)]
-            at = [k for k, found in enumerate(numbers) for _ in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([x for found in numbers for x in found], pa.int32())], names=[id_col, "line_no"])
+            found = [rows_of(t.as_py()) for t in batch.column(1)]
+            at = [k for k, rows in enumerate(found) for _ in rows]
+            flat = [row for rows in found for row in rows]
+            cells = [pa.array([row[c] for row in flat], types[t]) for c, t in enumerate(columns.values())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *cells], names=[id_col, *columns])
+
+    schema = ", ".join(f"`{name}` {t}" for name, t in ({id_col: kind} | columns).items())
+    return records.where(is_email(records[name_col])).select(id_col, text_col).mapInArrow(run, schema)
+
+
+def newly_written(records: DataFrame, id_col: str = "id", text_col: str = "page_content", name_col: str = "file_name") -> DataFrame:
+    """(``id_col``, line_no INT): one row for each line that an email's sender newly wrote; no shuffle."""
+    return _emails(records, id_col, text_col, name_col, lambda t: [(k,) for k in authored_lines(t)], {"line_no": "int"})
+
 
-    return records.where(is_email(records[name_col])).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, line_no int")
+def structure(records: DataFrame, id_col: str = "id", text_col: str = "page_content", name_col: str = "file_name") -> DataFrame:
+    """(``id_col``, line_no INT, kind STRING, depth INT): every line of an email that isn't blank, with its place in the tree; no shuffle."""
+    return _emails(records, id_col, text_col, name_col, line_kinds, {"line_no": "int", "kind": "string", "depth": "int"})

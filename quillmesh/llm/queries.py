@@ -32,6 +32,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return mail.newly_written(table(spark, d, "document_metadata"))
 
 
+def p3_structure(spark: SparkSession, d: str) -> DataFrame:
+    return mail.structure(table(spark, d, "document_metadata"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.scan_lines(table(spark, d, "document_metadata"))
 
@@ -66,7 +70,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_restored, p3_found, p4_found, p4_repaired, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_restored, p3_found, p3_structure, p4_found, p4_repaired, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_forms)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -41,11 +41,19 @@ def test_own_lines(name):
 
 
 def test_tree_is_recursive():
-    lines = CASES["lost mark"][0].split("\n")
-    nested = ["Ann Lee writes:", "> Hi", "> On 8 Feb 2022 at 01:45, Bob <b@x.example> wrote:", ">> deep", "", "end."]
-    tree = mail.parse(nested, deep=True)
-    assert [n.kind for n in tree] == ["quote", "authored"] and "quote" in [c.kind for c in tree[0].children]
-    assert mail.parse(lines)[0].kind == "quote"
+    nested = ["Ann Lee writes:", "> Hi", "> On 8 Feb 2022 at 01:45, Bob <b@x.example> wrote:", ">> deep", ">>> deeper", ">", "> Bye now.", "", "end."]
+    kinds = mail.line_kinds("\n".join(nested))
+    assert kinds == [(1, "introduction", 0), (2, "authored", 1), (3, "introduction", 1), (4, "authored", 2), (5, "authored", 3), (6, "quote", 0), (7, "authored", 1), (9, "authored", 0)]
+    tree = mail.parse(nested)
+    assert [n.kind for n in tree] == ["quote", "authored"] and [c.kind for c in tree[0].children] == ["authored", "quote", "authored"]
+    forward = "See below.\n\n-----Original Message-----\nFrom: Ann\nTo: Bob\n\nMine.\n\nBegin forwarded message:\n\nTheirs.\n> old"
+    assert [(k, d) for _, k, d in mail.line_kinds(forward)][-3:] == [("introduction", 1), ("authored", 2), ("authored", 3)]
+
+
+@pytest.mark.parametrize("text", [">" * 300_000 + " x", "\n".join(">" * k + " line" for k in range(1, 700)), "-----Original Message-----\n" * 5000, "> a\nb\n" * 20_000, "> > " * 50_000])
+def test_deep_and_long_quotes_end(text):
+    assert mail.authored_lines(text) == [] or set(mail.authored_lines(text)) < set(range(1, text.count("\n") + 2))
+    assert {n for n, _, _ in mail.line_kinds(text)} == {k + 1 for k, line in enumerate(text.split("\n")) if line.strip()}
 
 
 def test_mail_table(spark):
