@@ -1,15 +1,19 @@
 """Problem 2: find text decoded with the wrong encoding and restore it.
 
-Method: the garbled sequences of all encoding pairs are precomputed for an
-alphabet of written characters (once and twice garbled) and matched with a
-multi-pattern automaton; only matched spans are replaced. Sequences of two or
-more characters (UTF-8 read as a single-byte encoding) are replaced where they
-match. Where one byte became one other character, the table of each pair is
-tried on the word: it is replaced only if that removes breaks no writing has
-(letters of two scripts in one word, a capital after a small letter, symbols or
-control characters inside a word, digits against accented letters). Words that
-read naturally either way follow the words around them, so a stretch is restored
-as a stretch and correct text between is left alone.
+Method: the garbled sequences of all encoding pairs are precomputed and matched
+with one multi-pattern automaton; only matched spans are replaced. Its patterns
+are what UTF-8 read as a single-byte encoding makes of an alphabet of written
+characters (once and twice garbled, two characters and more), and what each pair
+of single-byte encodings makes of a byte (one character for another). Each
+pattern knows the pairs it belongs to and what was written.
+
+Sequences of two or more characters are replaced where they match. Where one byte
+became one other character the same character may be ordinary writing, so the
+spans of a word are replaced only if that removes breaks no writing has (letters
+of two scripts in one word, a capital after a small letter, symbols or control
+characters inside a word, digits against accented letters). Words that read
+naturally either way follow the words around them, so a stretch is restored as a
+stretch and correct text between is left alone.
 
 Defined results: null, empty and plain ASCII texts are never garbled; a
 replacement character (U+FFFD) marks a text as garbled that cannot be restored
@@ -62,39 +66,68 @@ def _upper_half(encoding: str) -> tuple[str, ...]:
 
 
 @lru_cache(maxsize=1)
-def single_byte_tables() -> list[tuple[str, str, dict[int, str]]]:
-    """(written, read, read character -> written character) of every pair of single-byte encodings."""
-    out = []
-    for written in WRITTEN:
-        for read in READ:
-            table = {ord(r): w for r, w in zip(_upper_half(read), _upper_half(written)) if r != w}
-            if written != read and table:
-                out.append((written, read, table))
-    return out
+def pairs() -> list[tuple[str, str]]:
+    """(written in, read in) of every pair of encodings; UTF-8 is written first, in the order of READ."""
+    return [("utf-8", read) for read in READ] + [(written, read) for written in WRITTEN for read in READ if written != read and _upper_half(written) != _upper_half(read)]
+
+
+@lru_cache(maxsize=1)
+def garbled_sequences() -> dict[str, dict[int, str]]:
+    """Garbled sequence -> {number of the pair: what was written} over all pairs."""
+    found: dict[str, dict[int, str]] = {}
+    written_characters = sorted(SMALL | LARGE | CYRILLIC | GREEK | MARKS)
+    for number, (written, read) in enumerate(pairs()):
+        half = _upper_half(read)
+        if written == "utf-8":
+            wrong = lambda s, half=half: "".join(half[b - 128] if b > 127 else chr(b) for b in s.encode())
+            for c in written_characters:
+                once = wrong(c)
+                for sequence in (once, wrong(once)):
+                    if len(sequence) > 1:
+                        found.setdefault(sequence, {}).setdefault(number, c)
+        else:
+            for r, w in zip(half, _upper_half(written)):
+                if r != w:
+                    found.setdefault(r, {})[number] = w
+    return found
 
 
 @lru_cache(maxsize=1)
 def _automaton():
-    """Garbled sequence -> written character per reading encoding, for UTF-8 read as a single-byte encoding, once or twice over."""
+    """The garbled sequences as patterns: (length, {pair: written}, whether it could be writing)."""
     import ahocorasick
 
-    found: dict[str, dict[int, str]] = {}
-    written = sorted(SMALL | LARGE | CYRILLIC | GREEK | MARKS)
-    for number, read in enumerate(READ):
-        half = _upper_half(read)
-        wrong = lambda s, half=half: "".join(half[b - 128] if b > 127 else chr(b) for b in s.encode())
-        for c in written:
-            once = wrong(c)
-            found.setdefault(once, {}).setdefault(number, c)
-            found.setdefault(wrong(once), {}).setdefault(number, c)
     machine = ahocorasick.Automaton()
-    for sequence, by_read in found.items():
-        if len(sequence) > 1:
-            machine.add_word(sequence, (len(sequence), by_read, _weak(sequence)))
+    for sequence, by_pair in garbled_sequences().items():
+        machine.add_word(sequence, (len(sequence), by_pair, _weak(sequence)))
     machine.make_automaton()
     return machine
 
 
+def _matches(word: str) -> tuple[dict[int, list[tuple[int, dict[int, str], bool]]], list[tuple[int, dict[int, str]]]]:
+    """Matched spans of a word: those of several characters by their start, and (place, {pair: written}) of single ones."""
+    several: dict[int, list] = {}
+    single = []
+    for end, hit in _automaton().iter(word):
+        if hit[0] > 1:
+            several.setdefault(end - hit[0] + 1, []).append(hit)
+        else:
+            single.append((end, hit[1]))
+    return several, single
+
+
+def _exchanged(word: str, single: list[tuple[int, dict[int, str]]], pair: int) -> str:
+    """A word with the matched spans of one single-byte pair replaced."""
+    out = list(word)
+    for at, by_pair in single:
+        out[at] = by_pair.get(pair, out[at])
+    return "".join(out)
+
+
+def _as_written(word: str, pair: int) -> str:
+    return _exchanged(word, _matches(word)[1], pair)
+
+
 def _weak(sequence: str) -> bool:
     """Whether a garbled sequence could also be a piece of a written word: letters of one script in a usual order of cases."""
     return all(c in CYRILLIC for c in sequence) and not any(a.islower() and b.isupper() for a, b in zip(sequence, sequence[1:]))
@@ -193,8 +226,8 @@ def breaks(word: str) -> float:
     return total
 
 
-# Letters by falling frequency, for telling tables apart that all give natural words.
-_FREQUENT = ["oеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё".replace("o", "о"), "αοιετσνηυρπκμλωςάόίδγέήχθύώφβξζψ", "éäüöàóíáèçßãêłęąśżñúôâîćńûùœïëźõ"]
+# Letters by falling frequency, for telling pairs apart that all give natural words.
+_FREQUENT = ["оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", "αοιετσνηυρπκμλωςάόίδγέήχθύώφβξζψ", "éäüöàóíáèçßãêłęąśżñúôâîćńûùœïëźõ"]
 _WEIGHT = {c: 0.4 for c in MARKS} | {c: 1 / (1 + rank / 4) for order in _FREQUENT for rank, c in enumerate(order)}
 
 
@@ -209,7 +242,7 @@ def _symbols(word: str) -> bool:
 
 
 class _Words(dict):
-    """Word -> (restored word, tables that do best or None, improvement); starts afresh beyond a size."""
+    """Word -> (restored word, pairs that do best or None, improvement); starts afresh beyond a size."""
 
     def __missing__(self, word: str) -> tuple[str, tuple | None, float]:
         if len(self) > 300_000:
@@ -246,9 +279,7 @@ def _sequences(word: str, votes: dict[int, int] | None = None) -> tuple[str, tup
     votes = votes or {}
     reads: tuple[int, ...] = ()
     for turn in range(3):
-        best: dict[int, list[tuple[int, dict[int, str], bool]]] = {}
-        for end, hit in _automaton().iter(word):
-            best.setdefault(end - hit[0] + 1, []).append(hit)
+        best, _ = _matches(word)
         if not best:
             break
         options = []
@@ -283,7 +314,7 @@ _HALF = re.compile(r"[a-zà-ÿ]Ã|Ã[a-z]")
 
 
 def _restore_word(word: str) -> tuple[str, tuple | None, float]:
-    """(restored, None for sequences or the numbers of the best tables, improvement: 2 and more is beyond doubt)."""
+    """(restored, ("sequences", pairs...) or the best single-byte pairs, None if neither; improvement: 2 and more is beyond doubt)."""
     if "&" in word and _ENTITY.search(word):
         fixed, reads = _sequences(html.unescape(word))
         if reads:
@@ -298,16 +329,16 @@ def _restore_word(word: str) -> tuple[str, tuple | None, float]:
         return wide, None, 4.0
     best, numbers, least = word, (), bad
     if bad >= 1:
-        for number, (_, _, table) in enumerate(single_byte_tables()):
-            new = word.translate(table)
-            if new != word:
-                rest = breaks(new)
-                if rest < least:
-                    best, numbers, least = new, (number,), rest
-                elif rest == least and numbers:
-                    numbers += (number,)
-                    if (_symbols(new) == _symbols(word), _likely(new)) > (_symbols(best) == _symbols(word), _likely(best)):
-                        best = new
+        _, single = _matches(word)
+        for number in sorted({n for _, by_pair in single for n in by_pair}):
+            new = _exchanged(word, single, number)
+            rest = breaks(new)
+            if rest < least:
+                best, numbers, least = new, (number,), rest
+            elif rest == least and numbers:
+                numbers += (number,)
+                if (_symbols(new) == _symbols(word), _likely(new)) > (_symbols(best) == _symbols(word), _likely(best)):
+                    best = new
     if reads and left <= least:
         return fixed, ("sequences", *reads), 4.0
     if bad - least < 2 and _HALF.search(word):
@@ -364,15 +395,14 @@ def restore(text: str | None) -> str | None:
     parts = [p for part in _SPACES.split(text) for p in _pieces(part)]
     words = [k for k, part in enumerate(parts) if not part.isascii() or "&" in part]
     results = [_MEMO[parts[k]] for k in words]
-    tables = [table for _, _, table in single_byte_tables()]
     # Words of multi-character sequences agree on a reading encoding.
     reads = Counter(number for _, numbers, _ in results if numbers and numbers[0] == "sequences" for number in numbers[1:])
-    # Each clear word votes for every table that repairs it; the most usual letters decide among equals.
+    # Each clear word votes for every single-byte pair that repairs it; the most usual letters decide among equals.
     votes = Counter(number for _, numbers, gain in results if gain >= 2 and numbers and numbers[0] != "sequences" for number in numbers)
     if votes:
         clear = {parts[k] for k, (_, numbers, gain) in zip(words, results) if gain >= 2 and numbers and numbers[0] != "sequences"}
         most = max(votes.values())
-        best = max((number for number, n in votes.items() if n >= 0.9 * most), key=lambda number: (sum(_likely(w.translate(tables[number])) for w in clear), -number))
+        best = max((number for number, n in votes.items() if n >= 0.9 * most), key=lambda number: (sum(_likely(_as_written(w, number)) for w in clear), -number))
     state = []
     for k, (new, numbers, gain) in zip(words, results):
         if gain >= 2 and (numbers is None or numbers[0] == "sequences"):
@@ -380,7 +410,7 @@ def restore(text: str | None) -> str | None:
                 new = _sequences(parts[k], reads)[0]
             parts[k], kind = new, 0
         elif votes and gain > 0:
-            own = parts[k].translate(tables[best])
+            own = _as_written(parts[k], best)
             parts[k], kind = (own if breaks(own) <= breaks(new) else new), 2
         else:
             kind = 1
@@ -392,7 +422,7 @@ def restore(text: str | None) -> str | None:
             for i in order:
                 if state[i] == 1:
                     k = words[i]
-                    new = parts[k].translate(tables[best])
+                    new = _as_written(parts[k], best)
                     if near > 0 and new != parts[k] and breaks(new) <= breaks(parts[k]) and _likely(new) >= _likely(parts[k]):
                         parts[k], state[i] = new, 2
                 near = 4 if state[i] == 2 else near - 1

@@ -99,3 +99,28 @@ def test_lossy_behind_a_capital(spark):
 
 def test_long_words_are_judged_in_pieces():
     assert max(map(len, g._suspects("é" * 1000))) <= g.LONGEST
+
+
+def test_long_text_without_blanks():
+    """A megabyte without a blank is judged piece by piece, in time linear in its length."""
+    import random
+    import time
+
+    draw = random.Random(2)
+    words = TEXTS["de"].split() + TEXTS["fr"].split()
+    text = "".join(draw.choice(words) for _ in range(20_000))
+    seconds = []
+    for part in (text[: len(text) // 4], text):
+        wrong = misread(part, "utf-8", "cp1252")
+        began = time.perf_counter()
+        assert g.is_garbled(wrong) and sum(a == b for a, b in zip(g.restore(wrong), part)) > 0.99 * len(part)
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 8 * seconds[0] + 1
+
+
+def test_every_pair_is_in_the_automaton():
+    sequences = g.garbled_sequences()
+    for number, (written, read) in enumerate(g.pairs()):
+        wrong = misread("ö" if written not in ("cp1251", "koi8-r", "cp866", "iso8859-5", "cp1253", "iso8859-7") else "ж" if "12" not in written[-2:] and written not in ("cp1253", "iso8859-7") else "λ", written, read)
+        if wrong and wrong not in ("ö", "ж", "λ"):
+            assert number in sequences.get(wrong, {}), (written, read, wrong)
