@@ -16,8 +16,9 @@ are interchangeable, so the plan needs only how often each size occurs (at most
 The plan is a list of runs (size, ranks from..to, first container, items per
 container), bounded by the number of sizes and configurations, whatever the
 number of items. Items then take their place by their rank among the items of
-their size, which is counted in two levels (size and salt), so a size that holds
-a third of all rows is never gathered in one task.
+their size, which is counted in two levels (size and salt); a size has a salt for
+every ``PER_SALT`` of its items, so one that holds a third of all rows is never
+gathered in one task, however many there are.
 
 Defined results: an item of no tokens (null or empty text) is in no container;
 an item above the capacity is cut every ``capacity`` tokens; all others come out
@@ -41,7 +42,8 @@ CAPACITY = 2048
 GROUPS = 48
 #: Sizes above this share of the capacity count as large.
 LARGE = 1 / 12
-SALTS = 64
+#: Items of one size that are ranked in one task.
+PER_SALT = 200_000
 
 
 @dataclass
@@ -235,19 +237,25 @@ def pack_sizes(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_toke
     """
     whole = sizes.where(F.col(size_col) > 0).select(F.col(id_col).alias("_id"), F.col(size_col).cast("int").alias("_size"))
     item = whole.withColumn("_full", F.floor(F.col("_size") / capacity).cast("int")).withColumn("_rest", F.col("_size") % capacity)
-    # A full container needs no plan: only remainders (1..capacity-1) are placed by size.
-    salted = item.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+    # A full container needs no plan: only remainders (1..capacity-1) are placed by size. At most ``capacity`` rows:
+    amounts = {int(r["_rest"]): int(r["n"]) for r in item.groupBy("_rest").agg(F.count(F.lit(1)).alias("n")).collect()}
+    salts = np.array([-(-amounts.get(rest, 0) // PER_SALT) or 1 for rest in range(capacity)], np.int64)
+    first_cell = np.concatenate(([0], np.cumsum(salts)))
+    # Most sizes have one salt; only the others are looked up.
+    many = {rest: int(n) for rest, n in enumerate(salts) if n > 1}
+    salt_count = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in many.items() for x in pair)), F.col("_rest")), F.lit(1)) if many else F.lit(1)
+    salted = item.withColumn("_salt", F.pmod(F.xxhash64("_id"), salt_count).cast("int"))
     counted = salted.groupBy("_rest", "_salt").agg(F.count(F.lit(1)).alias("_n"), F.sum("_full").alias("_fulls"))
-    # At most capacity * SALTS rows, whatever the number of items.
+    # At most capacity + items / PER_SALT rows.
     table = counted.toPandas().sort_values(["_rest", "_salt"], kind="stable")
     plan = make_plan({int(s): int(n) for s, n in table.groupby("_rest")["_n"].sum().items()}, capacity)
     base = (table.groupby("_rest")["_n"].cumsum() - table["_n"]).to_numpy(np.int64)
     full_base = (table["_fulls"].cumsum() - table["_fulls"]).to_numpy(np.int64) + plan.containers
-    cell = (table["_rest"] * SALTS + table["_salt"]).to_numpy(np.int64)
+    cell = (first_cell[table["_rest"].to_numpy(np.int64)] + table["_salt"].to_numpy(np.int64))
     runs = sorted(plan.runs)
     key = np.array([(r[0] << 40) + r[1] for r in runs], np.int64)
     start, container, per = (np.array([r[k] for r in runs], np.int64) for k in (1, 3, 4))
-    shared = sizes.sparkSession.sparkContext.broadcast((cell, base, full_base, key, start, container, per))
+    shared = sizes.sparkSession.sparkContext.broadcast((first_cell, cell, base, full_base, key, start, container, per))
 
     by_cell = Window.partitionBy("_rest", "_salt").orderBy("_id")
     ranked = salted.select(
@@ -261,10 +269,10 @@ def pack_sizes(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_toke
     kind = sizes.schema[id_col].dataType.simpleString()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, base, full_base, key, start, container, per = shared.value
+        first_cell, cell, base, full_base, key, start, container, per = shared.value
         for batch in batches:
             rest, full, salt, rank, before = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(1, 6))
-            at = np.searchsorted(cell, rest * SALTS + salt)
+            at = np.searchsorted(cell, first_cell[rest] + salt)
             place = base[at] + rank
             run = np.searchsorted(key, (rest << 40) + place, side="right") - 1
             if len(key):

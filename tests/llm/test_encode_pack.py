@@ -82,7 +82,9 @@ def check(rows, sizes, capacity):
 
 
 @pytest.mark.parametrize("kind", ["mixed", "hot", "large", "halves", "tiny", "over"])
-def test_packing(spark, kind):
+@pytest.mark.parametrize("per_salt", [pack.PER_SALT, 100])
+def test_packing(spark, kind, per_salt, monkeypatch):
+    monkeypatch.setattr(pack, "PER_SALT", per_salt)
     draw = random.Random(kind)
     sizes = {
         "mixed": lambda: int(draw.paretovariate(0.9) * 20) % 6000,
