@@ -194,16 +194,44 @@ def same_look(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, class_id binary, text_id binary")
 
 
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(``id_col``, class_id BINARY, copies BIGINT, others BIGINT): one row for each text with a visible character.
+
+    ``copies`` counts the rows of exactly this text, ``others`` those of the class whose
+    texts differ from it: the partners it has in ``look_alike_pairs``.
+    """
+    rows = checkpoint(same_look(docs, id_col, text_col))
+    texts = rows.groupBy("class_id", "text_id").agg(F.count(F.lit(1)).alias("copies"))
+    sizes = texts.groupBy("class_id").agg(F.sum("copies").alias("_all"))
+    return rows.join(texts, ["class_id", "text_id"]).join(sizes, "class_id").select(id_col, "class_id", "copies", (F.col("_all") - F.col("copies")).alias("others"))
+
+
+#: Different texts of one class, and rows of one text, that meet as one unit.
+UNIT = 1000
+
+
 def look_alike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: rows whose texts differ but look the same.
 
     Pairs are formed between the different texts of a class and expanded to rows
-    only at the end, by joins; a class of exact copies forms none.
+    only at the end, by joins; a class of exact copies forms none. Both sides of a
+    large class, and the rows of a text with many copies, are parted into units, so
+    no task holds a whole class. ``classes`` has the same groups with one row per text.
     """
     rows = checkpoint(same_look(docs, id_col, text_col).withColumnRenamed(id_col, "doc"))
     # Different texts of one look first: a class of copies, however large, is one text here.
-    texts = rows.select("class_id", "text_id").distinct()
-    a, b = texts.select("class_id", F.col("text_id").alias("text_a")), texts.select("class_id", F.col("text_id").alias("text_b"))
-    pairs = a.join(b, "class_id").where(F.col("text_a") < F.col("text_b")).select("text_a", "text_b")
-    left, right = rows.select(F.col("text_id").alias("text_a"), F.col("doc").alias("x")), rows.select(F.col("text_id").alias("text_b"), F.col("doc").alias("y"))
-    return pairs.join(left, "text_a").join(right, "text_b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+    counted = rows.groupBy("class_id", "text_id").agg(F.count(F.lit(1)).alias("copies"))
+    several = counted.groupBy("class_id").agg(F.ceil(F.count(F.lit(1)) / UNIT).cast("int").alias("units"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    texts = checkpoint(counted.join(several, "class_id").withColumn("unit", F.pmod(F.xxhash64("text_id"), F.col("units")).cast("int")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = texts.select("class_id", F.col("unit").alias("unit_a"), F.col("text_id").alias("text_a"), F.col("copies").alias("copies_a"), every("units").alias("unit_b"))
+    b = texts.select("class_id", F.col("unit").alias("unit_b"), F.col("text_id").alias("text_b"), F.col("copies").alias("copies_b"), every("units").alias("unit_a"))
+    pairs = a.join(b, ["class_id", "unit_a", "unit_b"]).where(F.col("text_a") < F.col("text_b"))
+    for side in ("a", "b"):
+        pairs = pairs.withColumn(f"part_{side}", F.explode(F.sequence(F.lit(0), F.floor((F.col(f"copies_{side}") - 1) / UNIT).cast("int"))))
+    # Rows of a text with a unit number of their own; only texts that are in a pair have rows here.
+    parted = rows.join(texts.select("text_id", F.ceil(F.col("copies") / UNIT).alias("parts")), "text_id").select("text_id", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), "doc")
+    left = parted.select(F.col("text_id").alias("text_a"), F.col("part").alias("part_a"), F.col("doc").alias("x"))
+    right = parted.select(F.col("text_id").alias("text_b"), F.col("part").alias("part_b"), F.col("doc").alias("y"))
+    found = pairs.select("text_a", "part_a", "text_b", "part_b").join(left, ["text_a", "part_a"]).join(right, ["text_b", "part_b"])
+    return found.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))

@@ -53,6 +53,11 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.pieces(split.split_spans(items))
 
 
+def p5_checked(spark: SparkSession, d: str) -> DataFrame:
+    items = split.all_items(table(spark, d, "document_metadata"), table(spark, d, "document_records"))
+    return split.checked(split.split_spans(items))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"))
 
@@ -65,16 +70,24 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return looks.look_alike_pairs(table(spark, d, "documents"))
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    return looks.classes(table(spark, d, "documents")).select("doc_id", "copies", "others")
+
+
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return looks.common_form(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_restored, p3_found, p3_structure, p4_found, p4_repaired, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_restored, p3_found, p3_structure, p4_found, p4_repaired, p5_found, p5_pieces, p5_checked, p6_ids, p7_containers, p8_found, p8_classes, p8_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_checked": """
+            SELECT src, count(*) AS items, CAST(sum(length(page_content)) AS BIGINT) AS characters, count(*) FILTER (WHERE length(page_content) > 0) AS whole, count(*) FILTER (WHERE length(page_content) > 2000) AS cut, 0 AS too_long, 0 AS without_overlap
+            FROM (SELECT 'document_metadata' AS src, page_content FROM document_metadata UNION ALL SELECT 'document_records', page_content FROM document_records) GROUP BY src
+        """,
         "p1_found": r"""
             WITH texts AS (SELECT id, list_filter(string_split_regex(lower(page_content), '[ \t\r\n\f]+'), lambda x: x <> '') AS w FROM document_metadata),
             sets AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS runs FROM texts WHERE len(w) >= 30),

@@ -132,6 +132,36 @@ def pieces(spans: DataFrame, text_col: str = "page_content") -> DataFrame:
     )
 
 
+def checked(spans: DataFrame, text_col: str = "page_content", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(src, items, characters, whole, cut, too_long, without_overlap): what the pieces of all items amount to, counted by source.
+
+    ``whole`` counts the items whose pieces, overlaps left out, are the text again;
+    ``too_long`` pieces beyond the limit, ``without_overlap`` pieces but the first
+    that begin with no or with more than ``overlap`` characters of the one before.
+    """
+    text, first = F.col(text_col), F.col("spans")[0]
+    ends = F.transform("spans", lambda s: s.stop)
+    # Each piece from where the one before it ended.
+    own = F.transform("spans", lambda s, k: F.substring(text, F.coalesce(F.get(ends, k - 1), first.start) + 1, s.stop - F.coalesce(F.get(ends, k - 1), first.start)))
+    common = F.transform(F.slice("spans", 2, F.greatest(F.size("spans") - 1, F.lit(0))), lambda s, k: F.get(ends, k) - s.start)
+    sizes = spans.select(
+        "src",
+        F.length(text).alias("n"),
+        (F.array_join(own, "") == text).alias("again"),
+        F.size("spans").alias("pieces"),
+        F.size(F.filter("spans", lambda s: s.stop - s.start > limit)).alias("long"),
+        F.size(F.filter(common, lambda n: (n < 1) | (n > overlap))).alias("bare"),
+    )
+    return sizes.groupBy("src").agg(
+        F.count(F.lit(1)).alias("items"),
+        F.sum("n").alias("characters"),
+        F.count_if(F.col("again") & (F.col("pieces") > 0)).alias("whole"),
+        F.count_if(F.col("pieces") > 1).alias("cut"),
+        F.coalesce(F.sum("long"), F.lit(0)).cast("int").alias("too_long"),
+        F.coalesce(F.sum("bare"), F.lit(0)).cast("int").alias("without_overlap"),
+    )
+
+
 def _slice(text: str, span: str) -> Column:
     return F.substring(F.col(text), F.col(f"{span}.start") + 1, F.col(f"{span}.stop") - F.col(f"{span}.start"))
 

@@ -98,6 +98,22 @@ def test_pairs(spark):
     assert {r.doc_id: r.look for r in looks.common_form(df).collect()}[1] == "Abc"
 
 
+@pytest.mark.parametrize("unit", [looks.UNIT, 7])
+def test_many_texts_of_one_look(spark, unit, monkeypatch):
+    monkeypatch.setattr(looks, "UNIT", unit)
+    blanks = [" ", "\u00a0", "\u2003", "\u3000"]
+    texts = ["".join(f"w{blanks[k >> 2 * i & 3]}" for i in range(4)) + "end" for k in range(60)]
+    rows = [(k, texts[k % 60]) for k in range(150)] + [(150 + k, texts[0]) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = {(a, b) for a, x in rows for b, y in rows if a < b and x != y}
+    got = [tuple(r) for r in looks.look_alike_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    partners = {k: sum(k in p for p in expected) for k, _ in rows}
+    found = looks.classes(df).collect()
+    assert {r.doc_id: r.others for r in found} == partners and len({r.class_id for r in found}) == 1 and all(r.copies + r.others == 190 for r in found)
+    assert looks.classes(df.where("false")).count() == 0
+
+
 def test_hot_class_of_copies(spark):
     df = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 < 2 THEN 'the same text' WHEN id = 2 THEN 'the ѕame text' ELSE concat('text ', id) END AS text")
     got = looks.look_alike_pairs(df)
