@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage in the shared folder of ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names. Only a session without that
-    setting (a local test) gets a temporary folder of its own.
+    The folder is the one the cluster names. Only a local session without that
+    setting (a test) gets a temporary folder of its own; on a cluster its absence is
+    an error, for executors couldn't read a folder of the driver's machine.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmesh-checkpoint-"))
     return df.checkpoint(eager)
 
@@ -43,3 +48,16 @@ def is_email(file_name: Column) -> Column:
 
 def vocabulary_file(name: str, folder: str = TOKENIZERS) -> str:
     return os.path.join(folder, name)
+
+
+def sent_file(spark: SparkSession, path: str) -> str:
+    """Send a file of the driver's machine to every executor, once; returns the name that ``received`` takes."""
+    name = os.path.basename(path)
+    if name not in {os.path.basename(f) for f in spark.sparkContext.listFiles}:
+        spark.sparkContext.addFile(path)
+    return name
+
+
+def received(name: str) -> str:
+    """Where an executor has a file that was sent."""
+    return SparkFiles.get(name)

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillmesh.llm.common import TOKENIZERS, vocabulary_file
+from quillmesh.llm.common import TOKENIZERS, received, sent_file, vocabulary_file
 
 #: The published pre-splitting pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -124,11 +124,11 @@ def encoder(path: str) -> FragmentEncoder:
 
 def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(``id_col``, ids ARRAY<INT>) of every row of ``docs``; one pass, no shuffle."""
-    path = vocabulary_file(f"{vocabulary}.tiktoken", folder)
+    name = sent_file(docs.sparkSession, vocabulary_file(f"{vocabulary}.tiktoken", folder))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(path)
+        tool = encoder(received(name))
         for batch in batches:
             ids, offsets = tool.encode(batch.column(1))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
@@ -139,11 +139,11 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(``id_col``, n_tokens INT) of every row; ids never leave the worker."""
-    path = vocabulary_file(f"{vocabulary}.tiktoken", folder)
+    name = sent_file(docs.sparkSession, vocabulary_file(f"{vocabulary}.tiktoken", folder))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(path)
+        tool = encoder(received(name))
         for batch in batches:
             _, offsets = tool.encode(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int32))], names=[id_col, "n_tokens"])
