@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import html as html_entities
 import itertools
-import re
-from dataclasses import dataclass, field
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quillmesh.functions import urls
+from quillmesh.functions.html import START, Page
 
 # Elements that hold no content.
 CRUFT_TAGS = ["script", "style", "nav", "footer", "svg"]
@@ -25,8 +22,8 @@ CRUFT_IDS = ["indices-and-tables", "search", "footerDisclaimer"]
 CRUFT_HEADINGS = ["copyright", "copyrights", "license", "licenses"]
 PAGER_WORDS = ["prev", "previous", "next"]
 
-# Where each kind of documentation site keeps its main content: tag and attributes.
-SELECTORS: dict[str, tuple[str, dict[str, str]]] = {
+# Where each kind of documentation site keeps its main content: tag and attributes; of several classes one is enough.
+SELECTORS: dict[str, tuple[str, dict[str, str | tuple[str, ...]]]] = {
     "huggingface": ("div", {"class": "prose-doc prose relative mx-auto max-w-4xl break-words"}),
     "readthedocs": ("div", {"class": "rst-content"}),
     "pytorch": ("article", {"id": "pytorch-article"}),
@@ -41,7 +38,7 @@ SELECTORS: dict[str, tuple[str, dict[str, str]]] = {
     "main_main_content": ("main", {"id": "main-content", "role": "main"}),
     "div_main_content": ("div", {"id": "main-content", "role": "main"}),
     "main": ("main", {}),
-    "theme_doc_markdown": ("div", {"class": "theme-doc-markdown"}),
+    "theme_doc_markdown": ("div", {"class": ("theme-doc-markdown", "markdown")}),
     "div_content": ("div", {"id": "content"}),
     "docs_body": ("div", {"id": "docs-body"}),
     "td_content": ("div", {"class": "td-content"}),
@@ -51,134 +48,98 @@ SELECTORS: dict[str, tuple[str, dict[str, str]]] = {
     "article_container": ("div", {"class": "article-container"}),
 }
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _HEADINGS = {f"h{k}" for k in range(1, 7)}
 
 
-@dataclass
-class Element:
-    tag: str
-    attrs: dict[str, str] = field(default_factory=dict)
-    children: list[Element | str] = field(default_factory=list)
-
-    def text(self) -> str:
-        return " ".join(c.text() if isinstance(c, Element) else c for c in self.children)
-
-    def walk(self):
-        yield self
-        for c in self.children:
-            if isinstance(c, Element):
-                yield from c.walk()
-
-    def find(self, tag: str, attrs: dict[str, str]) -> Element | None:
-        """First element of that tag with these attributes; a class matches as a whole or as one of several."""
-        for e in self.walk():
-            if e.tag == tag and all(e.attrs.get(k) == v or k == "class" and v in e.attrs.get(k, "").split() for k, v in attrs.items()):
-                return e
-        return None
-
-    def serialize(self) -> str:
-        inner = "".join(c.serialize() if isinstance(c, Element) else html_entities.escape(c, quote=False) for c in self.children)
-        if self.tag == "":
-            return inner
-        attrs = "".join(f' {k}="{html_entities.escape(v)}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs}>" if self.tag in _VOID else f"<{self.tag}{attrs}>{inner}</{self.tag}>"
-
-
-class _Tree(HTMLParser):
-    """A forgiving tree: an end tag closes up to its start tag, stray ones are ignored, comments dropped."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = Element("")
-        self.open = [self.root]
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "p" and self.open[-1].tag == "p":
-            self.open.pop()
-        element = Element(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(element)
-        if tag not in _VOID:
-            self.open.append(element)
-
-    def handle_startendtag(self, tag, attrs):
-        self.open[-1].children.append(Element(tag, {k: v or "" for k, v in attrs}))
-
-    def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
-
-    def handle_data(self, data):
-        self.open[-1].children.append(data)
-
-
-def parse(page: str) -> Element:
-    tree = _Tree()
-    tree.feed(page)
-    tree.close()
-    return tree.root
-
-
-def strip_cruft(e: Element) -> None:
-    """Drop elements without content and all event attributes, in place."""
-    kept = []
-    for c in e.children:
-        if isinstance(c, Element):
-            if c.tag in CRUFT_TAGS or c.attrs.get("id") in CRUFT_IDS or set(c.attrs.get("class", "").split()) & set(CRUFT_CLASSES) or _boilerplate(c) or _pager(c):
+def cruft(page: Page, start: int, end: int) -> set[int]:
+    """Where elements without content start in a range: by tag, id or class, sections about rights, paragraphs that only turn pages."""
+    tags, ids, classes = set(CRUFT_TAGS), set(CRUFT_IDS), set(CRUFT_CLASSES)
+    dropped: set[int] = set()
+    headings = [i for i in range(start, end) if page.kinds[i] == START and page.values[i] in _HEADINGS]
+    next_heading, i = 0, start
+    while i < end:
+        if page.kinds[i] == START:
+            own, tag = page.attributes[i], page.values[i]
+            while next_heading < len(headings) and headings[next_heading] <= i:
+                next_heading += 1
+            title = headings[next_heading] if next_heading < len(headings) else end
+            if (
+                tag in tags
+                or own.get("id") in ids
+                or not classes.isdisjoint(own.get("class", "").split())
+                or tag == "section" and title < page.ends[i] and "".join(page.texts(title, page.ends[title])).strip().lower() in CRUFT_HEADINGS
+                or tag == "p" and _turns_pages(page, i)
+            ):
+                dropped.add(i)
+                i = page.ends[i]
                 continue
-            c.attrs = {k: v for k, v in c.attrs.items() if not k.lower().startswith("on")}
-            strip_cruft(c)
-        kept.append(c)
-    e.children = kept
-
-
-def _boilerplate(e: Element) -> bool:
-    if e.tag != "section":
-        return False
-    heading = next((x for x in e.walk() if x.tag in _HEADINGS), None)
-    return heading is not None and heading.text().strip().lower() in CRUFT_HEADINGS
-
-
-def _pager(e: Element) -> bool:
-    anchors = [x for x in e.walk() if x.tag == "a"] if e.tag == "p" else []
-    words = " ".join(a.text() for a in anchors).lower().split()
-    outside = "".join(c if isinstance(c, str) else c.serialize() for c in e.children if not (isinstance(c, Element) and c.tag == "a")).strip()
-    return bool(words) and all(w in PAGER_WORDS for w in words) and not outside
+        i += 1
+    return dropped
+
+
+def _turns_pages(page: Page, at: int) -> bool:
+    """Whether a paragraph holds nothing but links named after the page before or after."""
+    words: list[str] = []
+    i, end = at + 1, page.ends[at]
+    while i < end:
+        if page.kinds[i] == START:
+            if page.values[i] != "a":
+                return False
+            words += "".join(page.texts(i, page.ends[i])).lower().split()
+        elif page.values[i].strip():
+            return False
+        if words and words[-1] not in PAGER_WORDS:
+            return False
+        i = page.ends[i]
+    return bool(words) and set(words) <= set(PAGER_WORDS)
+
+
+_NOTHING = "<html><body></body></html>"
+
+
+def read_page(source: str | None, selector: str | None) -> tuple[str | None, str | None]:
+    """(main content, visible text) of a page from one parse."""
+    if source is None:
+        return None, None
+    page = Page(source)
+    whole = len(page.kinds)
+    text = " ".join(" ".join(page.texts(dropped=cruft(page, 0, whole))).split())
+    if not selector:
+        return source, text
+    found = page.find(*SELECTORS[selector])
+    if found is None:
+        return _NOTHING, text
+    inside = cruft(page, found + 1, page.ends[found])
+    return f"<html><body>{page.serialize(found, page.ends[found], inside)}</body></html>", text
 
 
 def main_content_of(page: str | None, selector: str | None) -> str | None:
     """The main element without cruft; an empty page if the selector misses; the page itself without a selector."""
-    if page is None:
-        return None
-    if not selector:
-        return page
-    tag, attrs = SELECTORS[selector]
-    found = parse(page).find(tag, attrs)
-    if found is None:
-        return "<html><body></body></html>"
-    strip_cruft(found)
-    return f"<html><body>{found.serialize()}</body></html>"
+    return read_page(page, selector)[0]
 
 
 def visible_text_of(page: str | None) -> str | None:
     """Text of a page: scripts and other cruft dropped, entities resolved, blanks collapsed."""
-    if page is None:
-        return None
-    root = parse(page)
-    strip_cruft(root)
-    return " ".join(root.text().split())
+    return read_page(page, None)[1]
+
+
+def content_and_text(page: Column, selector: str | None) -> Column:
+    """STRUCT<content, text>: main content and visible text of a page, parsed once. Pages of any depth are read."""
+    kind = StructType([StructField("content", StringType()), StructField("text", StringType())])
+
+    def read(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_page(p, selector) for p in pages], columns=["content", "text"])
+
+    read.__annotations__ = {"pages": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(read, kind)(page)
 
 
 def main_content(page: Column, selector: str | None) -> Column:
-    udf = F.pandas_udf(lambda s: s.map(lambda p: main_content_of(p, selector)), StringType())
-    return udf(page)
+    return content_and_text(page, selector).content
 
 
-@F.pandas_udf(StringType())
-def visible_text(pages: pd.Series) -> pd.Series:
-    return pages.map(visible_text_of)
+def visible_text(page: Column) -> Column:
+    return content_and_text(page, None).text
 
 
 def strip_tag_blocks(page: Column) -> Column:
@@ -262,59 +223,3 @@ def saved_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     named = pages.select(urls.file_name(F.col(url_col)).alias("file_name"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     first = named.groupBy("file_name").agg(F.min_by(F.struct("url", "html"), "url").alias("p")).select("file_name", "p.url", "p.html")
     return first.withColumn("html", with_source_link(F.col("html"), F.col("url")))
-
-
-# Components of extended markdown and what becomes of them.
-COMPONENTS = {
-    "Tabs": "unwrap", "Tab": "heading", "CodeGroup": "unwrap", "CardGroup": "unwrap", "Card": "heading", "Steps": "unwrap", "Step": "heading", "AccordionGroup": "unwrap",
-    "Accordion": "heading", "Frame": "unwrap", "Tooltip": "unwrap", "Note": "quote", "Warning": "quote", "Tip": "quote", "Info": "quote", "Caution": "quote",
-}
-_COMPONENT = re.compile(r"<(/?)([A-Z][A-Za-z0-9]*)((?:\s[^>]*?)?)(/?)>")
-
-
-def plain_markdown(text: str | None) -> str | None:
-    """Extended markdown as plain markdown: components unwrapped, titled ones as headings, notes as quotes; code is left alone."""
-    if text is None:
-        return None
-    out: list[str] = []
-    depth: list[str] = []
-    fenced = False
-    for line in text.split("\n"):
-        if re.match(r"^\s*```", line):
-            fenced = not fenced
-            opened = re.match(r"^(\s*)```(\S+)(\s+.*)?$", line)
-            if fenced and opened and opened[3]:
-                label = re.sub(r"\s+\w+=(?:\{[^}]*\}|\S+)", "", opened[3]).strip()
-                out += [f"{opened[1]}**{label}**", ""] if label else []
-                line = f"{opened[1]}```{opened[2]}"
-            out.append(_quoted(line, depth))
-            continue
-        if fenced:
-            out.append(_quoted(line, depth))
-            continue
-        pieces = re.split(r"(`+[^`]*`+)", line)
-        titles = []
-        for k in range(0, len(pieces), 2):
-            for closing, name, attrs, alone in _COMPONENT.findall(pieces[k]):
-                action = COMPONENTS.get(name)
-                title = re.search(r'\btitle="([^"]*)"', attrs)
-                if action == "heading" and not closing and title:
-                    titles.append(title[1].replace("#", r"\#"))
-                if action and not alone:
-                    depth = depth[:-1] if closing and depth else depth if closing else [*depth, action]
-            pieces[k] = _COMPONENT.sub("", pieces[k])
-        for title in titles:
-            out += ["", f"## {title}", ""]
-        rest = "".join(pieces)
-        if rest.strip() or rest == line:
-            out.append(_quoted(rest.strip() if depth else rest, depth))
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n")
-
-
-def _quoted(line: str, depth: list[str]) -> str:
-    return f"> {line}" if "quote" in depth else line
-
-
-@F.pandas_udf(StringType())
-def markdown_components(texts: pd.Series) -> pd.Series:
-    return texts.map(plain_markdown)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions import chat, paths, text, urls
+from quillmesh.functions.speech import speakable
 from quillmesh.functions.vectors import l2_normalize, norm
 from quillmesh.operators import batching, chunking, citations, layout, relational, retrieval, web
 from quillmesh.plans.catalog_sql import PAGES, SQL, THOUGHTS
@@ -199,7 +200,7 @@ def joined_lines(spark, d):
 
 @query
 def speakable_text(spark, d):
-    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.speakable(F.col("text")).alias("spoken"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", speakable(F.col("text")).alias("spoken"))
 
 
 @query
@@ -468,7 +469,7 @@ def html_plain(spark, d):
 
 @query
 def html_main_content(spark, d):
-    return spread(pages_of(spark, d)).select("doc_id", web.main_content(F.col("html"), "pydata").alias("content"), web.visible_text(F.col("html")).alias("text"))
+    return spread(pages_of(spark, d)).select("doc_id", web.content_and_text(F.col("html"), "pydata").alias("r")).select("doc_id", "r.content", "r.text")
 
 
 @query

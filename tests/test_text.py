@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.functions import paths, text, urls
-from quillmesh.operators.web import main_content_of, plain_markdown, visible_text_of
+from quillmesh.functions.html import whole_text
+from quillmesh.functions.markdown import plain_markdown
+from quillmesh.functions.speech import speakable
+from quillmesh.operators.web import main_content_of, visible_text_of
 from quillmesh.streaming.thinking import ThinkingFilter, rebuffered
 
 HARD = [None, "", "   ", "\u00a0\u2003", "ﬁn ａｂｃ", "a\u00adb\u200bc\ufeffd", "x🙂y", "\ue000z\ufffd", "a\r\nb\rc", "a\x07\x85b", "l1\n\n\n\n\nl2", "tab\tkept \t here", " a \n  b ", "e\u0301", "\x1cstrip\x1f", "a" * 5000]
@@ -94,18 +97,27 @@ def test_pack_sentences(spark):
     assert " ".join(p.removeprefix("<continue> ") for p in packed[1]) == long
 
 
-def test_speakable():
+def test_speakable(spark):
     said = {
         "It is 3:05 and 12:00": "It is 3 oh 5 and 12 o'clock",
+        "at 7:45, not 13:20 or 1:2:30": "at 7 45, not 13:20 or 1:2:30",
         "In 1984 and the 1900s": "In 19 84 and the 19 hundreds",
+        "1066, 1206, 2000, 2007 and the 2010s": "1066, 12 oh 6, 2000, 2007 and the 20 10s",
         "costs $5.50 or £1": "costs 5 dollars and 50 cents or 1 pound",
+        "$1.01, $3.5, £2.01, £4.00 and $20": "1 dollar and 1 cent, 3 dollars and 50 cents, 2 pounds and 1 penny, 4 pounds and 0 pence and 20 dollars",
         "$2 million": "2 million dollars",
+        "$1.5 Billion": "1.5 Billion dollars".replace("1.5", "1 point 5"),
         "Dr. Smith § 5": "Doctor Smith section 5",
+        "Mr. X, Mrs. Y and the dr. of it": "Mister X, Mrs Y and the dr. of it",
         "pi is 3.14": "pi is 3 point 1 4",
+        "version .1984 and 1984.5": "version point 1 9 8 4 and 1984 point 5",
         "1,234 pages": "1234 pages",
         "1. first": "first",
+        "“so” it\u2019s\t done": "so\" it's done",
+        "": "",
+        None: None,
     }
-    assert {t: text.speakable_text(t) for t in said} == said
+    assert dict(zip(said, values(spark, speakable, list(said)))) == said
 
 
 def test_paths(spark):
@@ -154,6 +166,22 @@ def test_html():
     assert main_content_of(PAGE, "pytorch") == "<html><body></body></html>" and main_content_of(PAGE, None) == PAGE and main_content_of(None, "main") is None
 
 
+def test_pages_of_any_depth():
+    deep = "<div>" * 20_000 + "<p>end</p>"
+    assert visible_text_of(deep) == "end" and whole_text(deep) == "end" and main_content_of(f"<body>{deep}", "body").count("</div>") == 20_000
+    sections = "<section>" * 5_000 + "<h2>License</h2>mit"
+    assert visible_text_of(sections) == "" and visible_text_of("<p><a>Next</a> more</p><p><a>previous</a></p>") == "Next more"
+    assert visible_text_of("</b></p>x<br>y<p>z") == "x y z" and visible_text_of("") == ""
+
+
+def test_whole_text_keeps_everything():
+    assert whole_text("<nav>menu</nav><p>a  b</p><script>no</script><section><h2>License</h2>mit</section><footer>foot</footer>").split() == ["menu", "a", "b", "License", "mit", "foot"]
+
+
 def test_markdown_components():
-    source = 'a\n<Tabs>\n<Tab title="One #">\ninner\n</Tab>\n</Tabs>\n<Note>careful</Note>\n```python title="x" label\n<Tab>\n```\n`<Tab>` b'
-    assert "<Tabs>" not in plain_markdown(source) and "```python\n<Tab>\n```" in plain_markdown(source) and "`<Tab>`" in plain_markdown(source)
+    source = 'a\n<Tabs>\n<Tab title="One #">\ninner\n</Tab>\n</Tabs>\n<Note>careful</Note>\n```python title="x" label\n<Tab>\n\n\n\n```\n`<Tab>` b'
+    assert plain_markdown(source) == "a\n\n## One \\#\n\ninner\n\n> careful\n\n**label**\n\n```python\n<Tab>\n\n\n\n```\n`<Tab>` b"
+    assert plain_markdown('<Steps>\n  <Step title="A">\n    one\n      two\n  </Step>\n</Steps>') == "## A\n\none\n  two"
+    assert plain_markdown("see <Tooltip tip='x'> this </Tooltip> now") == "see this now" and plain_markdown("a <Unknown b={1}/>c</Card>") == "a c"
+    assert plain_markdown("> ## Documentation Index\n> all pages\n> here\n\n# Title") == "# Title" and plain_markdown(None) is None and plain_markdown("") == ""
+    assert plain_markdown("<Note>open\nmore") == "> open\n> more" and plain_markdown("```\nnever closed <Tab>") == "```\nnever closed <Tab>\n```"
