@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import chat, paths, text, urls
 from quillmesh.functions.speech import speakable
 from quillmesh.functions.vectors import l2_normalize, norm
-from quillmesh.operators import batching, chunking, citations, layout, relational, retrieval, web
+from quillmesh.operators import batching, chunking, citations, layout, reading, relational, retrieval, web
 from quillmesh.plans.catalog_sql import PAGES, SQL, THOUGHTS
 from quillmesh.plans.config import QueryConfig
 from quillmesh.sources import files, store
@@ -576,7 +576,7 @@ def _pages_of_words(spark, d):
 @query
 def reading_order(spark, d):
     pages = _pages_of_words(spark, d)
-    return pages.select("doc_id", "page", F.posexplode(layout.line_positions(F.col("polygons"))).alias("line_no", "position")).withColumn("position", F.col("position").cast("long"))
+    return pages.select("doc_id", "page", F.posexplode(reading.line_positions(F.col("polygons"))).alias("line_no", "position")).withColumn("position", F.col("position").cast("long"))
 
 
 @query

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmesh.operators import batching, chunking, citations, layout, relational, retrieval, web
+from quillmesh.operators import batching, chunking, citations, layout, reading, relational, retrieval, web
 from quillmesh.plans import catalog, config
 from quillmesh.plans.config import QueryConfig
 
@@ -160,11 +160,11 @@ def test_tokens_up_to_what_models_take(spark, tmp_path):
 def test_reading_order():
     left, right = [box(0, 30 * k) for k in range(10)], [box(220, 30 * k) for k in range(10)]
     mixed = [b for pair in zip(left, right) for b in pair]
-    assert layout.reading_order(mixed) == [*range(0, 20, 2), *range(1, 20, 2)]
-    assert layout.reading_order([box(0, 60), box(0, 0), box(0, 30)]) == [1, 2, 0]
-    assert layout.reading_order([box(0, 0)]) is None and layout.reading_order([]) is None
+    assert reading.reading_order(mixed) == [*range(0, 20, 2), *range(1, 20, 2)]
+    assert reading.reading_order([box(0, 60), box(0, 0), box(0, 30)]) == [1, 2, 0]
+    assert reading.reading_order([box(0, 0)]) is None and reading.reading_order([]) is None
     head = [box(0, -60, 400)]
-    assert layout.reading_order(mixed + head)[0] == 20
+    assert reading.reading_order(mixed + head)[0] == 20
 
 
 def test_rotation_and_boxes(spark):
@@ -227,9 +227,9 @@ def test_lines_of_several_pages(spark):
     box = lambda x, y: [[x, y], [x + 40.0, y], [x + 40.0, y + 8.0], [x, y + 8.0]]
     pages = {0: [box(60.0 * (k % 2), k // 2 * 10.0) for k in range(20)], 1: [box(0.0, 60.0), box(0.0, 0.0), box(0.0, 30.0)], 2: [[[0.0, 9.0], [5.0, 0.0], [9.0, 9.0]]]}
     df = spark.createDataFrame([(p, n, b) for p, boxes in pages.items() for n, b in enumerate(boxes)], "page int, line_no int, polygon array<array<double>>")
-    got = {(r.page, r.line_no): r.position for r in layout.in_reading_order(df, ["page"]).collect()}
+    got = {(r.page, r.line_no): r.position for r in reading.in_reading_order(df, ["page"]).collect()}
     for p, boxes in pages.items():
-        order = layout.reading_order([np.array(b) for b in boxes]) or range(len(boxes))
+        order = reading.reading_order([np.array(b) for b in boxes]) or range(len(boxes))
         assert [n for n, _ in sorted(((n, got[p, n]) for n in range(len(boxes))), key=lambda x: x[1])] == list(order)
 
 
