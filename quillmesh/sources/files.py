@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quillmesh.functions import paths
-from quillmesh.operators.web import visible_text_of
+from quillmesh.functions.html import whole_text
+from quillmesh.sources.formats import load_docx, load_rtf, load_xlsx
 
 Loader = Callable[[bytes], "str | None"]
 
@@ -48,28 +49,33 @@ def load_csv(content: bytes) -> str | None:
 
 
 def load_html(content: bytes) -> str | None:
-    return visible_text_of(decode(content)) or None
+    """All text of a page, its navigation and footers too; only scripts, styles and templates have none."""
+    text = whole_text(decode(content))
+    return text if text.strip() else None
 
 
 def load_email(content: bytes) -> str | None:
-    """Subject, every plain part, and the text of HTML parts, one per line."""
+    """Subject, every plain part, and the text of HTML parts, one below the other; a message of one part as it stands."""
     message = email.message_from_bytes(content, policy=email.policy.default)
     parts = [f"Subject: {message['subject']}"] if message["subject"] else []
     for part in message.walk():
         kind = part.get_content_type()
-        if kind in ("text/plain", "text/html") and part.get_content_disposition() != "attachment":
-            body = part.get_payload(decode=True) or b""
-            text = body.decode(part.get_content_charset() or "utf-8", "replace") if body else ""
-            parts.append(text if kind == "text/plain" else visible_text_of(text) or "")
-    text = "\n".join(p for p in parts if p.strip())
-    return text or None
+        if part.is_multipart() or kind not in ("text/plain", "text/html") and message.is_multipart():
+            continue
+        body = part.get_content()
+        if isinstance(body, str):
+            parts.append(whole_text(body) if kind == "text/html" and message.is_multipart() else body)
+    return "\n".join(p for p in parts if p.strip()) or None
 
 
 class LoaderRegistry:
     """Loaders by extension. Formats that need a library that isn't installed are added with ``register``."""
 
     def __init__(self) -> None:
-        self._loaders: dict[str, Loader] = {".txt": load_text, ".md": load_text, ".csv": load_csv, ".html": load_html, ".htm": load_html, ".eml": load_email}
+        self._loaders: dict[str, Loader] = {
+            ".txt": load_text, ".md": load_text, ".csv": load_csv, ".html": load_html, ".htm": load_html, ".eml": load_email,
+            ".docx": load_docx, ".xlsx": load_xlsx, ".xlsm": load_xlsx, ".rtf": load_rtf,
+        }
 
     def register(self, extension: str, loader: Loader) -> None:
         self._loaders[extension.lower()] = loader
@@ -129,6 +135,18 @@ def extract(files: DataFrame, registry: LoaderRegistry | None = None) -> DataFra
     return out.select("page_content", "file_path", "file_type", "file_name", F.lit(None).cast("string").alias("creation_date"), "modification_date", paths.content_hash(F.col("page_content")).alias("hash"), F.lit("document").alias("document_type"), "error")
 
 
+def ingest_counts(extracted: DataFrame, by: str = "file_type") -> DataFrame:
+    """(file_type, files, read, empty, failed, characters): what became of the files of each type; combined before the shuffle."""
+    empty = F.col("error") == "no text"
+    return extracted.groupBy(by).agg(
+        F.count(F.lit(1)).alias("files"),
+        F.count_if(F.col("error").isNull()).alias("read"),
+        F.count_if(empty).alias("empty"),
+        F.count_if(F.col("error").isNotNull() & ~empty).alias("failed"),
+        F.coalesce(F.sum(F.length("page_content")), F.lit(0)).alias("characters"),
+    )
+
+
 def extract_media(files: DataFrame, describe, document_type: str) -> DataFrame:
     """Images or audio through ``describe``, a pandas UDF from content to text. The hash is of the file's bytes, the type keeps its case."""
     return files.select(

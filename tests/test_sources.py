@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.functions.paths import content_hash
-from quillmesh.sources import files, store
+from quillmesh.sources import files, formats, store
 from quillmesh.streaming import ingest, metrics, thinking
 
 
@@ -18,7 +18,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "g.xyz").write_text("no")
     rows = {r.file_name: r for r in files.extract(files.scan(spark, str(tmp_path))).collect()}
     assert rows["a.txt"].page_content == "café" and rows["b.CSV"].page_content == "h1 h2\nx, y z" and rows["b.CSV"].file_type == ".csv"
-    assert rows["c.html"].page_content == "hello world" and "Subject: Hi" in rows["d.eml"].page_content and "body text" in rows["d.eml"].page_content
+    assert rows["c.html"].page_content == "hello  world" and "Subject: Hi" in rows["d.eml"].page_content and "body text" in rows["d.eml"].page_content
     assert "no loader" in rows["e.pdf"].error and rows["f.md"].error == "no text" and "g.xyz" not in rows
     registry = files.LoaderRegistry()
     registry.register(".pdf", lambda b: "[[page1]]text")
@@ -113,3 +113,62 @@ def test_hash_is_of_the_text(spark):
     import hashlib
 
     assert spark.createDataFrame([("é",)], "t string").select(content_hash(F.col("t"))).first()[0] == hashlib.sha256("é".encode()).hexdigest()
+
+
+def zipped(**parts):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name.replace("__", "/").replace("_dot_", "."), text)
+    return out.getvalue()
+
+
+def test_docx():
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    body = f"<w:document {w}><w:body><w:p><w:r><w:t>One</w:t><w:tab/><w:t>two é</w:t></w:r></w:p><w:p><w:r><w:t>three</w:t><w:br/><w:t>four</w:t></w:r></w:p><w:p/></w:body></w:document>"
+    header = f"<w:hdr {w}><w:p><w:r><w:t>Head</w:t></w:r></w:p></w:hdr>"
+    assert formats.load_docx(zipped(word__document_dot_xml=body, word__header1_dot_xml=header)) == "Head\n\nOne\ttwo é\n\nthree\nfour"
+    assert formats.load_docx(zipped(word__document_dot_xml=f"<w:document {w}/>")) is None
+
+
+def test_xlsx():
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    book = f'<workbook {ns}><sheets><sheet name="B" sheetId="1" r:id="r2"/><sheet name="A" sheetId="2" r:id="r1"/></sheets></workbook>'
+    links = '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>'
+    strings = f"<sst {ns}><si><t>name</t></si><si><r><t>ri</t></r><r><t>ch</t></r><rPh><t>no</t></rPh></si><si><t>  </t></si></sst>"
+    styles = f'<styleSheet {ns}><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/></cellXfs></styleSheet>'
+    one = f'<worksheet {ns}><sheetData><row><c t="s"><v>0</v></c><c t="s"><v>2</v></c><c t="s"><v>1</v></c></row><row/><row><c><v>3</v></c><c><v>2.50</v></c><c s="1"><v>45000</v></c><c s="2"><v>0.5</v></c><c t="b"><v>1</v></c></row></sheetData></worksheet>'
+    two = f'<worksheet {ns}><sheetData><row><c t="inlineStr"><is><t>in</t></is></c><c t="str"><f>1+1</f><v>two</v></c><c t="e"><v>#N/A</v></c></row></sheetData></worksheet>'
+    content = zipped(xl__workbook_dot_xml=book, xl___rels__workbook_dot_xml_dot_rels=links, xl__sharedStrings_dot_xml=strings, xl__styles_dot_xml=styles, xl__worksheets__sheet1_dot_xml=one, xl__worksheets__sheet2_dot_xml=two)
+    assert formats.load_xlsx(content) == "in two #N/A\nname rich\n3 2.5 2023-03-15 00:00:00 12:00:00 True"
+
+
+def test_rtf():
+    source = rb"{\rtf1\ansi\ansicpg1252{\fonttbl{\f0 Arial;}}{\*\generator x;}\f0 Caf\'e9 \b bold\b0\par \u8364?5 \{x\}\tab \u-10179?\u-8704?\line {\uc2\u960??z}{\pict 00ff}\~end\emdash }"
+    assert formats.load_rtf(source) == "Café bold\n€5 {x}\t😀\nπz\xa0end—"
+    assert formats.load_rtf(rb"{\rtf1 {\info x}}") is None and formats.load_rtf(b"") is None
+
+
+def test_broken_files_are_rows(spark, tmp_path):
+    for name in ("a.docx", "b.xlsx", "c.xlsm"):
+        (tmp_path / name).write_bytes(b"PK no zip")
+    (tmp_path / "d.rtf").write_text("{}")
+    (tmp_path / "e.html").write_text("<div>" * 5000 + "deep")
+    (tmp_path / "f.txt").write_text("text")
+    extracted = files.extract(files.scan(spark, str(tmp_path)))
+    rows = {r.file_name: r for r in extracted.collect()}
+    assert all("BadZipFile" in rows[n].error for n in ("a.docx", "b.xlsx", "c.xlsm")) and rows["d.rtf"].error == "no text" and rows["e.html"].page_content == "deep"
+    counts = {r.file_type: r for r in files.ingest_counts(extracted).collect()}
+    assert counts[".docx"].failed == 1 and counts[".rtf"].empty == 1 and counts[".txt"].read == 1 and counts[".txt"].characters == 4
+    assert files.ingest_counts(extracted.where("false")).count() == 0
+
+
+def test_whole_pages_and_mails():
+    page = b"<nav>menu</nav><p>body</p><section><h2>License</h2>mit</section><footer>foot</footer><script>no</script>"
+    assert files.load_html(page).split() == ["menu", "body", "License", "mit", "foot"]
+    mail = b"Subject: S\nMIME-Version: 1.0\nContent-Type: multipart/alternative; boundary=b\n\n--b\nContent-Type: text/plain\n\nplain\n--b\nContent-Type: text/html\n\n<nav>menu</nav><p>rich</p>\n--b--\n"
+    assert files.load_email(mail).split("\n") == ["Subject: S", "plain", "menu rich"]
+    assert files.load_email(b"Content-Type: text/html\n\n<p>as it stands</p>") == "<p>as it stands</p>"
