@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,27 +66,51 @@ def restore_order(encoded: DataFrame, seq_col: str) -> DataFrame:
     return encoded.orderBy(seq_col)
 
 
-def hashed_embedding(docs: DataFrame, id_col: str, text_col: str, dimensions: int = 64) -> DataFrame:
-    """(id, embedding ARRAY<FLOAT>): feature hashing of words with signs, unit length; the stand-in where no model is installed.
+def word_place(word: str, dimensions: int) -> tuple[int, int]:
+    """(dimension, sign) of a word by its md5: the first 28 bits and the one after."""
+    digest = md5(word.encode("utf-8", "surrogatepass")).hexdigest()
+    return int(digest[:7], 16) % dimensions, 1 if digest[7] < "8" else -1
+
+
+class WordEncoder:
+    """Feature hashing of words with signs, to unit length: the stand-in where no model is installed.
 
-    A null text and one without words give the zero vector.
+    One object encodes stored chunks and questions alike. Words are what white space
+    parts in the lower-cased text; a null text and one without words give zeros.
     """
+
+    def __init__(self, dimensions: int = 64):
+        self.dimensions, self._known = dimensions, {}
+
+    def _row(self, text: str | None, row: np.ndarray) -> None:
+        for word in (text or "").lower().split():
+            place = self._known.get(word)
+            if place is None:
+                if len(self._known) > 200_000:
+                    self._known.clear()
+                place = self._known[word] = word_place(word, self.dimensions)
+            row[place[0]] += place[1]
+
+    def matrix(self, texts: list[str | None]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dimensions))
+        for text, row in zip(texts, out):
+            self._row(text, row)
+        size = np.linalg.norm(out, axis=1, keepdims=True)
+        return (out / np.where(size == 0, 1, size)).astype(np.float32)
+
+    def __call__(self, question: str) -> list[float]:
+        """The vector of one question."""
+        return self.matrix([question])[0].astype(float).tolist()
+
+
+def hashed_embedding(docs: DataFrame, id_col: str, text_col: str, dimensions: int = 64) -> DataFrame:
+    """(id, embedding ARRAY<FLOAT>): every text through ``WordEncoder``."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
+        encoder = WordEncoder(dimensions)
         for batch in batches:
-            out = np.zeros((batch.num_rows, dimensions))
-            for k, value in enumerate(batch.column(1)):
-                for word in (value.as_py() or "").lower().split():
-                    h = memo.get(word)
-                    if h is None:
-                        if len(memo) > 200_000:
-                            memo.clear()
-                        h = memo[word] = xxhash.xxh64_intdigest(word)
-                    out[k, h % dimensions] += 1 if h >> 63 else -1
-            size = np.linalg.norm(out, axis=1, keepdims=True)
-            flat = (out / np.where(size == 0, 1, size)).astype(np.float32).ravel()
+            flat = encoder.matrix(batch.column(1).to_pylist()).ravel()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dimensions), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_col, "embedding"])
 

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a registry that is broadcast.
+REGISTRY = 10_000
+
+
 def union_sources(*sources: DataFrame) -> DataFrame:
     """Documents, transcripts and captions in one table, with the number of their source; missing columns null."""
     tagged = [s.withColumn("source_no", F.lit(k)) for k, s in enumerate(sources)]
@@ -35,8 +39,10 @@ def set_difference(current: DataFrame, latest: DataFrame, column: str) -> DataFr
 def lookup(rows: DataFrame, key: str, table: DataFrame, table_key: str, table_name: str, value: str, default: str) -> DataFrame:
     """``rows`` plus ``value``: by equal key, else by the first name the key contains, else the default.
 
-    ``table`` is a registry of fixed size, so it is broadcast.
+    ``table`` is a registry that is broadcast; one of more than ``REGISTRY`` rows is an error.
     """
+    if table.limit(REGISTRY + 1).count() > REGISTRY:
+        raise ValueError(f"a registry has at most {REGISTRY} rows")
     registry = F.broadcast(table.select(F.col(table_key).alias("_k"), F.col(table_name).alias("_n"), F.col(value).alias("_v")))
     keys = rows.select(key).distinct()
     found = keys.join(registry, (F.col("_k") == F.col(key)) | F.contains(F.col(key), F.col("_n")), "left")
@@ -67,6 +73,27 @@ def ranked_between(rows: DataFrame, range_col: str, low: float, high: float, by:
     return rows.where(F.col(range_col).between(low, high)).orderBy(F.desc(by), tie)
 
 
+def running_total(rows: DataFrame, key: list[str], order: list[str], by: Column, value: Column, name: str) -> DataFrame:
+    """``rows`` plus the running sum of ``value`` within a key, in order; ``by`` parts a key's rows into slices that keep the order.
+
+    The sums of the slices are combined before the shuffle and added up over the
+    few slices; within a slice rows are added up alone. So a key with a large share
+    of all rows is worked on by as many tasks as it has slices.
+    """
+    sliced = rows.withColumn("_slice", by).withColumn("_value", value)
+    totals = sliced.groupBy(*key, "_slice").agg(F.sum("_value").alias("_total"))
+    earlier = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0))).drop("_total")
+    within = Window.partitionBy(*key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = sliced.withColumn("_own", F.sum("_value").over(within)).alias("r")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*key, "_slice")]
+    on = same[0]
+    for condition in same[1:]:
+        on = on & condition
+    kept = [F.col(f"r.`{c}`") for c in rows.columns if c != name]
+    return summed.join(before.alias("b"), on).select(*kept, (F.col("_own") + F.col("_before")).alias(name))
+
+
 def children_by_hash(chunks: DataFrame, docs: DataFrame, hash_col: str = "hash") -> DataFrame:
     """Chunks with the id of their document: a join on content hash that survives a hot hash.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,16 +14,18 @@ from quillmesh.functions.text import clean_context
 from quillmesh.functions.vectors import cosine, similarity
 from quillmesh.plans.config import QueryConfig
 
-#: Query vectors up to which they are broadcast; beyond, blocks of queries meet blocks of the corpus.
-BROADCAST_QUERIES = 4096
-#: Rows of a block of the corpus and of the queries.
-BLOCK = 4096
+#: Bytes of query vectors that are held at once: up to them all queries are broadcast; beyond, blocks of so many bytes meet blocks of the corpus.
+QUERY_BYTES = 64 << 20
+#: Rows of a block of the corpus, and queries that are multiplied at a time.
+BLOCK, SLICE = 4096, 512
 
 # The instruction before the contexts, the advice when nothing is found, and what parts the contexts.
 RAG_INSTRUCTION = "Here are the contexts to base your answer on.  However, I need to reiterate that I only want you to base your response on these contexts and do not use outside knowledge that you may have been trained with."
 NO_RESULT = "No chunks passed the similarity threshold.\n\nTry lowering the 'Similarity' setting in the Database Query settings tab (e.g. from 0.7 to 0.4) and run the query again."
 SEPARATOR = "\n\n---\n\n"
 
+Encoder = Callable[[str], list[float]]
+
 
 def topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, similarity_score, distance, rank): the k nearest by cosine, ties by id.
@@ -41,9 +43,9 @@ def topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id",
     )
 
 
-def topk_of(vectors: DataFrame, query_id: int, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``topk`` for a vector of the table itself, which stays on the executors."""
-    query = vectors.where(F.col(id_col) == query_id).select(F.col(vector_col).alias("_query")).limit(1)
+def topk_of(vectors: DataFrame, query_id: int, k: int, id_col: str = "vec_id", vector_col: str = "embedding", asked: DataFrame | None = None) -> DataFrame:
+    """``topk`` for a vector of the table itself (or of ``asked``), which stays on the executors."""
+    query = (vectors if asked is None else asked).where(F.col(id_col) == query_id).select(F.col(vector_col).alias("_query")).limit(1)
     best = (
         vectors.select(id_col, vector_col).crossJoin(F.broadcast(query)).select(id_col, cosine(F.col(vector_col), F.col("_query")).alias("_cos")).where(F.col("_cos").isNotNull()).orderBy(F.desc("_cos"), id_col).limit(k)
     )
@@ -72,20 +74,27 @@ def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column])
 
 
+def _slices(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    for start in range(0, len(query_ids), SLICE):
+        yield _best(ids, vectors, query_ids[start : start + SLICE], queries[start : start + SLICE], k)
+
+
 def topk_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, similarity_score, rank): the k nearest for every query row, as blocked matrix products.
 
-    ``queries`` has the columns of ``vectors``. Up to ``BROADCAST_QUERIES`` query
-    rows (counted first) are broadcast; more are met block by block: blocks of
-    queries are sent to blocks of the corpus, no side is ever whole in one place.
-    Each block keeps k rows per query before the last ranking.
+    ``queries`` has the columns of ``vectors``. Queries of up to ``QUERY_BYTES`` (counted
+    first) are broadcast; more are met in blocks of that size: a block of queries is
+    sent to each block of the corpus, which is shuffled as many times as there are
+    blocks of queries, and no side is ever whole in one place. Each block keeps k rows
+    per query before the last ranking.
     """
     usable = F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)
     corpus = vectors.where(usable).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     asked = queries.where(usable).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("q"))
     schema = "query_id long, id long, cos double"
-    count = asked.count()
-    if count <= BROADCAST_QUERIES:
+    count, length = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(1))).first()
+    held = max(1, QUERY_BYTES // (8 * length))
+    if count <= held:
         rows = asked.toPandas().sort_values("query_id")
         shared = corpus.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(np.int64), _matrix(rows["q"]) if count else np.zeros((0, 1))))
 
@@ -93,12 +102,11 @@ def topk_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
             query_ids, matrix = shared.value
             for batch in batches:
                 if len(batch) and len(query_ids):
-                    for start in range(0, len(query_ids), 512):
-                        yield _best(batch["id"].to_numpy(), _matrix(batch["v"]), query_ids[start : start + 512], matrix[start : start + 512], k)
+                    yield from _slices(batch["id"].to_numpy(), _matrix(batch["v"]), query_ids, matrix, k)
 
         partial = corpus.mapInPandas(scan, schema)
     else:
-        blocks = -(-count // BLOCK)
+        blocks = -(-count // held)
         parts = max(1, -(-vectors.count() // BLOCK))
         left = corpus.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
@@ -106,7 +114,7 @@ def topk_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
                 return pd.DataFrame({"query_id": [], "id": [], "cos": []})
-            return _best(a["id"].to_numpy(), _matrix(a["v"]), b["query_id"].to_numpy(), _matrix(b["q"]), k)
+            return pd.concat(_slices(a["id"].to_numpy(), _matrix(a["v"]), b["query_id"].to_numpy(), _matrix(b["q"]), k))
 
         partial = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(meet, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), "id"))
@@ -114,7 +122,7 @@ def topk_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
 
 
 def attach_payload(hits: DataFrame, store: DataFrame, id_col: str, payload: list[str]) -> DataFrame:
-    """Fetch the payload of the (at most k) hits only; a hit without a row is dropped."""
+    """Fetch the payload of the hits only, which are at most k (``QueryConfig`` allows 1,000) and so broadcast; a hit without a row is dropped."""
     return F.broadcast(hits).join(store.select(id_col, *payload), id_col)
 
 
@@ -136,11 +144,32 @@ def post_filter(hits: DataFrame, config: QueryConfig, text_col: str = "text", ty
     return kept
 
 
-def search(vectors: DataFrame, store: DataFrame, query_id: int, config: QueryConfig, store_id: str = "doc_id", text_col: str = "text", type_col: str = "document_type") -> DataFrame:
-    """Nearest chunks of a query vector with their payload, filtered, in rank order."""
-    hits = topk_of(vectors, query_id, config.contexts).withColumnRenamed("vec_id", store_id)
-    payload = [c for c in store.columns if c != store_id]
-    return post_filter(attach_payload(hits, store, store_id, payload), config, text_col, type_col)
+def search(vectors: DataFrame, store: DataFrame, query_id: int, config: QueryConfig, store_id: str = "doc_id", text_col: str = "text", type_col: str = "document_type", prefilter: bool = False) -> DataFrame:
+    """Nearest chunks of a query vector with their payload, filtered, in rank order.
+
+    With ``prefilter`` term and type are asked of the store first, and the k nearest
+    are chosen among the chunks that pass: k rows come out if so many pass.
+    """
+    among = _allowed(vectors, store, config, store_id, text_col, type_col) if prefilter else vectors
+    hits = topk_of(among, query_id, config.contexts, asked=vectors).withColumnRenamed("vec_id", store_id)
+    return _with_payload(hits, store, config, store_id, text_col, type_col)
+
+
+def search_text(vectors: DataFrame, store: DataFrame, question: str, config: QueryConfig, encode: Encoder, store_id: str = "doc_id", text_col: str = "text", type_col: str = "document_type") -> DataFrame:
+    """``search`` for a question in words: ``encode`` gives its vector, which must be what encoded the stored chunks."""
+    hits = topk(vectors, encode(question), config.contexts).withColumnRenamed("vec_id", store_id)
+    return _with_payload(hits, store, config, store_id, text_col, type_col)
+
+
+def _with_payload(hits: DataFrame, store: DataFrame, config: QueryConfig, store_id: str, text_col: str, type_col: str) -> DataFrame:
+    return post_filter(attach_payload(hits, store, store_id, [c for c in store.columns if c != store_id]), config, text_col, type_col)
+
+
+def _allowed(vectors: DataFrame, store: DataFrame, config: QueryConfig, store_id: str, text_col: str, type_col: str) -> DataFrame:
+    """The vectors of the chunks that pass term and type."""
+    every = store.withColumn("similarity_score", F.lit(1.0))
+    passed = post_filter(every, config, text_col, type_col).select(F.col(store_id).alias("vec_id"))
+    return vectors.join(passed, "vec_id", "left_semi")
 
 
 def context_block(rank: Column, name: Column, text: Column) -> Column:

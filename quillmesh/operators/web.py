@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from quillmesh.functions import urls
 from quillmesh.functions.html import START, Page
+from quillmesh.operators.relational import running_total
 
 # Elements that hold no content.
 CRUFT_TAGS = ["script", "style", "nav", "footer", "svg"]
@@ -183,16 +184,46 @@ def crawl(link_table: DataFrame, seeds: DataFrame, checkpoint, rounds: int | Non
     return visited
 
 
+def unsaved(queue: DataFrame, saved: DataFrame) -> DataFrame:
+    """The pages of a queue (url) whose file isn't saved yet (file_name)."""
+    named = queue.withColumn("file_name", urls.file_name(F.col("url")))
+    return named.join(saved.select("file_name").distinct(), "file_name", "left_anti")
+
+
+def after_tries(responses: DataFrame, tries: int = 3) -> DataFrame:
+    """(url, status, attempts, failed): what became of each page after at most ``tries`` requests. Expects url, attempt (from 1) and status.
+
+    The first 200 among the first ``tries`` counts; without one the page is failed
+    with its last status: the log of failed pages.
+    """
+    within = responses.where(F.col("attempt") <= tries)
+    good = F.when(F.col("status") == 200, F.col("attempt"))
+    done = within.groupBy("url").agg(F.min(good).alias("_first"), F.max("attempt").alias("_last"), F.max_by("status", "attempt").alias("_status"))
+    return done.select("url", F.when(F.col("_first").isNotNull(), 200).otherwise(F.col("_status")).alias("status"), F.coalesce("_first", "_last").alias("attempts"), F.col("_first").isNull().alias("failed"))
+
+
+def links_beside(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(file_name, links): what is kept beside each saved page, its valid links sorted and one a line; pages without links have an empty text."""
+    found = links(pages, url_col, html_col).groupBy("url").agg(F.array_join(F.array_sort(F.collect_set("link")), "\n").alias("links"))
+    named = pages.select(F.col(url_col).alias("url")).distinct().join(found, "url", "left")
+    by_file = named.groupBy(urls.file_name(F.col("url")).alias("file_name")).agg(F.min_by(F.struct(F.coalesce("links", F.lit("")).alias("links")), "url").alias("p"))
+    return by_file.select("file_name", "p.links")
+
+
 def resume_queue(saved_links: DataFrame, failed: DataFrame, seeds: DataFrame) -> DataFrame:
     """(url): what a resumed crawl starts from."""
     return saved_links.select(F.col("link").alias("url")).unionAll(failed.select("url")).unionAll(seeds.select("url")).distinct()
 
 
-def merge_seeds(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(url, position): both lists in their order, each URL once. Both have url and position."""
+def merge_seeds(first: DataFrame, second: DataFrame, width: int = 100_000) -> DataFrame:
+    """(url, position): both lists in their order, each URL once, numbered from 1. Both have url and position, which need not be unique.
+
+    Positions are counted slice by slice of ``width``; no task holds a whole list.
+    """
     both = first.select("url", F.lit(0).alias("_list"), "position").unionAll(second.select("url", F.lit(1).alias("_list"), "position"))
-    once = both.groupBy("url").agg(F.min(F.struct("_list", "position")).alias("_at"))
-    return once.select("url", F.row_number().over(Window.orderBy("_at", "url")).alias("position"))
+    once = both.groupBy("url").agg(F.min(F.struct("_list", "position")).alias("_at")).withColumn("_all", F.lit(0))
+    by = F.struct(F.col("_at._list"), F.floor(F.col("_at.position") / width))
+    return running_total(once, ["_all"], ["_at", "url"], by, F.lit(1), "position").select("url", F.col("position").cast("int").alias("position"))
 
 
 def seeds_of_index(text: Column, host: str, prefix: str = "") -> Column:
@@ -201,15 +232,18 @@ def seeds_of_index(text: Column, host: str, prefix: str = "") -> Column:
     return F.filter(per_line, lambda u: (u != "") & (urls.host(u) == host) & F.startswith(urls.path(u), F.lit(prefix)))
 
 
-def rate_limited(responses: DataFrame, allowed: int = 5) -> DataFrame:
+def rate_limited(responses: DataFrame, allowed: int = 5, width: int = 100_000) -> DataFrame:
     """(site, stopped_at): where a crawl stops, at the n-th 429 since the last 200. Expects site, seq and status.
 
-    One window per site in the order of ``seq``.
+    Runs between two 200s are numbered slice by slice of ``width`` sequence numbers;
+    of each run only its first ``allowed`` 429s leave a task. Other statuses are
+    dropped before anything is shuffled.
     """
-    order = Window.partitionBy("site").orderBy("seq")
-    run = responses.withColumn("_run", F.sum(F.when(F.col("status") == 200, 1).otherwise(0)).over(order))
-    counted = run.withColumn("_n", F.sum(F.when(F.col("status") == 429, 1).otherwise(0)).over(Window.partitionBy("site", "_run").orderBy("seq")))
-    return counted.where(F.col("_n") >= allowed).groupBy("site").agg(F.min("seq").alias("stopped_at"))
+    counted = responses.where(F.col("status").isin(200, 429)).select("site", "seq", "status")
+    run = running_total(counted, ["site"], ["seq"], F.floor(F.col("seq") / width), F.when(F.col("status") == 200, 1).otherwise(0), "_run")
+    nth = F.row_number().over(Window.partitionBy("site", "_run").orderBy("seq"))
+    stops = run.where("status = 429").withColumn("_n", nth).where(F.col("_n") <= allowed).where(F.col("_n") == allowed)
+    return stops.groupBy("site").agg(F.min("seq").alias("stopped_at"))
 
 
 def with_source_link(page: Column, url: Column) -> Column:

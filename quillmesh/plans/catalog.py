@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -42,8 +43,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a local session without one gets a temporary folder."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmesh-")
+    """The folder all executors share, as the cluster names it; a local session without one gets a temporary folder, a cluster without one is an error."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    if named is None and not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="quillmesh-")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -106,7 +111,7 @@ def chunks_per_database(spark, d):
     docs = table(spark, d, "documents").select("source", F.length(text.strip(F.col("text"))).alias("n")).where(F.col("n") > 0)
     registry = table(spark, d, "created_databases")
     step = F.greatest(F.col("chunk_size") - F.col("chunk_overlap"), F.lit(1))
-    sizes = docs.join(F.broadcast(registry), F.col("source") == F.col("db_name"))
+    sizes = docs.join(registry, F.col("source") == F.col("db_name"))
     return sizes.groupBy("db_name").agg(F.sum(F.ceil(F.col("n") / step)).cast("long").alias("chunks"), F.count(F.lit(1)).alias("documents"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions.vectors import norm
 
 MAX_ROWS_PER_FILE = 100_000
+TABLES = ["vectors", "document_metadata", "hash_chunk_ids"]
 
 
 def chunk_id(doc_hash: Column, chunk_idx: Column, file_path: Column) -> Column:
@@ -86,23 +87,27 @@ class VectorStore:
         other.build(kept, self.table("document_metadata").join(gone, "hash", "left_anti"), kept_ids, self.describe()["dimensions"])
         return other
 
+    def _copy(self, source: str, target: str) -> None:
+        """Copy a database by reading and writing its tables, which every executor takes part in; it appears under its name once complete."""
+        part = f"{target.rpartition('/')[0]}/_copying_{self.name}"
+        self._fs.delete(self._at(part), True)
+        for name in TABLES:
+            self.spark.read.parquet(f"{source}/{name}").write.option("maxRecordsPerFile", MAX_ROWS_PER_FILE).parquet(f"{part}/{name}")
+        self.spark.read.text(f"{source}/index_metadata", wholetext=True).coalesce(1).write.text(f"{part}/index_metadata")
+        self._fs.delete(self._at(target), True)
+        if not self._fs.rename(self._at(part), self._at(target)):
+            raise OSError(f"could not rename {part}")
+
     def backup(self, folder: str) -> None:
         """Copy the database; an older backup of that name is replaced once the copy is complete."""
-        util = self.spark._jvm.org.apache.hadoop.fs.FileUtil
-        conf = self.spark._jsc.hadoopConfiguration()
-        target, part = self._at(f"{folder}/{self.name}"), self._at(f"{folder}/_copying_{self.name}")
         self._fs.mkdirs(self._at(folder))
-        self._fs.delete(part, True)
-        util.copy(self._fs, self._at(self.path), self._fs, part, False, conf)
-        self._fs.delete(target, True)
-        self._fs.rename(part, target)
+        self._copy(self.path, f"{folder}/{self.name}")
 
     def restore(self, folder: str) -> None:
         """Copy a backup here; an existing database is an error."""
         if self.exists():
             raise FileExistsError(self.path)
-        util = self.spark._jvm.org.apache.hadoop.fs.FileUtil
-        util.copy(self._fs, self._at(f"{folder}/{self.name}"), self._fs, self._at(self.path), False, self.spark._jsc.hadoopConfiguration())
+        self._copy(f"{folder}/{self.name}", self.path)
 
     def delete(self) -> None:
         self._fs.delete(self._at(self.path), True)

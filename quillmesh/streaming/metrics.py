@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quillmesh.operators.relational import running_total
+
 #: Measured columns and what a reading must lie in.
 PERCENTAGES = ["cpu_usage", "ram_usage_percent", "gpu_utilization", "vram_usage_percent", "power_usage_percent"]
 
@@ -49,20 +51,31 @@ def bursts(samples: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return out.select("session_id", F.col("w.start").alias("burst_start"), F.col("w.end").alias("burst_end"), "samples")
 
 
+#: Samples of a session that one task reads through.
+BLOCK = 100_000
+
+
 def history(samples: DataFrame, size: int = 100) -> DataFrame:
     """Every sample with count and mean CPU of the last ``size`` of its session, itself included (batch).
 
-    A hot session is one window partition, which Spark sorts and spills; the frame
-    itself holds ``size`` rows.
+    Samples are numbered by days of their session (``running_total``) and read in
+    blocks of ``BLOCK`` numbers, with the ``size`` - 1 samples before a block carried
+    over into it; so a hot session is many tasks' work.
     """
-    frame = Window.partitionBy("session_id").orderBy("sample_ts", "sample_id").rowsBetween(1 - size, Window.currentRow)
-    return samples.select("sample_id", "session_id", "sample_ts", F.count(F.lit(1)).over(frame).alias("in_history"), F.avg("cpu_usage").over(frame).alias("mean_cpu"))
+    columns = samples.select("sample_id", "session_id", "sample_ts", "cpu_usage")
+    numbered = running_total(columns, ["session_id"], ["sample_ts", "sample_id"], F.to_date("sample_ts"), F.lit(1), "_n")
+    own = F.floor(F.col("_n") / BLOCK)
+    reaches = F.floor((F.col("_n") + size - 1) / BLOCK)
+    placed = numbered.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(own, reaches)))
+    frame = Window.partitionBy("session_id", "_block").orderBy("_n").rowsBetween(1 - size, Window.currentRow)
+    read = placed.withColumns({"in_history": F.count(F.lit(1)).over(frame), "mean_cpu": F.avg("cpu_usage").over(frame)})
+    return read.where("_own = _block").select("sample_id", "session_id", "sample_ts", "in_history", "mean_cpu")
 
 
 def latest(samples: DataFrame, size: int = 100) -> DataFrame:
-    """The last ``size`` samples of each session, newest first (batch)."""
+    """The last ``size`` samples of each session, newest first (batch). Each task keeps its last ``size`` of a session before the shuffle."""
     rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("sample_ts"), F.desc("sample_id")))
-    return samples.withColumn("age", rank - 1).where(F.col("age") < size)
+    return samples.withColumn("_rank", rank).where(F.col("_rank") <= size).withColumn("age", F.col("_rank") - 1).drop("_rank")
 
 
 def as_csv_rows(samples: DataFrame) -> DataFrame:

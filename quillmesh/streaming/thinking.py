@@ -6,7 +6,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from quillmesh.functions.text import THINKING
 
@@ -63,14 +64,25 @@ def filter_pieces(pieces: DataFrame) -> DataFrame:
 
 
 def filter_stream(pieces: DataFrame) -> DataFrame:
-    """Streaming form, with the filter's state kept per conversation between batches."""
+    """Streaming form, with the filter's state kept per conversation between batches.
+
+    A null piece ends an answer: its row carries what was held back as a possible
+    tag, and the conversation's state is dropped.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         kept = ThinkingFilter(*state.get) if state.exists else ThinkingFilter()
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        rows["piece"] = [kept.feed(p or "") for p in rows["piece"]]
-        state.update((kept.held, kept.thinking, kept.started))
-        yield rows[["conv_id", "seq", "piece"]]
+        shown, ended = [], False
+        for piece in rows["piece"]:
+            ended = piece is None
+            shown.append(kept.finish() if ended else kept.feed(piece))
+            kept = ThinkingFilter() if ended else kept
+        if ended:
+            state.remove()
+        else:
+            state.update((kept.held, kept.thinking, kept.started))
+        yield rows.assign(piece=shown)[["conv_id", "seq", "piece"]]
 
     return pieces.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, seq long, piece string", "held string, thinking boolean, started boolean", "append", "NoTimeout")
 
@@ -84,3 +96,39 @@ def rebuffered(pieces: list[str], least: int = 50) -> list[str]:
             out.append(held)
             held = ""
     return [*out, held] if held else out
+
+
+def gathered(pieces: DataFrame, least: int = 50) -> DataFrame:
+    """(conv_id, n, piece): the pieces of each answer, in the order of ``seq``, gathered until ``least`` characters or a line end; null pieces count as empty.
+
+    Batch form; a fold over the pieces of one answer, in the JVM.
+    """
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("done"), F.lit("").alias("held"))
+
+    def step(state: Column, item: Column) -> Column:
+        held = F.concat(state.held, F.coalesce(item.piece, F.lit("")))
+        full = (F.length(held) >= least) | held.contains("\n")
+        return F.struct(F.when(full, F.concat(state.done, F.array(held))).otherwise(state.done).alias("done"), F.when(full, "").otherwise(held).alias("held"))
+
+    in_order = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("_pieces"))
+    folded = F.aggregate("_pieces", start, step, lambda s: F.when(s.held != "", F.concat(s.done, F.array(s.held))).otherwise(s.done))
+    return in_order.select("conv_id", F.posexplode(folded).alias("n", "piece"))
+
+
+def gathered_stream(pieces: DataFrame, least: int = 50) -> DataFrame:
+    """Streaming form of ``gathered``: (conv_id, piece) as they fill; a null piece ends an answer and lets the rest out."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = state.get[0] if state.exists else ""
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        out = []
+        for piece in rows["piece"]:
+            held += piece or ""
+            if held and (piece is None or len(held) >= least or "\n" in held):
+                out.append(held)
+                held = ""
+        state.update((held,))
+        yield pd.DataFrame({"conv_id": [key[0]] * len(out), "piece": out})
+
+    return pieces.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, piece string", "held string", "append", "NoTimeout")

@@ -93,9 +93,10 @@ def test_topk_and_blocks(spark, monkeypatch):
     assert all(direct[q] == expected[q] for q in direct)
     literal = retrieval.topk(df, [float(np.float32(x)) for x in m[0]], 6)
     assert [r.vec_id for r in literal.orderBy("rank").collect()] == expected[0]
-    for limit in (4096, 3):  # broadcast, and blocks of both sides
-        monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", limit)
-        monkeypatch.setattr(retrieval, "BLOCK", 64 if limit == 3 else 4096)
+    for held in (64 << 20, 64 * 4):  # broadcast, and blocks of both sides
+        monkeypatch.setattr(retrieval, "QUERY_BYTES", held)
+        monkeypatch.setattr(retrieval, "BLOCK", 64 if held < 1000 else 4096)
+        monkeypatch.setattr(retrieval, "SLICE", 3)
         got = {}
         for r in retrieval.topk_many(df, queries, 6).orderBy("rank").collect():
             got.setdefault(r.query_id, []).append(r.id)

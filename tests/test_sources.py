@@ -92,11 +92,13 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     assert [(r.samples, r.avg_cpu) for r in spark.table("windows").collect()] == [(1, 10.0)]
 
-    pieces = spark.createDataFrame([(1, 0, "<thi"), (1, 1, "nk>a</think>b"), (2, 0, "c")], "conv_id long, seq long, piece string")
+    pieces = spark.createDataFrame([(1, 0, "<thi"), (1, 1, "nk>a</think>b"), (2, 0, "c"), (3, 0, "a <thi"), (3, 1, None)], "conv_id long, seq long, piece string")
     pieces.write.parquet(str(tmp_path / "p"))
     source = spark.readStream.schema(pieces.schema).parquet(str(tmp_path / "p"))
     thinking.filter_stream(source).writeStream.format("memory").queryName("answers").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    assert {(r.conv_id, r.seq): r.piece for r in spark.table("answers").collect()} == {(1, 0): "", (1, 1): "b", (2, 0): "c"}
+    assert {(r.conv_id, r.seq): r.piece for r in spark.table("answers").collect()} == {(1, 0): "", (1, 1): "b", (2, 0): "c", (3, 0): "a ", (3, 1): "<thi"}
+    thinking.gathered_stream(source, 3).writeStream.format("memory").queryName("gathered").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.conv_id, r.piece) for r in spark.table("gathered").collect()) == [(1, "<thi"), (1, "nk>a</think>b"), (3, "a <thi")]
 
 
 def test_recent_stream(spark, tmp_path):
