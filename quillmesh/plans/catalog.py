@@ -1,4 +1,4 @@
-"""Named queries over the tables of a data directory. The SQL they are compared with is in ``catalog_sql``."""
+"""Named queries over the tables of a data directory. The SQL they are compared with is in ``catalog_sql`` and ``catalog_sql_forms``."""
 
 from __future__ import annotations
 
@@ -14,11 +14,12 @@ from quillmesh.functions import chat, paths, text, urls
 from quillmesh.functions.speech import speakable
 from quillmesh.functions.vectors import l2_normalize, norm
 from quillmesh.operators import batching, chunking, citations, layout, reading, relational, retrieval, web
+from quillmesh.plans import catalog_sql_forms
 from quillmesh.plans.catalog_sql import PAGES, SQL, THOUGHTS
 from quillmesh.plans.config import QueryConfig
 from quillmesh.sources import files, store
 from quillmesh.streaming import metrics, thinking
-from quillmesh.streaming.ingest import file_stream
+from quillmesh.streaming.ingest import file_stream, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -178,6 +179,14 @@ def think_pieces(spark, d):
     return thinking.filter_pieces(pieces).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x.piece), "").alias("answer"))
 
 
+@query
+def answers_gathered(spark, d):
+    """Answers that arrive in pieces of seven characters, gathered for display."""
+    cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(7)), lambda p: F.substring(F.col("text"), p + 1, F.lit(7)))
+    pieces = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("conv_id"), F.posexplode(cuts).alias("seq", "piece"))
+    return thinking.gathered(pieces)
+
+
 @query
 def snippets(spark, d):
     return table(spark, d, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
@@ -290,6 +299,85 @@ def kept_downloads(spark, d):
     return files.agg(F.count_if(keep).alias("files"), F.sum(F.when(keep, F.octet_length("page_content"))).alias("bytes"))
 
 
+# ---------------------------------------------------------------- files and stores
+
+
+def _files(spark, d):
+    """The corpus as files: texts, records, pages and mails by turns; every eleventh of a type that has no loader."""
+    docs = spread(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    quoted = F.concat(F.lit('"'), F.replace(F.col("text"), F.lit('"'), F.lit('""')), F.lit('"'))
+    by_type = {
+        ".txt": F.col("text"),
+        ".CSV": F.concat(F.col("doc_id"), F.lit(","), quoted),
+        ".html": F.concat(F.lit("<html><head><title>"), F.col("doc_id"), F.lit("</title><style>p {}</style></head><body><nav>menu</nav><p>x"), text.escape_html(F.col("text")), F.lit("</p><script>var a;</script><footer>foot</footer></body></html>")),
+        ".eml": F.concat(F.lit("Subject: Note "), F.col("doc_id"), F.lit("\nMIME-Version: 1.0\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), F.col("text")),
+    }
+    kind = F.when(F.col("doc_id") % 11 == 10, ".pdf")
+    content = F.lit(None)
+    for k, (extension, body) in enumerate(by_type.items()):
+        kind = kind.when(F.col("doc_id") % 4 == k, extension)
+        content = body if k == 0 else F.when(F.col("doc_id") % 4 == k, body).otherwise(content)
+    return docs.select(F.concat(F.lit("/in/f"), F.col("doc_id"), kind).alias("path"), F.lit("2024-01-01").cast("timestamp").alias("modificationTime"), F.encode(content, "UTF-8").alias("content"))
+
+
+@query
+def loaded_files(spark, d):
+    """Files through the loaders of their types, with the reason where one gave nothing."""
+    return files.extract(_files(spark, d)).select("file_path", "file_type", "page_content", "hash", "error")
+
+
+@query
+def ingest_counts(spark, d):
+    return files.ingest_counts(files.extract(_files(spark, d)))
+
+
+@query
+def transcripts_again(spark, d):
+    """Documents written as transcripts and read back."""
+    folder = f"{shared_folder(spark)}/transcripts-{uuid.uuid4().hex}"
+    files.write_transcripts(table(spark, d, "document_records"), folder)
+    return files.transcripts(spark, folder).select("file_path", "file_name", F.sha2("page_content", 256).alias("text_hash"), "document_type", "creation_date", F.col("error").isNotNull().alias("broken"))
+
+
+@query
+def store_points(spark, d):
+    """A vector store built, copied and restored; rows by id with the norms it keeps."""
+    root, name = shared_folder(spark), f"db{uuid.uuid4().hex}"
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), F.lit("t").alias("text"), F.to_json(F.struct("label")).alias("metadata"))
+    first = store.VectorStore(spark, root, name)
+    first.build(vectors, table(spark, d, "document_metadata"), table(spark, d, "hash_chunk_ids"), 64)
+    first.backup(f"{root}/backup")
+    first.delete()
+    first.restore(f"{root}/backup")
+    wanted = table(spark, d, "document_metadata").select(F.col("id").cast("string").alias("id"))
+    return first.point_read(wanted, ["metadata", "norm"]).select("id", "metadata", F.round("norm", 4).alias("norm"))
+
+
+@query
+def store_without(spark, d):
+    """What is left of a store without the documents of the most frequent hash."""
+    root, name = shared_folder(spark), f"db{uuid.uuid4().hex}"
+    ids = table(spark, d, "hash_chunk_ids").where("hash <> ''")
+    vectors = ids.select(F.col("tiledb_id").alias("id"), F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("vector"), F.lit("").alias("text"), F.lit("{}").alias("metadata"))
+    first = store.VectorStore(spark, root, name)
+    first.build(vectors, table(spark, d, "document_metadata"), ids, 2)
+    most = ids.groupBy("hash").count().orderBy(F.desc("count"), "hash").limit(1)
+    less = first.delete_documents(most)
+    counts = [less.table(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("part"), "n") for t in store.TABLES]
+    return counts[0].unionAll(counts[1]).unionAll(counts[2])
+
+
+@query
+def ingested_once(spark, d):
+    """Chunks of documents that arrive as a stream, which runs twice and takes each file once."""
+    base = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    docs = table(spark, d, "document_records").select("file_path", "file_type", "page_content")
+    stream = file_stream(spark, f"{d}/document_records.parquet", docs.schema)
+    for _ in range(2):
+        ingest(stream, f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("file_path").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("chunk")).alias("characters"))
+
+
 # ---------------------------------------------------------------- joins and sets
 
 
@@ -464,7 +552,7 @@ def html_filename(spark, d):
 
 @query
 def html_strip_cruft(spark, d):
-    return pages_of(spark, d).select("doc_id", F.length(web.strip_tag_blocks(F.col("html"))).alias("chars"))
+    return pages_of(spark, d).select("doc_id", web.strip_tag_blocks(F.col("html")).alias("html"))
 
 
 @query
@@ -474,12 +562,13 @@ def html_plain(spark, d):
 
 @query
 def html_main_content(spark, d):
-    return spread(pages_of(spark, d)).select("doc_id", web.content_and_text(F.col("html"), "pydata").alias("r")).select("doc_id", "r.content", "r.text")
+    docs = spread(table(spark, d, "documents").select("doc_id", text.escape_html(F.col("text")).alias("text"), "source"))
+    return docs.selectExpr(*PAGES).select("doc_id", web.content_and_text(F.col("html"), "pydata").alias("r")).select("doc_id", "r.content", "r.text")
 
 
 @query
 def html_saved(spark, d):
-    return web.saved_pages(pages_of(spark, d)).select("file_name", "url", F.length("html").alias("chars"))
+    return web.saved_pages(pages_of(spark, d))
 
 
 @query
@@ -487,21 +576,46 @@ def link_frontier(spark, d):
     return web.frontier(web.links(pages_of(spark, d)), pages_of(spark, d).where("doc_id % 2 = 0"))
 
 
-def _crawl(spark, d, rounds=None):
+@query
+def crawl(spark, d):
+    """All pages that links lead to from one, with their distance."""
     links = checkpointed(web.links(pages_of(spark, d)))
-    return web.crawl(links, pages_of(spark, d).where("doc_id = 1").select("url"), checkpointed, rounds)
+    return web.crawl(links, pages_of(spark, d).where("doc_id = 1").select("url"), checkpointed)
 
 
 @query
-def crawl(spark, d):
-    """Pages at most six links away, as the SQL has it."""
-    return _crawl(spark, d, rounds=6)
+def crawl_tries(spark, d):
+    """Requests made of the event log: an event is an answer, numbered per page; pages without a 200 in three tries are failed."""
+    status = F.when(F.col("event_type") == "error", 429).when(F.col("event_type") == "purchase", 200).otherwise(404)
+    answers = table(spark, d, "events").select(F.concat(F.lit("https://docs.example/"), F.col("event_id") % 97, F.lit("/"), F.col("user_id")).alias("url"), "event_id", status.alias("status"))
+    numbered = relational.running_total(answers, ["url"], ["event_id"], F.floor(F.col("event_id") / 10_000), F.lit(1), "attempt")
+    return web.after_tries(numbered)
+
+
+@query
+def seeds_merged(spark, d):
+    """Pages in the order of their texts' sizes after every other page in its own order, each once."""
+    pages = pages_of(spark, d).select("url", "doc_id")
+    return web.merge_seeds(pages.where("doc_id % 2 = 0").select("url", F.col("doc_id").alias("position")), pages.select("url", (-F.col("doc_id")).alias("position")))
+
+
+@query
+def queue_unsaved(spark, d):
+    """Pages whose file isn't saved yet."""
+    pages = pages_of(spark, d)
+    return web.unsaved(pages.select("url"), web.saved_pages(pages.where("doc_id % 3 = 0")))
 
 
 @query
-def crawl_whole(spark, d):
-    """All pages that links lead to."""
-    return _crawl(spark, d)
+def page_sidecars(spark, d):
+    """The links kept beside each saved page."""
+    return web.links_beside(pages_of(spark, d))
+
+
+@query
+def resumed_queue(spark, d):
+    pages = pages_of(spark, d)
+    return web.resume_queue(web.links(pages.where("doc_id % 5 = 0")).select("link"), pages.where("doc_id % 7 = 0").select("url"), pages.where("doc_id < 3").select("url"))
 
 
 @query
@@ -539,7 +653,28 @@ def padded_tokens(spark, d):
 
 @query
 def hashed_embeddings(spark, d):
-    return batching.hashed_embedding(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", 16)
+    vectors = batching.hashed_embedding(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", 16)
+    return vectors.select("doc_id", F.posexplode("embedding").alias("place", "x")).select("doc_id", "place", F.round(F.col("x").cast("double"), 4).alias("x"))
+
+
+QUESTION = "Which committee checks the harbour records?"
+
+
+@query
+def search_words(spark, d):
+    """The chunks nearest to a question in words, encoded as the chunks are."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "document_type", "source"))
+    vectors = batching.hashed_embedding(docs, "doc_id", "text", 32).withColumnRenamed("doc_id", "vec_id")
+    hits = retrieval.search_text(vectors, docs, QUESTION, QueryConfig(contexts=20, similarity=0.0), batching.WordEncoder(32))
+    return hits.select("doc_id", F.round("similarity_score", 4).alias("similarity_score"))
+
+
+@query
+def search_prefiltered(spark, d):
+    """The nearest of the chunks that pass a term and a type, chosen before the limit."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "document_type", "source")
+    config = QueryConfig(contexts=20, similarity=0.0, search_term="the", document_types="document")
+    return _scored(retrieval.search(table(spark, d, "embeddings"), docs, 0, config, prefilter=True))
 
 
 # ---------------------------------------------------------------- recognised pages
@@ -589,7 +724,7 @@ def hocr(spark, d):
     lines = _pages_of_words(spark, d).select("doc_id", "page", F.posexplode(F.arrays_zip("texts", "polygons")).alias("line_no", "_l"))
     score = (F.col("doc_id") + F.col("page") * PAGE_LINES + F.col("line_no")) % 11 / 10.0
     stats = layout.hocr_lines(lines.select("doc_id", "page", "line_no", F.col("_l.texts").alias("text"), F.col("_l.polygons").alias("polygon"), score.alias("score")), ["doc_id", "page"])
-    return stats.select("doc_id", "page", "emitted", "dropped", "flagged", F.round("mean_conf", 6).alias("mean_conf"))
+    return stats.select("doc_id", "page", "body", "emitted", "dropped", "flagged", F.round("mean_conf", 6).alias("mean_conf"))
 
 
 @query
@@ -690,4 +825,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in SQL.items() if k in _QUERIES}
+    return {k: v for k, v in (SQL | catalog_sql_forms.SQL).items() if k in _QUERIES}

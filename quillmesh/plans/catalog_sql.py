@@ -1,9 +1,4 @@
-"""Standard SQL of the catalog's queries, for an independent engine over the same tables.
-
-Queries whose semantics SQL can't express (compatibility composition, parsing of
-HTML, grouped layout analysis, hashing embedders) have none and are tested
-against brute force instead.
-"""
+"""Standard SQL of the catalog's queries, for an independent engine over the same tables; more of it is in ``catalog_sql_forms``."""
 
 from __future__ import annotations
 
@@ -206,15 +201,9 @@ SQL: dict[str, str] = {
     "page_ranges_array": _RANGES,
     "link_extract": f"SELECT * FROM {_LINKS}",
     "link_frontier": f"SELECT DISTINCT link FROM {_LINKS} WHERE link NOT IN (SELECT url FROM {_PAGES} WHERE doc_id % 2 = 0)",
-    "crawl": f"""
-        WITH RECURSIVE edges AS MATERIALIZED (SELECT url, link FROM {_LINKS}),
-        reach AS (SELECT 'https://docs.example/docs/1' AS url, 0 AS depth UNION SELECT e.link, r.depth + 1 FROM reach r JOIN edges e ON e.url = r.url WHERE r.depth < 6)
-        SELECT url, min(depth) AS depth FROM reach GROUP BY url""",
     "html_filename": rf"""
         SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN concat('docs.example_docs_', doc_id, '_', substring(md5(concat(url, '?a=1')), 1, 8)) ELSE concat('docs.example_docs_', doc_id) END AS file_name FROM {_PAGES}""",
-    "html_strip_cruft": rf"SELECT doc_id, length(regexp_replace(html, '(?is)<(script|style|nav|footer|svg)\b.*?</(script|style|nav|footer|svg)>|<!--.*?-->', '', 'g')) AS chars FROM {_PAGES}",
     "html_plain": rf"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|nav|footer|svg)\b.*?</(script|style|nav|footer|svg)>|<!--.*?-->', '', 'g'), '<[^>]*>', ' ', 'g'), '[\s\x{{0b}}]+', ' ', 'g'), ' ') AS text FROM {_PAGES}",
-    "html_saved": f"SELECT concat('docs.example_docs_', doc_id) AS file_name, url, length(html) + length(concat('<a href=\"', url, '\">Original Source</a>')) AS chars FROM {_PAGES}",
     "url_valid": """
         SELECT doc_id, FALSE AS deep, doc_id % 5 = 2 AND doc_id % 3 <> 0 AS valid, FALSE AS elsewhere FROM documents""",
     "rate_limits": """

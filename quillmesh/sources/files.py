@@ -168,9 +168,9 @@ def transcripts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_transcripts(docs: DataFrame, folder: str) -> None:
-    """The same shape back, one JSON object per line."""
+    """The same shape back: one JSON object per file, as ``transcripts`` reads it."""
     fields = [f.name for f in DOCUMENT_SCHEMA.fields[1:]]
-    docs.select("page_content", F.struct(*fields).alias("metadata")).write.mode("errorifexists").json(folder)
+    docs.select("page_content", F.struct(*fields).alias("metadata")).write.option("maxRecordsPerFile", 1).mode("errorifexists").json(folder)
 
 
 def staging(files: DataFrame) -> DataFrame:
