@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import re
 import textwrap
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from html import escape
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -121,3 +123,110 @@ def plain_markdown(text: str | None) -> str | None:
 def markdown_components(texts: pd.Series) -> pd.Series:
     """``plain_markdown`` over Arrow batches."""
     return texts.map(plain_markdown, na_action="ignore")
+
+
+# Marks of emphasis and what they become.
+EMPHASIS = {"**": "strong", "__": "strong", "*": "em", "_": "em"}
+_INLINE = re.compile(r"(?P<tick>`+)(?P<code>.+?)(?P=tick)|(?P<image>!?)\[(?P<words>[^\]]*)\]\((?P<target>[^)\s]*)[^)]*\)|\\(?P<sign>[!-/:-@\[-`{-~])|(?<!\w)(?P<mark>\*\*|__|\*|_)(?P<stressed>\S(?:.*?\S)?)(?P=mark)(?!\w)")
+_ITEM = re.compile(r"^\s{0,3}(?:([-*+])|\d{1,9}[.)])\s+(.*)$")
+_HEADING = re.compile(r"^ {0,3}(#{1,6})\s+(.*?)\s*#*$")
+_RULE = re.compile(r"^ {0,3}(?:(?:-\s*){3,}|(?:\*\s*){3,}|(?:_\s*){3,})$")
+
+
+def _inline(text: str) -> str:
+    out, at = [], 0
+    for found in _INLINE.finditer(text):
+        out.append(escape(text[at : found.start()], quote=False))
+        at = found.end()
+        if found["code"] is not None:
+            out.append(f"<code>{escape(found['code'].strip(), quote=False)}</code>")
+        elif found["target"] is not None:
+            target, words = escape(found["target"]), found["words"]
+            out.append(f'<img alt="{escape(words)}" src="{target}">' if found["image"] else f'<a href="{target}">{escape(words, quote=False)}</a>')
+        elif found["sign"]:
+            out.append(escape(found["sign"], quote=False))
+        else:
+            tag = EMPHASIS[found["mark"]]
+            out.append(f"<{tag}>{escape(found['stressed'], quote=False)}</{tag}>")
+    return "".join([*out, escape(text[at:], quote=False)])
+
+
+def _blocks(lines: list[str]) -> Iterator[tuple[str, list[str], str]]:
+    """(kind, lines, argument) of the blocks on one level."""
+    at = 0
+    while at < len(lines):
+        line = lines[at]
+        start = at
+        if fence := re.match(r"^[ \t]*(`{3,})\s*(\S*)", line):
+            at += 1
+            while at < len(lines) and not lines[at].strip().startswith(fence[1]):
+                at += 1
+            yield "code", lines[start + 1 : at], fence[2]
+            at += 1
+        elif not line.strip():
+            at += 1
+        elif heading := _HEADING.match(line):
+            yield "heading", [heading[2]], str(len(heading[1]))
+            at += 1
+        elif _RULE.match(line):
+            yield "rule", [], ""
+            at += 1
+        elif line.lstrip().startswith(">"):
+            while at < len(lines) and lines[at].lstrip().startswith(">"):
+                at += 1
+            yield "quote", [re.sub(r"^\s*> ?", "", x) for x in lines[start:at]], ""
+        elif item := _ITEM.match(line):
+            tag, items = ("ul" if item[1] else "ol"), []
+            while at < len(lines) and ((found := _ITEM.match(lines[at])) or lines[at].strip() and lines[at].startswith("  ")):
+                if found and bool(found[1]) != (tag == "ul"):
+                    break
+                if found:
+                    items.append(found[2])
+                else:
+                    items[-1] += " " + lines[at].strip()
+                at += 1
+            yield tag, items, ""
+        else:
+            while at < len(lines) and lines[at].strip() and (at == start or not re.match(r"^\s*(?:>|`{3,}|#{1,6}\s)", lines[at]) and not _ITEM.match(lines[at])):
+                at += 1
+            yield "p", lines[start:at], ""
+
+
+def markdown_html(text: str | None) -> str | None:
+    """Plain markdown as HTML: headings, paragraphs, quotes, lists of one level, code, rules, emphasis, links and images; everything else is escaped text."""
+    if text is None:
+        return None
+    out: list[str] = []
+    # Quotes hold blocks again: what follows them waits on a stack.
+    waiting: list[Iterator[tuple[str, list[str], str]] | str] = [_blocks(text.split("\n"))]
+    while waiting:
+        top = waiting[-1]
+        if isinstance(top, str):
+            out.append(waiting.pop())
+            continue
+        block = next(top, None)
+        if block is None:
+            waiting.pop()
+            continue
+        kind, lines, argument = block
+        if kind == "quote":
+            out.append("<blockquote>")
+            waiting += ["</blockquote>", _blocks(lines)]
+        elif kind == "code":
+            name = f' class="language-{escape(argument)}"' if argument else ""
+            out.append(f"<pre><code{name}>{escape(chr(10).join([*lines, '']), quote=False)}</code></pre>")
+        elif kind == "heading":
+            out.append(f"<h{argument}>{_inline(lines[0])}</h{argument}>")
+        elif kind == "rule":
+            out.append("<hr>")
+        elif kind == "p":
+            out.append(f"<p>{_inline(chr(10).join(x.strip() for x in lines))}</p>")
+        else:
+            out.append(f"<{kind}>{''.join(f'<li>{_inline(x)}</li>' for x in lines)}</{kind}>")
+    return "\n".join(out)
+
+
+@F.pandas_udf(StringType())
+def markdown_page(texts: pd.Series) -> pd.Series:
+    """Extended markdown as HTML, over Arrow batches."""
+    return texts.map(lambda t: markdown_html(plain_markdown(t)), na_action="ignore")

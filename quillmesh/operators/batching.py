@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import md5
 
 import numpy as np
@@ -22,6 +22,36 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, max_length: int = 512,
     return docs.select(F.col(id_col), ids.alias("input_ids")).where(F.size("input_ids") > 0).withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
 
 
+def tokenize_with(docs: DataFrame, id_col: str, text_col: str, tokenizer: Callable[[list[str]], list[list[int]]], max_length: int = 512, batch_size: int = 100) -> DataFrame:
+    """(id, input_ids, error): a tokenizer of one's own over batches of texts, truncated; null texts count as empty.
+
+    A batch that fails gives rows with ``error`` and no ids; keep ``error IS NULL`` as
+    tokens, and pair what survives with its chunks by ``realigned``.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, ids, errors = [t or "" for t in batch.column(1).to_pylist()], [], []
+            for start in range(0, len(texts), batch_size):
+                part = texts[start : start + batch_size]
+                try:
+                    found = [list(x)[:max_length] for x in tokenizer(part)]
+                    if len(found) != len(part):
+                        raise ValueError(f"{len(found)} results for {len(part)} texts")
+                    ids, errors = ids + found, errors + [None] * len(part)
+                except Exception as problem:  # noqa: BLE001 - the rows carry it
+                    ids, errors = ids + [None] * len(part), errors + [f"{type(problem).__name__}: {problem}"] * len(part)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(errors, pa.string())], names=[id_col, "input_ids", "error"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, input_ids array<int>, error string")
+
+
+def still_to_do(docs: DataFrame, done: DataFrame, id_col: str) -> DataFrame:
+    """The documents that an interrupted run hasn't written yet: what a resumed one starts from."""
+    return docs.join(done.select(id_col).distinct(), id_col, "left_anti")
+
+
 def length_sorted(rows: DataFrame, length: Column, seq_col: str, shard_size: int = 60_000, batch_size: int = 100) -> DataFrame:
     """``rows`` plus shard, position and batch_id: within a shard the longest first, ties by sequence.
 
@@ -103,6 +133,21 @@ class WordEncoder:
         return self.matrix([question])[0].astype(float).tolist()
 
 
+class EncoderRegistry:
+    """Encoders by model family: the first registered name that a model's path contains gives the encoder, ``WordEncoder`` if none does."""
+
+    def __init__(self) -> None:
+        self._families: dict[str, Callable[[str], Callable[[str], list[float]]]] = {}
+
+    def register(self, family: str, factory: Callable[[str], Callable[[str], list[float]]]) -> None:
+        """``factory`` makes an encoder (question -> vector) of a model's path."""
+        self._families[family.lower()] = factory
+
+    def encoder(self, model: str | None) -> Callable[[str], list[float]]:
+        name = (model or "").lower()
+        return next((factory(model) for family, factory in self._families.items() if family in name), WordEncoder())
+
+
 def hashed_embedding(docs: DataFrame, id_col: str, text_col: str, dimensions: int = 64) -> DataFrame:
     """(id, embedding ARRAY<FLOAT>): every text through ``WordEncoder``."""
     kind = docs.schema[id_col].dataType.simpleString()

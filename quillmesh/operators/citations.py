@@ -66,3 +66,8 @@ def citation_list(cited: DataFrame) -> DataFrame:
     )
     rows = F.array_sort(F.collect_list(F.struct(F.col("min_score").alias("s"), item.alias("i"))))
     return cited.agg(F.concat(F.lit("<ol>"), F.array_join(F.transform(rows, lambda x: x.i), ""), F.lit("</ol>")).alias("html"))
+
+
+def dump(hits: DataFrame, columns: list[str], folder: str) -> None:
+    """One line of JSON per hit, in rank order: the record of an answer's sources. A result is bounded by k, so it is one file."""
+    hits.orderBy("rank").select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(folder)

@@ -135,6 +135,33 @@ def content_and_text(page: Column, selector: str | None) -> Column:
     return F.pandas_udf(read, kind)(page)
 
 
+class SiteRegistry:
+    """Documentation sites and where their main content is: (host, path prefix) -> selector. A site of a longer path wins."""
+
+    def __init__(self) -> None:
+        self._sites: dict[tuple[str, str], str] = {}
+
+    def register(self, url: str, selector: str) -> None:
+        """Pages at or below ``url`` are read with a selector of ``SELECTORS``; an unknown selector is an error."""
+        if selector not in SELECTORS:
+            raise KeyError(selector)
+        host, _, path = url.partition("://")[2].partition("/")
+        self._sites[host.removeprefix("www."), "/" + path.rstrip("/") if path.rstrip("/") else ""] = selector
+
+    def selector(self, url: Column) -> Column:
+        """The selector of a page's site; null for pages of no registered site."""
+        host, path, found = urls.bare_host(url), urls.path(url), F.lit(None).cast("string")
+        for (site, prefix), name in sorted(self._sites.items(), key=lambda item: len(item[0][1])):
+            found = F.when((host == site) & urls.path_within(path, F.lit(prefix)), name).otherwise(found)
+        return found
+
+
+def content_by_site(pages: DataFrame, registry: SiteRegistry, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``pages`` plus ``content``: the main content by the selector of each page's site, the whole page where no site is registered."""
+    read = F.pandas_udf(lambda pages, names: pd.Series([main_content_of(p, n) for p, n in zip(pages, names)]), StringType())
+    return pages.withColumn("content", read(F.col(html_col), registry.selector(F.col(url_col))))
+
+
 def main_content(page: Column, selector: str | None) -> Column:
     return content_and_text(page, selector).content
 

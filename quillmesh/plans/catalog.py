@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions import chat, paths, text, urls
+from quillmesh.functions.markdown import markdown_components, markdown_page
 from quillmesh.functions.speech import speakable
 from quillmesh.functions.vectors import l2_normalize, norm
 from quillmesh.operators import batching, chunking, citations, layout, reading, relational, retrieval, web
@@ -268,6 +269,13 @@ def metadata_roundtrip(spark, d):
     return parsed.where("m IS NOT NULL").groupBy("m.file_type").agg(F.count(F.lit(1)).alias("n"), F.count("m.hash").alias("with_hash"))
 
 
+@query
+def chunk_metadata(spark, d):
+    """Metadata that goes with a chunk: scalars, nulls left out, times and lists as text."""
+    rows = table(spark, d, "documents").select("doc_id", "source", "lang", "ingested_at", F.array("source", "lang").alias("both"))
+    return rows.select("doc_id", store.chunk_metadata(rows, "source", "lang", "ingested_at", "both").alias("metadata"))
+
+
 @query
 def latest_versions(spark, d):
     """The latest text of every path: greatest modification date, then hash and text hash, nulls least; combined before the shuffle, which carries no text."""
@@ -566,6 +574,26 @@ def html_main_content(spark, d):
     return docs.selectExpr(*PAGES).select("doc_id", web.content_and_text(F.col("html"), "pydata").alias("r")).select("doc_id", "r.content", "r.text")
 
 
+@query
+def html_by_site(spark, d):
+    """Main content by the selector registered for each page's site."""
+    docs = spread(table(spark, d, "documents").select("doc_id", text.escape_html(F.col("text")).alias("text"), "source"))
+    sites = web.SiteRegistry()
+    sites.register("https://docs.example/docs", "pydata")
+    sites.register("https://docs.example/docs/7", "readthedocs")
+    pages = docs.selectExpr(*PAGES).withColumn("url", F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("https://elsewhere.example/"), "doc_id")).otherwise(F.col("url")))
+    return web.content_by_site(pages, sites).select("doc_id", "content")
+
+
+@query
+def markdown_pages(spark, d):
+    """Each text as a note within extended markdown, and as HTML."""
+    words = text.strip(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9 ]+", " "))
+    note = F.concat(F.lit('# Title\n<Note>\n  '), F.regexp_replace(words, " +", " "), F.lit('\n</Note>\n<Card title="More">see `<b>`</Card>'))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", note.alias("note"))
+    return docs.select("doc_id", markdown_components(F.col("note")).alias("plain"), markdown_page(F.col("note")).alias("page"))
+
+
 @query
 def html_saved(spark, d):
     return web.saved_pages(pages_of(spark, d))
@@ -651,6 +679,28 @@ def padded_tokens(spark, d):
     return padded.groupBy("shard", "batch_id").agg(F.min(F.size("input_ids")).alias("shortest"), F.max(F.size("input_ids")).alias("longest"), F.sum(F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)).alias("real_tokens"))
 
 
+def _letters(texts: list[str]) -> list[list[int]]:
+    """A tokenizer that takes no tabs: code points."""
+    if any("\t" in t for t in texts):
+        raise ValueError("tab")
+    return [list(map(ord, t)) for t in texts]
+
+
+@query
+def tokenized(spark, d):
+    """Texts through a tokenizer that fails for some, one at a time; what came through and what didn't."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    rows = batching.tokenize_with(docs, "doc_id", "text", _letters, batch_size=1)
+    return rows.select("doc_id", F.size("input_ids").alias("tokens"), F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), "error")
+
+
+@query
+def tokens_to_resume(spark, d):
+    """What is left for a run that stopped after every third document."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return batching.still_to_do(docs, docs.where("doc_id % 3 = 0"), "doc_id")
+
+
 @query
 def hashed_embeddings(spark, d):
     vectors = batching.hashed_embedding(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", 16)
@@ -727,6 +777,13 @@ def hocr(spark, d):
     return stats.select("doc_id", "page", "body", "emitted", "dropped", "flagged", F.round("mean_conf", 6).alias("mean_conf"))
 
 
+@query
+def page_metrics(spark, d):
+    """Pages of the corpus with the counts of their layout markup; pages of blanks only have none."""
+    pages = _pages_of_words(spark, d).select("doc_id", "page", F.size("texts").alias("words"))
+    return layout.with_page_metrics(pages, hocr(spark, d).select("doc_id", "page", "emitted", "dropped"))
+
+
 @query
 def orientation(spark, d):
     trials = table(spark, d, "lineitem").select(

@@ -145,8 +145,38 @@ SQL: dict[str, str] = {
         SELECT doc_id, page, coalesce(string_agg(concat('<span class=''ocr_line'' id=''line_', line_no, ''' title=''', box, '''><span class=''ocrx_word'' id=''word_', line_no, ''' title=''', box, '; x_wconf ', CAST(round(score * 100) AS INT), '''>', {_ESCAPED('word')}, '</span></span>'), E'\n' ORDER BY line_no) FILTER (WHERE score >= 0.3), '') AS body,
             count(*) FILTER (WHERE score >= 0.3) AS emitted, count(*) FILTER (WHERE score < 0.3) AS dropped, count(*) FILTER (WHERE score >= 0.3 AND score < 0.6 AND length(word) >= 3) AS flagged, round(coalesce(avg(score) FILTER (WHERE score >= 0.3), 0), 6) AS mean_conf
         FROM {_LINES} WHERE word <> '' GROUP BY doc_id, page""",
+    "page_metrics": f"""
+        SELECT doc_id, page, words, CASE WHEN filled > 0 THEN emitted END AS emitted, CASE WHEN filled > 0 THEN filled - emitted END AS dropped FROM (
+            SELECT doc_id, page, CAST(count(*) AS INT) AS words, count(*) FILTER (WHERE word <> '') AS filled, count(*) FILTER (WHERE word <> '' AND score >= 0.3) AS emitted FROM {_LINES} GROUP BY doc_id, page)""",
+    "tokenized": r"""
+        SELECT doc_id, CASE WHEN bad THEN NULL ELSE least(length(t), 512) END AS tokens, CASE WHEN NOT bad THEN CAST(coalesce(list_sum(list_transform(regexp_extract_all(left(t, 512), '(?s).'), lambda c: unicode(c))), 0) AS BIGINT) END AS total, CASE WHEN bad THEN 'ValueError: tab' END AS error
+        FROM (SELECT doc_id, coalesce(text, '') AS t, contains(coalesce(text, ''), chr(9)) AS bad FROM documents)""",
+    "tokens_to_resume": "SELECT doc_id, source FROM documents WHERE doc_id % 3 <> 0",
+    "chunk_metadata": r"""
+        SELECT doc_id, concat('{', array_to_string(list_filter([CASE WHEN source IS NOT NULL THEN '"source":"' || source || '"' END, CASE WHEN lang IS NOT NULL THEN '"lang":"' || lang || '"' END,
+            CASE WHEN ingested_at IS NOT NULL THEN '"ingested_at":"' || regexp_replace(regexp_replace(strftime(ingested_at, '%Y-%m-%d %H:%M:%S.%f'), '0+$', ''), '\.$', '') || '"' END,
+            concat('"both":"[', CASE WHEN source IS NULL THEN 'null' ELSE '\"' || source || '\"' END, ',', CASE WHEN lang IS NULL THEN 'null' ELSE '\"' || lang || '\"' END, ']"')], lambda x: x IS NOT NULL), ','), '}') AS metadata FROM documents""",
     "html_strip_cruft": rf"SELECT doc_id, regexp_replace(html, '(?is)<(script|style|nav|footer|svg)\b.*?</(script|style|nav|footer|svg)>|<!--.*?-->', '', 'g') AS html FROM {_PAGES}",
     "html_saved": f"SELECT concat('docs.example_docs_', doc_id) AS file_name, url, replace(html, '<body>', concat('<body><a href=\"', url, '\">Original Source</a>')) AS html FROM {_PAGES}",
+    "html_by_site": f"""
+        SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN concat('<html><head><style>p {{}}</style></head><body><nav>menu</nav>', article, '<script>var x = "</p>";</script><!-- end --></article><footer>foot</footer></body></html>')
+            WHEN doc_id = 7 THEN '<html><body></body></html>' ELSE concat('<html><body>', replace(replace(article, '&quot;', chr(34)), '&#x27;', chr(39)), '</article></body></html>') END AS content
+        FROM (SELECT doc_id, concat('<article class="bd-article"><h1>', coalesce(source, 'page'), '</h1><p>', {_ESCAPED("coalesce(text, '')")}, '</p>', {_HREF}) AS article FROM documents)""",
+    "markdown_pages": rf"""
+        SELECT doc_id, concat(E'# Title
+
+>', CASE WHEN w <> '' THEN ' ' || w ELSE '' END, E'
+
+## More
+
+see `<b>`') AS plain,
+            concat(E'<h1>Title</h1>
+<blockquote>
+', CASE WHEN w <> '' THEN concat('<p>', w, E'</p>
+') ELSE '' END, E'</blockquote>
+<h2>More</h2>
+<p>see <code>&lt;b&gt;</code></p>') AS page
+        FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'), ' ') AS w FROM documents)""",
     "html_main_content": f"""
         SELECT doc_id, concat('<html><body><article class="bd-article"><h1>', coalesce(source, 'page'), '</h1><p>', replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '</p>', {_HREF}, '</article></body></html>') AS content,
             {_strip(f"regexp_replace(concat(coalesce(source, 'page'), ' ', coalesce(text, ''), ' one two three'), '{_SPACE}+', ' ', 'g')")} AS text

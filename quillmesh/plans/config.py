@@ -8,8 +8,35 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-# Names of the presets and how many partitions per core each asks for.
-PRESETS = {"minimal": 0.25, "low": 0.5, "normal": 1.0, "high": 2.0, "maximum": 4.0}
+
+
+@dataclass(frozen=True)
+class Preset:
+    """Most workers of each stage on one machine (None: all but two cores; 0: no limit), and documents handed to a worker at a time."""
+
+    ingest_threads: int | None
+    ingest_processes: int | None
+    split_workers: int | None
+    tokenize_workers: int | None
+    batch: int
+    #: Whether the numbers are kept on machines of fewer cores.
+    fixed: bool = False
+
+    def on(self, cores: int) -> dict[str, int]:
+        """The five knobs on a machine of so many cores; 0 stands for no limit."""
+        free = max(cores - 2, 1)
+        most = {"ingest_threads": self.ingest_threads, "ingest_processes": self.ingest_processes, "split_max_parallel_workers": self.split_workers, "tokenize_max_parallel_workers": self.tokenize_workers}
+        return {k: free if n is None else n if self.fixed or n == 0 else min(free, n) for k, n in most.items()} | {"split_worker_batch_size": self.batch}
+
+
+# The presets' knobs.
+PRESETS = {
+    "minimal": Preset(1, 1, 1, 1, 5000, fixed=True),
+    "low": Preset(4, 2, 2, 2, 3000, fixed=True),
+    "normal": Preset(8, 4, 4, 4, 2000),
+    "high": Preset(16, 8, 8, 8, 2000),
+    "maximum": Preset(None, None, 0, 0, 1000),
+}
 DOCUMENT_TYPES = ("", "document", "image", "audio")
 
 
@@ -44,10 +71,28 @@ class QueryConfig:
         Path(file).write_text(json.dumps(asdict(self), indent=2))
 
 
+def _read(file: str | Path) -> dict:
+    """Settings of a JSON or YAML file; of nested ones the section ``database`` counts, and names on top."""
+    text = Path(file).read_text()
+    if Path(file).suffix.lower() in (".yaml", ".yml"):
+        import yaml
+
+        try:
+            raw = yaml.safe_load(text)
+        except yaml.YAMLError as problem:
+            raise ValueError(str(problem)) from problem
+    else:
+        raw = json.loads(text)
+    if not isinstance(raw, dict):
+        raise ValueError("settings are names and values")
+    section = raw.get("database")
+    return {k: v for k, v in raw.items() if k != "database"} | (section if isinstance(section, dict) else {})
+
+
 def load_config(file: str | Path) -> tuple[QueryConfig, list[str]]:
-    """Settings of a JSON file and the names of those that were invalid and fell back to their defaults."""
+    """Settings of a JSON or YAML file and the names of those that were invalid and fell back to their defaults; ``*`` if the file can't be read."""
     try:
-        raw = json.loads(Path(file).read_text())
+        raw = _read(file)
     except (OSError, ValueError):
         return QueryConfig(), ["*"]
     kept: dict = {}
@@ -62,12 +107,22 @@ def load_config(file: str | Path) -> tuple[QueryConfig, list[str]]:
     return QueryConfig(**kept), bad
 
 
-def apply_preset(spark: SparkSession, preset: str) -> int:
-    """Set the shuffle partitions to the preset's share of the cluster's cores; returns the number."""
+def apply_preset(spark: SparkSession, preset: str, cores: int | None = None) -> int:
+    """Give the session a preset's share of every machine; returns the shuffle partitions.
+
+    ``cores`` are those of one machine (executor); a cluster gets the splitting
+    workers of one machine times the machines. Without a limit all cores are used. The
+    batch size becomes that of Arrow batches.
+    """
     if preset not in PRESETS:
         raise ValueError(f"unknown preset {preset!r}")
-    partitions = max(1, round(spark.sparkContext.defaultParallelism * PRESETS[preset]))
+    every = spark.sparkContext.defaultParallelism
+    own = min(cores or int(spark.conf.get("spark.executor.cores", str(every))), every)
+    knobs = PRESETS[preset].on(own)
+    workers = knobs["split_max_parallel_workers"] or own
+    partitions = max(1, every // own * min(workers, own))
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(knobs["split_worker_batch_size"]))
     return partitions
 
 
@@ -79,3 +134,14 @@ def valid_database_name(name: str | None) -> bool:
 def preflight(checks: list[tuple[bool, str]]) -> str | None:
     """The message of the first check that failed."""
     return next((message for passed, message in checks if not passed), None)
+
+
+def database_checks(name: str | None, exists: bool, model: str | None, files: int, needing_ocr: int = 0) -> list[tuple[bool, str]]:
+    """What must hold before a database is built, in order: a name, a free one, a model, documents, and no page without text."""
+    return [
+        (valid_database_name(name), "Name must be at least 3 characters long and not be 'null' or 'none.'"),
+        (not exists, f"A vector database called '{name}' already exists—choose a different name or delete the old one first."),
+        (bool(model), "You must first download an embedding model, select it, and choose documents before proceeding."),
+        (files > 0, "No documents are yet added to be processed."),
+        (needing_ocr == 0, f"{needing_ocr} documents have pages without text."),
+    ]

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import csv
+import datetime
 import email
 import email.policy
 import io
+import os
+import re
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,6 +110,20 @@ def incompatible(files: DataFrame) -> DataFrame:
     return files.where(~paths.extension(F.col("path")).isin(paths.DOCUMENT_EXTENSIONS))
 
 
+@F.pandas_udf(StringType())
+def creation_time(found: pd.Series) -> pd.Series:
+    """ISO creation (status change) time in UTC of files that the executor's file system has; null for others, as object stores keep none."""
+
+    def one(path: str | None) -> str | None:
+        try:
+            at = os.stat(unquote(re.sub("^file:/*", "/", path or ""))).st_ctime
+        except OSError:
+            return None
+        return datetime.datetime.fromtimestamp(at, datetime.timezone.utc).replace(tzinfo=None).isoformat(timespec="microseconds")
+
+    return found.map(one)
+
+
 def iso_time(time: Column) -> Column:
     return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
@@ -132,7 +150,7 @@ def extract(files: DataFrame, registry: LoaderRegistry | None = None) -> DataFra
         "content",
     )
     out = meta.mapInPandas(run, "file_path string, file_type string, file_name string, modification_date string, page_content string, error string")
-    return out.select("page_content", "file_path", "file_type", "file_name", F.lit(None).cast("string").alias("creation_date"), "modification_date", paths.content_hash(F.col("page_content")).alias("hash"), F.lit("document").alias("document_type"), "error")
+    return out.select("page_content", "file_path", "file_type", "file_name", creation_time(F.col("file_path")).alias("creation_date"), "modification_date", paths.content_hash(F.col("page_content")).alias("hash"), F.lit("document").alias("document_type"), "error")
 
 
 def ingest_counts(extracted: DataFrame, by: str = "file_type") -> DataFrame:
@@ -154,7 +172,7 @@ def extract_media(files: DataFrame, describe, document_type: str) -> DataFrame:
         F.col("path").alias("file_path"),
         paths.extension(F.col("path"), keep_case=True).alias("file_type"),
         paths.base_name(F.col("path")).alias("file_name"),
-        F.lit(None).cast("string").alias("creation_date"),
+        creation_time(F.col("path")).alias("creation_date"),
         iso_time(F.col("modificationTime")).alias("modification_date"),
         paths.content_hash(F.col("content")).alias("hash"),
         F.lit(document_type).alias("document_type"),

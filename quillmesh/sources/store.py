@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, MapType, NumericType, StringType, StructType
 
 from quillmesh.functions.vectors import norm
 
@@ -23,6 +24,18 @@ def metadata_json(*columns: str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
+def sanitized(df: DataFrame, *columns: str) -> list[Column]:
+    """Metadata columns as scalars: numbers, strings and truth values as they are, anything else as its text."""
+    scalar = (StringType, NumericType, BooleanType)
+    of = {f.name: f.dataType for f in df.schema.fields}
+    return [(F.col(c) if isinstance(of[c], scalar) else F.to_json(c) if isinstance(of[c], (ArrayType, MapType, StructType)) else F.col(c).cast("string")).alias(c) for c in columns]
+
+
+def chunk_metadata(df: DataFrame, *columns: str) -> Column:
+    """A chunk's metadata as JSON: scalars, nulls left out."""
+    return F.to_json(F.struct(*sanitized(df, *columns)))
+
+
 def parsed_metadata(text: Column, schema: str) -> Column:
     """JSON back to a struct; null for a broken row, which callers drop."""
     return F.from_json(text, schema, {"mode": "PERMISSIVE"})
@@ -109,6 +122,22 @@ class VectorStore:
             raise FileExistsError(self.path)
         self._copy(f"{folder}/{self.name}", self.path)
 
+    def export(self, target: str) -> str:
+        """The database as one zip file on the driver's side of the file system, for handing it on; files are copied as they are, one at a time."""
+        hadoop = self.spark._jvm.org.apache.hadoop
+        out = self.spark._jvm.java.util.zip.ZipOutputStream(self._fs.create(self._at(target), True))
+        root = self._fs.resolvePath(self._at(self.path)).toString()
+        found = self._fs.listFiles(self._at(self.path), True)
+        while found.hasNext():
+            file = found.next().getPath()
+            out.putNextEntry(self.spark._jvm.java.util.zip.ZipEntry(file.toString()[len(root) + 1 :]))
+            source = self._fs.open(file)
+            hadoop.io.IOUtils.copyBytes(source, out, 65536, False)
+            source.close()
+            out.closeEntry()
+        out.close()
+        return target
+
     def delete(self) -> None:
         self._fs.delete(self._at(self.path), True)
 

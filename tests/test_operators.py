@@ -254,7 +254,7 @@ def test_crawl_to_the_end(spark, data_dir):
     while new:
         new = {v: n + 1 for u, n in new.items() for v in links.get(u, ()) if v not in depth}
         depth = depth | new
-    assert {r.url: r.depth for r in catalog.queries()["crawl_whole"](spark, data_dir).collect()} == depth
+    assert {r.url: r.depth for r in catalog.queries()["crawl"](spark, data_dir).collect()} == depth
 
 
 def test_seeds(spark):
@@ -276,6 +276,14 @@ def test_config(tmp_path, spark):
     (tmp_path / "d.json").write_text('{"contexts": 9, "similarity": 5}')
     assert config.load_config(tmp_path / "d.json") == (QueryConfig(contexts=9), ["similarity"])
     assert config.load_config(tmp_path / "none.json")[1] == ["*"]
+    (tmp_path / "c.yaml").write_text("database:\n  chunk_size: 900\n  contexts: '6'\n  similarity: 7\nother: 1\n")
+    assert config.load_config(tmp_path / "c.yaml") == (QueryConfig(chunk_size=900, contexts=6), ["similarity"])
+    (tmp_path / "broken.yaml").write_text("a: [")
+    assert config.load_config(tmp_path / "broken.yaml")[1] == ["*"]
+    assert config.PRESETS["normal"].on(8) == {"ingest_threads": 6, "ingest_processes": 4, "split_max_parallel_workers": 4, "tokenize_max_parallel_workers": 4, "split_worker_batch_size": 2000}
+    assert config.PRESETS["low"].on(1)["ingest_threads"] == 4 and config.PRESETS["maximum"].on(64)["ingest_processes"] == 62 and config.PRESETS["maximum"].on(64)["split_max_parallel_workers"] == 0
+    assert config.preflight(config.database_checks("ab", False, "m", 1)).startswith("Name") and config.preflight(config.database_checks("abc", True, "m", 1)).startswith("A vector")
+    assert config.preflight(config.database_checks("abc", False, None, 1)).startswith("You") and config.preflight(config.database_checks("abc", False, "m", 0)).startswith("No") and config.preflight(config.database_checks("abc", False, "m", 3)) is None
     assert not config.valid_database_name("ab") and not config.valid_database_name("None") and config.valid_database_name("abc")
     assert config.preflight([(True, "a"), (False, "b"), (False, "c")]) == "b"
 
@@ -285,3 +293,72 @@ def test_empty_tables(spark):
     assert chunking.fixed(docs).count() == 0 and chunking.headings(docs).count() == 0 and chunking.paged(docs).count() == 0
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert retrieval.topk_many(empty, empty, 3).count() == 0 and retrieval.topk_of(empty, 1, 3).count() == 0
+
+
+def test_running_total_against_a_window(spark):
+    rows = spark.range(2000).selectExpr("IF(id % 3 = 0, 'hot', IF(id % 7 = 0, NULL, concat('k', id % 5))) AS k", "pmod(id * 7919, 2003) AS at", "id % 4 AS v")
+    from pyspark.sql import Window
+
+    expected = rows.withColumn("total", F.sum("v").over(Window.partitionBy("k").orderBy("at"))).collect()
+    got = relational.running_total(rows, ["k"], ["at"], F.floor(F.col("at") / 100), F.col("v"), "total").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, expected))
+    assert relational.running_total(rows.where("false"), ["k"], ["at"], F.col("at"), F.col("v"), "total").count() == 0
+
+
+def test_history_in_blocks(spark, monkeypatch):
+    from quillmesh.streaming import metrics
+
+    df = spark.range(900).selectExpr("id AS sample_id", "IF(id % 3 < 2, 1, id % 5) AS session_id", "timestamp_micros(id * 300000000) AS sample_ts", "IF(id % 11 = 0, NULL, double(id % 17)) AS cpu_usage")
+    whole = sorted(map(tuple, metrics.history(df, 20).collect()))
+    for block in (25, 7):
+        monkeypatch.setattr(metrics, "BLOCK", block)
+        assert sorted(map(tuple, metrics.history(df, 20).collect())) == whole
+
+
+def test_failing_batches(spark):
+    def odd(texts):
+        if "bad" in texts:
+            raise RuntimeError("no")
+        return [[len(t)] * 9 for t in texts]
+
+    df = spark.createDataFrame([(k, "bad" if k == 5 else None if k == 6 else "ok") for k in range(12)], "doc_id int, text string").coalesce(1)
+    rows = {r.doc_id: r for r in batching.tokenize_with(df, "doc_id", "text", odd, max_length=3, batch_size=4).collect()}
+    assert [k for k in rows if rows[k].error] == [4, 5, 6, 7] and rows[5].error == "RuntimeError: no" and rows[0].input_ids == [2, 2, 2] and len(rows) == 12
+    assert batching.tokenize_with(df.where("false"), "doc_id", "text", odd).count() == 0
+
+
+def test_tries_and_saved_pages(spark):
+    rows = [("a", 1, 500), ("a", 2, 200), ("b", 1, 429), ("b", 2, 404), ("b", 3, 503), ("b", 4, 200), ("c", 1, 200)]
+    got = {r.url: (r.status, r.attempts, r.failed) for r in web.after_tries(spark.createDataFrame(rows, "url string, attempt int, status int")).collect()}
+    assert got == {"a": (200, 2, False), "b": (503, 3, True), "c": (200, 1, False)}
+
+
+def test_prefilter_fills_up(spark):
+    vectors_ = spark.createDataFrame([(k, [1.0, k / 10]) for k in range(10)], "vec_id long, embedding array<float>")
+    docs = spark.createDataFrame([(k, "keep" if k > 6 else "drop", "document") for k in range(10)], "doc_id long, text string, document_type string")
+    config = QueryConfig(contexts=3, similarity=0.0, search_term="keep")
+    assert [r.doc_id for r in retrieval.search(vectors_, docs, 0, config).collect()] == []
+    assert [r.doc_id for r in retrieval.search(vectors_, docs, 0, config, prefilter=True).orderBy("rank").collect()] == [7, 8, 9]
+
+
+def test_registries(spark):
+    sites = web.SiteRegistry()
+    sites.register("https://www.a.example/docs/", "main")
+    sites.register("https://a.example/docs/old", "body")
+    rows = [("https://a.example/docs/x",), ("https://a.example/docs/old/y",), ("https://a.example/docs-new",), ("https://b.example/docs",), (None,)]
+    assert [r[0] for r in spark.createDataFrame(rows, "u string").coalesce(1).select(sites.selector(F.col("u"))).collect()] == ["main", "body", None, None, None]
+    with pytest.raises(KeyError):
+        sites.register("https://a.example", "nothing")
+    encoders = batching.EncoderRegistry()
+    encoders.register("BGE", lambda model: lambda question: [float(len(question))])
+    assert encoders.encoder("vendor/bge-small")("abc") == [3.0] and len(encoders.encoder(None)("abc")) == 64
+
+
+def test_crawl_limit(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    links = spark.createDataFrame([(str(k), str(j)) for k in range(40) for j in (2 * k + 1, 2 * k + 2)], "url string, link string")
+    seeds = spark.createDataFrame([("0",)], "url string")
+    whole = {r.url: r.depth for r in web.crawl(links, seeds, lambda df: df.checkpoint()).collect()}
+    assert whole == {str(k): (k + 1).bit_length() - 1 for k in range(81)}
+    some = web.crawl(links, seeds, lambda df: df.checkpoint(), limit=10).collect()
+    assert len(some) == 10 and max(r.depth for r in some) == 3

@@ -19,6 +19,7 @@ def test_files(spark, tmp_path):
     rows = {r.file_name: r for r in files.extract(files.scan(spark, str(tmp_path))).collect()}
     assert rows["a.txt"].page_content == "café" and rows["b.CSV"].page_content == "h1 h2\nx, y z" and rows["b.CSV"].file_type == ".csv"
     assert rows["c.html"].page_content == "hello  world" and "Subject: Hi" in rows["d.eml"].page_content and "body text" in rows["d.eml"].page_content
+    assert rows["a.txt"].creation_date[:4] >= "2020" and len(rows["a.txt"].creation_date) == 26
     assert "no loader" in rows["e.pdf"].error and rows["f.md"].error == "no text" and "g.xyz" not in rows
     registry = files.LoaderRegistry()
     registry.register(".pdf", lambda b: "[[page1]]text")
@@ -58,6 +59,10 @@ def test_store(spark, tmp_path):
     assert not db.exists()
     db.restore(str(tmp_path / "backup"))
     assert db.table("hash_chunk_ids").count() == 2
+    import zipfile
+
+    with zipfile.ZipFile(db.export(str(tmp_path / "out.zip"))) as z:
+        assert any(n.startswith("vectors/part-") for n in z.namelist()) and z.testzip() is None
     bad = store.VectorStore(spark, str(tmp_path), "bad")
     with pytest.raises(Exception):
         bad.build(vectors.withColumn("text", F.raise_error(F.lit("no"))), meta, ids, 2)

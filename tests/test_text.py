@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import paths, text, urls
 from quillmesh.functions.html import whole_text
-from quillmesh.functions.markdown import plain_markdown
+from quillmesh.functions.markdown import markdown_html, plain_markdown
 from quillmesh.functions.speech import speakable
 from quillmesh.operators.web import main_content_of, visible_text_of
 from quillmesh.streaming.thinking import ThinkingFilter, rebuffered
@@ -185,3 +185,13 @@ def test_markdown_components():
     assert plain_markdown("see <Tooltip tip='x'> this </Tooltip> now") == "see this now" and plain_markdown("a <Unknown b={1}/>c</Card>") == "a c"
     assert plain_markdown("> ## Documentation Index\n> all pages\n> here\n\n# Title") == "# Title" and plain_markdown(None) is None and plain_markdown("") == ""
     assert plain_markdown("<Note>open\nmore") == "> open\n> more" and plain_markdown("```\nnever closed <Tab>") == "```\nnever closed <Tab>\n```"
+
+
+def test_markdown_html():
+    source = "# T & t\n\npara *one* **two** `a<b`\nnext \\*no\\* [l](http://x) ![i](y)\n\n- a\n- b\n  more\n1. c\n\n> q\n> > r\n\n```py\nx < 1\n```\n---\nend_of_word"
+    assert markdown_html(source) == (
+        "<h1>T &amp; t</h1>\n<p>para <em>one</em> <strong>two</strong> <code>a&lt;b</code>\nnext *no* <a href=\"http://x\">l</a> <img alt=\"i\" src=\"y\"></p>\n"
+        "<ul><li>a</li><li>b more</li></ul>\n<ol><li>c</li></ol>\n<blockquote>\n<p>q</p>\n<blockquote>\n<p>r</p>\n</blockquote>\n</blockquote>\n"
+        "<pre><code class=\"language-py\">x &lt; 1\n</code></pre>\n<hr>\n<p>end_of_word</p>"
+    )
+    assert markdown_html(None) is None and markdown_html("") == "" and markdown_html(">" * 3000 + " x").count("<blockquote>") == 3000
