@@ -105,6 +105,8 @@ def _intro(lines: list[str], at: int) -> int:
         text = f"{text} {lines[at + n - 1].strip()}".strip()
         if n > 1 and not _INTRO_START.match(text):
             return 0
+        if text[-1] not in ":：":
+            continue  # every introduction ends in a colon
         if _QUOTING.match(text) or (_STAMPED.match(text) and _EVIDENCE.search(text)):
             return n
         if _VERB_END.search(text) and len(text) < 200 and (_EVIDENCE.search(text) and _starts_like_intro(text) or _NAMED_VERB.match(text)):
@@ -120,7 +122,7 @@ def _header_block(lines: list[str], at: int) -> int:
     """How many lines from ``at`` form a block of header fields; 0 unless two different fields meet."""
     seen, n = set(), 0
     while at + n < len(lines) and lines[at + n].strip():
-        field_name = _FIELD.match(lines[at + n].strip())
+        field_name = _FIELD.match(lines[at + n].strip()) if ":" in lines[at + n] else None
         if field_name:
             seen.add(field_name[1])
         elif not (len(seen) > 1 and n < 9 and lines[at + n].startswith((" ", "\t"))):
@@ -379,7 +381,7 @@ class _Notices:
 
     def _notice(self, a: int, b: int) -> bool:
         text = " ".join(self.texts[k] for k in self.filled[a:b])
-        return any(pattern.search(text) for pattern in (_LEGAL_WORDS, _RULE, _HEADING, _PROGRAM))
+        return any(pattern.search(text) for pattern in (_RULE, _HEADING, _PROGRAM, _LEGAL_WORDS))
 
     def from_line(self, p: int) -> bool:
         if p >= len(self.filled):
