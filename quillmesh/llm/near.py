@@ -70,7 +70,6 @@ class _Words(dict):
 
 
 _WORDS = _Words()
-_BLANKS = str.maketrans("\t\r\n\f", "    ")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -83,7 +82,10 @@ def shingles(text: str | None, size: int, min_words: int) -> np.ndarray | None:
     """Sorted 64-bit hashes of the distinct runs of ``size`` words; None below ``min_words`` words."""
     if not text:
         return None
-    words = [w for w in text.lower().translate(_BLANKS).split(" ") if w]
+    text = text.lower()
+    for blank in "\t\r\n\f":
+        text = text.replace(blank, " ")
+    words = list(filter(None, text.split(" ")))
     if len(words) < max(min_words, size):
         return None
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
@@ -91,7 +93,10 @@ def shingles(text: str | None, size: int, min_words: int) -> np.ndarray | None:
     run = np.zeros(last, np.uint64)
     for k in range(size):
         run = _mix(run + h[k : k + last] + np.uint64(k + 1))
-    return np.unique(run)
+    run.sort()
+    first = np.ones(last, bool)
+    np.not_equal(run[1:], run[:-1], out=first[1:])
+    return run[first]
 
 
 def banding(least: float) -> tuple[int, int]:
