@@ -276,6 +276,8 @@ class Repairer:
 
     def __post_init__(self) -> None:
         self._memo: dict[str, tuple[str, int]] = {}
+        self._left: dict[str, tuple[str, bool]] = {}
+        self._right: dict[str, tuple[str, bool]] = {}
 
     def word(self, token: str) -> tuple[str, int]:
         """(repaired word, position of its first misread character or -1)."""
@@ -332,12 +334,29 @@ class Repairer:
         best = self.editor.best(options)
         return options[best][1], options[best][2]
 
+    def _first(self, token: str) -> tuple[str, bool]:
+        """(word that may go on behind the blank, empty if none can; whether it is a usual one)."""
+        a = token.lstrip(_TRIM + "(")
+        return (a, self.lexicon.count(a) > self.lexicon.rare) if a.isalpha() else ("", False)
+
+    def _second(self, token: str) -> tuple[str, bool]:
+        """The same for what stands behind the blank."""
+        b = token.rstrip(_TRIM + ")")
+        return (b, self.lexicon.count(b) > self.lexicon.rare) if b.replace("-", "").replace("'", "").isalpha() else ("", False)
+
     def blank_inside(self, left: str, right: str) -> bool:
         """Whether two tokens are one word that the reader parted."""
-        a, b = left.lstrip(_TRIM + "("), right.rstrip(_TRIM + ")")
-        if not a or not b or not a.isalpha() or not b.replace("-", "").replace("'", "").isalpha() or b[:1].isupper() and not a.isupper():
-            return False
-        if min(self.lexicon.count(a), self.lexicon.count(b)) > self.lexicon.rare:
+        if self.lexicon.asked is not None:
+            (a, usual), (b, also) = self._first(left), self._second(right)
+        else:
+            if len(self._left) + len(self._right) > 400_000:
+                self._left.clear()
+                self._right.clear()
+            known = self._left.get(left)
+            a, usual = known if known is not None else self._left.setdefault(left, self._first(left))
+            known = self._right.get(right)
+            b, also = known if known is not None else self._right.setdefault(right, self._second(right))
+        if not a or not b or usual and also or b[:1].isupper() and not a.isupper():
             return False
         options = self.editor.blank_options(a, b, self.lexicon)
         return len(options) > 1 and self.editor.best(options) > 0
@@ -410,12 +429,11 @@ _SURE_NUMBER = re.compile(rf"^\s*(?:(?:{_PAGE_WORDS})\s*{_DIGIT}{{1,4}}(?:\s*/\s
 _CODED = re.compile(r"\s[·|•©]\s")
 
 
-def _page_breaks(lines: list[str]) -> set[int]:
+def _page_breaks(lines: list[str], width: int) -> set[int]:
     """Where pages begin without a mark: around a page number, before a line that interrupts a sentence."""
     marks = [_MARKER.search(x) is not None for x in lines]
     lines = [_bare(x) for x in lines]
     filled = [k for k in range(len(lines)) if lines[k].strip()]
-    width = wrapped_width(lines) or max((len(lines[k].rstrip()) for k in filled), default=0)
     breaks: set[int] = set()
     on_page, numbers_on_top, first_page = 0, False, True
 
@@ -497,9 +515,10 @@ class _Running:
         return any(self.pages[forms[j]] != {own} and _alike(form, forms[j]) for j in near)
 
 
-def furniture(lines: list[str]) -> set[int]:
-    """Indexes of running headers, footers and page numbers, by position on the page."""
-    starts = _page_breaks(lines)
+def furniture(lines: list[str], width: int | None = None) -> set[int]:
+    """Indexes of running headers, footers and page numbers, by position on the page; ``width`` is that of the lines, if known."""
+    width = width or wrapped_width(lines) or max((len(_bare(x).rstrip()) for x in lines), default=0)
+    starts = _page_breaks(lines, width)
     pages: list[list[int]] = [[]]
     for k, line in enumerate(lines):
         if (k in starts or _MARKER.match(line.lstrip(" \r"))) and pages[-1]:
@@ -509,7 +528,6 @@ def furniture(lines: list[str]) -> set[int]:
             pages.append([])
     pages = [p for p in ([k for k in page if _bare(lines[k]).strip()] for page in pages) if p]
     bare = {k: _bare(lines[k]).strip() for page in pages for k in page}
-    width = wrapped_width(lines) or max((len(_bare(lines[k]).rstrip()) for k in bare), default=0)
     found: set[int] = set()
 
     def apart(k: int, after: int | None) -> bool:
@@ -586,9 +604,10 @@ def found_lines(text: str | None, repairer: Repairer) -> list[tuple[int, str]]:
     if not text or "\n" not in text:
         return []
     lines = [x.rstrip("\r") for x in restore(text).split("\n")]
-    if not wrapped_width(lines):
+    width = wrapped_width(lines)
+    if not width:
         return []
-    edge = furniture(lines)
+    edge = furniture(lines, width)
     out = [(k + 1, "furniture") for k in sorted(edge)]
     body = [k for k in range(len(lines)) if k not in edge and _bare(lines[k]).strip()]
     skip_first, misread = False, set()
@@ -641,7 +660,7 @@ def repaired_text(text: str | None, repairer: Repairer) -> str | None:
     width = wrapped_width(lines)
     if not width:
         return None
-    edge = furniture(lines)
+    edge = furniture(lines, width)
     body = [k for k in range(len(lines)) if k not in edge and _bare(lines[k]).strip()]
     paragraphs: list[str] = []
     current, before, join = "", None, None
