@@ -284,3 +284,17 @@ def saved_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     named = pages.select(urls.file_name(F.col(url_col)).alias("file_name"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     first = named.groupBy("file_name").agg(F.min_by(F.struct("url", "html"), "url").alias("p")).select("file_name", "p.url", "p.html")
     return first.withColumn("html", with_source_link(F.col("html"), F.col("url")))
+
+
+def save_pages(pages: DataFrame, folder: str) -> DataFrame:
+    """Append the pages that aren't saved yet to the table (file_name, url, html, links) in ``folder``; returns the table.
+
+    A page is one row, written once whatever the number of runs; its links are what is kept beside it.
+    """
+    spark = pages.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    kept = saved_pages(pages).join(links_beside(pages), "file_name")
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        kept = kept.join(spark.read.parquet(folder).select("file_name"), "file_name", "left_anti")
+    kept.select("file_name", "url", "html", "links").write.mode("append").parquet(folder)
+    return spark.read.parquet(folder)

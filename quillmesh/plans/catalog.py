@@ -180,6 +180,20 @@ def think_pieces(spark, d):
     return thinking.filter_pieces(pieces).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x.piece), "").alias("answer"))
 
 
+@query
+def stream_answers(spark, d):
+    """The same answers as a stream of pieces, each ended by a null piece."""
+    base = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    whole = table(spark, d, "documents").selectExpr("doc_id AS conv_id", f"{THOUGHTS} AS answer").where("answer IS NOT NULL")
+    cuts = F.transform(F.sequence(F.lit(0), F.length("answer"), F.lit(7)), lambda p: F.substring(F.col("answer"), p + 1, F.lit(7)))
+    pieces = whole.select("conv_id", F.posexplode(F.concat(cuts, F.array(F.lit(None).cast("string")))).alias("seq", "piece")).withColumn("seq", F.col("seq").cast("long"))
+    pieces.write.parquet(f"{base}/in")
+    out = thinking.filter_stream(spark.readStream.schema(pieces.schema).parquet(f"{base}/in"))
+    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    shown = spark.read.schema(out.schema).parquet(f"{base}/out")
+    return shown.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x.piece), "").alias("answer"))
+
+
 @query
 def answers_gathered(spark, d):
     """Answers that arrive in pieces of seven characters, gathered for display."""
@@ -208,6 +222,18 @@ def sentence_packs(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(text.pack_sentences(F.col("text"))).alias("n", "piece"))
 
 
+@query
+def sentences_kept(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(text.sentences_kept(F.col("text"))).alias("n", "sentence"))
+
+
+@query
+def flattened_texts(spark, d):
+    """Texts of every five documents as one, nulls and empty ones left out."""
+    groups = table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 5).alias("n")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("e"))
+    return groups.select("n", text.flatten_texts(F.transform("e", lambda x: x.text)).alias("text"))
+
+
 @query
 def joined_lines(spark, d):
     return table(spark, d, "documents").select("doc_id", text.join_lines(F.col("text")).alias("line"))
@@ -328,6 +354,25 @@ def _files(spark, d):
     return docs.select(F.concat(F.lit("/in/f"), F.col("doc_id"), kind).alias("path"), F.lit("2024-01-01").cast("timestamp").alias("modificationTime"), F.encode(content, "UTF-8").alias("content"))
 
 
+@query
+def file_compatibility(spark, d):
+    """Stored files by whether a type of theirs is known."""
+    named = table(spark, d, "document_metadata").where("file_path IS NOT NULL").select(F.concat("file_path", F.when(F.col("id") % 5 == 0, ".bak").otherwise("")).alias("path"))
+    return files.incompatible(named).select("path", F.lit(False).alias("known")).unionAll(files.compatible(named).select("path", F.lit(True)))
+
+
+@query
+def file_times(spark, d):
+    return table(spark, d, "documents").select("doc_id", files.iso_time(F.col("ingested_at")).alias("ingested"))
+
+
+@query
+def own_databases(spark, d):
+    """The registry without the built-in manual, which is added here."""
+    rows = table(spark, d, "created_databases").select("db_name", "chunk_size")
+    return store.user_databases(rows.unionAll(spark.range(1).selectExpr("'user_manual'", "CAST(1 AS INT)")))
+
+
 @query
 def loaded_files(spark, d):
     """Files through the loaders of their types, with the reason where one gave nothing."""
@@ -483,6 +528,12 @@ def search_type(spark, d):
     return _scored(_hits(spark, d, document_types="document"))
 
 
+@query
+def search_nothing(spark, d):
+    """No chunk passes: the advice."""
+    return retrieval.chunks_only(_hits(spark, d, search_term="no text has these words, says the search"), "source")
+
+
 @query
 def search_chunks_only(spark, d):
     return retrieval.chunks_only(_hits(spark, d), "source")
@@ -594,6 +645,14 @@ def markdown_pages(spark, d):
     return docs.select("doc_id", markdown_components(F.col("note")).alias("plain"), markdown_page(F.col("note")).alias("page"))
 
 
+@query
+def index_seeds(spark, d):
+    """Pages that an index file made of the corpus names below a prefix of one host."""
+    line = F.concat(F.lit("- [page]("), F.when(F.col("doc_id") % 3 == 0, "https://docs.example/guide/").when(F.col("doc_id") % 3 == 1, "https://docs.example/other/").otherwise("https://elsewhere.example/guide/"), F.col("doc_id"), F.when(F.col("doc_id") % 4 == 0, ".html").otherwise(".md"), F.lit("): text"))
+    indexes = table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 50).alias("n")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("t"))
+    return indexes.select("n", F.explode(web.seeds_of_index(F.col("t"), "docs.example", "/guide")).alias("url"))
+
+
 @query
 def html_saved(spark, d):
     return web.saved_pages(pages_of(spark, d))
@@ -672,6 +731,13 @@ def padding_efficiency(spark, d):
     return batching.padding_efficiency(batch_padding(spark, d)).withColumn("efficiency", F.round("efficiency", 6))
 
 
+@query
+def restored_order(spark, d):
+    """Sorted by length for encoding, then back in the order of the chunks."""
+    sized = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.length("text").alias("n"))
+    return batching.restore_order(batching.length_sorted(sized, F.col("n"), "doc_id", shard_size=5000, batch_size=64), "doc_id").select("doc_id", "n_tokens")
+
+
 @query
 def padded_tokens(spark, d):
     tokens = batching.tokenize(table(spark, d, "documents"), "doc_id", "text")
@@ -777,6 +843,34 @@ def hocr(spark, d):
     return stats.select("doc_id", "page", "body", "emitted", "dropped", "flagged", F.round("mean_conf", 6).alias("mean_conf"))
 
 
+@query
+def line_scores(spark, d):
+    """Text mass and mean confidence of every page's lines."""
+    scored = _pages_of_words(spark, d).withColumn("scores", F.transform("texts", lambda t, k: (F.col("doc_id") + F.col("page") * PAGE_LINES + k) % 11 / 10.0))
+    return scored.select("doc_id", "page", F.round(layout.text_mass(F.col("texts"), F.col("scores")), 4).alias("mass"), F.round(layout.mean_confidence(F.col("texts"), F.col("scores")), 6).alias("confidence"))
+
+
+@query
+def turned_boxes(spark, d):
+    """Boxes of parts in pictures turned by quarter turns, in the pictures as they were."""
+    w, h = F.col("p_size") + 10, F.col("p_partkey") % 50 + 10
+    point = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    polygon = F.array(point(F.lit(1), F.lit(2)), point(w / 2, F.lit(3)), point(w / 2, h / 2), point(F.lit(0.5), h / 2))
+    parts = table(spark, d, "part").select("p_partkey", w.cast("double").alias("w"), h.cast("double").alias("h"), polygon.alias("polygon"))
+    turns = [parts.select("p_partkey", F.lit(k).alias("turns"), layout.bounding_box(layout.rotated_back(F.col("polygon"), k, F.col("w"), F.col("h"))).alias("b")) for k in range(4)]
+    every = turns[0].unionAll(turns[1]).unionAll(turns[2]).unionAll(turns[3])
+    return every.select("p_partkey", "turns", *(F.round(f"b.{c}", 4).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+@query
+def outputs_verified(spark, d):
+    """Orders as documents and their items as the pages that came out: which outputs are sound."""
+    source = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(4).alias("pages"), F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(9).alias("chars"))
+    items = table(spark, d, "lineitem").where("l_orderkey % 5 <> 0").groupBy(F.col("l_orderkey").alias("doc_id"))
+    output = items.agg(F.count(F.lit(1)).cast("int").alias("pages"), F.sum(F.when(F.col("l_returnflag") == "R", 7).otherwise(0)).alias("chars"))
+    return layout.verified_output(source, output)
+
+
 @query
 def page_metrics(spark, d):
     """Pages of the corpus with the counts of their layout markup; pages of blanks only have none."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from quillmesh.plans.catalog_sql import _COS, _ESCAPED, _EXT, _HREF, _LINKS, _PAGES, _SPACE, _strip, _topk
+from quillmesh.plans.catalog_sql import _COS, _ESCAPED, _EXT, _HREF, _LINKS, _NO_RESULT, _PAGES, _SPACE, THOUGHTS, _strip, _topk
 
 #: Characters with a compatibility form, and these forms.
 _FORMS = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.decomposition(chr(c)).startswith("<")}
@@ -145,6 +145,27 @@ SQL: dict[str, str] = {
         SELECT doc_id, page, coalesce(string_agg(concat('<span class=''ocr_line'' id=''line_', line_no, ''' title=''', box, '''><span class=''ocrx_word'' id=''word_', line_no, ''' title=''', box, '; x_wconf ', CAST(round(score * 100) AS INT), '''>', {_ESCAPED('word')}, '</span></span>'), E'\n' ORDER BY line_no) FILTER (WHERE score >= 0.3), '') AS body,
             count(*) FILTER (WHERE score >= 0.3) AS emitted, count(*) FILTER (WHERE score < 0.3) AS dropped, count(*) FILTER (WHERE score >= 0.3 AND score < 0.6 AND length(word) >= 3) AS flagged, round(coalesce(avg(score) FILTER (WHERE score >= 0.3), 0), 6) AS mean_conf
         FROM {_LINES} WHERE word <> '' GROUP BY doc_id, page""",
+    "sentences_kept": rf"SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS n, unnest(l) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?]){_BLANKS}', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents WHERE text IS NOT NULL)",
+    "flattened_texts": "SELECT CAST(floor(doc_id / 5) AS BIGINT) AS n, coalesce(string_agg(text, ' ' ORDER BY doc_id) FILTER (WHERE text <> ''), '') AS text FROM documents GROUP BY 1",
+    "stream_answers": rf"SELECT doc_id AS conv_id, regexp_replace(regexp_replace({THOUGHTS}, '(?s)<think>.*?</think>|<thinking>.*$', '', 'g'), '^{_SPACE}+', '') AS answer FROM documents WHERE {THOUGHTS} IS NOT NULL",
+    "file_compatibility": f"""
+        SELECT file_path AS path, coalesce({_EXT} IN ('.pdf', '.docx', '.txt', '.eml', '.msg', '.csv', '.xls', '.xlsx', '.xlsm', '.rtf', '.md', '.html', '.htm'), FALSE) AS known
+        FROM (SELECT concat(file_path, CASE WHEN id % 5 = 0 THEN '.bak' ELSE '' END) AS file_path FROM document_metadata WHERE file_path IS NOT NULL)""",
+    "file_times": "SELECT doc_id, strftime(ingested_at, '%Y-%m-%dT%H:%M:%S.%f') AS ingested FROM documents",
+    "own_databases": "SELECT db_name, chunk_size FROM created_databases WHERE db_name <> 'user_manual'",
+    "search_nothing": f"SELECT '{_NO_RESULT}' AS response",
+    "index_seeds": "SELECT CAST(floor(doc_id / 50) AS BIGINT) AS n, concat('https://docs.example/guide/', doc_id) AS url FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 <> 0",
+    "restored_order": "SELECT doc_id, length(text) AS n_tokens FROM documents WHERE text IS NOT NULL",
+    "line_scores": f"""
+        SELECT doc_id, page, round(sum(CASE WHEN length(word) >= 3 THEN score * length(word) ELSE 0 END), 4) AS mass, round(coalesce(avg(score) FILTER (WHERE length(word) >= 3), 0), 6) AS confidence FROM {_LINES} GROUP BY doc_id, page""",
+    "turned_boxes": """
+        SELECT p_partkey, turns, round(CASE turns WHEN 0 THEN 0.5 WHEN 1 THEN w - 1 - h / 2 WHEN 2 THEN w - 1 - w / 2 ELSE 2.0 END, 4) AS x0, round(CASE turns WHEN 0 THEN 2.0 WHEN 1 THEN 0.5 WHEN 2 THEN h - 1 - h / 2 ELSE h - 1 - w / 2 END, 4) AS y0,
+            round(CASE turns WHEN 0 THEN w / 2 WHEN 1 THEN w - 1 - 2 WHEN 2 THEN w - 1 - 0.5 ELSE h / 2 END, 4) AS x1, round(CASE turns WHEN 0 THEN h / 2 WHEN 1 THEN w / 2 WHEN 2 THEN h - 1 - 2 ELSE h - 1 - 0.5 END, 4) AS y1
+        FROM (SELECT p_partkey, CAST(p_size + 10 AS DOUBLE) AS w, CAST(p_partkey % 50 + 10 AS DOUBLE) AS h, CAST(unnest(range(0, 4)) AS INT) AS turns FROM part)""",
+    "outputs_verified": """
+        SELECT doc_id, problem IS NULL AS ok, problem FROM (
+            SELECT o_orderkey AS doc_id, CASE WHEN pages IS NULL THEN 'missing' WHEN pages <> 4 THEN 'page count' WHEN o_orderkey % 3 = 0 AND chars = 0 THEN 'no text' END AS problem
+            FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS pages, sum(CASE WHEN l_returnflag = 'R' THEN 7 ELSE 0 END) AS chars FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1) ON l_orderkey = o_orderkey)""",
     "page_metrics": f"""
         SELECT doc_id, page, words, CASE WHEN filled > 0 THEN emitted END AS emitted, CASE WHEN filled > 0 THEN filled - emitted END AS dropped FROM (
             SELECT doc_id, page, CAST(count(*) AS INT) AS words, count(*) FILTER (WHERE word <> '') AS filled, count(*) FILTER (WHERE word <> '' AND score >= 0.3) AS emitted FROM {_LINES} GROUP BY doc_id, page)""",

@@ -102,6 +102,11 @@ class LoaderRegistry:
 def scan(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """(path, modificationTime, length, content) of the files of known document types."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    return compatible(files)
+
+
+def compatible(files: DataFrame) -> DataFrame:
+    """Files (path) of known document types."""
     return files.where(paths.extension(F.col("path")).isin(paths.DOCUMENT_EXTENSIONS))
 
 

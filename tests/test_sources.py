@@ -179,3 +179,32 @@ def test_whole_pages_and_mails():
     mail = b"Subject: S\nMIME-Version: 1.0\nContent-Type: multipart/alternative; boundary=b\n\n--b\nContent-Type: text/plain\n\nplain\n--b\nContent-Type: text/html\n\n<nav>menu</nav><p>rich</p>\n--b--\n"
     assert files.load_email(mail).split("\n") == ["Subject: S", "plain", "menu rich"]
     assert files.load_email(b"Content-Type: text/html\n\n<p>as it stands</p>") == "<p>as it stands</p>"
+
+
+def test_saved_once(spark, tmp_path):
+    from quillmesh.operators import web
+
+    rows = [("https://a.example/x", '<body><a href="/y">y</a></body>'), ("https://a.example/y", "<body>z</body>"), ("https://a.example/n", None)]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    folder = str(tmp_path / "saved")
+    assert web.save_pages(pages.where("url LIKE '%x'"), folder).count() == 1
+    table = {r.file_name: r for r in web.save_pages(pages, folder).collect()}
+    assert len(table) == 3 and table["a.example_x"].links == "https://a.example/y" and table["a.example_y"].links == "" and "Original Source" in table["a.example_y"].html
+    assert web.save_pages(pages, folder).count() == 3
+
+
+def test_metrics_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, "2024-01-01 00:00:00", 10.0, None)], "session_id long, t string, cpu_usage double, ram_usage_percent double").selectExpr("session_id", "timestamp(t) AS sample_ts", "cpu_usage", "ram_usage_percent", "1D AS gpu_utilization", "2D AS vram_usage_percent", "3D AS power_usage_percent", "4D AS power_limit_percent")
+    df.write.parquet(str(tmp_path / "m"))
+    q = metrics.csv_sink(spark.readStream.schema(df.schema).parquet(str(tmp_path / "m")), str(tmp_path / "out"), str(tmp_path / "state"), every="1 second")
+    q.processAllAvailable()
+    q.stop()
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "out")).collect()] == [("2024-01-01T00:00:00.000000", "10.0", None, "1.0", "2.0", "3.0", "4.0")]
+
+
+def test_dump(spark, tmp_path):
+    from quillmesh.operators import citations
+
+    hits = spark.createDataFrame([("/b", 2, None), ("/a", 1, 3)], "file_path string, rank int, page_number int")
+    citations.dump(hits, ["file_path", "page_number"], str(tmp_path / "d"))
+    assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "d")).collect()] == [{"file_path": "/a", "page_number": 3}, {"file_path": "/b", "page_number": None}]
