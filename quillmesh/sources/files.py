@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from quillmesh.functions import paths
 from quillmesh.functions.html import whole_text
+from quillmesh.sources.compound import load_msg, load_xls
 from quillmesh.sources.formats import load_docx, load_rtf, load_xlsx
 
 Loader = Callable[[bytes], "str | None"]
@@ -78,7 +79,7 @@ class LoaderRegistry:
     def __init__(self) -> None:
         self._loaders: dict[str, Loader] = {
             ".txt": load_text, ".md": load_text, ".csv": load_csv, ".html": load_html, ".htm": load_html, ".eml": load_email,
-            ".docx": load_docx, ".xlsx": load_xlsx, ".xlsm": load_xlsx, ".rtf": load_rtf,
+            ".docx": load_docx, ".xlsx": load_xlsx, ".xlsm": load_xlsx, ".rtf": load_rtf, ".msg": load_msg, ".xls": load_xls,
         }
 
     def register(self, extension: str, loader: Loader) -> None:

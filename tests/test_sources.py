@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.functions.paths import content_hash
+from quillmesh.sources import compound as compound_files
 from quillmesh.sources import files, formats, store
 from quillmesh.streaming import ingest, metrics, thinking
 
@@ -208,3 +209,76 @@ def test_dump(spark, tmp_path):
     hits = spark.createDataFrame([("/b", 2, None), ("/a", 1, 3)], "file_path string, rank int, page_number int")
     citations.dump(hits, ["file_path", "page_number"], str(tmp_path / "d"))
     assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "d")).collect()] == [{"file_path": "/a", "page_number": 3}, {"file_path": "/b", "page_number": None}]
+
+
+def compound(**streams):
+    """A compound file of these streams: small ones in small sectors, as programs write it."""
+    import struct
+
+    end, free = 0xFFFFFFFE, 0xFFFFFFFF
+    small, small_next, big, next_, entries = b"", [], b"", [], []
+
+    def chain(data, size, table):
+        n, first = -(-len(data) // size), len(table)
+        table += [first + k + 1 for k in range(n - 1)] + [end] * bool(n)
+        return data.ljust(n * size, b"\0"), first if n else end
+
+    for name, data in streams.items():
+        if len(data) < 4096:
+            padded, start = chain(data, 64, small_next)
+            small += padded
+        else:
+            padded, start = chain(data, 512, next_)
+            big += padded
+        entries.append((name, 2, start, len(data)))
+    sectors, small_start = chain(small, 512, next_)
+    big += sectors
+    sectors, table_start = chain(struct.pack(f"<{len(small_next)}I", *small_next).ljust(512 * -(-4 * len(small_next) // 512), b"\xff"), 512, next_)
+    big += sectors
+    listed = [("Root Entry", 5, small_start, len(small)), *entries]
+    directory = b""
+    for k, (name, kind, start, size) in enumerate(listed):
+        wide = name.encode("utf-16-le")
+        right = k + 1 if 0 < k < len(listed) - 1 else free
+        directory += wide.ljust(64, b"\0") + struct.pack("<HBBIII", len(wide) + 2, kind, 1, free, right, 1 if not k else free) + b"\0" * 36 + struct.pack("<IQ", start, size)
+    sectors, directory_start = chain(directory, 512, next_)
+    big += sectors
+    at = len(next_)
+    next_.append(0xFFFFFFFD)
+    header = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"\0" * 16 + struct.pack("<HHHHH6xIIIIIIIIII", 0x3E, 3, 0xFFFE, 9, 6, 0, 1, directory_start, 0, 4096, table_start if small_next else end, 1, end, 0, at)
+    assert len(next_) <= 128
+    return header.ljust(512, b"\xff") + big + struct.pack(f"<{len(next_)}I", *next_).ljust(512, b"\xff")
+
+
+def test_msg():
+    body = "Zeile eins\r\n" + "größer " * 900
+    content = compound(**{"__substg1.0_0037001F": "Über".encode("utf-16-le"), "__substg1.0_1000001F": body.encode("utf-16-le"), "other": b"x"})
+    assert compound_files.load_msg(content) == f"Subject: Über\n{body}"
+    assert compound_files.load_msg(compound(**{"__substg1.0_1000001E": "caf\xe9".encode("cp1252")})) == "café"
+    assert compound_files.load_msg(compound(other=b"x")) is None
+    with pytest.raises(ValueError):
+        compound_files.load_msg(b"no storage")
+
+
+def test_xls():
+    import struct
+
+    def record(kind, data=b""):
+        return struct.pack("<HH", kind, len(data)) + data
+
+    start = record(0x809, struct.pack("<HH", 0x600, 5).ljust(16, b"\0"))
+    cell = lambda row, column: struct.pack("<HHH", row, column, 0)
+    texts = struct.pack("<II", 3, 3) + struct.pack("<HB", 4, 0) + b"name" + struct.pack("<HBH", 3, 9, 1) + "żółw"[:3].encode("utf-16-le") + b"runs" + struct.pack("<HB", 6, 0) + b"par"
+    shared = record(0xFC, texts) + record(0x3C, b"\x01" + "tęd".encode("utf-16-le"))
+    first = start + record(0xFD, cell(1, 1) + struct.pack("<I", 1)) + record(0xFD, cell(0, 0) + struct.pack("<I", 0)) + record(0xFD, cell(0, 2) + struct.pack("<I", 2))
+    first += record(0x203, cell(1, 0) + struct.pack("<d", 5.0)) + record(0xBD, struct.pack("<HH", 2, 0) + struct.pack("<HIHI", 0, 7 << 2 | 2, 0, 125 << 2 | 3) + struct.pack("<H", 1)) + record(0x27E, cell(2, 5) + struct.pack("<I", 0x3FF80000))
+    first += record(0x06, cell(3, 0) + b"\0\0\0\0\0\0\xff\xff" + b"\0" * 8) + record(0x207, struct.pack("<HB", 2, 0) + b"ok") + record(0x06, cell(3, 1) + struct.pack("<d", 2.5) + b"\0" * 8) + record(0x205, cell(3, 2) + b"\x01\x00") + record(0x204, cell(4, 0) + struct.pack("<HB", 1, 0) + b" ") + record(0x0A)
+    second = start + record(0x204, cell(0, 0) + struct.pack("<HB", 3, 0) + b"two") + record(0x0A)
+    sheet = lambda at, name: record(0x85, struct.pack("<IBB", at, 0, 0) + struct.pack("<BB", len(name), 0) + name)
+    length = len(start + sheet(0, b"A") + sheet(0, b"B") + shared + record(0x0A))
+    book = start + sheet(length, b"A") + sheet(length + len(first), b"B") + shared + record(0x0A) + first + second
+    expected = "name partęd\n5.0 żół\n7.0 1.25 1.5\nok 2.5 1\ntwo"
+    assert compound_files.load_xls(compound(Workbook=book)) == expected
+    assert compound_files.load_xls(compound(Workbook=book.ljust(6000, b"\0"))) == expected
+    with pytest.raises(ValueError):
+        compound_files.load_xls(compound(other=b"x"))
