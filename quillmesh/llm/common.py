@@ -51,13 +51,19 @@ def vocabulary_file(name: str, folder: str = TOKENIZERS) -> str:
 
 
 def sent_file(spark: SparkSession, path: str) -> str:
-    """Send a file of the driver's machine to every executor, once; returns the name that ``received`` takes."""
-    name = os.path.basename(path)
-    if name not in {os.path.basename(f) for f in spark.sparkContext.listFiles}:
-        spark.sparkContext.addFile(path)
-    return name
+    """Send a file of the driver's machine to every executor, once; returns what ``received`` takes.
+
+    A second file of the same name, which Spark would take for the first, is read
+    by its path on each machine.
+    """
+    context, name = spark.sparkContext, os.path.basename(path)
+    sent = context.__dict__.setdefault("_quillmesh_files", {})
+    if name not in sent:
+        context.addFile(path)
+        sent[name] = path
+    return name if sent[name] == path else path
 
 
 def received(name: str) -> str:
     """Where an executor has a file that was sent."""
-    return SparkFiles.get(name)
+    return name if os.path.isabs(name) else SparkFiles.get(name)
