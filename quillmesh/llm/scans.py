@@ -6,7 +6,7 @@ it and join the lines) by features of the operation, its neighbours, and how
 often the forms before and after it occur in the whole collection. The editor is
 trained here, on words of the collection itself: damaged by a table of usual
 misreadings, divided at random, or parted at a hyphen of their own spelling
-(``SAMPLE`` words of either kind at most, a documented bound); the word statistics
+(``sample`` words of either kind at most, a parameter); the word statistics
 cover all records. Page furniture is found by position on the page: lines at its
 edges that repeat from page to page, number the pages in order, or stand apart
 from the wrapped text around them.
@@ -52,7 +52,7 @@ NARROW, MEASURE = 20, 130
 BEYOND = 0.15
 #: Lines of furniture that lie between two pages at most: three at the foot, three at the head, and the text goes on in the next.
 FURNITURE = 7
-#: Words the editor is trained on.
+#: Words the editor is trained on at most, a parameter of both operators, and how often.
 SAMPLE, EPOCHS = 3000, 3
 
 # Usual misreadings, printed form -> read form.
@@ -174,10 +174,10 @@ class Editor:
         scores = [self.score(f) for f, _, _ in options]
         return max(range(len(options)), key=lambda k: (scores[k], -k))
 
-    def cases(self, lexicon: Lexicon, draw: random.Random) -> list[tuple[list[tuple[list[str], str, int]], str]]:
-        """What the editor learns from: at most SAMPLE words of the lexicon, damaged by the table of misreadings or kept."""
+    def cases(self, lexicon: Lexicon, draw: random.Random, sample: int = SAMPLE) -> list[tuple[list[tuple[list[str], str, int]], str]]:
+        """What the editor learns from: at most ``sample`` words of the lexicon, damaged by the table of misreadings or kept."""
         usual = sorted(w for w, n in lexicon.counts.items() if n > lexicon.rare and len(w) > 2 and w.replace("-", "").replace("'", "").isalpha())
-        words = draw.sample(usual, min(SAMPLE, len(usual)))
+        words = draw.sample(usual, min(sample, len(usual)))
         cases = []
         for word in words:
             shaped = word.capitalize() if draw.random() < 0.15 else word
@@ -195,12 +195,12 @@ class Editor:
                 cases.append((self.blank_options(shaped[:cut], shaped[cut:], lexicon), shaped))
                 other = draw.choice(words)
                 cases.append((self.blank_options(shaped, other, lexicon), shaped))
-        return cases + self._join_cases(lexicon, words, draw)
+        return cases + self._join_cases(lexicon, words, draw, sample)
 
-    def train(self, lexicon: Lexicon, seed: int = 7) -> Editor:
+    def train(self, lexicon: Lexicon, seed: int = 7, sample: int = SAMPLE) -> Editor:
         """Fit on the cases of a lexicon."""
         draw = random.Random(seed)
-        cases = self.cases(lexicon, draw)
+        cases = self.cases(lexicon, draw, sample)
         total: dict[str, float] = defaultdict(float)
         step = 1
         for _ in range(EPOCHS):
@@ -233,7 +233,7 @@ class Editor:
         ]
         return [([f"hold {f}" for f in facts], f"{left}-{right}", -1), ([f"join {f}" for f in facts], left + right, len(left))]
 
-    def _join_cases(self, lexicon: Lexicon, words: list[str], draw: random.Random) -> list[tuple[list[tuple[list[str], str, int]], str]]:
+    def _join_cases(self, lexicon: Lexicon, words: list[str], draw: random.Random, sample: int) -> list[tuple[list[tuple[list[str], str, int]], str]]:
         """Line ends to learn from: words divided anywhere, known and unknown, and words parted at a hyphen of their own spelling."""
         cases = []
 
@@ -249,7 +249,7 @@ class Editor:
                     left, right = left.upper(), right.upper()
                 add(left, right, draw.choice("---" + _HYPHENS), left + right)
         own = sorted(w for w, n in lexicon.counts.items() if w.count("-") and n > lexicon.rare and all(p.isalpha() for p in w.split("-")))
-        for word in draw.sample(own, min(SAMPLE, len(own))):
+        for word in draw.sample(own, min(sample, len(own))):
             for at in (k for k, c in enumerate(word) if c == "-"):
                 add(word[:at], word[at + 1 :], "-", word)
                 if "-" not in word[:at]:
@@ -727,7 +727,7 @@ def word_counts(records: DataFrame, text_col: str = "page_content") -> DataFrame
     return records.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(records: DataFrame, text_col: str = "page_content") -> tuple[Repairer, DataFrame | None]:
+def fit(records: DataFrame, text_col: str = "page_content", sample: int = SAMPLE) -> tuple[Repairer, DataFrame | None]:
     """(repairer, other words): the editor trained on the word statistics of all records, and (word, n) of the known words that it doesn't hold; None if it holds all."""
     known = checkpoint(word_counts(records, text_col).where(F.col("n") > 1))
     words, total = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -736,12 +736,12 @@ def fit(records: DataFrame, text_col: str = "page_content") -> tuple[Repairer, D
     kept = known.where(F.col("n") >= least).toPandas()
     lexicon = Lexicon(dict(zip(kept["word"], (int(n) for n in kept["n"]))), int(total))
     others = None if len(kept) == words else known.where(F.col("n") < least)
-    if others is not None:  # the counts that training asks for, bounded by SAMPLE
+    if others is not None:  # the counts that training asks for, bounded by the sample
         lexicon.asked = set()
-        Editor().cases(lexicon, random.Random(7))
+        Editor().cases(lexicon, random.Random(7), sample)
         asked = records.sparkSession.createDataFrame([(w,) for w in lexicon.asked], "word string")
         lexicon.extra, lexicon.asked = {r.word: r.n for r in others.join(F.broadcast(asked), "word").collect()}, None
-    editor = Editor().train(lexicon)
+    editor = Editor().train(lexicon, sample=sample)
     lexicon.extra = {}
     return Repairer(lexicon, editor), others
 
@@ -802,9 +802,9 @@ def _answered(scanned: DataFrame, others: DataFrame, shared: Broadcast) -> DataF
     return scanned.join(answers, F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "text", "known")
 
 
-def _repair(records: DataFrame, id_col: str, text_col: str, name_col: str, work: Work, emit: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: str) -> DataFrame:
+def _repair(records: DataFrame, id_col: str, text_col: str, name_col: str, sample: int, work: Work, emit: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: str) -> DataFrame:
     """``work`` on every scanned record; ``emit`` makes rows of a batch and its results."""
-    repairer, others = fit(records, text_col)
+    repairer, others = fit(records, text_col, sample)
     shared = records.sparkSession.sparkContext.broadcast(repairer)
     scanned = records.where(~is_email(records[name_col]) & F.col(text_col).contains("\n")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if others is not None:
@@ -824,18 +824,18 @@ def _repair(records: DataFrame, id_col: str, text_col: str, name_col: str, work:
     return scanned.mapInArrow(run, f"`{id_col}` {kind}, {schema}")
 
 
-def repaired(records: DataFrame, id_col: str = "id", text_col: str = "page_content", name_col: str = "file_name") -> DataFrame:
-    """(``id_col``, repaired STRING) of the scanned records."""
+def repaired(records: DataFrame, id_col: str = "id", text_col: str = "page_content", name_col: str = "file_name", sample: int = SAMPLE) -> DataFrame:
+    """(``id_col``, repaired STRING) of the scanned records; the editor is trained on ``sample`` words of either kind at most."""
 
     def emit(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         keep = [k for k, t in enumerate(texts) if t is not None]
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([texts[k] for k in keep], pa.string())], names=[id_col, "repaired"])
 
-    return _repair(records, id_col, text_col, name_col, repaired_text, emit, "repaired string")
+    return _repair(records, id_col, text_col, name_col, sample, repaired_text, emit, "repaired string")
 
 
-def scan_lines(records: DataFrame, id_col: str = "id", text_col: str = "page_content", name_col: str = "file_name") -> DataFrame:
-    """(``id_col``, line_no INT, kind STRING): furniture, hyphen and misread lines of scanned records."""
+def scan_lines(records: DataFrame, id_col: str = "id", text_col: str = "page_content", name_col: str = "file_name", sample: int = SAMPLE) -> DataFrame:
+    """(``id_col``, line_no INT, kind STRING): furniture, hyphen and misread lines of scanned records; ``sample`` as for ``repaired``."""
 
     def emit(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
         at = [k for k, rows in enumerate(found) for _ in rows]
@@ -844,4 +844,4 @@ def scan_lines(records: DataFrame, id_col: str = "id", text_col: str = "page_con
             [batch.column(0).take(pa.array(at, pa.int64())), pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.string())], names=[id_col, "line_no", "kind"]
         )
 
-    return _repair(records, id_col, text_col, name_col, found_lines, emit, "line_no int, kind string")
+    return _repair(records, id_col, text_col, name_col, sample, found_lines, emit, "line_no int, kind string")
