@@ -56,10 +56,10 @@ _CHUNKS = rf"""
         CASE WHEN pdf THEN coalesce((SELECT arg_max(m.page, m.k) FROM marks m WHERE m.r = c.r AND m.pos <= c.s), 1) END AS page_number FROM numbered c, forms)"""
 
 # The corpus as files, and what the loaders make of them.
-_KIND = "CASE WHEN doc_id % 11 = 10 THEN '.pdf' WHEN doc_id % 4 = 0 THEN '.txt' WHEN doc_id % 4 = 1 THEN '.CSV' WHEN doc_id % 4 = 2 THEN '.html' ELSE '.eml' END"
+_KIND = "CASE WHEN doc_id % 11 = 10 THEN '.odt' WHEN doc_id % 4 = 0 THEN '.txt' WHEN doc_id % 4 = 1 THEN '.CSV' WHEN doc_id % 4 = 2 THEN '.html' ELSE '.eml' END"
 _FILLED = f"{_strip('t')} <> ''"
-_LOADED = rf"""(SELECT *, CASE WHEN kind = '.pdf' THEN 'no loader for .pdf' WHEN page_content IS NULL THEN 'no text' END AS error FROM (
-    SELECT concat('/in/f', doc_id, kind) AS file_path, lower(kind) AS file_type, kind, CASE kind WHEN '.pdf' THEN NULL WHEN '.txt' THEN CASE WHEN {_FILLED} THEN t END
+_LOADED = rf"""(SELECT *, CASE WHEN kind = '.odt' THEN 'no loader for .odt' WHEN page_content IS NULL THEN 'no text' END AS error FROM (
+    SELECT concat('/in/f', doc_id, kind) AS file_path, lower(kind) AS file_type, kind, CASE kind WHEN '.odt' THEN NULL WHEN '.txt' THEN CASE WHEN {_FILLED} THEN t END
         WHEN '.CSV' THEN concat(doc_id, ' ', t) WHEN '.html' THEN concat(doc_id, ' menu x', t, ' foot')
         ELSE concat('Subject: Note ', doc_id, CASE WHEN {_FILLED} THEN E'\n' || t ELSE '' END) END AS page_content
     FROM (SELECT doc_id, coalesce(text, '') AS t, {_KIND} AS kind FROM documents)))"""
@@ -92,6 +92,9 @@ SQL: dict[str, str] = {
     "normalize_text": f"WITH {_WITH_FORMS} SELECT doc_id, {_normalized('text')} AS normalized FROM documents, forms",
     "normalize_single_line": f"WITH {_WITH_FORMS} SELECT doc_id, {_normalized('text', True)} AS normalized, CASE WHEN text IS NOT NULL THEN coalesce(nullif({_strip(_ONE_LINE)}, ''), ' ') END AS query_form FROM documents, forms",
     "loaded_files": f"SELECT file_path, file_type, page_content, sha256(page_content) AS hash, error FROM {_LOADED}",
+    "loaded_pdfs": r"""
+        SELECT concat('/in/f', doc_id, '.PDF') AS file_path, '.pdf' AS file_type, CASE WHEN w <> '' THEN '[[page2]]' || w END AS page_content, CASE WHEN w = '' THEN 'no text' END AS error
+        FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'), ' ') AS w FROM documents)""",
     "ingest_counts": f"""
         SELECT file_type, count(*) AS files, count(*) FILTER (WHERE error IS NULL) AS read, count(*) FILTER (WHERE error = 'no text') AS empty, count(*) FILTER (WHERE error <> 'no text') AS failed,
             CAST(coalesce(sum(length(page_content)), 0) AS BIGINT) AS characters FROM {_LOADED} GROUP BY file_type""",

@@ -21,6 +21,7 @@ from quillmesh.functions import paths
 from quillmesh.functions.html import whole_text
 from quillmesh.sources.compound import load_msg, load_xls
 from quillmesh.sources.formats import load_docx, load_rtf, load_xlsx
+from quillmesh.sources.pdf import load_pdf
 
 Loader = Callable[[bytes], "str | None"]
 
@@ -79,7 +80,7 @@ class LoaderRegistry:
     def __init__(self) -> None:
         self._loaders: dict[str, Loader] = {
             ".txt": load_text, ".md": load_text, ".csv": load_csv, ".html": load_html, ".htm": load_html, ".eml": load_email,
-            ".docx": load_docx, ".xlsx": load_xlsx, ".xlsm": load_xlsx, ".rtf": load_rtf, ".msg": load_msg, ".xls": load_xls,
+            ".docx": load_docx, ".xlsx": load_xlsx, ".xlsm": load_xlsx, ".rtf": load_rtf, ".msg": load_msg, ".xls": load_xls, ".pdf": load_pdf,
         }
 
     def register(self, extension: str, loader: Loader) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions.paths import content_hash
 from quillmesh.sources import compound as compound_files
 from quillmesh.sources import files, formats, store
+from quillmesh.sources import pdf as pdf_files
 from quillmesh.streaming import ingest, metrics, thinking
 
 
@@ -21,8 +22,9 @@ def test_files(spark, tmp_path):
     assert rows["a.txt"].page_content == "café" and rows["b.CSV"].page_content == "h1 h2\nx, y z" and rows["b.CSV"].file_type == ".csv"
     assert rows["c.html"].page_content == "hello  world" and "Subject: Hi" in rows["d.eml"].page_content and "body text" in rows["d.eml"].page_content
     assert rows["a.txt"].creation_date[:4] >= "2020" and len(rows["a.txt"].creation_date) == 26
-    assert "no loader" in rows["e.pdf"].error and rows["f.md"].error == "no text" and "g.xyz" not in rows
+    assert rows["e.pdf"].error == "no text" and rows["f.md"].error == "no text" and "g.xyz" not in rows
     registry = files.LoaderRegistry()
+    assert registry.load(".odt", b"x")[1] == "no loader for .odt"
     registry.register(".pdf", lambda b: "[[page1]]text")
     registry.register(".txt", lambda b: 1 / 0)
     rows = {r.file_name: r for r in files.extract(files.scan(spark, str(tmp_path)), registry).collect()}
@@ -282,3 +284,78 @@ def test_xls():
     assert compound_files.load_xls(compound(Workbook=book.ljust(6000, b"\0"))) == expected
     with pytest.raises(ValueError):
         compound_files.load_xls(compound(other=b"x"))
+
+
+def pdf(*pages, compress=True, extra=()):
+    """A PDF of content streams, one a page; fonts F1 (simple, with differences) and F2 (two bytes, mapped)."""
+    import zlib
+
+    def stream(data, entries=b""):
+        packed = zlib.compress(data) if compress else data
+        return b"<<" + entries + (b"/Filter/FlateDecode" if compress else b"") + b"/Length %d>>stream\n" % len(packed) + packed + b"\nendstream"
+
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0001> <0416> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<0066006C> <20AC>] endbfrange"
+    objects = {
+        1: b"<</Type/Catalog/Pages 2 0 R>>",
+        2: b"<</Type/Pages/Kids[3 0 R]/Count %d/Resources<</Font<</F1 5 0 R/F2 6 0 R>>/XObject<</X 9 0 R>>>>>>" % len(pages),
+        3: b"<</Type/Pages/Parent 2 0 R/Kids[" + b" ".join(b"%d 0 R" % (20 + 2 * k) for k in range(len(pages))) + b"]>>",
+        5: b"<</Type/Font/Subtype/Type1/Encoding<</BaseEncoding/WinAnsiEncoding/Differences[1/eacute/fi/uni20AC]>>/FirstChar 32/Widths[250]>>",
+        6: b"<</Type/Font/Subtype/Type0/ToUnicode 7 0 R>>",
+        7: stream(cmap),
+        9: stream(b"BT /F1 10 Tf 50 50 Td (in a form) Tj ET /X Do", b"/Subtype/Form"),
+    }
+    for k, page in enumerate(pages):
+        objects[20 + 2 * k] = b"<</Type/Page/Parent 3 0 R/Contents %d 0 R>>" % (21 + 2 * k)
+        objects[21 + 2 * k] = stream(page)
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n" % n + o + b"\nendobj\n" for n, o in objects.items()) + b"".join(extra) + b"trailer<</Root 1 0 R>>\n%%EOF"
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_pdf(compress):
+    first = b"BT /F1 12 Tf 72 700 Td (One \\(two\\) caf\\001) Tj 0 -14 Td [(spl) 10 (it) -600 (apart)] TJ T* ET BI /W 1 ID \x01 (\xff EI BT /F1 12 Tf 1 0 0 1 72 600 Tm (o\002\003 \\344) Tj ET"
+    second = b"q 1 0 0 RG Q % nothing\n"
+    third = b"BT /F2 9 Tf 10 TL 5 5 Td <0001001000110012> Tj <00200021> ' ET /X Do"
+    assert pdf_files.load_pdf(pdf(first, second, third, compress=compress)) == "[[page1]]One (two) café\nsplit apart\nofi€ ä[[page3]]Жabc\nfl€\nin a form"
+    assert pdf_files.load_pdf(pdf(second, compress=compress)) is None and pdf_files.page_texts(pdf(compress=compress)) == []
+
+
+def test_pdf_objects():
+    import zlib
+
+    packed = zlib.compress(b"30 0 31 27 " + b"<</Type/Page/Contents 21 0 R>> <</a 1>>")
+    stream = b"40 0 obj<</Type/ObjStm/N 2/First 11/Filter/FlateDecode/Length %d>>stream\r\n" % len(packed) + packed + b"\r\nendstream endobj\n"
+    later = b"3 0 obj<</Type/Pages/Kids[30 0 R 30 0 R 3 0 R]>>endobj\n"
+    assert pdf_files.page_texts(pdf(b"BT /F1 9 Tf (packed) Tj ET", extra=[stream, later])) == ["packed"]
+    for broken in (b"", b"no pdf", pdf(b"x").replace(b"trailer<<", b"trailer<</Encrypt 8 0 R"), pdf(b"x").replace(b"/FlateDecode", b"/JBIG2Decode")):
+        with pytest.raises(ValueError):
+            pdf_files.page_texts(broken)
+
+
+@pytest.mark.parametrize("kind", [".pdf", ".msg", ".xls", ".rtf", ".docx", ".xlsx", ".html", ".eml", ".csv"])
+def test_damaged_files_end(kind):
+    """Whatever a file holds, its loader comes to an end with a text or a reason."""
+    import random
+    import time
+
+    draw = random.Random(kind)
+    samples = {
+        ".pdf": pdf(b"BT /F1 12 Tf 72 700 Td (One) Tj [(a) 5 (b)] TJ ET /X Do", compress=False),
+        ".msg": compound(**{"__substg1.0_0037001F": b"a\0b\0", "__substg1.0_1000001F": b"x\0" * 3000}),
+        ".xls": compound(Workbook=bytes(range(256)) * 20),
+        ".rtf": rb"{\rtf1{\fonttbl{\f0 A;}}\u960?text{\*\x y}}",
+        ".docx": zipped(word__document_dot_xml="<a/>"),
+        ".xlsx": zipped(xl__workbook_dot_xml="<a/>"),
+        ".html": b"<p>a<b>c</p><script>x</script>&amp;" * 20,
+        ".eml": b"Subject: x\nContent-Type: multipart/mixed; boundary=b\n\n--b\n\nx\n--b--",
+        ".csv": b'a,"b\nc",d\n' * 40,
+    }
+    registry, began = files.LoaderRegistry(), time.perf_counter()
+    for n in range(150):
+        damaged = bytearray(samples[kind])
+        for _ in range(draw.randrange(1, 30)):
+            at = draw.randrange(len(damaged))
+            damaged[at : at + draw.randrange(3)] = bytes(draw.randrange(256) for _ in range(draw.randrange(3)))
+        text, error = registry.load(kind, bytes(damaged))
+        assert (text is None) == (error is not None)
+    assert registry.load(kind, b"[" * 200_000) is not None and registry.load(kind, b"1 0 obj" + b"<<" * 100_000) is not None
+    assert time.perf_counter() - began < 30
