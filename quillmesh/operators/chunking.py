@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from quillmesh.functions.text import normalize, strip
+from quillmesh.functions.text import flatten_texts, normalize, strip
 
 MARKER = r"\[\[page(\d+)\]\]"
 
@@ -18,6 +19,15 @@ def check_sizes(size: int, overlap: int) -> None:
         raise ValueError("chunk overlap must be at least 0 and below the chunk size")
 
 
+def _as_text(docs: DataFrame, text_col: str) -> Column:
+    """The text of a column: lists of texts joined by blanks without their empty items, other values as they are written, null as null."""
+    kind = docs.schema[text_col].dataType
+    column = F.col(f"`{text_col}`")
+    if isinstance(kind, ArrayType):
+        return flatten_texts(column.cast("array<string>"))
+    return column if isinstance(kind, StringType) else column.cast("string")
+
+
 def _starts(text: Column, step: int) -> Column:
     return F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(step))
 
@@ -39,7 +49,7 @@ def fixed(docs: DataFrame, text_col: str = "text", size: int = 700, overlap: int
         raise ValueError("chunk size must be positive and the overlap not negative")
     step = max(size - overlap, 1)
     rest = _rest(docs, text_col)
-    stripped = docs.select(*rest, strip(F.col(text_col)).alias("_text")).where(F.length("_text") > 0)
+    stripped = docs.select(*rest, strip(_as_text(docs, text_col)).alias("_text")).where(F.length("_text") > 0)
     parts = F.transform(_starts(F.col("_text"), step), lambda p: F.struct(p.alias("start"), strip(F.substring(F.col("_text"), p + 1, F.lit(size))).alias("chunk")))
     kept = F.filter(parts, lambda c: c.chunk != "")
     return stripped.select(*rest, F.posexplode(kept).alias("chunk_idx", "_c")).select(*rest, "chunk_idx", F.col("_c.start").alias("chunk_start"), F.col("_c.chunk").alias("chunk"))
@@ -66,7 +76,8 @@ def paged(docs: DataFrame, text_col: str = "text", size: int = 700, overlap: int
     """
     check_sizes(size, overlap)
     rest = _rest(docs, text_col)
-    prepared = docs.select(*rest, page_markers(F.col(text_col)).alias("_marks"), F.regexp_replace(text_col, MARKER, "").alias("_text")).where(F.length("_text") > 0)
+    text = _as_text(docs, text_col)
+    prepared = docs.select(*rest, page_markers(text).alias("_marks"), F.regexp_replace(text, MARKER, "").alias("_text")).where(F.length("_text") > 0)
     parts = F.transform(_starts(F.col("_text"), size - overlap), lambda p: F.struct(p.alias("start"), strip(F.substring(F.col("_text"), p + 1, F.lit(size))).alias("chunk")))
     kept = F.filter(parts, lambda c: c.chunk != "")
     cut = prepared.select(*rest, "_marks", F.posexplode(kept).alias("chunk_idx", "_c"))
@@ -80,9 +91,29 @@ def split_documents(docs: DataFrame, text_col: str = "page_content", type_col: s
     Chunks of which normalising leaves nothing are dropped. ``page_number`` is null
     for other types.
     """
+    return _cut_documents(docs, text_col, type_col, size, overlap).where(F.col("chunk").isNotNull())
+
+
+def _cut_documents(docs: DataFrame, text_col: str, type_col: str, size: int, overlap: int) -> DataFrame:
+    """All chunks, normalised; null where nothing is left."""
     is_pdf = F.coalesce(F.col(type_col) == ".pdf", F.lit(False))
     cut = paged(docs.where(is_pdf), text_col, size, overlap).unionByName(fixed(docs.where(~is_pdf), text_col, size, overlap).withColumn("page_number", F.lit(None).cast("int")))
-    return cut.withColumn("chunk", normalize(F.col("chunk"))).where(F.col("chunk").isNotNull())
+    return cut.withColumn("chunk", normalize(F.col("chunk")))
+
+
+def split_counts(docs: DataFrame, text_col: str = "page_content", type_col: str = "file_type", size: int = 700, overlap: int = 250) -> DataFrame:
+    """(file_type, documents, chunks, skipped, characters): what splitting makes of the documents of each type.
+
+    ``skipped`` counts the chunks of which normalising leaves nothing; documents
+    without text count as documents only.
+    """
+    cut = _cut_documents(docs.select(type_col, text_col), text_col, type_col, size, overlap)
+    chunks = cut.select(F.col(type_col).alias("_type"), F.lit(0).alias("_document"), F.length("chunk").alias("_n"), F.lit(1).alias("_chunk"))
+    every = docs.select(F.col(type_col).alias("_type"), F.lit(1).alias("_document"), F.lit(None).cast("int").alias("_n"), F.lit(0).alias("_chunk")).unionAll(chunks)
+    kept = F.col("_n").isNotNull()
+    return every.groupBy(F.col("_type").alias(type_col)).agg(
+        F.sum("_document").alias("documents"), F.count_if(kept).alias("chunks"), F.count_if((F.col("_chunk") == 1) & ~kept).alias("skipped"), F.coalesce(F.sum("_n"), F.lit(0)).alias("characters")
+    )
 
 
 def headings(docs: DataFrame, text_col: str = "text") -> DataFrame:

