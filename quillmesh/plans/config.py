@@ -136,12 +136,17 @@ def preflight(checks: list[tuple[bool, str]]) -> str | None:
     return next((message for passed, message in checks if not passed), None)
 
 
+# What is said when a check before a build fails.
+MESSAGES = {
+    "name": "Name must be at least 3 characters long and not be 'null' or 'none.'",
+    "taken": "A vector database called '{name}' already exists—choose a different name or delete the old one first.",
+    "model": "You must first download an embedding model, select it, and choose documents before proceeding.",
+    "documents": "No documents are yet added to be processed.",
+    "pages": "{n} documents have pages without text.",
+}
+
+
 def database_checks(name: str | None, exists: bool, model: str | None, files: int, needing_ocr: int = 0) -> list[tuple[bool, str]]:
     """What must hold before a database is built, in order: a name, a free one, a model, documents, and no page without text."""
-    return [
-        (valid_database_name(name), "Name must be at least 3 characters long and not be 'null' or 'none.'"),
-        (not exists, f"A vector database called '{name}' already exists—choose a different name or delete the old one first."),
-        (bool(model), "You must first download an embedding model, select it, and choose documents before proceeding."),
-        (files > 0, "No documents are yet added to be processed."),
-        (needing_ocr == 0, f"{needing_ocr} documents have pages without text."),
-    ]
+    passed = {"name": valid_database_name(name), "taken": not exists, "model": bool(model), "documents": files > 0, "pages": needing_ocr == 0}
+    return [(ok, MESSAGES[check].format(name=name, n=needing_ocr)) for check, ok in passed.items()]
