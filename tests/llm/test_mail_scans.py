@@ -206,3 +206,11 @@ def test_rare_words_by_a_join(spark, data_dir, operator, monkeypatch):
     monkeypatch.setattr(scans, "LEXICON", 1)
     assert scans.fit(df)[1].count() > 100
     assert sorted(map(tuple, getattr(scans, operator)(df).collect())) == sorted(map(tuple, whole))
+
+
+def test_structure_table(spark):
+    rows = [(1, "a.eml", "Hi.\n> x\n\n>> y"), (2, "b.msg", None), (3, "c.txt", "Hi."), (4, "d.eml", " \n"), (None, "e.eml", "Hi."), (1, "a.eml", "Hi.\n> x\n\n>> y")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "id int, file_name string, page_content string, depth int, kind string")
+    got = sorted((r.id or 0, r.line_no, r.kind, r.depth) for r in mail.structure(df).collect())
+    assert got == [(0, 1, "authored", 0), *sorted([(1, 1, "authored", 0), (1, 2, "authored", 1), (1, 4, "authored", 2)] * 2)]
+    assert mail.structure(df.where("false")).count() == 0

@@ -158,3 +158,9 @@ def test_components(spark):
         if a != b:
             parent[max(find(a), find(b))] = min(find(a), find(b))
     assert got == {k: find(k) for k in parent}
+
+
+def test_exact_on_small_tables(spark):
+    df = spark.createDataFrame([(1, " ".join(map(str, range(40))), "x"), (2, " ".join(map(str, range(40))), "y"), (3, None, None)], "id int, page_content string, bits string")
+    assert [tuple(r) for r in near.similar_pairs(df, exact=True).collect()] == [(1, 2)]
+    assert near.similar_pairs(df.where("false"), exact=True).count() == 0 and near.groups(df.where("id = 3"), exact=True).count() == 0

@@ -125,3 +125,14 @@ def test_ligatures_of_several_letters():
         assert len(set(form([a, b]))) == 1, (a, b)
     assert form(["ﻻ", None, "plain", ""])[1:] == [None, "plain", ""]
     assert len(set(form(["ﻻ", "ﻵ", "ا", "ل"]))) == 4
+
+
+def test_checked_counts(spark):
+    items = spark.createDataFrame([("a", "1", "word " * 900), ("a", "2", None), ("a", "3", ""), ("b", "4", "é" * 2001), ("b", "4", "x")], "src string, item_key string, page_content string")
+    spans = split.split_spans(items)
+    got = {r.src: tuple(r)[1:] for r in split.checked(spans).collect()}
+    assert got == {"a": (3, 4500, 1, 1, 0, 0), "b": (2, 2002, 2, 1, 0, 0)}
+    # What it is for: pieces too long, and pieces without an overlap.
+    wrong = spans.selectExpr("src", "page_content", "array(named_struct('start', 0, 'stop', 2500), named_struct('start', 2500, 'stop', length(page_content))) AS spans").where("length(page_content) > 2500")
+    assert [tuple(r)[1:] for r in split.checked(wrong).collect()] == [(1, 4500, 1, 1, 1, 1)]
+    assert split.checked(spans.where("false")).count() == 0
