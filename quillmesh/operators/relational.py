@@ -80,18 +80,14 @@ def running_total(rows: DataFrame, key: list[str], order: list[str], by: Column,
     few slices; within a slice rows are added up alone. So a key with a large share
     of all rows is worked on by as many tasks as it has slices.
     """
-    sliced = rows.withColumn("_slice", by).withColumn("_value", value)
-    totals = sliced.groupBy(*key, "_slice").agg(F.sum("_value").alias("_total"))
-    earlier = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0))).drop("_total")
-    within = Window.partitionBy(*key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = sliced.withColumn("_own", F.sum("_value").over(within)).alias("r")
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*key, "_slice")]
-    on = same[0]
-    for condition in same[1:]:
-        on = on & condition
-    kept = [F.col(f"r.`{c}`") for c in rows.columns if c != name]
-    return summed.join(before.alias("b"), on).select(*kept, (F.col("_own") + F.col("_before")).alias(name))
+    # Key and slice as one struct, in which nulls are equal: rows are shuffled by it once, for their sums and for the join.
+    sliced = rows.select("*", F.struct(*key, by.alias("_slice")).alias("_key_slice"), value.alias("_value"))
+    totals = sliced.groupBy("_key_slice").agg(F.sum("_value").alias("_total"))
+    earlier = Window.partitionBy(*(F.col(f"_key_slice.`{c}`") for c in key)).orderBy("_key_slice._slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_key_slice", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_key_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = sliced.withColumn("_own", F.sum("_value").over(within)).join(before, "_key_slice")
+    return summed.select(*(F.col(f"`{c}`") for c in rows.columns if c != name), (F.col("_own") + F.col("_before")).alias(name))
 
 
 def children_by_hash(chunks: DataFrame, docs: DataFrame, hash_col: str = "hash") -> DataFrame:
